@@ -1 +1,140 @@
-"""Registered queries."""
+"""Registered queries: projections, derived columns, lookups (P*, J*, W1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from basketry.functions import constants as K
+from basketry.operators import features as FE
+from basketry.operators.split import stratified_split
+from basketry.plans.fixture_sql import with_views
+from basketry.plans.registry import register
+from basketry.plans.sql_features import (FEAT_COLUMNS, TARGET_SQL, case_climate, case_cut,
+                                         case_map, feat_ctes, nan_text, quart_case, yes)
+from basketry.sources.tables import shop_frame
+
+FEAT = feat_ctes()
+
+
+def feat_frame(spark, sf_dir, variant="a"):
+    return FE.derive_features(shop_frame(spark, sf_dir), variant=variant)
+
+
+def r6(c):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+@register("encode_target", with_views(f"SELECT ROW_ID, {TARGET_SQL} AS TEMP_TARGET FROM shop"))
+def q_encode_target(spark, sf_dir):
+    return FE.encode_target(shop_frame(spark, sf_dir)).select("ROW_ID", "TEMP_TARGET")
+
+
+@register("derive_spend", with_views("""
+SELECT ROW_ID, PREVIOUS_PURCHASES * PURCHASE_AMOUNT_USD AS TOTAL_SPEND_WEIGHTED_NEW,
+  PURCHASE_AMOUNT_USD / (PREVIOUS_PURCHASES + 1) AS SPEND_PER_PURCHASE_NEW,
+  PURCHASE_AMOUNT_USD * REVIEW_RATING AS SPEND_RATING_NEW FROM shop"""))
+def q_derive_spend(spark, sf_dir):
+    return FE.derive_spend(shop_frame(spark, sf_dir)).select(
+        "ROW_ID", "TOTAL_SPEND_WEIGHTED_NEW", "SPEND_PER_PURCHASE_NEW", "SPEND_RATING_NEW")
+
+
+@register("map_frequency", with_views(
+    f"SELECT ROW_ID, FREQUENCY_OF_PURCHASES, {case_map('FREQUENCY_OF_PURCHASES', K.FREQUENCY_PER_YEAR)} "
+    "AS FREQUENCY_VALUE_NEW FROM shop"))
+def q_map_frequency(spark, sf_dir):
+    return FE.map_frequency(shop_frame(spark, sf_dir)).select(
+        "ROW_ID", "FREQUENCY_OF_PURCHASES", "FREQUENCY_VALUE_NEW")
+
+
+@register("map_payment_type", with_views(
+    f"SELECT ROW_ID, PAYMENT_METHOD, {case_map('PAYMENT_METHOD', K.PAYMENT_TYPE)} AS PAYMENT_TYPE_NEW FROM shop"))
+def q_map_payment_type(spark, sf_dir):
+    return FE.map_payment_type(shop_frame(spark, sf_dir)).select("ROW_ID", "PAYMENT_METHOD", "PAYMENT_TYPE_NEW")
+
+
+@register("bin_age", with_views(
+    f"SELECT ROW_ID, AGE, {case_cut('AGE', K.AGE_EDGES, K.AGE_LABELS)} AS AGE_NEW FROM shop"))
+def q_bin_age(spark, sf_dir):
+    return FE.bin_age(shop_frame(spark, sf_dir)).select("ROW_ID", "AGE", "AGE_NEW")
+
+
+@register("bin_loyalty", with_views(
+    f"SELECT ROW_ID, PREVIOUS_PURCHASES, "
+    f"{case_cut('PREVIOUS_PURCHASES', K.LOYALTY_EDGES, K.LOYALTY_LABELS, True)} AS LOYALTY_LEVEL_NEW FROM shop"))
+def q_bin_loyalty(spark, sf_dir):
+    return FE.bin_loyalty(shop_frame(spark, sf_dir)).select("ROW_ID", "PREVIOUS_PURCHASES", "LOYALTY_LEVEL_NEW")
+
+
+@register("quantile_bin", with_views(
+    "SELECT ROW_ID, PURCHASE_AMOUNT_USD_NEW, LOYALTY_SCORE_NEW FROM feat", *FEAT))
+def q_quantile_bin(spark, sf_dir):
+    s = shop_frame(spark, sf_dir)
+    s = FE.qcut(s, "PURCHASE_AMOUNT_USD", 4, K.AMOUNT_QUARTILE_LABELS, "PURCHASE_AMOUNT_USD_NEW")
+    s = FE.qcut(s, "PREVIOUS_PURCHASES", 4, K.LOYALTY_SCORE_LABELS, "LOYALTY_SCORE_NEW")
+    return s.select("ROW_ID", "PURCHASE_AMOUNT_USD_NEW", "LOYALTY_SCORE_NEW")
+
+
+@register("flag_columns", with_views(
+    "SELECT ROW_ID, PROMO_NO_SUB_NEW, HIGH_REVIEW_RATING_NEW, SUBSCRIPTION, PROMO_USED_VAL FROM feat", *FEAT))
+def q_flag_columns(spark, sf_dir):
+    s = FE.encode_target(shop_frame(spark, sf_dir))
+    return FE.flag_columns(s).select("ROW_ID", "PROMO_NO_SUB_NEW", "HIGH_REVIEW_RATING_NEW",
+                                     "SUBSCRIPTION", "PROMO_USED_VAL")
+
+
+@register("concat_crosses", with_views(
+    f"""SELECT ROW_ID, SUB_FREQ_NEW, SHIP_SUB_NEW, SEASON_CATEGORY_NEW, SEASON_COLOR_NEW, ITEM_CATEGORY_NEW,
+    concat_ws('_', {nan_text('CLIMATE_GROUP_NEW')}, {nan_text('LOYALTY_LEVEL_NEW')}) AS CLIMATE_LOYALTY_NEW
+    FROM feat""", *FEAT))
+def q_concat_crosses(spark, sf_dir):
+    s = FE.encode_target(shop_frame(spark, sf_dir))
+    s = FE.bin_loyalty(FE.add_climate_group(s))
+    return FE.concat_crosses(s, variant="b").select(
+        "ROW_ID", "SUB_FREQ_NEW", "SHIP_SUB_NEW", "SEASON_CATEGORY_NEW", "SEASON_COLOR_NEW",
+        "ITEM_CATEGORY_NEW", "CLIMATE_LOYALTY_NEW")
+
+
+@register("climate_group", with_views(
+    f"SELECT ROW_ID, LOCATION, {case_climate('LOCATION')} AS CLIMATE_GROUP_NEW FROM shop"))
+def q_climate_group(spark, sf_dir):
+    return FE.add_climate_group(shop_frame(spark, sf_dir)).select("ROW_ID", "LOCATION", "CLIMATE_GROUP_NEW")
+
+
+@register("topk_group", with_views(
+    "SELECT ROW_ID, LOCATION, LOCATION_GROUPED_NEW FROM feat", *FEAT))
+def q_topk_group(spark, sf_dir):
+    return FE.topk_group(shop_frame(spark, sf_dir)).select("ROW_ID", "LOCATION", "LOCATION_GROUPED_NEW")
+
+
+RARE_COLS = ["GENDER", "ITEM_PURCHASED", "CATEGORY", "LOCATION", "SIZE", "COLOR", "SEASON",
+             "SUBSCRIPTION_STATUS", "SHIPPING_TYPE", "DISCOUNT_APPLIED", "PROMO_CODE_USED",
+             "PAYMENT_METHOD", "FREQUENCY_OF_PURCHASES"]
+RARE_TEST_SHARE = 0.015
+
+
+def _rare_sql() -> str:
+    cols = []
+    for c in RARE_COLS:
+        cols.append(f"""CASE WHEN {c} IS NULL THEN NULL
+          WHEN {c} IN (SELECT {c} FROM shop WHERE {c} IS NOT NULL GROUP BY {c}
+                       HAVING count(*) / (SELECT count(*) FROM shop) >= {RARE_TEST_SHARE}) THEN {c}
+          ELSE 'Rare' END AS {c}""")
+    return "SELECT ROW_ID, " + ",\n".join(cols) + " FROM shop"
+
+
+@register("rare_encode", with_views(_rare_sql()))
+def q_rare_encode(spark, sf_dir):
+    s = shop_frame(spark, sf_dir)
+    return FE.rare_encode(s, RARE_TEST_SHARE).select("ROW_ID", *RARE_COLS)
+
+
+@register("interaction_features", with_views(
+    "SELECT ROW_ID, PROMO_X_LOYALTY, PROMO_X_FREQ FROM feat", *FEAT))
+def q_interaction_features(spark, sf_dir):
+    return feat_frame(spark, sf_dir).select("ROW_ID", "PROMO_X_LOYALTY", "PROMO_X_FREQ")
+
+
+@register("derive_features", with_views(
+    f"SELECT ROW_ID, {', '.join(FEAT_COLUMNS)} FROM feat", *FEAT))
+def q_derive_features(spark, sf_dir):
+    return feat_frame(spark, sf_dir).select("ROW_ID", *FEAT_COLUMNS)
