@@ -9,15 +9,16 @@ from basketry.operators import features as FE
 from basketry.operators.split import stratified_split
 from basketry.plans.fixture_sql import with_views
 from basketry.plans.registry import register
-from basketry.plans.sql_features import (FEAT_COLUMNS, TARGET_SQL, case_climate, case_cut,
+from basketry.plans.sql_features import (FEAT_COLUMNS, TARGET_SQL, case_climate, case_cut, cond_prob_ctes, split_ctes,
                                          case_map, feat_ctes, nan_text, quart_case, yes)
-from basketry.sources.tables import shop_frame
+from basketry.plans import views
+from basketry.plans.views import shop as shop_frame
 
 FEAT = feat_ctes()
 
 
-def feat_frame(spark, sf_dir, variant="a"):
-    return FE.derive_features(shop_frame(spark, sf_dir), variant=variant)
+def feat_frame(spark, sf_dir):
+    return views.feat(spark, sf_dir)
 
 
 def r6(c):
@@ -138,3 +139,194 @@ def q_interaction_features(spark, sf_dir):
     f"SELECT ROW_ID, {', '.join(FEAT_COLUMNS)} FROM feat", *FEAT))
 def q_derive_features(spark, sf_dir):
     return feat_frame(spark, sf_dir).select("ROW_ID", *FEAT_COLUMNS)
+
+
+SPLIT = split_ctes()
+
+
+def split_frame(spark, sf_dir):
+    return views.feat_split(spark, sf_dir)
+
+
+@register("stratified_split", with_views(
+    "SELECT ROW_ID, SUBSCRIPTION_STATUS, part FROM split", *FEAT, *SPLIT))
+def q_stratified_split(spark, sf_dir):
+    from basketry.operators.split import add_split_column
+    return add_split_column(shop_frame(spark, sf_dir)).select("ROW_ID", "SUBSCRIPTION_STATUS", "part")
+
+
+@register("fit_conditional_probs", with_views(
+    "SELECT g AS CLIMATE_GROUP_NEW, c AS CATEGORY, round(prob, 6) AS prob FROM pc",
+    *FEAT, *cond_prob_ctes("pc", "CLIMATE_GROUP_NEW", "CATEGORY", "feat")))
+def q_fit_conditional_probs(spark, sf_dir):
+    probs = FE.fit_conditional_probs(feat_frame(spark, sf_dir), "CLIMATE_GROUP_NEW", "CATEGORY")
+    return probs.select("CLIMATE_GROUP_NEW", "CATEGORY", r6("prob").alias("prob"))
+
+
+@register("lookup_join_2key", with_views(
+    """SELECT f.ROW_ID, round(pc.prob, 6) AS P_CATEGORY_given_CLIMATE_NEW
+       FROM feat f LEFT JOIN pc ON pc.g = f.CLIMATE_GROUP_NEW AND pc.c = f.CATEGORY""",
+    *FEAT, *cond_prob_ctes("pc", "CLIMATE_GROUP_NEW", "CATEGORY", "feat")))
+def q_lookup_join_2key(spark, sf_dir):
+    f = feat_frame(spark, sf_dir)
+    probs = FE.fit_conditional_probs(f, "CLIMATE_GROUP_NEW", "CATEGORY")
+    out = FE.map_conditional_probs(f, probs, "CLIMATE_GROUP_NEW", "CATEGORY", "P_CATEGORY_given_CLIMATE_NEW")
+    return out.select("ROW_ID", r6("P_CATEGORY_given_CLIMATE_NEW").alias("P_CATEGORY_given_CLIMATE_NEW"))
+
+
+def _fit_score_sql() -> str:
+    ctes = []
+    for c in ("CATEGORY", "SIZE", "SEASON"):
+        ctes += cond_prob_ctes(f"p_{c.lower()}", "CLIMATE_GROUP_NEW", c, "split", "part = 'train'")
+    cols, joins, means = [], [], []
+    for c in ("CATEGORY", "SIZE", "SEASON"):
+        t = f"p_{c.lower()}"
+        joins.append(f"LEFT JOIN {t} ON {t}.g = s.CLIMATE_GROUP_NEW AND {t}.c = s.{c}")
+        cols.append(f"CASE WHEN s.part = 'train' THEN {t}.prob ELSE coalesce({t}.prob, "
+                    f"(SELECT avg(x.prob) FROM split y JOIN {t} x ON x.g = y.CLIMATE_GROUP_NEW AND x.c = y.{c} "
+                    f"WHERE y.part = 'train')) END")
+    body = f"""SELECT ROW_ID, part, round(P_CATEGORY_given_CLIMATE_NEW, 6) AS P_CATEGORY_given_CLIMATE_NEW,
+      round(P_SIZE_given_CLIMATE_NEW, 6) AS P_SIZE_given_CLIMATE_NEW,
+      round(P_SEASON_given_CLIMATE_NEW, 6) AS P_SEASON_given_CLIMATE_NEW,
+      round(P_CATEGORY_given_CLIMATE_NEW * P_SIZE_given_CLIMATE_NEW * P_SEASON_given_CLIMATE_NEW, 6)
+        AS CLIMATE_ITEM_FIT_SCORE_NEW
+    FROM (SELECT s.ROW_ID, s.part, {cols[0]} AS P_CATEGORY_given_CLIMATE_NEW,
+            {cols[1]} AS P_SIZE_given_CLIMATE_NEW, {cols[2]} AS P_SEASON_given_CLIMATE_NEW
+          FROM split s {' '.join(joins)})"""
+    return with_views(body, *FEAT, *SPLIT, *ctes)
+
+
+def train_test(spark, sf_dir):
+    f = views.feat_split(spark, sf_dir)
+    return f.where(F.col("part") == "train"), f.where(F.col("part") == "test")
+
+
+@register("fit_score", _fit_score_sql())
+def q_fit_score(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    train, test = FE.conditional_prob_features(train, test)
+    cols = ["P_CATEGORY_given_CLIMATE_NEW", "P_SIZE_given_CLIMATE_NEW", "P_SEASON_given_CLIMATE_NEW",
+            "CLIMATE_ITEM_FIT_SCORE_NEW"]
+    return train.unionByName(test).select("ROW_ID", "part", *[r6(c).alias(c) for c in cols])
+
+
+RATIOS = [("CATEGORY", "PURCHASE_AMOUNT_USD", "REL_SPEND_CAT_NEW"),
+          ("CLIMATE_GROUP_NEW", "PURCHASE_AMOUNT_USD", "PURCHASE_AMT_REL_CLIMATE_NEW"),
+          ("AGE_NEW", "PURCHASE_AMOUNT_USD", "REL_SPEND_AGE_NEW"),
+          ("CLIMATE_GROUP_NEW", "FREQUENCY_VALUE_NEW", "REL_FREQ_CLIMATE_NEW")]
+
+
+def _ratio_sql() -> str:
+    ctes, cols, joins = [], [], []
+    for i, (g, v, out) in enumerate(RATIOS):
+        ctes.append(f"m{i} AS (SELECT {g} AS g, avg({v}) AS mu FROM split WHERE part = 'train' GROUP BY {g})")
+        joins.append(f"LEFT JOIN m{i} ON m{i}.g = s.{g}")
+        gm = f"(SELECT avg({v}) FROM split WHERE part = 'train')"
+        cols.append(f"round(CASE WHEN s.part = 'train' THEN s.{v} / m{i}.mu "
+                    f"ELSE coalesce(s.{v} / m{i}.mu, s.{v} / {gm}) END, 6) AS {out}")
+    body = f"SELECT s.ROW_ID, s.part, {', '.join(cols)} FROM split s {' '.join(joins)}"
+    return with_views(body, *FEAT, *SPLIT, *ctes)
+
+
+@register("group_mean_ratio", _ratio_sql())
+def q_group_mean_ratio(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    for g, v, out in RATIOS:
+        train, test = FE.group_mean_ratio(train, test, g, v, out)
+    outs = [o for _, _, o in RATIOS]
+    return train.unionByName(test).select("ROW_ID", "part", *[r6(c).alias(c) for c in outs])
+
+
+def _transform_sql() -> str:
+    ctes, cols, joins = [], [], []
+    for i, (g, v, out) in enumerate(RATIOS):
+        ctes.append(f"m{i} AS (SELECT {g} AS g, avg({v}) AS mu FROM feat GROUP BY {g})")
+        joins.append(f"LEFT JOIN m{i} ON m{i}.g = f.{g}")
+        cols.append(f"round(f.{v} / m{i}.mu, 6) AS {out}")
+    return with_views(f"SELECT f.ROW_ID, {', '.join(cols)} FROM feat f {' '.join(joins)}", *FEAT, *ctes)
+
+
+@register("group_transform_mean", _transform_sql())
+def q_group_transform_mean(spark, sf_dir):
+    f = feat_frame(spark, sf_dir)
+    for i, (g, v, out) in enumerate(RATIOS):
+        f = FE.group_transform_mean(f, g, v, f"_mean{i}", ratio=out)
+    return f.select("ROW_ID", *[r6(o).alias(o) for _, _, o in RATIOS])
+
+
+@register("lookup_join", with_views(
+    """SELECT s.ROW_ID, s.CATEGORY, round(m.mu, 6) AS CATEGORY_MEAN_SPEND
+       FROM shop s LEFT JOIN (SELECT CATEGORY, avg(PURCHASE_AMOUNT_USD) AS mu FROM shop GROUP BY CATEGORY) m
+       ON m.CATEGORY = s.CATEGORY"""))
+def q_lookup_join(spark, sf_dir):
+    s = shop_frame(spark, sf_dir)
+    means = FE.group_means(s, "CATEGORY", "PURCHASE_AMOUNT_USD", "CATEGORY_MEAN_SPEND")
+    from basketry.operators.lookup import lookup_join
+    return lookup_join(s, means, ["CATEGORY"]).select(
+        "ROW_ID", "CATEGORY", r6("CATEGORY_MEAN_SPEND").alias("CATEGORY_MEAN_SPEND"))
+
+
+@register("drop_leakage", with_views(
+    "SELECT * EXCLUDE (SUB_FREQ_NEW, PROMO_NO_SUB_NEW, SHIP_SUB_NEW) FROM feat", *FEAT))
+def q_drop_leakage(spark, sf_dir):
+    return FE.drop_leakage(feat_frame(spark, sf_dir), mode="prefix")
+
+
+@register("drop_columns", with_views(
+    "SELECT * EXCLUDE (" + ", ".join(c for c in K.MODEL_DROP_COLUMNS if c != "SUBSCRIPTION_STATUS")
+    + ") FROM feat", *FEAT))
+def q_drop_columns(spark, sf_dir):
+    cols = [c for c in K.MODEL_DROP_COLUMNS if c != "SUBSCRIPTION_STATUS"]
+    return FE.drop_columns(feat_frame(spark, sf_dir), cols + ["NOT_A_COLUMN"])
+
+
+SEG_FEATURES = ["FREQUENCY_VALUE_NEW", "SPEND_PER_PURCHASE_NEW", "LOYALTY_SCORE_NEW",
+                "TOTAL_SPEND_WEIGHTED_NEW", "PROMO_X_FREQ"]
+
+
+@register("fill_missing", with_views(
+    "SELECT ROW_ID, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in SEG_FEATURES) + " FROM feat", *FEAT))
+def q_fill_missing(spark, sf_dir):
+    f = feat_frame(spark, sf_dir).select("ROW_ID", *SEG_FEATURES)
+    return FE.fill_missing(f, 0, SEG_FEATURES)
+
+
+@register("fill_missing_mean", with_views(
+    "SELECT s.ROW_ID, s.part, round(coalesce(s.REVIEW_RATING, (SELECT avg(REVIEW_RATING) FROM split "
+    "WHERE part = 'train')), 6) AS REVIEW_RATING FROM split s", *FEAT, *SPLIT))
+def q_fill_missing_mean(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    both = train.unionByName(test).select("ROW_ID", "part", "REVIEW_RATING")
+    out = FE.fill_missing(both, cols=["REVIEW_RATING"], means_from=train)
+    return out.select("ROW_ID", "part", r6("REVIEW_RATING").alias("REVIEW_RATING"))
+
+
+# FIXED VALUES — display labels of the discount / promo axes
+DISCOUNT_LABELS = {"No": "İndirim Yok", "Yes": "İndirim Var"}
+PROMO_LABELS = {"No": "Promo Yok", "Yes": "Promo Var"}
+
+
+@register("relabel", with_views(
+    f"SELECT ROW_ID, {case_map('DISCOUNT_APPLIED', DISCOUNT_LABELS)} AS DISCOUNT_LABEL, "
+    f"{case_map('PROMO_CODE_USED', PROMO_LABELS)} AS PROMO_LABEL FROM shop"))
+def q_relabel(spark, sf_dir):
+    s = shop_frame(spark, sf_dir)
+    s = FE.relabel(s, "DISCOUNT_APPLIED", DISCOUNT_LABELS, "DISCOUNT_LABEL")
+    s = FE.relabel(s, "PROMO_CODE_USED", PROMO_LABELS, "PROMO_LABEL")
+    return s.select("ROW_ID", "DISCOUNT_LABEL", "PROMO_LABEL")
+
+
+ALIGN_TO = ["ROW_ID", "AGE", "REVIEW_RATING", "SEASON_Winter", "PREVIOUS_PURCHASES"]
+
+
+@register("align_schema", with_views(
+    "SELECT ROW_ID, AGE, REVIEW_RATING, 0 AS SEASON_Winter, PREVIOUS_PURCHASES FROM shop"))
+def q_align_schema(spark, sf_dir):
+    return FE.align_schema(shop_frame(spark, sf_dir), ALIGN_TO)
+
+
+@register("filter_eq", with_views(
+    "SELECT ROW_ID, PURCHASE_AMOUNT_USD FROM shop WHERE SUBSCRIPTION_STATUS = 'Yes'"))
+def q_filter_eq(spark, sf_dir):
+    s = shop_frame(spark, sf_dir)
+    return s.where(F.col("SUBSCRIPTION_STATUS") == "Yes").select("ROW_ID", "PURCHASE_AMOUNT_USD")

@@ -9,7 +9,7 @@ from basketry.session import scratch_path
 from basketry.sources.files import (RAW_HEADERS, coerce_numeric, normalize_columns,
                                     raw_header_frame, scan_csv, write_csv)
 from basketry.plans.registry import register
-from basketry.sources.tables import shop_frame
+from basketry.plans.views import shop as shop_frame
 
 SHOP_COLS = ["ROW_ID", "CUSTOMER_ID", "AGE", "GENDER", "ITEM_PURCHASED", "CATEGORY",
              "PURCHASE_AMOUNT_USD", "LOCATION", "SIZE", "COLOR", "SEASON", "REVIEW_RATING",
@@ -28,7 +28,8 @@ def _normalised_select() -> str:
 
 @register("shop_view", with_views(f"SELECT {', '.join(SHOP_COLS)} FROM shop"))
 def q_shop_view(spark, sf_dir):
-    return shop_frame(spark, sf_dir)
+    from basketry.sources.tables import shop_frame as derive_shop
+    return derive_shop(spark, sf_dir)
 
 
 CSV_SCHEMA = ("`Row ID` BIGINT, `Customer ID` BIGINT, `Age` INT, `Gender` STRING, "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basketry.operators import stats as S
 from basketry.plans.fixture_sql import with_views
 from basketry.plans.registry import register
-from basketry.sources.tables import shop_frame
+from basketry.plans.views import shop as shop_frame
 
 
 def r6(c):

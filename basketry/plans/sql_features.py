@@ -87,3 +87,29 @@ def feat_ctes(src: str = "shop") -> list[str]:
   {yes('PROMO_CODE_USED')} * {case_map('FREQUENCY_OF_PURCHASES', K.FREQUENCY_PER_YEAR)} AS PROMO_X_FREQ
 FROM ft CROSS JOIN fq)""",
     ]
+
+
+def split_ctes(src: str = "feat", label: str = "SUBSCRIPTION_STATUS", share: str = "0.2",
+               salt: int = 42) -> list[str]:
+    """``split``: ``src`` plus part = test for the first round(share*n) rows of
+    each label in (md5(id || '-salt'), id) order."""
+    return [
+        f"""sp AS (SELECT *, row_number() OVER (PARTITION BY {label}
+              ORDER BY md5(CAST(ROW_ID AS VARCHAR) || '-{salt}'), ROW_ID) AS _rk,
+              count(*) OVER (PARTITION BY {label}) AS _n FROM {src})""",
+        """split AS (SELECT * EXCLUDE (_rk, _n),
+              CASE WHEN _rk <= round(""" + share + """ * _n) THEN 'test' ELSE 'train' END AS part FROM sp)""",
+    ]
+
+
+def cond_prob_ctes(name: str, group: str, cat: str, src: str, where: str = "TRUE") -> list[str]:
+    """``{name}``: (g, c, prob) smoothed P(cat | group), s = 1, fitted on ``src`` rows matching ``where``."""
+    return [
+        f"""{name}_n AS (SELECT {group} AS g, {cat} AS c, count(*) AS n FROM {src}
+             WHERE {where} AND {group} IS NOT NULL AND {cat} IS NOT NULL GROUP BY 1, 2)""",
+        f"""{name}_g AS (SELECT g, sum(n) AS ng FROM {name}_n GROUP BY g)""",
+        f"""{name}_c AS (SELECT DISTINCT c FROM {name}_n)""",
+        f"""{name} AS (SELECT gg.g, cc.c,
+             CAST(coalesce(nn.n, 0) + 1 AS DOUBLE) / CAST(gg.ng + (SELECT count(*) FROM {name}_c) AS DOUBLE) AS prob
+             FROM {name}_g gg CROSS JOIN {name}_c cc LEFT JOIN {name}_n nn ON nn.g = gg.g AND nn.c = cc.c)""",
+    ]
