@@ -1,12 +1,54 @@
-"""Exploratory statistics as aggregations (partial + final, no UDF)."""
+"""Exploratory statistics as aggregations (partial + final, no UDF).
+
+Multi-column statistics are one pass: columns are folded into (column, value)
+pairs with ``explode(array(struct ...))`` and aggregated together, instead of
+one job per column. Per-group inputs to later steps (marginals, bandwidths,
+quantiles) are small by construction and checked before being shipped.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.operators.lookup import bounded_rows, checked_broadcast
+from basketry.operators.quantiles import quantiles
+
+SQRT_2PI = math.sqrt(2.0 * math.pi)
+
+
+def _pairs(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Long (keep..., feature, value) rows for non-null values of ``cols``."""
+    return (df.select(*keep, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols
+    ])).alias("_p")).select(*keep, "_p.feature", "_p.value").where(F.col("value").isNotNull()))
+
+
+# --------------------------------------------------------------------------- summaries
+def kpi_summary(df: DataFrame, flavor: str = "a") -> DataFrame:
+    yes = F.coalesce(F.col("SUBSCRIPTION_STATUS") == "Yes", F.lit(False)).cast("double")
+    aggs = [F.count(F.lit(1)).alias("n_customers"), F.avg("AGE").alias("mean_age"),
+            (F.avg(yes) * 100).alias("subscribed_pct")]
+    if flavor == "a":
+        aggs += [F.avg("TOTAL_SPEND_WEIGHTED_NEW").alias("mean_weighted_spend"),
+                 F.avg("PREVIOUS_PURCHASES").alias("mean_previous_purchases"),
+                 F.avg("REVIEW_RATING").alias("mean_rating")]
+    else:
+        aggs += [F.avg("PURCHASE_AMOUNT_USD").alias("mean_amount"),
+                 F.sum("PURCHASE_AMOUNT_USD").alias("total_amount")]
+    return df.agg(*aggs)
+
+
+def value_distribution(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, value, n, pct) with pct of the column's non-null rows."""
+    counts = _pairs(df, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("_tot"))
+    return (counts.join(F.broadcast(totals), "feature")  # one row per column: bounded
+            .select("feature", "value", "n", (F.col("n") * 100.0 / F.col("_tot")).alias("pct")))
+
 
 def rate_by_group(df: DataFrame, group: str = "CATEGORY", label: str = "SUBSCRIPTION_STATUS",
                   positive: str = "Yes", out: str = "rate_pct") -> DataFrame:
@@ -17,5 +59,225 @@ def rate_by_group(df: DataFrame, group: str = "CATEGORY", label: str = "SUBSCRIP
             .agg((F.avg(hit) * 100).alias(out)).orderBy(out, group))
 
 
+def crosstab_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Long contingency counts over rows where both keys are present."""
+    return (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+            .groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _values(df: DataFrame, col: str, bound: int = 1000) -> list:
+    rows = bounded_rows(df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col), bound)
+    if rows is None:
+        raise ValueError(f"more than {bound} values in {col}")
+    return [r[col] for r in rows]
+
+
+def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence | None = None) -> DataFrame:
+    """Wide contingency table: one column per value of ``b``; absent pairs 0."""
+    values = list(values) if values is not None else _values(df, b)
+    return (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+            .groupBy(a).pivot(b, values).count().na.fill(0, [str(v) for v in values]))
+
+
+def crosstab_row_pct(df: DataFrame, a: str, b: str, values: Sequence | None = None) -> DataFrame:
+    """Row-normalised wide table x 100."""
+    values = list(values) if values is not None else _values(df, b)
+    wide = crosstab_wide(df, a, b, values)
+    tot = sum((F.col(str(v)) for v in values[1:]), F.col(str(values[0])))
+    return wide.select(a, *[(F.col(str(v)) * 100.0 / tot).alias(str(v)) for v in values])
+
+
+def cramers_v(df: DataFrame, a: str, b: str, yates: bool = True, guard: bool = True) -> DataFrame:
+    """One row (v, chi2, n, r, k): sqrt(chi2 / (n (min(r,k) - 1))), chi2 with
+    the Yates continuity correction for 2x2 tables; 0.0 when r < 2 or k < 2."""
+    ct = crosstab_counts(df, a, b)
+    bvals = _values(ct, b, 10_000)
+    rows = ct.groupBy(a).agg(F.sum("n").alias("rn"))
+    cols = ct.groupBy(b).agg(F.sum("n").alias("cn"))
+    n = F.sum("rn").over(Window.partitionBy())  # tiny frame (one row per a value)
+    grid = (rows.withColumn("_n", n)
+            .select(a, "rn", "_n", F.explode(F.array(*[F.lit(v) for v in bvals])).alias(b)))
+    cells = (grid.join(checked_broadcast(cols), b).join(ct, [a, b], "left")
+             .select(F.coalesce("n", F.lit(0)).cast("double").alias("o"),
+                     (F.col("rn").cast("double") * F.col("cn") / F.col("_n")).alias("e"),
+                     F.col("_n").alias("total"), F.col(a).alias("_a"), F.col(b).alias("_b")))
+    d = F.abs(F.col("o") - F.col("e"))
+    stats = cells.agg(F.count_distinct("_a").alias("r"), F.count_distinct("_b").alias("k"),
+                      F.max("total").alias("n"),
+                      F.sum(F.pow(d, 2) / F.col("e")).alias("chi2_plain"),
+                      F.sum(F.pow(d - F.least(F.lit(0.5), d), 2) / F.col("e")).alias("chi2_yates"))
+    two = (F.col("r") == 2) & (F.col("k") == 2)
+    chi2 = F.when(two & F.lit(yates), F.col("chi2_yates")).otherwise(F.col("chi2_plain"))
+    v = F.sqrt(chi2 / (F.col("n") * (F.least("r", "k") - 1)))
+    if guard:
+        v = F.when((F.col("r") < 2) | (F.col("k") < 2), F.lit(0.0)).otherwise(v)
+    return stats.select(v.alias("v"), chi2.alias("chi2"), "n", "r", "k")
+
+
 def cramers_v_value(df: DataFrame, a: str, b: str, yates: bool = True):
-    raise NotImplementedError
+    row = cramers_v(df, a, b, yates).first()
+    return None if row is None else row["v"]
+
+
+def drop_if_associated(df: DataFrame, a: str = "DISCOUNT_APPLIED", b: str = "PROMO_CODE_USED",
+                       drop: str = "DISCOUNT_APPLIED", limit: float = 0.8):
+    """(frame without ``drop`` when V(a, b) > limit, V)."""
+    v = cramers_v_value(df, a, b)
+    return (df.drop(drop) if v is not None and v > limit else df), v
+
+
+# --------------------------------------------------------------------------- correlation
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long (col_a, col_b, corr) for all ordered pairs: Pearson over rows where
+    both are present; null when either side is constant there.
+
+    Two aggregates of plain sums. Pass 1 gives each column's mean and null
+    count; pass 2 sums mean-shifted values (x - mean), which keeps the raw
+    moment formula as accurate as a streaming covariance, and lets null-free
+    columns share their sums across every pair. Expressions are handed to the
+    JVM as SQL text (hundreds of them; one parse instead of thousands of calls)."""
+    cols = list(cols)
+    q = {c: f"CAST(`{c}` AS DOUBLE)" for c in cols}
+    first = df.selectExpr(
+        "count(1) AS _n", *[f"avg({q[c]}) AS m{i}" for i, c in enumerate(cols)],
+        *[f"count({q[c]}) AS k{i}" for i, c in enumerate(cols)]).first()
+    total = first["_n"]
+    full = {c: first[f"k{i}"] == total for i, c in enumerate(cols)}
+    xs = {c: f"({q[c]} - CAST({float(first[f'm{i}'] or 0.0)!r} AS DOUBLE))" for i, c in enumerate(cols)}
+    aggs, plan = [], {}
+
+    def add(expr):
+        name = f"s{len(aggs)}"
+        aggs.append(f"{expr} AS {name}")
+        return name
+
+    single = {c: (add(f"sum({xs[c]})"), add(f"sum({xs[c]} * {xs[c]})")) for c in cols if full[c]}
+    for i, x in enumerate(cols):
+        for j in range(i, len(cols)):
+            y = cols[j]
+            if full[x] and full[y]:
+                plan[(i, j)] = ("_n", *single[x], *single[y], add(f"sum({xs[x]} * {xs[y]})"))
+            else:
+                both = f"({q[x]} IS NOT NULL AND {q[y]} IS NOT NULL)"
+                mx, my = f"IF({both}, {xs[x]}, NULL)", f"IF({both}, {xs[y]}, NULL)"
+                plan[(i, j)] = (add(f"count_if({both})"), add(f"sum({mx})"), add(f"sum({mx} * {mx})"),
+                                add(f"sum({my})"), add(f"sum({my} * {my})"), add(f"sum({mx} * {my})"))
+    wide = df.selectExpr("count(1) AS _n", *aggs)
+    pairs = []
+    for i, x in enumerate(cols):
+        for j, y in enumerate(cols):
+            a, b = (i, j) if i <= j else (j, i)
+            n, sx, sxx, sy, syy, sxy = [f"CAST({c} AS DOUBLE)" for c in plan[(a, b)]]
+            vx, vy = f"({sxx} - {sx} * {sx} / {n})", f"({syy} - {sy} * {sy} / {n})"
+            cov = f"({sxy} - {sx} * {sy} / {n})"
+            r = f"IF({n} > 0 AND {vx} > 0 AND {vy} > 0, {cov} / sqrt({vx} * {vy}), NULL)"
+            pairs.append(f"named_struct('col_a', '{x}', 'col_b', '{y}', 'corr', {r})")
+    return wide.selectExpr(f"explode(array({', '.join(pairs)})) AS p").select("p.*")
+
+
+# --------------------------------------------------------------------------- distributions
+def _group_params(df: DataFrame, value: str, group: str, points: int, cut: float,
+                  bound: int = 1000) -> DataFrame:
+    """Per group: n, bandwidth h = sd(ddof 1) * n^(-1/5) (Scott), grid start, step."""
+    st = (df.where(F.col(value).isNotNull())
+          .groupBy(group).agg(F.count(F.lit(1)).alias("n"),
+                              F.stddev_samp(F.col(value).cast("double")).alias("sd"),
+                              F.min(F.col(value).cast("double")).alias("mn"),
+                              F.max(F.col(value).cast("double")).alias("mx")))
+    h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    lo = F.col("mn") - F.lit(cut) * h
+    hi = F.col("mx") + F.lit(cut) * h
+    params = st.select(group, "n", h.alias("h"), lo.alias("lo"),
+                       ((hi - lo) / F.lit(points - 1)).alias("step"))
+    return checked_broadcast(params.where(F.col("h") > 0), bound)
+
+
+def kde(df: DataFrame, value: str, group: str, points: int = 200, cut: float = 3.0,
+        reach: float = 9.0) -> DataFrame:
+    """Gaussian KDE per group on a ``points`` grid spanning [min - cut h, max + cut h].
+
+    Values are first counted per (group, value) — a partial aggregate — and
+    each distinct value adds to the grid points within ``reach`` bandwidths
+    (the kernel beyond is < 1e-17 of its peak), so the work is bounded by
+    distinct values x grid points and no pair of rows is ever formed."""
+    params = _group_params(df, value, group, points, cut)
+    counted = (df.where(F.col(value).isNotNull())
+               .groupBy(group, F.col(value).cast("double").alias("_v"))
+               .agg(F.count(F.lit(1)).alias("_c")))
+    j = counted.join(params, group)
+    v, h, lo, step = F.col("_v"), F.col("h"), F.col("lo"), F.col("step")
+    i_from = F.greatest(F.lit(0), F.ceil((v - F.lit(reach) * h - lo) / step).cast("int"))
+    i_to = F.least(F.lit(points - 1), F.floor((v + F.lit(reach) * h - lo) / step).cast("int"))
+    contrib = (j.where(i_from <= i_to)
+               .select(group, "_v", "_c", "h", "lo", "step",
+                       F.explode(F.sequence(i_from, i_to)).alias("i"))
+               .withColumn("x", F.col("lo") + F.col("i") * F.col("step"))
+               .withColumn("w", F.col("_c") * F.exp(-0.5 * F.pow((F.col("x") - F.col("_v")) / F.col("h"), 2)))
+               .groupBy(group, "i").agg(F.sum("w").alias("_s")))
+    grid = params.select(group, "n", "h", "lo", "step",
+                         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    return (grid.join(contrib, [group, "i"], "left")
+            .select(group, "i", (F.col("lo") + F.col("i") * F.col("step")).alias("x"),
+                    (F.coalesce(F.col("_s"), F.lit(0.0))
+                     / (F.col("n") * F.col("h") * F.lit(SQRT_2PI))).alias("density"),
+                    "step"))
+
+
+def box_stats(df: DataFrame, value: str, group: str, whisker: float = 1.5) -> DataFrame:
+    """Per group: q1, median, q3 (linear), whiskers at the most extreme values
+    within whisker * IQR of the box, number of points beyond."""
+    qs = quantiles(df, value, [0.25, 0.5, 0.75], by=[group])
+    spark = df.sparkSession
+    q = spark.createDataFrame([(k[0], *v) for k, v in qs.items()],
+                              f"`{group}` {dict(df.dtypes)[group]}, q1 double, median double, q3 double")
+    x = F.col(value).cast("double")
+    iqr = F.col("q3") - F.col("q1")
+    lo = F.col("q1") - F.lit(whisker) * iqr
+    hi = F.col("q3") + F.lit(whisker) * iqr
+    j = df.where(F.col(value).isNotNull()).join(F.broadcast(q), group)  # one row per group
+    return j.groupBy(group, "q1", "median", "q3").agg(
+        F.min(F.when(x >= lo, x)).alias("whisker_low"),
+        F.max(F.when(x <= hi, x)).alias("whisker_high"),
+        F.count_if((x < lo) | (x > hi)).alias("n_outliers"))
+
+
+def quantile_table(df: DataFrame, col: str, probs: Sequence[float], approx: bool = False) -> DataFrame:
+    """One row: q_<pct> per probability (exact by default)."""
+    vals = quantiles(df, col, probs, approx=approx).get((), [None] * len(probs))
+    names = [f"q{int(round(p * 100))}" for p in probs]
+    return df.sparkSession.createDataFrame([tuple(vals)], ", ".join(f"{n} double" for n in names))
+
+
+# --------------------------------------------------------------------------- modes, distinct
+def group_mode(df: DataFrame, group: Sequence[str] | str, cols: Sequence[str],
+               default: str = "Unknown") -> DataFrame:
+    """Most frequent non-null value per group and column, smallest on ties;
+    ``default`` when a group has none. Two partial aggregates — (group, column,
+    value) counts, then a min over (-count, value) — so no group's values are
+    ever gathered in one buffer."""
+    group = [group] if isinstance(group, str) else list(group)
+    counts = _pairs(df, cols, group).groupBy(*group, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy(*group, "feature").agg(F.min(F.struct((-F.col("n")).alias("nn"), "value")).alias("b"))
+    wide = best.groupBy(*group).pivot("feature", list(cols)).agg(F.first("b.value"))
+    keys = df.select(*group).distinct()
+    out = keys.join(wide, group, "left") if group else wide
+    return out.select(*group, *[F.coalesce(F.col(c), F.lit(default)).alias(c) for c in cols])
+
+
+def distinct_count(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+    """(feature, n_distinct) over non-null values; one pass for all columns."""
+    p = _pairs(df, cols)
+    agg = F.approx_count_distinct("value") if approx else F.count_distinct("value")
+    return p.groupBy("feature").agg(agg.alias("n_distinct"))
+
+
+def top_counts(df: DataFrame, col: str, k: int = 10) -> DataFrame:
+    return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("n"), F.asc(col)).limit(k))
+
+
+def group_sizes(df: DataFrame, group: str = "Cluster") -> DataFrame:
+    """Rows per group and % of all rows (2 decimals), by group."""
+    c = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    tot = F.sum("n").over(Window.partitionBy())  # over the per-group frame, not rows
+    return c.select(group, "n", F.round(F.col("n") * 100.0 / tot, 2).alias("pct")).orderBy(group)

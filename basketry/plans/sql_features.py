@@ -113,3 +113,11 @@ def cond_prob_ctes(name: str, group: str, cat: str, src: str, where: str = "TRUE
              CAST(coalesce(nn.n, 0) + 1 AS DOUBLE) / CAST(gg.ng + (SELECT count(*) FROM {name}_c) AS DOUBLE) AS prob
              FROM {name}_g gg CROSS JOIN {name}_c cc LEFT JOIN {name}_n nn ON nn.g = gg.g AND nn.c = cc.c)""",
     ]
+
+
+def segf_cte() -> str:
+    """``segf``: feat plus the fixed segment id (the seg view over features)."""
+    return """segf AS (
+SELECT *, CAST(CASE WHEN PREVIOUS_PURCHASES >= 14 AND PURCHASE_AMOUNT_USD >= 250000 THEN 3
+  WHEN PROMO_CODE_USED = 'Yes' THEN 0 WHEN PURCHASE_AMOUNT_USD >= 350000 THEN 2
+  WHEN PREVIOUS_PURCHASES >= 8 THEN 4 ELSE 1 END AS INT) AS Cluster FROM feat)"""
