@@ -1 +1,90 @@
-"""Registered queries."""
+"""Registered queries: encoders and weights (E1-E4, E6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from basketry.functions import constants as K
+from basketry.operators import encode as E
+from basketry.plans import views
+from basketry.plans.fixture_sql import with_views
+from basketry.plans.registry import register
+from basketry.plans.sql_features import feat_ctes, split_ctes
+
+FEAT = feat_ctes()
+SPLIT = split_ctes()
+KEYS = ["ROW_ID", "part"]
+ONEHOT_COLS = ["GENDER", "CATEGORY", "PAYMENT_TYPE_NEW", "AGE_NEW", "PURCHASE_AMOUNT_USD_NEW",
+               "LOYALTY_LEVEL_NEW", "SUB_FREQ_NEW", "SHIP_SUB_NEW", "SEASON_CATEGORY_NEW", "SEASON_COLOR_NEW",
+               "ITEM_CATEGORY_NEW", "LOCATION_GROUPED_NEW", "CLIMATE_GROUP_NEW"]
+
+
+def _onehot_sql():
+    parts = [f"SELECT ROW_ID, part, '{c}_' || {c} AS onehot FROM split WHERE {c} IN "
+             f"(SELECT {c} FROM split WHERE part = 'train' AND {c} IS NOT NULL)" for c in ONEHOT_COLS]
+    return with_views(" UNION ALL ".join(parts), *FEAT, *SPLIT)
+
+
+@register("one_hot_aligned", _onehot_sql())
+def q_one_hot_aligned(spark, sf_dir):
+    f = views.feat_split(spark, sf_dir)
+    train, test = f.where(F.col("part") == "train"), f.where(F.col("part") == "test")
+    tr, te, vocab = E.encode_train_test(train, test, K.MODEL_DROP_COLUMNS, keep=KEYS)
+    names = [f"{c}_{v}" for c, vals in vocab.items() for v in vals]
+    return E.indicators_long(tr.unionByName(te), names, KEYS)
+
+
+B_DROP = [c for c in K.MODEL_DROP_COLUMNS if c != "SUBSCRIPTION_STATUS"]
+BINARY_COLS = ["GENDER", "SUBSCRIPTION_STATUS"]
+
+
+@register("label_encode", with_views(
+    "SELECT ROW_ID, " + ", ".join(
+        f"CASE WHEN {c} = (SELECT min({c}) FROM shop) THEN 0 WHEN {c} IS NOT NULL THEN 1 END AS {c}"
+        for c in ["GENDER", "SUBSCRIPTION_STATUS", "DISCOUNT_APPLIED", "PROMO_CODE_USED"]) + " FROM shop"))
+def q_label_encode(spark, sf_dir):
+    cols = ["GENDER", "SUBSCRIPTION_STATUS", "DISCOUNT_APPLIED", "PROMO_CODE_USED"]
+    return E.label_encode(views.shop(spark, sf_dir).select("ROW_ID", *cols), cols)
+
+
+def _onehot_full_sql():
+    multi = [c for c in ONEHOT_COLS if c not in BINARY_COLS]
+    parts = [f"SELECT ROW_ID, '{c}_' || {c} AS onehot FROM feat WHERE {c} IS NOT NULL" for c in multi]
+    return with_views(" UNION ALL ".join(parts), *FEAT)
+
+
+@register("one_hot_full", _onehot_full_sql())
+def q_one_hot_full(spark, sf_dir):
+    f = views.feat(spark, sf_dir).drop(*B_DROP)
+    cats = E.categorical_columns(f)
+    binary, multi = E.split_by_cardinality(f, cats)
+    enc = E.one_hot_full(f, cats)
+    vocab_names = [c for c in enc.columns if c not in f.columns]
+    return E.indicators_long(enc, vocab_names, ["ROW_ID"])
+
+
+STD_COLS = ["AGE", "PURCHASE_AMOUNT_USD", "PREVIOUS_PURCHASES", "REVIEW_RATING"]
+
+
+@register("standardize", with_views(
+    "SELECT s.ROW_ID, s.part, " + ", ".join(
+        f"round((CAST(s.{c} AS DOUBLE) - m.m_{c}) / CASE WHEN m.s_{c} IS NULL OR m.s_{c} = 0 THEN 1 ELSE m.s_{c} END, 6)"
+        f" AS {c}" for c in STD_COLS) + " FROM split s CROSS JOIN (SELECT " + ", ".join(
+        f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in STD_COLS)
+    + " FROM split WHERE part = 'train') m", *FEAT, *SPLIT))
+def q_standardize(spark, sf_dir):
+    f = views.feat_split(spark, sf_dir).select("ROW_ID", "part", *STD_COLS)
+    train = f.where(F.col("part") == "train")
+    scaler = E.fit_standardizer(train, STD_COLS)
+    out = E.standardize_apply(f, scaler)
+    return out.select("ROW_ID", "part", *[F.round(c, 6).alias(c) for c in STD_COLS])
+
+
+@register("class_weights", with_views("""
+SELECT SUBSCRIPTION_STATUS, count(*) AS n,
+  round(CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)), 6) AS weight
+FROM split WHERE part = 'train' GROUP BY SUBSCRIPTION_STATUS""", *FEAT, *SPLIT))
+def q_class_weights(spark, sf_dir):
+    train = views.feat_split(spark, sf_dir).where(F.col("part") == "train")
+    res = E.class_weights(train, "SUBSCRIPTION_STATUS")
+    return res.select("SUBSCRIPTION_STATUS", "n", F.round("weight", 6).alias("weight"))
