@@ -1 +1,211 @@
-"""Registered queries."""
+"""Registered queries: segmentation and classifier fits (M1-M5, M18-M28, E7,
+F4, T3) — rows-only checks, plus the nearest-centroid step (M2) with an oracle.
+
+Fits use ``TrainConfig.quick()`` sizes so the whole catalogue stays fast at
+test scale; the library defaults keep the workload's sizes.
+"""
+
+from __future__ import annotations
+
+import threading
+
+from pyspark.sql import functions as F
+
+from basketry.operators import encode as E
+from basketry.operators import models as MD
+from basketry.operators import segments as SG
+from basketry.plans import views
+from basketry.plans.fixture_sql import with_views
+from basketry.plans.registry import register
+from basketry.plans.sql_features import feat_ctes, segf_cte
+
+_MEMO: dict = {}
+_LOCK = threading.RLock()
+B_SEGMENT_FEATURES = ["FREQUENCY_VALUE_NEW", "SPEND_PER_PURCHASE_NEW", "LOYALTY_SCORE_NEW"]
+
+
+def _memo(spark, sf_dir, name, build):
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    with _LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = build()
+        return _MEMO[key]
+
+
+def trained(spark, sf_dir):
+    return _memo(spark, sf_dir, "trained",
+                 lambda: MD.train_pipeline(views.feat_split(spark, sf_dir), MD.TrainConfig.quick()))
+
+
+def segmented(spark, sf_dir):
+    return _memo(spark, sf_dir, "kmeans", lambda: SG.kmeans_segments(views.feat(spark, sf_dir), k=5, restarts=10))
+
+
+def encoded(spark, sf_dir):
+    """(train model frame, test model frame, feature names): fitted features,
+    aligned one-hot, leakage dropped; no selection, no scaling."""
+    def build():
+        t = trained(spark, sf_dir)
+        f = views.feat_split(spark, sf_dir)
+        out = []
+        for part in ("train", "test"):
+            x = MD._fitted_features(f.where(F.col("part") == part).drop("part"), t.cond_probs, t.prob_means,
+                                    t.ratio_means)
+            x = MD.add_label_weight(x)
+            x = E.one_hot_apply(x.drop(*[c for c in MD.K.MODEL_DROP_COLUMNS if c in x.columns]), t.vocab)
+            have = set(x.columns)
+            x = x.select("ROW_ID", MD.LABEL, MD.WEIGHT,
+                         *[F.col(c) if c in have else F.lit(0).alias(c) for c in t.encoded_columns])
+            out.append(MD.model_frame(x, t.encoded_columns).checkpoint(eager=True))
+        return out[0], out[1], t.encoded_columns
+    return _memo(spark, sf_dir, "encoded", build)
+
+
+@register("kmeans_segments")
+def q_kmeans_segments(spark, sf_dir):
+    return segmented(spark, sf_dir)[1]
+
+
+@register("elbow_k")
+def q_elbow_k(spark, sf_dir):
+    curve = SG.elbow_inertias(views.feat(spark, sf_dir), B_SEGMENT_FEATURES, range(2, 11), restarts=3)
+    return SG.elbow_k(spark.createDataFrame(curve, "k int, inertia double"))
+
+
+@register("silhouette")
+def q_silhouette(spark, sf_dir):
+    model, clusters, scaler = segmented(spark, sf_dir)
+    vec, _ = SG.segmentation_matrix(views.feat(spark, sf_dir), scaler=scaler)
+    value = SG.silhouette(model.transform(vec))
+    return spark.createDataFrame([(value, "squaredEuclidean")], "silhouette double, distance string")
+
+
+@register("pca_project")
+def q_pca_project(spark, sf_dir):
+    _, _, scaler = segmented(spark, sf_dir)
+    vec, _ = SG.segmentation_matrix(views.feat(spark, sf_dir), scaler=scaler)
+    proj, _ = SG.pca_project(vec, 2)
+    return proj
+
+
+@register("pca_explained_variance")
+def q_pca_explained_variance(spark, sf_dir):
+    _, _, scaler = segmented(spark, sf_dir)
+    vec, _ = SG.segmentation_matrix(views.feat(spark, sf_dir), scaler=scaler)
+    _, ev = SG.pca_project(vec, 3)
+    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(ev)], "component int, ratio double")
+
+
+FEATS = SG.SEGMENT_FEATURES
+
+
+def _nearest_sql():
+    z = ", ".join(f"(coalesce(CAST({c} AS DOUBLE), 0) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS z_{c}"
+                  for c in FEATS)
+    mom = ", ".join(f"avg(coalesce(CAST({c} AS DOUBLE), 0)) AS m_{c}, stddev_pop(coalesce(CAST({c} AS DOUBLE), 0)) AS s_{c}"
+                    for c in FEATS)
+    cen = ", ".join(f"avg(z_{c}) AS c_{c}" for c in FEATS)
+    dist = " + ".join(f"power(z.z_{c} - c.c_{c}, 2)" for c in FEATS)
+    return with_views(f"""
+SELECT ROW_ID, CAST(Cluster AS INT) AS nearest FROM (
+  SELECT z.ROW_ID, c.Cluster, row_number() OVER (PARTITION BY z.ROW_ID ORDER BY {dist}, c.Cluster) AS rn
+  FROM zz z CROSS JOIN cen c) WHERE rn = 1""", *feat_ctes(), segf_cte(),
+        f"mo AS (SELECT {mom} FROM segf)",
+        f"zz AS (SELECT ROW_ID, Cluster, {z} FROM segf CROSS JOIN mo)",
+        f"cen AS (SELECT Cluster, {cen} FROM zz GROUP BY Cluster)")
+
+
+@register("assign_nearest", _nearest_sql())
+def q_assign_nearest(spark, sf_dir):
+    """Rows assigned to the nearest of the fixed segments' centroids (in the
+    z-scored behaviour space)."""
+    seg = views.seg(spark, sf_dir)
+    vec, scaler = SG.segmentation_matrix(seg, FEATS, keep=("ROW_ID", "Cluster"))
+    cents = vec.groupBy("Cluster").agg(*[F.avg(c).alias(c) for c in FEATS]).orderBy("Cluster").collect()
+    ids = [r["Cluster"] for r in cents]
+    out = SG.assign_nearest(vec, [[r[c] for c in FEATS] for r in cents], FEATS, "_idx")
+    idmap = F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("_idx") + 1)
+    return out.select("ROW_ID", idmap.cast("int").alias("nearest"))
+
+
+def _fit_and_score(spark, sf_dir, est):
+    tr, te, _ = encoded(spark, sf_dir)
+    model = est.fit(tr)
+    return model, MD.probability(model.transform(te)).select("ROW_ID", F.col(MD.LABEL).cast("int").alias("y"), "p")
+
+
+@register("logistic_model")
+def q_logistic_model(spark, sf_dir):
+    tr, _, _ = encoded(spark, sf_dir)
+    return _fit_and_score(spark, sf_dir, MD.logistic_model(tr.count(), 1.0, 100))[1]
+
+
+@register("random_forest_model")
+def q_random_forest_model(spark, sf_dir):
+    return _fit_and_score(spark, sf_dir, MD.random_forest_model(20, 8))[1]
+
+
+@register("gbt_model")
+def q_gbt_model(spark, sf_dir):
+    return _fit_and_score(spark, sf_dir, MD.gbt_model(20, 5, 0.1))[1]
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    return trained(spark, sf_dir).cv
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    return trained(spark, sf_dir).grid
+
+
+@register("select_features")
+def q_select_features(spark, sf_dir):
+    t = trained(spark, sf_dir)
+    return t.importances.where(F.col("feature").isin(t.selected))
+
+
+@register("keep_important")
+def q_keep_important(spark, sf_dir):
+    return trained(spark, sf_dir).importances.where(F.col("importance") >= 0.01)
+
+
+@register("topk_features")
+def q_topk_features(spark, sf_dir):
+    return trained(spark, sf_dir).importances.orderBy(F.desc("importance"), "feature").limit(20)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    model, _ = _fit_and_score(spark, sf_dir, MD.random_forest_model(20, 8))
+    _, _, names = encoded(spark, sf_dir)
+    return MD.feature_importance(model, names, 20, spark)
+
+
+@register("coefficients")
+def q_coefficients(spark, sf_dir):
+    tr, _, names = encoded(spark, sf_dir)
+    model, _ = _fit_and_score(spark, sf_dir, MD.logistic_model(tr.count(), 1.0, 100))
+    return MD.coefficients(model, names, 20, spark)
+
+
+@register("train_pipeline")
+def q_train_pipeline(spark, sf_dir):
+    t = trained(spark, sf_dir)
+    from basketry.operators import metrics as M
+    rep = M.compare_models(t.scored_test, t.cfg.min_recall)
+    return rep.select("model", "threshold", "accuracy", "precision", "recall", "f1", "auc",
+                      F.lit(len(t.selected)).alias("n_features"))
+
+
+@register("score_customers")
+def q_score_customers(spark, sf_dir):
+    """Candidates = the held-out customers, scored through the fitted pipeline."""
+    t = trained(spark, sf_dir)
+    cands = views.feat_split(spark, sf_dir).where(F.col("part") == "test").drop("part")
+    scored = MD.score_customers(t, cands)
+    model, clusters, scaler = segmented(spark, sf_dir)
+    vec, _ = SG.segmentation_matrix(cands, scaler=scaler)
+    seg = SG.assign_nearest(vec, SG.centroids_table(model), SG.SEGMENT_FEATURES, "segment")
+    return scored.join(seg.select("ROW_ID", "segment"), "ROW_ID")
