@@ -209,3 +209,17 @@ def q_score_customers(spark, sf_dir):
     vec, _ = SG.segmentation_matrix(cands, scaler=scaler)
     seg = SG.assign_nearest(vec, SG.centroids_table(model), SG.SEGMENT_FEATURES, "segment")
     return scored.join(seg.select("ROW_ID", "segment"), "ROW_ID")
+
+
+@register("score_stream")
+def q_score_stream(spark, sf_dir):
+    """Held-out customers arrive as parquet files; a Structured Streaming job
+    scores them with the fitted pipeline into a parquet sink."""
+    from basketry.session import scratch_path
+    from basketry.streaming.scoring import run_score_stream
+    t = trained(spark, sf_dir)
+    cands = views.feat_split(spark, sf_dir).where(F.col("part") == "test").drop("part")
+    src = scratch_path(spark, "candidates")
+    cands.write.parquet(src)
+    sink = run_score_stream(spark, t, src, cands.schema)
+    return spark.read.parquet(sink)
