@@ -69,8 +69,8 @@ def one_hot_apply(df: DataFrame, vocab: dict, sep: str = "_") -> DataFrame:
 def indicators_long(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(keep..., onehot) for every indicator column equal to 1 (sparse view)."""
     items = ", ".join(f"named_struct('k', {sql_str(n)}, 'v', {sql_ident(n)})" for n in names)
-    return (df.selectExpr(*[sql_ident(k) for k in keep], f"explode(array({items})) AS _i")
-            .where(F.col("_i.v") == 1).select(*keep, F.col("_i.k").alias("onehot")))
+    hot = f"explode(transform(filter(array({items}), s -> s.v = 1), s -> s.k)) AS onehot"
+    return df.selectExpr(*[sql_ident(k) for k in keep], hot)
 
 
 def encode_train_test(train: DataFrame, test: DataFrame | None, drop_cols: Sequence[str],

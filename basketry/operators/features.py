@@ -17,7 +17,7 @@ from pyspark.sql.types import NumericType, StringType
 from basketry.functions import constants as K
 from basketry.functions.exprs import (climate_group, concat_text, cut, lookup, target_code,
                                       yes_flag)
-from basketry.operators.lookup import bounded_rows, lookup_join
+from basketry.operators.lookup import bounded_rows, checked_broadcast, lookup_join
 from basketry.operators.quantiles import quantiles
 
 AMOUNT = "PURCHASE_AMOUNT_USD"
@@ -249,7 +249,7 @@ def conditional_prob_features(train: DataFrame, test: DataFrame | None = None,
     outs = []
     for c in cats:
         name = f"P_{c}_given_CLIMATE_NEW"
-        probs = fit_conditional_probs(train, group, c, smoothing)
+        probs = checked_broadcast(fit_conditional_probs(train, group, c, smoothing))  # fitted once
         train = map_conditional_probs(train, probs, group, c, name)
         if test is not None:
             test = map_conditional_probs(test, probs, group, c, name)
@@ -274,12 +274,12 @@ def group_mean_ratio(train: DataFrame, test: DataFrame | None, group: str, value
     """ratio = value / mean(value | group) with means fitted on ``train``.
     Test rows of unseen (or null) groups: value / global train mean, or the
     mean train ratio when ``fallback`` is not ``global_mean``."""
-    means = group_means(train, group, value, "_gm")
+    means = checked_broadcast(group_means(train, group, value, "_gm"))  # fitted once, reused
     v = F.col(value).cast("double")
-    train_out = lookup_join(train, means, [group]).withColumn(out, F.try_divide(v, F.col("_gm"))).drop("_gm")
+    train_out = train.join(means, [group], "left").withColumn(out, F.try_divide(v, F.col("_gm"))).drop("_gm")
     if test is None:
         return train_out, None
-    test_out = lookup_join(test, means, [group]).withColumn(out, F.try_divide(v, F.col("_gm"))).drop("_gm")
+    test_out = test.join(means, [group], "left").withColumn(out, F.try_divide(v, F.col("_gm"))).drop("_gm")
     if fallback == "global_mean":
         gm = train.agg(F.avg(v)).first()[0]
         fill = v / F.lit(gm)

@@ -30,7 +30,16 @@ def checked_broadcast(small: DataFrame, bound: int = LOOKUP_BOUND) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, small.schema))
 
 
+def _is_local(df: DataFrame) -> bool:
+    """True when ``df`` is already a driver-side table (the output of
+    ``checked_broadcast``), possibly under projections."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return (("LogicalRDD" in plan or "LocalRelation" in plan)
+            and not any(t in plan for t in ("parquet", "Aggregate", "Join", "Window")))
+
+
 def lookup_join(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
                 bound: int = LOOKUP_BOUND) -> DataFrame:
     """Equi lookup of ``small`` on ``keys`` (null keys never match)."""
-    return df.join(checked_broadcast(small, bound), list(keys), how)
+    side = small if _is_local(small) else checked_broadcast(small, bound)
+    return df.join(side, list(keys), how)
