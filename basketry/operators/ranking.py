@@ -1,4 +1,14 @@
-"""Row positions inside groups."""
+"""Row positions inside groups, safe against a few very large groups.
+
+``row_number() over (partition by g order by o)`` sends every row of a group
+to one task; if one group holds a third of the table, so does one task. Here a
+group with more than ``hot_rows`` rows is split into sub-ranges of its first
+order column (split points from ``percentile_approx``, a mergeable sketch, so
+the hot group itself is never gathered). Rows are ranked inside (group,
+sub-range) and shifted by the sizes of the earlier sub-ranges of the group.
+Sub-ranges are ordered by the first order column and rows with equal values
+share a sub-range, so the result equals the plain window exactly.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +17,46 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 5_000_000     # rows one window task may sort comfortably
+MAX_HOT_GROUPS = 10_000  # hot groups are at most n / hot_rows; checked
+
 
 def row_number_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                        out: str) -> DataFrame:
+                        out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """1-based position of each row inside its group under a total order."""
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    return df.withColumn(out, F.row_number().over(w))
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    first = order_cols[0]
+    ftype = dict(df.dtypes)[first]
+    key = (F.unix_micros(F.col(first).cast("timestamp")).cast("double")
+           if ftype in ("date", "timestamp", "timestamp_ntz") else F.col(first).cast("double"))
+    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).limit(MAX_HOT_GROUPS + 1).collect()
+    if not hot:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return df.withColumn(out, F.row_number().over(w))
+    if len(hot) > MAX_HOT_GROUPS:
+        raise ValueError("too many oversized groups; raise hot_rows")
+    spark = df.sparkSession
+    hot_df = spark.createDataFrame([tuple(r[g] for g in group_cols) + (r["_n"],) for r in hot],
+                                   counts.schema)
+    # split points per hot group: enough sub-ranges to bring each near hot_rows
+    parts = max(2, min(1000, max(r["_n"] for r in hot) // hot_rows + 1))
+    probs = [i / parts for i in range(1, parts)]
+    keyed = df.withColumn("_k", key)
+    splits = (keyed.join(F.broadcast(hot_df.select(*group_cols)), group_cols)  # bounded: checked above
+              .groupBy(*group_cols).agg(F.percentile_approx("_k", probs, 10_000).alias("_splits")))
+    splits = spark.createDataFrame(splits.collect(), splits.schema)  # <= MAX_HOT_GROUPS rows
+    sub = F.coalesce(F.size(F.filter(F.col("_splits"), lambda s: s <= F.col("_k"))), F.lit(0))
+    banded = (keyed.join(F.broadcast(splits), group_cols, "left")
+              .withColumn("_b", sub).drop("_splits"))
+    w = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
+    local = banded.withColumn("_r", F.row_number().over(w))
+    # offsets: rows of the same group in earlier sub-ranges (hot groups only)
+    sizes = (banded.join(F.broadcast(hot_df.select(*group_cols)), group_cols)
+             .groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_m")))
+    wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.withColumn("_off", F.coalesce(F.sum("_m").over(wo), F.lit(0))).drop("_m")
+    offs = spark.createDataFrame(offs.collect(), offs.schema)  # <= MAX_HOT_GROUPS * parts rows
+    return (local.join(F.broadcast(offs), [*group_cols, "_b"], "left")
+            .withColumn(out, (F.col("_r") + F.coalesce(F.col("_off"), F.lit(0))).cast("int"))
+            .drop("_k", "_b", "_r", "_off"))

@@ -176,3 +176,19 @@ def test_assign_nearest_ties_lowest(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (5.0, 5.0)], "a double, b double")
     got = [r.Cluster for r in SG.assign_nearest(df, [[0.5, 0.0], [0.5, 0.0], [5.0, 4.0]], ["a", "b"]).collect()]
     assert got == [0, 0, 2]
+
+
+def test_row_number_hot_group_equals_window(spark):
+    import datetime as dt
+    from pyspark.sql import Window
+    from basketry.operators.ranking import row_number_in_group
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(3000):  # one hot customer with many equal dates
+        rows.append((1, dt.datetime(2000, 1, 1) + dt.timedelta(days=int(rng.integers(0, 40))), i))
+    for i in range(3000, 3400):
+        rows.append((int(rng.integers(2, 50)), dt.datetime(2000, 1, 1) + dt.timedelta(days=int(rng.integers(0, 400))), i))
+    df = spark.createDataFrame(rows, "c long, d timestamp, k long")
+    got = row_number_in_group(df, ["c"], ["d", "k"], "rn", hot_rows=200)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy("d", "k")))
+    assert sorted(map(tuple, got.select("k", "rn").collect())) == sorted(map(tuple, ref.select("k", "rn").collect()))
