@@ -55,21 +55,27 @@ def bucket_counts(scored: DataFrame, grid: Sequence[float], model: str = "model"
 
 def threshold_sweep(scored: DataFrame, grid: Sequence[float] | None = None, model: str = "model",
                     y: str = "y", p: str = "p") -> DataFrame:
-    """(model, threshold, tp, fp, fn, tn, pos, neg, precision, recall, f1,
-    accuracy) for each grid threshold; predicted positive when p >= t."""
+    """(model, threshold, tp, fp, pos, neg, fn, tn, precision, recall, f1,
+    accuracy) for each grid threshold; predicted positive when p >= t.
+
+    One scan: rows -> (model, bucket) counts (partial aggregation) -> one array
+    of at most len(grid)+1 bucket counts per model -> every threshold's suffix
+    sums from that array. No join back, no window, no rows x thresholds."""
     grid = list(grid) if grid is not None else threshold_grid()
     counts = bucket_counts(scored, grid, model, y, p)
-    models = counts.groupBy(model).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    full = models.select(model, "P", "N", F.explode(F.sequence(F.lit(0), F.lit(len(grid)))).alias("b"))
-    w = (Window.partitionBy(model).orderBy(F.desc("b"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = (full.join(counts, [model, "b"], "left")
-           .withColumns({"tp": F.sum(F.coalesce("pos", F.lit(0))).over(w),
-                         "fp": F.sum(F.coalesce("neg", F.lit(0))).over(w)})
-           .where(F.col("b") >= 1))
+    per_model = counts.groupBy(model).agg(F.collect_list(F.struct("b", "pos", "neg")).alias("_c"))
     tarr = F.array(*[F.lit(float(t)) for t in grid])
-    out = cum.select(model, F.element_at(tarr, F.col("b")).alias("threshold"), "tp", "fp",
-                     F.col("P").alias("pos"), F.col("N").alias("neg"))
+    i = F.col("i")
+
+    def suffix(field: str):
+        return F.aggregate(F.filter("_c", lambda x: x["b"] >= i), F.lit(0).cast("long"),
+                           lambda acc, x: acc + x[field])
+
+    out = (per_model.select(model, "_c", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))).alias("i"))
+           .select(model, F.element_at(tarr, i).alias("threshold"), suffix("pos").alias("tp"),
+                   suffix("neg").alias("fp"),
+                   F.aggregate("_c", F.lit(0).cast("long"), lambda acc, x: acc + x["pos"]).alias("pos"),
+                   F.aggregate("_c", F.lit(0).cast("long"), lambda acc, x: acc + x["neg"]).alias("neg")))
     return _with_metrics(out)
 
 
