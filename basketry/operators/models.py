@@ -324,3 +324,56 @@ def score_customers(trained: Trained, candidates: DataFrame) -> DataFrame:
     mf = model_frame(E.standardize_apply(enc, trained.scaler), trained.selected)
     return probability(trained.model.transform(mf)).select(
         "ROW_ID", "p", (F.col("p") >= F.lit(trained.threshold)).cast("int").alias("decision"))
+
+
+# FIXED VALUES — the candidate form's simplified features: frequency of an
+# unknown text, and the loyalty score cut (strict <)
+CANDIDATE_FREQ_DEFAULT = 12
+CANDIDATE_LOYALTY_CUTS = [(13, 1), (25, 2), (38, 3)]
+CANDIDATE_LOYALTY_ELSE = 4
+
+
+def candidate_features(cands: DataFrame) -> DataFrame:
+    """Simplified features of raw candidate rows (shop-shaped): spend
+    features, frequency (unknown -> 12), own loyalty cut, rating flags,
+    promo interactions, and the raw GENDER / CATEGORY for one-hot."""
+    from basketry.functions.exprs import lookup, yes_flag
+    amt, prev = F.col("PURCHASE_AMOUNT_USD").cast("double"), F.col("PREVIOUS_PURCHASES").cast("double")
+    freq = F.coalesce(lookup("FREQUENCY_OF_PURCHASES", K.FREQUENCY_PER_YEAR), F.lit(CANDIDATE_FREQ_DEFAULT))
+    loyal = F.lit(CANDIDATE_LOYALTY_ELSE)
+    for cut, score in reversed(CANDIDATE_LOYALTY_CUTS):
+        loyal = F.when(prev < cut, F.lit(score)).otherwise(loyal)
+    promo = yes_flag("PROMO_CODE_USED")
+    rating = F.col("REVIEW_RATING").cast("double")
+    return cands.select(
+        "ROW_ID", "GENDER", "CATEGORY", "PURCHASE_AMOUNT_USD", "PREVIOUS_PURCHASES",
+        (prev * amt).alias("TOTAL_SPEND_WEIGHTED_NEW"), F.try_divide(amt, prev + 1).alias("SPEND_PER_PURCHASE_NEW"),
+        freq.alias("FREQUENCY_VALUE_NEW"), loyal.alias("LOYALTY_SCORE_NEW"),
+        F.coalesce(rating >= 4, F.lit(False)).cast("int").alias("HIGH_REVIEW_RATING_NEW"),
+        (amt * rating).alias("SPEND_RATING_NEW"), (promo * loyal).alias("PROMO_X_LOYALTY"),
+        (promo * freq).alias("PROMO_X_FREQ"))
+
+
+def score_candidates(trained: Trained, cands: DataFrame, seg_model=None, seg_scaler=None,
+                     seg_names: DataFrame | None = None) -> DataFrame:
+    """(ROW_ID, p, decision[, segment, segment_name]) for raw candidate rows:
+    simplified features, one-hot of GENDER and CATEGORY, every other trained
+    column 0, the trained scaler and model, then the nearest k-means segment
+    (segmentation scaler) and its name."""
+    f = candidate_features(cands)
+    enc = E.one_hot_apply(f, {c: v for c, v in trained.vocab.items() if c in ("GENDER", "CATEGORY")})
+    have = set(enc.columns)
+    x = enc.select("ROW_ID", F.lit(0).alias(LABEL), F.lit(1.0).alias(WEIGHT),
+                   *[F.col(c) if c in have else F.lit(0).alias(c) for c in trained.selected])
+    mf = model_frame(E.standardize_apply(x, trained.scaler), trained.selected)
+    out = probability(trained.model.transform(mf)).select(
+        "ROW_ID", "p", (F.col("p") >= F.lit(trained.threshold)).cast("int").alias("decision"))
+    if seg_model is None:
+        return out
+    from basketry.operators import segments as SG
+    vec, _ = SG.segmentation_matrix(f, SG.SEGMENT_FEATURES, scaler=seg_scaler)
+    seg = SG.assign_nearest(vec, SG.centroids_table(seg_model), SG.SEGMENT_FEATURES, "segment")
+    out = out.join(seg.select("ROW_ID", "segment"), "ROW_ID")
+    if seg_names is not None:
+        out = out.join(F.broadcast(seg_names), "segment", "left")  # one row per segment
+    return out

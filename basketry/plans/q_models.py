@@ -223,3 +223,18 @@ def q_score_stream(spark, sf_dir):
     cands.write.parquet(src)
     sink = run_score_stream(spark, t, src, cands.schema)
     return spark.read.parquet(sink)
+
+
+@register("score_candidates")
+def q_score_candidates(spark, sf_dir):
+    """Candidate form as a table: the held-out shoppers' raw rows through the
+    simplified candidate features, the trained model and the k-means segments
+    (named by their rank in mean weighted spend)."""
+    from basketry.operators import crm as C
+    t = trained(spark, sf_dir)
+    model, clusters, scaler = segmented(spark, sf_dir)
+    prof = C.segment_profile(views.feat(spark, sf_dir).join(clusters, "ROW_ID"))
+    names = prof.select(F.col("Cluster").alias("segment"), "segment_name")
+    test_ids = views.feat_split(spark, sf_dir).where(F.col("part") == "test").select("ROW_ID")
+    cands = views.shop(spark, sf_dir).join(test_ids, "ROW_ID", "left_semi")
+    return MD.score_candidates(t, cands, model, scaler, names)
