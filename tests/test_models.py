@@ -51,3 +51,10 @@ def test_stream_equals_batch(spark, q):
 def test_importances_sum_to_one(spark, q):
     total = q["feature_importance"](spark, SF001).agg(F.sum("importance")).first()[0]
     assert 0 < total <= 1.0 + 1e-9
+
+
+def test_candidate_scoring(spark, q):
+    df = q["score_candidates"](spark, SF001)
+    rows = df.collect()
+    assert rows and all(0.0 <= r.p <= 1.0 and r.decision in (0, 1) for r in rows)
+    assert {r.segment for r in rows} <= set(range(5)) and all(r.segment_name for r in rows)
