@@ -66,6 +66,20 @@ def one_hot_apply(df: DataFrame, vocab: dict, sep: str = "_") -> DataFrame:
     return df.selectExpr(*keep, *ind)
 
 
+def one_hot_sparse(df: DataFrame, vocab: dict, keep: Sequence[str], sep: str = "_") -> DataFrame:
+    """(keep..., onehot): the names of the indicator columns that
+    ``one_hot_apply`` would set to 1 — one expression per source column
+    (vocabulary membership as a literal set), not one per indicator."""
+    hot = []
+    for c, vals in vocab.items():
+        if vals:
+            inset = ", ".join(sql_str(v) for v in vals)
+            hot.append(f"IF(CAST({sql_ident(c)} AS STRING) IN ({inset}), "
+                       f"concat({sql_str(c + sep)}, CAST({sql_ident(c)} AS STRING)), NULL)")
+    expr = f"explode(filter(array({', '.join(hot)}), x -> x IS NOT NULL)) AS onehot"
+    return df.selectExpr(*[sql_ident(k) for k in keep], expr)
+
+
 def indicators_long(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(keep..., onehot) for every indicator column equal to 1 (sparse view)."""
     items = ", ".join(f"named_struct('k', {sql_str(n)}, 'v', {sql_ident(n)})" for n in names)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -143,7 +143,8 @@ def cross_validate(data: DataFrame, estimators: dict, folds: int = 5, seed: int
                                  "model string, cv_auc_mean double, cv_auc_std double, folds int, winner int")
 
 
-def grid_search(data: DataFrame, name: str, cfg: TrainConfig, metric: str = "areaUnderROC"):
+def grid_search(data: DataFrame, name: str, cfg: TrainConfig, metric: str = "areaUnderROC",
+                folds: int | None = None):
     """(best model, frame of (params, mean metric)) by k-fold CV over the
     configured grid of ``name``; folds are stratified hash folds."""
     n = data.count()
@@ -157,13 +158,19 @@ def grid_search(data: DataFrame, name: str, cfg: TrainConfig, metric: str = "are
         for p, vals in grid_cfg.items():
             b = b.addGrid(est.getParam(p), vals)
         maps = b.build()
-    fd = fold_column(data, LABEL, "ROW_ID", cfg.folds, cfg.seed).persist(StorageLevel.MEMORY_AND_DISK)
+    nf = folds or cfg.folds
+    fd = fold_column(data, LABEL, "ROW_ID", nf, cfg.seed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ev = BinaryClassificationEvaluator(labelCol=LABEL, metricName=metric) if metric in (
-            "areaUnderROC", "areaUnderPR") else None
+        if metric in ("areaUnderROC", "areaUnderPR"):
+            ev = BinaryClassificationEvaluator(labelCol=LABEL, metricName=metric)
+        elif metric == "precision":  # precision of the positive class at the model's own cut
+            ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="precisionByLabel",
+                                                   metricLabel=1.0)
+        else:
+            raise ValueError(f"unknown metric {metric}")
         if est is not None:
             cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
-                                numFolds=cfg.folds, parallelism=2, seed=cfg.seed)
+                                numFolds=nf, parallelism=2, seed=cfg.seed)
             cvm = cv.fit(fd)
             labels = [", ".join(f"{k.name}={v}" for k, v in sorted(m.items(), key=lambda kv: kv[0].name))
                       for m in maps]
@@ -173,7 +180,7 @@ def grid_search(data: DataFrame, name: str, cfg: TrainConfig, metric: str = "are
             res, best_model, best = [], None, None
             for label, e in ests:
                 scores = []
-                for i in range(cfg.folds):
+                for i in range(nf):
                     m = e.fit(fd.where(F.col("fold") != i))
                     scores.append(ev.evaluate(m.transform(fd.where(F.col("fold") == i))))
                 mean = sum(scores) / len(scores)

@@ -29,9 +29,9 @@ def _onehot_sql():
 def q_one_hot_aligned(spark, sf_dir):
     f = views.feat_split(spark, sf_dir)
     train, test = f.where(F.col("part") == "train"), f.where(F.col("part") == "test")
-    tr, te, vocab = E.encode_train_test(train, test, K.MODEL_DROP_COLUMNS, keep=KEYS)
-    names = [f"{c}_{v}" for c, vals in vocab.items() for v in vals]
-    return E.indicators_long(tr.unionByName(te), names, KEYS)
+    cats = E.categorical_columns(train.drop(*K.MODEL_DROP_COLUMNS), exclude=KEYS)
+    vocab = E.fit_vocabulary(train, cats)  # train vocabulary only
+    return E.one_hot_sparse(f, vocab, KEYS)
 
 
 B_DROP = [c for c in K.MODEL_DROP_COLUMNS if c != "SUBSCRIPTION_STATUS"]
@@ -57,10 +57,8 @@ def _onehot_full_sql():
 def q_one_hot_full(spark, sf_dir):
     f = views.feat(spark, sf_dir).drop(*B_DROP)
     cats = E.categorical_columns(f)
-    binary, multi = E.split_by_cardinality(f, cats)
-    enc = E.one_hot_full(f, cats)
-    vocab_names = [c for c in enc.columns if c not in f.columns]
-    return E.indicators_long(enc, vocab_names, ["ROW_ID"])
+    binary, multi = E.split_by_cardinality(f, cats)  # binary ones are label-encoded, not expanded
+    return E.one_hot_sparse(f, E.fit_vocabulary(f, multi), ["ROW_ID"])
 
 
 STD_COLS = ["AGE", "PURCHASE_AMOUNT_USD", "PREVIOUS_PURCHASES", "REVIEW_RATING"]

@@ -238,3 +238,19 @@ def q_score_candidates(spark, sf_dir):
     test_ids = views.feat_split(spark, sf_dir).where(F.col("part") == "test").select("ROW_ID")
     cands = views.shop(spark, sf_dir).join(test_ids, "ROW_ID", "left_semi")
     return MD.score_candidates(t, cands, model, scaler, names)
+
+
+@register("grid_search_precision")
+def q_grid_search_precision(spark, sf_dir):
+    """Earlier variant: balanced random forest grid, 3 folds, scored by the
+    positive class's precision (on the selected, scaled train features)."""
+    t = trained(spark, sf_dir)
+    f = views.feat_split(spark, sf_dir).where(F.col("part") == "train").drop("part")
+    x = MD._fitted_features(f, t.cond_probs, t.prob_means, t.ratio_means)
+    x = MD.add_label_weight(x)
+    x = E.one_hot_apply(x.drop(*[c for c in MD.K.MODEL_DROP_COLUMNS if c in x.columns]), t.vocab)
+    have = set(x.columns)
+    x = x.select("ROW_ID", MD.LABEL, MD.WEIGHT, *[F.col(c) if c in have else F.lit(0).alias(c) for c in t.selected])
+    data = MD.model_frame(E.standardize_apply(x, t.scaler), t.selected)
+    _, frame = MD.grid_search(data, "RandomForest", t.cfg, metric="precision", folds=3)
+    return frame

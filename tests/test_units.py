@@ -192,3 +192,13 @@ def test_row_number_hot_group_equals_window(spark):
     got = row_number_in_group(df, ["c"], ["d", "k"], "rn", hot_rows=200)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy("d", "k")))
     assert sorted(map(tuple, got.select("k", "rn").collect())) == sorted(map(tuple, ref.select("k", "rn").collect()))
+
+
+def test_sparse_one_hot_equals_wide(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "z", "y")], "ROW_ID int, c string, d string")
+    vocab = {"c": ["a", "b"], "d": ["x", "y"]}
+    wide = E.one_hot_apply(df, vocab)
+    names = ["c_a", "c_b", "d_x", "d_y"]
+    want = sorted(map(tuple, E.indicators_long(wide, names, ["ROW_ID"]).collect()))
+    got = sorted(map(tuple, E.one_hot_sparse(df, vocab, ["ROW_ID"]).collect()))
+    assert got == want == [(1, "c_a"), (1, "d_x"), (2, "c_b"), (3, "d_y")]
