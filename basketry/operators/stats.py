@@ -163,16 +163,17 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                 plan[(i, j)] = (add(f"count_if({both})"), add(f"sum({mx})"), add(f"sum({mx} * {mx})"),
                                 add(f"sum({my})"), add(f"sum({my} * {my})"), add(f"sum({mx} * {my})"))
     wide = df.selectExpr("count(1) AS _n", *aggs)
-    pairs = []
-    for i, x in enumerate(cols):
-        for j, y in enumerate(cols):
-            a, b = (i, j) if i <= j else (j, i)
-            n, sx, sxx, sy, syy, sxy = [f"CAST({c} AS DOUBLE)" for c in plan[(a, b)]]
-            vx, vy = f"({sxx} - {sx} * {sx} / {n})", f"({syy} - {sy} * {sy} / {n})"
-            cov = f"({sxy} - {sx} * {sy} / {n})"
-            r = f"IF({n} > 0 AND {vx} > 0 AND {vy} > 0, {cov} / sqrt({vx} * {vy}), NULL)"
-            pairs.append(f"named_struct('col_a', '{x}', 'col_b', '{y}', 'corr', {r})")
-    return wide.selectExpr(f"explode(array({', '.join(pairs)})) AS p").select("p.*")
+    # one row per unordered pair, one expression for every coefficient
+    items = []
+    for (a, b), names in plan.items():
+        items += [f"'{cols[a]}'", f"'{cols[b]}'", *[f"CAST({c} AS DOUBLE)" for c in names]]
+    long = wide.selectExpr(f"stack({len(plan)}, {', '.join(items)}) AS (a, b, n, sx, sxx, sy, syy, sxy)")
+    vx, vy = "(sxx - sx * sx / n)", "(syy - sy * sy / n)"
+    r = f"IF(n > 0 AND {vx} > 0 AND {vy} > 0, (sxy - sx * sy / n) / sqrt({vx} * {vy}), NULL)"
+    both = long.selectExpr("a", "b", f"{r} AS r").selectExpr(
+        "explode(IF(a = b, array(named_struct('col_a', a, 'col_b', b, 'corr', r)), "
+        "array(named_struct('col_a', a, 'col_b', b, 'corr', r), named_struct('col_a', b, 'col_b', a, 'corr', r)))) AS p")
+    return both.select("p.*")
 
 
 # --------------------------------------------------------------------------- distributions
