@@ -253,9 +253,10 @@ def conditional_prob_features(train: DataFrame, test: DataFrame | None = None,
         train = map_conditional_probs(train, probs, group, c, name)
         if test is not None:
             test = map_conditional_probs(test, probs, group, c, name)
-            mean = train.agg(F.avg(name)).first()[0]
-            test = test.withColumn(name, F.coalesce(F.col(name), F.lit(mean)))
         outs.append(name)
+    if test is not None:  # test rows outside the fitted table take the train mean (one pass)
+        means = train.agg(*[F.avg(o).alias(o) for o in outs]).first()
+        test = test.withColumns({o: F.coalesce(F.col(o), F.lit(means[o])) for o in outs})
     score = F.col(outs[0])
     for o in outs[1:]:
         score = score * F.col(o)

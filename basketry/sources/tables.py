@@ -31,6 +31,15 @@ def _case_map(col: Column, mapping: dict) -> Column:
     return expr
 
 
+def _utc_wall_clock(spark: SparkSession, df: DataFrame, col: str) -> Column:
+    """The column's UTC wall-clock time whatever the session time zone: naive
+    (NTZ) timestamps as they are; instant timestamps rendered in UTC."""
+    if dict(df.dtypes)[col] == "timestamp":
+        tz = spark.conf.get("spark.sql.session.timeZone")
+        return F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col(col).cast("timestamp_ntz"))
+    return F.col(col)
+
+
 def _top_line(lineitem: DataFrame) -> DataFrame:
     """The most expensive line of each order (ties: partkey, suppkey,
     linenumber, discount). A min over a struct is an ordinary aggregate, so it
@@ -56,7 +65,7 @@ def shop_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
          .join(line, ords.o_orderkey == line.l_orderkey)
          .join(part, line.l_partkey == part.p_partkey))
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
-    month = F.month("o_orderdate")
+    month = F.month(_utc_wall_clock(spark, ords, "o_orderdate"))
     disc = F.col("l_discount")
     psize = F.col("p_size")
     return j.select(
