@@ -91,19 +91,23 @@ def cramers_v(df: DataFrame, a: str, b: str, yates: bool = True, guard: bool = T
     """One row (v, chi2, n, r, k): sqrt(chi2 / (n (min(r,k) - 1))), chi2 with
     the Yates continuity correction for 2x2 tables; 0.0 when r < 2 or k < 2."""
     ct = crosstab_counts(df, a, b)
-    bvals = _values(ct, b, 10_000)
+    col_rows = bounded_rows(ct.groupBy(b).agg(F.sum("n").alias("cn")).orderBy(b), 10_000)
+    if col_rows is None:
+        raise ValueError(f"more than 10000 values in {b}")
+    bvals = [r[b] for r in col_rows]
+    total = float(sum(r["cn"] for r in col_rows))
+    spark = df.sparkSession
+    cols = F.broadcast(spark.createDataFrame(col_rows, f"`{b}` {dict(ct.dtypes)[b]}, cn bigint"))
     rows = ct.groupBy(a).agg(F.sum("n").alias("rn"))
-    cols = ct.groupBy(b).agg(F.sum("n").alias("cn"))
-    n = F.sum("rn").over(Window.partitionBy())  # tiny frame (one row per a value)
-    grid = (rows.withColumn("_n", n)
-            .select(a, "rn", "_n", F.explode(F.array(*[F.lit(v) for v in bvals])).alias(b)))
-    cells = (grid.join(checked_broadcast(cols), b).join(ct, [a, b], "left")
+    grid = rows.select(a, "rn", F.lit(total).alias("_n"),
+                       F.explode(F.array(*[F.lit(v) for v in bvals])).alias(b))
+    cells = (grid.join(cols, b).join(ct, [a, b], "left")
              .select(F.coalesce("n", F.lit(0)).cast("double").alias("o"),
                      (F.col("rn").cast("double") * F.col("cn") / F.col("_n")).alias("e"),
                      F.col("_n").alias("total"), F.col(a).alias("_a"), F.col(b).alias("_b")))
     d = F.abs(F.col("o") - F.col("e"))
     stats = cells.agg(F.count_distinct("_a").alias("r"), F.count_distinct("_b").alias("k"),
-                      F.max("total").alias("n"),
+                      F.max("total").cast("long").alias("n"),
                       F.sum(F.pow(d, 2) / F.col("e")).alias("chi2_plain"),
                       F.sum(F.pow(d - F.least(F.lit(0.5), d), 2) / F.col("e")).alias("chi2_yates"))
     two = (F.col("r") == 2) & (F.col("k") == 2)
