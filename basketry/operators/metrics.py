@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import constants as K
+from basketry.operators.ranking import running_sums
 
 
 def threshold_grid(steps: int = K.THRESHOLD_STEPS, step: float = K.THRESHOLD_STEP) -> list[float]:
@@ -129,15 +130,13 @@ def roc_curve(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p
     """(model, score, fpr, tpr) at every distinct score (descending), plus the
     (0, 0) start point with a null score."""
     c = score_counts(scored, model, y, p, decimals)
-    w = (Window.partitionBy(model).orderBy(F.desc("score"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    wt = Window.partitionBy(model)
-    cum = c.select(model, "score", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-                   F.sum("pos").over(wt).alias("P"), F.sum("neg").over(wt).alias("N"))
-    pts = cum.select(model, "score", _safe(F.col("fp"), F.col("N")).alias("fpr"),
-                     _safe(F.col("tp"), F.col("P")).alias("tpr"))
-    start = c.select(model).distinct().select(model, F.lit(None).cast("double").alias("score"),
-                                              F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    cum = running_sums(c, [model], "score", ["pos", "neg"], descending=True)
+    tot = c.groupBy(model).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    pts = cum.join(F.broadcast(tot), model).select(  # one row per model
+        model, "score", _safe(F.col("cum_neg"), F.col("N")).alias("fpr"),
+        _safe(F.col("cum_pos"), F.col("P")).alias("tpr"))
+    start = tot.select(model, F.lit(None).cast("double").alias("score"),
+                       F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(start)
 
 
@@ -146,10 +145,8 @@ def auc(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p",
     """(model, auc): trapezoid area under the ROC curve, i.e. the Mann-Whitney
     probability with ties counted one half."""
     c = score_counts(scored, model, y, p, decimals)
-    w = (Window.partitionBy(model).orderBy(F.desc("score"))
-         .rowsBetween(Window.unboundedPreceding, -1))
-    above = F.coalesce(F.sum("pos").over(w), F.lit(0))
-    part = c.select(model, "pos", "neg", (F.col("neg") * (above + F.col("pos") / 2.0)).alias("_u"))
+    above = running_sums(c, [model], "score", ["pos"], descending=True, inclusive=False, prefix="above_")
+    part = above.select(model, "pos", "neg", (F.col("neg") * (F.col("above_pos") + F.col("pos") / 2.0)).alias("_u"))
     return part.groupBy(model).agg(
         (F.sum("_u") / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc"))
 

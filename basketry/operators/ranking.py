@@ -60,3 +60,46 @@ def row_number_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Se
     return (local.join(F.broadcast(offs), [*group_cols, "_b"], "left")
             .withColumn(out, (F.col("_r") + F.coalesce(F.col("_off"), F.lit(0))).cast("int"))
             .drop("_k", "_b", "_r", "_off"))
+
+
+def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, cols: Sequence[str],
+                 descending: bool = False, inclusive: bool = True, prefix: str = "cum_",
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Running sums of ``cols`` inside each group in ``order_col`` order (one
+    row per order value and group). Small groups use a window; a group with
+    more than ``hot_rows`` rows is cut into ordered sub-ranges (approximate
+    quantile split points), summed per sub-range, and shifted by the totals of
+    the sub-ranges before it — exact, and no group is sorted in one task."""
+    group_cols, cols = list(group_cols), list(cols)
+    order = F.desc(order_col) if descending else F.asc(order_col)
+    frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).limit(MAX_HOT_GROUPS + 1).collect()
+    if not hot:
+        w = Window.partitionBy(*group_cols).orderBy(order).rowsBetween(*frame)
+        return df.withColumns({prefix + c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
+    if len(hot) > MAX_HOT_GROUPS:
+        raise ValueError("too many oversized groups; raise hot_rows")
+    spark = df.sparkSession
+    parts = max(2, min(1000, max(r["_n"] for r in hot) // hot_rows + 1))
+    probs = [i / parts for i in range(1, parts)]
+    key = F.col(order_col).cast("double")
+    splits = (df.groupBy(*group_cols).agg(F.percentile_approx(key, probs, 10_000).alias("_splits")))
+    rows = splits.limit(MAX_HOT_GROUPS * 10 + 1).collect()
+    splits = F.broadcast(spark.createDataFrame(rows, splits.schema))
+    sub = F.size(F.filter(F.col("_splits"), lambda s: s <= key))
+    if descending:
+        sub = F.lit(parts) - sub  # higher values come first
+    banded = df.join(splits, group_cols, "left").withColumn(
+        "_b", F.coalesce(sub, F.lit(0))).drop("_splits")
+    w = Window.partitionBy(*group_cols, "_b").orderBy(order).rowsBetween(*frame)
+    local = banded.withColumns({"_l_" + c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
+    tot = banded.groupBy(*group_cols, "_b").agg(*[F.sum(c).alias("_t_" + c) for c in cols])
+    wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*group_cols, "_b", *[F.coalesce(F.sum("_t_" + c).over(wo), F.lit(0)).alias("_o_" + c)
+                                           for c in cols])
+    orows = offs.limit(MAX_HOT_GROUPS * 1000 + 1).collect()  # <= groups x parts rows
+    offs = F.broadcast(spark.createDataFrame(orows, offs.schema))
+    out = local.join(offs, [*group_cols, "_b"], "left")
+    out = out.withColumns({prefix + c: F.col("_l_" + c) + F.coalesce(F.col("_o_" + c), F.lit(0)) for c in cols})
+    return out.drop("_b", *["_l_" + c for c in cols], *["_o_" + c for c in cols])

@@ -202,3 +202,24 @@ def test_sparse_one_hot_equals_wide(spark):
     want = sorted(map(tuple, E.indicators_long(wide, names, ["ROW_ID"]).collect()))
     got = sorted(map(tuple, E.one_hot_sparse(df, vocab, ["ROW_ID"]).collect()))
     assert got == want == [(1, "c_a"), (1, "d_x"), (2, "c_b"), (3, "d_y")]
+
+
+@pytest.mark.parametrize("hot", [10**9, 50])
+def test_auc_roc_hot_path_equal(spark, hot):
+    from basketry.operators import ranking
+    rng = np.random.default_rng(9)
+    p = np.round(rng.random(2000), 3)
+    y = (rng.random(2000) < p).astype(int)
+    sc = spark.createDataFrame([("m", int(a), float(b)) for a, b in zip(y, p)], "model string, y int, p double")
+    old = ranking.HOT_ROWS
+    try:
+        ranking.running_sums.__defaults__ = ranking.running_sums.__defaults__[:-1] + (hot,)
+        got = M.auc(sc).first()["auc"]
+        roc = {r.score: (r.fpr, r.tpr) for r in M.roc_curve(sc).collect() if r.score is not None}
+    finally:
+        ranking.running_sums.__defaults__ = ranking.running_sums.__defaults__[:-1] + (old,)
+    pos, neg = p[y == 1], p[y == 0]
+    mw = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    assert got == pytest.approx(mw, rel=1e-12)
+    s0 = sorted(set(p))[len(set(p)) // 2]
+    assert roc[s0] == pytest.approx(((neg >= s0).sum() / len(neg), (pos >= s0).sum() / len(pos)))
