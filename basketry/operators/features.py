@@ -18,7 +18,7 @@ from basketry.functions import constants as K
 from basketry.functions.exprs import (climate_group, concat_text, cut, lookup, target_code,
                                       yes_flag)
 from basketry.operators.lookup import bounded_rows, checked_broadcast, lookup_join
-from basketry.operators.quantiles import quantiles
+from basketry.operators.quantiles import quantiles, quantiles_many
 
 AMOUNT = "PURCHASE_AMOUNT_USD"
 
@@ -96,16 +96,19 @@ def interaction_features(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- data-dependent
+def _checked_edges(edges, col: str) -> list[float]:
+    if edges is None or any(e is None for e in edges):
+        raise ValueError(f"no values in {col}")
+    if len(set(edges)) != len(edges):
+        raise ValueError(f"duplicate bin edges for {col}: {edges}")
+    return list(edges)
+
+
 def quantile_edges(df: DataFrame, col: str, q: int = 4, approx: bool = False) -> list[float]:
     """Edges of ``q`` equal-frequency bins: min, interior quantiles, max."""
     probs = [i / q for i in range(q + 1)]
     got = quantiles(df, col, probs, approx=approx)
-    edges = got.get((), [None] * (q + 1))
-    if any(e is None for e in edges):
-        raise ValueError(f"no values in {col}")
-    if len(set(edges)) != len(edges):
-        raise ValueError(f"duplicate bin edges for {col}: {edges}")
-    return edges
+    return _checked_edges(got.get((), None), col)
 
 
 def qcut(df: DataFrame, col: str, q: int, labels: Sequence, out: str,
@@ -187,6 +190,10 @@ def derive_features(df: DataFrame, variant: str = "a", amount_edges=None, loyalt
                     top_locations=None, approx: bool = False) -> DataFrame:
     """The full feature pipeline on a shop frame (one row per shopper)."""
     out = coerce_features(df)
+    if (amount_edges is None or loyalty_edges is None) and not approx:
+        qs = quantiles_many(out, [AMOUNT, "PREVIOUS_PURCHASES"], [0.0, 0.25, 0.5, 0.75, 1.0])
+        amount_edges = amount_edges or _checked_edges(qs[AMOUNT], AMOUNT)
+        loyalty_edges = loyalty_edges or _checked_edges(qs["PREVIOUS_PURCHASES"], "PREVIOUS_PURCHASES")
     out = encode_target(out)
     out = derive_spend(out)
     out = map_frequency(out)

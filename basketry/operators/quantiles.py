@@ -144,3 +144,25 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
             res.append(a if frac == 0 or a == b else a + frac * (b - a))
         out[key] = res
     return out
+
+
+def quantiles_many(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                   distinct_bound: int = DISTINCT_BOUND) -> dict:
+    """{col: [quantile per prob]} for several columns over the whole frame:
+    one statistics pass and, when every column's distinct count is under the
+    bound, one exact ``percentile`` pass for all of them; other columns go
+    through ``quantiles`` (histogram refinement) one by one."""
+    probs = [float(p) for p in probs]
+    stats = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"nd{i}") for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if stats[f"nd{i}"] <= distinct_bound]
+    out = {}
+    if small:
+        arr = F.array(*[F.lit(p) for p in probs])
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(f"q{i}")
+                       for i, c in enumerate(small)]).first()
+        for i, c in enumerate(small):
+            out[c] = None if row[f"q{i}"] is None else [float(v) for v in row[f"q{i}"]]
+    for c in cols:
+        if c not in out:
+            out[c] = quantiles(df, c, probs, distinct_bound=distinct_bound).get((), None)
+    return out
