@@ -46,7 +46,8 @@ def row_number_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Se
     splits = (keyed.join(F.broadcast(hot_df.select(*group_cols)), group_cols)  # bounded: checked above
               .groupBy(*group_cols).agg(F.percentile_approx("_k", probs, 10_000).alias("_splits")))
     splits = spark.createDataFrame(splits.collect(), splits.schema)  # <= MAX_HOT_GROUPS rows
-    sub = F.coalesce(F.size(F.filter(F.col("_splits"), lambda s: s <= F.col("_k"))), F.lit(0))
+    sub = F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
+        F.size(F.filter(F.col("_splits"), lambda s: s <= F.col("_k"))))
     banded = (keyed.join(F.broadcast(splits), group_cols, "left")
               .withColumn("_b", sub).drop("_splits"))
     w = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
@@ -84,22 +85,24 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, cols:
     parts = max(2, min(1000, max(r["_n"] for r in hot) // hot_rows + 1))
     probs = [i / parts for i in range(1, parts)]
     key = F.col(order_col).cast("double")
-    splits = (df.groupBy(*group_cols).agg(F.percentile_approx(key, probs, 10_000).alias("_splits")))
-    rows = splits.limit(MAX_HOT_GROUPS * 10 + 1).collect()
-    splits = F.broadcast(spark.createDataFrame(rows, splits.schema))
+    hot_keys = F.broadcast(spark.createDataFrame([tuple(r[g] for g in group_cols) for r in hot],
+                                                 counts.select(*group_cols).schema))  # checked above
+    splits = (df.join(hot_keys, group_cols).groupBy(*group_cols)
+              .agg(F.percentile_approx(key, probs, 10_000).alias("_splits")))
+    splits = F.broadcast(spark.createDataFrame(splits.collect(), splits.schema))  # <= MAX_HOT_GROUPS rows
     sub = F.size(F.filter(F.col("_splits"), lambda s: s <= key))
     if descending:
         sub = F.lit(parts) - sub  # higher values come first
-    banded = df.join(splits, group_cols, "left").withColumn(
-        "_b", F.coalesce(sub, F.lit(0))).drop("_splits")
+    sub = F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(sub)  # small groups: one range
+    banded = df.join(splits, group_cols, "left").withColumn("_b", sub).drop("_splits")
     w = Window.partitionBy(*group_cols, "_b").orderBy(order).rowsBetween(*frame)
     local = banded.withColumns({"_l_" + c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
-    tot = banded.groupBy(*group_cols, "_b").agg(*[F.sum(c).alias("_t_" + c) for c in cols])
+    tot = (banded.join(hot_keys, group_cols).groupBy(*group_cols, "_b")
+           .agg(*[F.sum(c).alias("_t_" + c) for c in cols]))
     wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*group_cols, "_b", *[F.coalesce(F.sum("_t_" + c).over(wo), F.lit(0)).alias("_o_" + c)
                                            for c in cols])
-    orows = offs.limit(MAX_HOT_GROUPS * 1000 + 1).collect()  # <= groups x parts rows
-    offs = F.broadcast(spark.createDataFrame(orows, offs.schema))
+    offs = F.broadcast(spark.createDataFrame(offs.collect(), offs.schema))  # <= hot groups x parts rows
     out = local.join(offs, [*group_cols, "_b"], "left")
     out = out.withColumns({prefix + c: F.col("_l_" + c) + F.coalesce(F.col("_o_" + c), F.lit(0)) for c in cols})
     return out.drop("_b", *["_l_" + c for c in cols], *["_o_" + c for c in cols])

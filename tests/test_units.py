@@ -223,3 +223,20 @@ def test_auc_roc_hot_path_equal(spark, hot):
     assert got == pytest.approx(mw, rel=1e-12)
     s0 = sorted(set(p))[len(set(p)) // 2]
     assert roc[s0] == pytest.approx(((neg >= s0).sum() / len(neg), (pos >= s0).sum() / len(pos)))
+
+
+@pytest.mark.parametrize("descending,inclusive", [(True, True), (False, False)])
+def test_running_sums_mixed_groups(spark, descending, inclusive):
+    from pyspark.sql import Window
+    from basketry.operators.ranking import running_sums
+    rng = np.random.default_rng(4)
+    rows = [("big", float(i), int(rng.integers(0, 5))) for i in range(600)]
+    rows += [(f"s{g}", float(i), int(rng.integers(0, 5))) for g in range(5) for i in range(7)]
+    df = spark.createDataFrame(rows, "g string, k double, v long")
+    got = running_sums(df, ["g"], "k", ["v"], descending=descending, inclusive=inclusive, hot_rows=40)
+    order = F.desc("k") if descending else F.asc("k")
+    w = Window.partitionBy("g").orderBy(order).rowsBetween(Window.unboundedPreceding,
+                                                           Window.currentRow if inclusive else -1)
+    ref = df.withColumn("cum_v", F.coalesce(F.sum("v").over(w), F.lit(0)))
+    key = lambda r: (r.g, r.k, r.cum_v)
+    assert sorted(map(key, got.collect())) == sorted(map(key, ref.collect()))
