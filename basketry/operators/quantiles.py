@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 DISTINCT_BOUND = 200_000
 BUCKETS = 4096
 COLLECT_BOUND = 50_000
+GROUP_BOUND = 10_000
 
 
 def _group_key(row, by):
@@ -110,11 +111,15 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     base = df.select(*by, x.cast("double").alias(col)).where(x.isNotNull())
     if approx:
         rows = (base.groupBy(*by).agg(F.percentile_approx(col, probs, accuracy).alias("q"))
-                .collect())
+                .limit(GROUP_BOUND + 1).collect())
+        if len(rows) > GROUP_BOUND:
+            raise ValueError(f"more than {GROUP_BOUND} groups")
         return {_group_key(r, by): [float(v) for v in r["q"]] for r in rows}
     stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("mn"),
                                    F.max(col).alias("mx"),
-                                   F.approx_count_distinct(col).alias("nd")).collect())
+                                   F.approx_count_distinct(col).alias("nd")).limit(GROUP_BOUND + 1).collect())
+    if len(stats) > GROUP_BOUND:
+        raise ValueError(f"more than {GROUP_BOUND} groups; quantiles per group return to the driver")
     if not stats:
         return {}
     if max(r["nd"] for r in stats) <= distinct_bound:
