@@ -8,6 +8,7 @@ train part only and then applied to test rows or new customers.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -117,23 +118,30 @@ def auc_of(pred: DataFrame) -> float:
                                          metricName="areaUnderROC").evaluate(pred)
 
 
-def cross_validate(data: DataFrame, estimators: dict, folds: int = 5, seed: int = 42) -> DataFrame:
+def cross_validate(data: DataFrame, estimators: dict, folds: int = 5, seed: int = 42,
+                   parallelism: int = 4) -> DataFrame:
     """(model, cv_auc_mean, cv_auc_std, folds, winner): stratified folds (hash
     order within label), ROC-AUC per held-out fold, population std; the
     winner is the strictly greatest mean (first model on ties)."""
     fd = fold_column(data, LABEL, "ROW_ID", folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+
+    def one(task):
+        name, i = task
+        model = estimators[name].fit(fd.where(F.col("fold") != i))
+        return name, i, auc_of(model.transform(fd.where(F.col("fold") == i)))
+
     try:
-        for name, est in estimators.items():
-            scores = []
-            for i in range(folds):
-                model = est.fit(fd.where(F.col("fold") != i))
-                scores.append(auc_of(model.transform(fd.where(F.col("fold") == i))))
-            mean = sum(scores) / len(scores)
-            std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-            rows.append((name, mean, std, folds))
+        tasks = [(name, i) for name in estimators for i in range(folds)]
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:  # independent Spark jobs
+            results = list(pool.map(one, tasks))
     finally:
         fd.unpersist()
+    rows = []
+    for name in estimators:
+        scores = [a for n, _, a in sorted(results, key=lambda r: r[1]) if n == name]
+        mean = sum(scores) / len(scores)
+        std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+        rows.append((name, mean, std, folds))
     best = None
     for r in rows:
         if best is None or r[1] > best[1]:
@@ -170,7 +178,7 @@ def grid_search(data: DataFrame, name: str, cfg: TrainConfig, metric: str = "are
             raise ValueError(f"unknown metric {metric}")
         if est is not None:
             cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
-                                numFolds=nf, parallelism=2, seed=cfg.seed)
+                                numFolds=nf, parallelism=4, seed=cfg.seed)
             cvm = cv.fit(fd)
             labels = [", ".join(f"{k.name}={v}" for k, v in sorted(m.items(), key=lambda kv: kv[0].name))
                       for m in maps]
@@ -178,12 +186,18 @@ def grid_search(data: DataFrame, name: str, cfg: TrainConfig, metric: str = "are
             best_model = cvm.bestModel
         else:
             res, best_model, best = [], None, None
+
+            def one(task):
+                label, e, i = task
+                m = e.fit(fd.where(F.col("fold") != i))
+                return label, ev.evaluate(m.transform(fd.where(F.col("fold") == i)))
+
+            tasks = [(label, e, i) for label, e in ests for i in range(nf)]
+            with ThreadPoolExecutor(max_workers=4) as pool:
+                scored = list(pool.map(one, tasks))
             for label, e in ests:
-                scores = []
-                for i in range(nf):
-                    m = e.fit(fd.where(F.col("fold") != i))
-                    scores.append(ev.evaluate(m.transform(fd.where(F.col("fold") == i))))
-                mean = sum(scores) / len(scores)
+                vals = [v for lab, v in scored if lab == label]
+                mean = sum(vals) / len(vals)
                 res.append((label, mean))
                 if best is None or mean > best:
                     best, best_model = mean, e
