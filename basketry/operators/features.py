@@ -346,3 +346,42 @@ def align_schema(df: DataFrame, columns: Sequence[str], fill=0) -> DataFrame:
     """Exactly ``columns`` in order; absent ones are the constant ``fill``."""
     have = set(df.columns)
     return df.select(*[F.col(c) if c in have else F.lit(fill).alias(c) for c in columns])
+
+
+def fit_group_means(train: DataFrame, specs: Sequence[tuple[str, str]], bound: int = 20_000) -> list:
+    """Means of several (group, value) pairs in one pass: [(per-group table
+    (group, _gm) as a broadcast local table, global mean)] in spec order.
+    Rows of all specs are folded into (spec, group value, value) and
+    aggregated with grouping sets (per group and per spec)."""
+    spark = train.sparkSession
+    items = [F.struct(F.lit(i).alias("k"), F.col(g).cast("string").alias("gv"),
+                      F.col(v).cast("double").alias("x")) for i, (g, v) in enumerate(specs)]
+    long = train.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+    agg = (long.rollup("k", "gv").agg(F.avg("x").alias("m"), F.grouping_id().alias("gid"))
+           .where(F.col("k").isNotNull()))
+    rows = bounded_rows(agg, bound * len(specs))
+    if rows is None:
+        raise ValueError("too many groups for a broadcast lookup")
+    dtypes = dict(train.dtypes)
+    out = []
+    for i, (g, _v) in enumerate(specs):
+        per = [(r["gv"], r["m"]) for r in rows if r["k"] == i and r["gid"] == 0 and r["gv"] is not None]
+        glob = [r["m"] for r in rows if r["k"] == i and r["gid"] == 1]
+        table = spark.createDataFrame(per, f"gv string, _gm double").select(
+            F.col("gv").cast(dtypes[g]).alias(g), "_gm")
+        out.append((F.broadcast(table), glob[0] if glob else None))
+    return out
+
+
+def group_mean_ratios(train: DataFrame, test: DataFrame | None, specs: Sequence[tuple[str, str, str]]):
+    """Several ``group_mean_ratio`` columns (global-mean fallback on test)
+    fitted together in one pass over ``train``."""
+    fitted = fit_group_means(train, [(g, v) for g, v, _ in specs])
+    for (g, v, o), (table, gm) in zip(specs, fitted):
+        x = F.col(v).cast("double")
+        train = train.join(table, [g], "left").withColumn(o, F.try_divide(x, F.col("_gm"))).drop("_gm")
+        if test is not None:
+            test = (test.join(table, [g], "left")
+                    .withColumn(o, F.coalesce(F.try_divide(x, F.col("_gm")), F.try_divide(x, F.lit(gm))))
+                    .drop("_gm"))
+    return train, test

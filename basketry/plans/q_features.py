@@ -231,8 +231,7 @@ def _ratio_sql() -> str:
 @register("group_mean_ratio", _ratio_sql())
 def q_group_mean_ratio(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
-    for g, v, out in RATIOS:
-        train, test = FE.group_mean_ratio(train, test, g, v, out)
+    train, test = FE.group_mean_ratios(train, test, RATIOS)
     outs = [o for _, _, o in RATIOS]
     return train.unionByName(test).select("ROW_ID", "part", *[r6(c).alias(c) for c in outs])
 
@@ -249,8 +248,7 @@ def _transform_sql() -> str:
 @register("group_transform_mean", _transform_sql())
 def q_group_transform_mean(spark, sf_dir):
     f = feat_frame(spark, sf_dir)
-    for i, (g, v, out) in enumerate(RATIOS):
-        f = FE.group_transform_mean(f, g, v, f"_mean{i}", ratio=out)
+    f, _ = FE.group_mean_ratios(f, None, RATIOS)  # means over the same rows: a transform
     return f.select("ROW_ID", *[r6(o).alias(o) for _, _, o in RATIOS])
 
 

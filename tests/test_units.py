@@ -240,3 +240,19 @@ def test_running_sums_mixed_groups(spark, descending, inclusive):
     ref = df.withColumn("cum_v", F.coalesce(F.sum("v").over(w), F.lit(0)))
     key = lambda r: (r.g, r.k, r.cum_v)
     assert sorted(map(key, got.collect())) == sorted(map(key, ref.collect()))
+
+
+def test_group_mean_ratios_one_pass_equals_single(spark):
+    train = spark.createDataFrame([("a", "x", 10.0, 1.0), ("a", "y", 30.0, None), ("b", None, 5.0, 2.0),
+                                   (None, "x", 7.0, 4.0)], "g string, h string, v double, w double")
+    test = spark.createDataFrame([("a", "y", 40.0, 3.0), ("z", "q", 15.0, 1.0), (None, None, 2.0, None)],
+                                 "g string, h string, v double, w double")
+    specs = [("g", "v", "r1"), ("h", "v", "r2"), ("g", "w", "r3")]
+    tr_m, te_m = FE.group_mean_ratios(train, test, specs)
+    tr_s, te_s = train, test
+    for g, v, o in specs:
+        tr_s, te_s = FE.group_mean_ratio(tr_s, te_s, g, v, o)
+    key = lambda r: tuple("∅" if x is None else round(x, 12) if isinstance(x, float) else x for x in r)
+    cols = ["g", "h", "v", "w", "r1", "r2", "r3"]
+    assert sorted(map(key, tr_m.select(cols).collect())) == sorted(map(key, tr_s.select(cols).collect()))
+    assert sorted(map(key, te_m.select(cols).collect())) == sorted(map(key, te_s.select(cols).collect()))
