@@ -298,10 +298,8 @@ def train_pipeline(feat_split: DataFrame, cfg: TrainConfig | None = None, models
         tr = FE.map_conditional_probs(tr, cond[c], CLIMATE, c, name)
     pm_row = tr.agg(*[F.avg(f"P_{c}_given_CLIMATE_NEW").alias(c) for c in PROB_CATS]).first()
     pmeans = {f"P_{c}_given_CLIMATE_NEW": pm_row[c] for c in PROB_CATS}
-    rmeans = {}
-    for g, v, o in RATIO_SPECS:
-        gm = train.agg(F.avg(F.col(v).cast("double"))).first()[0]
-        rmeans[o] = (FE.group_means(train, g, v, "_gm").checkpoint(eager=True), gm)
+    fitted = FE.fit_group_means(train, [(g, v) for g, v, _ in RATIO_SPECS])  # one pass, bounded tables
+    rmeans = {o: fit for (_g, _v, o), fit in zip(RATIO_SPECS, fitted)}
     train_f = add_label_weight(_fitted_features(train, cond, pmeans, rmeans))
     test_f = add_label_weight(_fitted_features(test, cond, pmeans, rmeans))
     keep = ["ROW_ID", LABEL, WEIGHT]
