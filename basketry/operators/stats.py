@@ -198,7 +198,7 @@ def _group_params(df: DataFrame, value: str, group: str, points: int, cut: float
 
 
 def kde(df: DataFrame, value: str, group: str, points: int = 200, cut: float = 3.0,
-        reach: float = 9.0) -> DataFrame:
+        reach: float = 9.0, max_distinct: int | None = None, bin_factor: int = 64) -> DataFrame:
     """Gaussian KDE per group on a ``points`` grid spanning [min - cut h, max + cut h].
 
     Values are first counted per (group, value) — a partial aggregate — and
@@ -206,9 +206,19 @@ def kde(df: DataFrame, value: str, group: str, points: int = 200, cut: float = 3
     (the kernel beyond is < 1e-17 of its peak), so the work is bounded by
     distinct values x grid points and no pair of rows is ever formed."""
     params = _group_params(df, value, group, points, cut)
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(group, F.col(value).cast("double").alias("_v"))
+    x = F.col(value).cast("double")
+    counted = (df.where(F.col(value).isNotNull()).groupBy(group, x.alias("_v"))
                .agg(F.count(F.lit(1)).alias("_c")))
+    if max_distinct is not None:
+        nd = counted.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        if nd > max_distinct:
+            # scale switch: snap values to a grid ``bin_factor`` times finer than
+            # the output grid (error <= step / (2 bin_factor) in x) so the work
+            # per group is bounded by points x bin_factor, whatever the data
+            binned = df.where(F.col(value).isNotNull()).join(params, group).select(
+                group, (F.col("lo") + F.round((x - F.col("lo")) / (F.col("step") / bin_factor))
+                        * (F.col("step") / bin_factor)).alias("_v"))
+            counted = binned.groupBy(group, "_v").agg(F.count(F.lit(1)).alias("_c"))
     j = counted.join(params, group)
     v, h, lo, step = F.col("_v"), F.col("h"), F.col("lo"), F.col("step")
     i_from = F.greatest(F.lit(0), F.ceil((v - F.lit(reach) * h - lo) / step).cast("int"))

@@ -256,3 +256,13 @@ def test_group_mean_ratios_one_pass_equals_single(spark):
     cols = ["g", "h", "v", "w", "r1", "r2", "r3"]
     assert sorted(map(key, tr_m.select(cols).collect())) == sorted(map(key, tr_s.select(cols).collect()))
     assert sorted(map(key, te_m.select(cols).collect())) == sorted(map(key, te_s.select(cols).collect()))
+
+
+def test_kde_binned_switch_close_to_exact(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(100, 15, 3000)
+    df = spark.createDataFrame([("g", float(x)) for x in v], "grp string, x double")
+    exact = [r.density for r in S.kde(df, "x", "grp", points=100).orderBy("i").collect()]
+    binned = [r.density for r in S.kde(df, "x", "grp", points=100, max_distinct=500).orderBy("i").collect()]
+    peak = max(exact)
+    assert max(abs(a - b) for a, b in zip(exact, binned)) < 1e-3 * peak
