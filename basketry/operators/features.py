@@ -241,6 +241,35 @@ def fit_conditional_probs(train: DataFrame, group: str, cat: str, smoothing: flo
                                  / (F.col("n_g") + s * kk)).alias("prob")))
 
 
+def fit_conditional_probs_many(train: DataFrame, group: str, cats: Sequence[str], smoothing: float = 1.0,
+                               bound: int = 100_000) -> dict:
+    """``fit_conditional_probs`` for several category columns in one pass:
+    (column, group, category) counts are folded together and collected under a
+    row bound; each smoothed table (every seen group x every seen category of
+    that column) is returned as a broadcast local table."""
+    spark = train.sparkSession
+    items = [F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("c")) for i, c in enumerate(cats)]
+    long = (train.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*items)).alias("s"))
+            .where(F.col("s.c").isNotNull()))
+    rows = bounded_rows(long.groupBy(F.col("s.k").alias("k"), group, F.col("s.c").alias("c"))
+                        .agg(F.count(F.lit(1)).alias("n")), bound)
+    if rows is None:
+        raise ValueError(f"more than {bound} (group, category) pairs")
+    dtypes = dict(train.dtypes)
+    s_ = float(smoothing)
+    out = {}
+    for i, c in enumerate(cats):
+        cnt = {(r[group], r["c"]): r["n"] for r in rows if r["k"] == i}
+        groups = sorted({g for g, _ in cnt}, key=str)
+        values = sorted({v for _, v in cnt})
+        ng = {g: sum(n for (gg, _), n in cnt.items() if gg == g) for g in groups}
+        kk = float(len(values))
+        table = [(g, v, (cnt.get((g, v), 0) + s_) / (ng[g] + s_ * kk)) for g in groups for v in values]
+        df = spark.createDataFrame(table, f"`{group}` {dtypes[group]}, _c string, prob double")
+        out[c] = F.broadcast(df.select(group, F.col("_c").cast(dtypes[c]).alias(c), "prob"))
+    return out
+
+
 def map_conditional_probs(df: DataFrame, probs: DataFrame, group: str, cat: str, out: str) -> DataFrame:
     """Attach P(cat | group); pairs outside the fitted table give null."""
     p = probs.select(group, cat, F.col("prob").alias(out))
@@ -254,9 +283,10 @@ def conditional_prob_features(train: DataFrame, test: DataFrame | None = None,
     """P_<cat>_given_CLIMATE_NEW for each cat and the fit score (product).
     Probabilities are fitted on ``train``; test nulls take the train mean."""
     outs = []
+    fitted = fit_conditional_probs_many(train, group, list(cats), smoothing)  # one pass for all
     for c in cats:
         name = f"P_{c}_given_CLIMATE_NEW"
-        probs = checked_broadcast(fit_conditional_probs(train, group, c, smoothing))  # fitted once
+        probs = fitted[c]
         train = map_conditional_probs(train, probs, group, c, name)
         if test is not None:
             test = map_conditional_probs(test, probs, group, c, name)

@@ -266,3 +266,13 @@ def test_kde_binned_switch_close_to_exact(spark):
     binned = [r.density for r in S.kde(df, "x", "grp", points=100, max_distinct=500).orderBy("i").collect()]
     peak = max(exact)
     assert max(abs(a - b) for a, b in zip(exact, binned)) < 1e-3 * peak
+
+
+def test_conditional_probs_many_equals_single(spark):
+    df = spark.createDataFrame([("g1", "a", "S"), ("g1", "b", "S"), ("g2", "a", None), ("g2", "a", "M"),
+                                (None, "b", "M"), ("g3", None, "L")], "grp string, c1 string, c2 string")
+    many = FE.fit_conditional_probs_many(df, "grp", ["c1", "c2"])
+    for c in ("c1", "c2"):
+        a = sorted((r[0], r[1], round(r[2], 12)) for r in many[c].collect())
+        b = sorted((r[0], r[1], round(r[2], 12)) for r in FE.fit_conditional_probs(df, "grp", c).collect())
+        assert a == b
