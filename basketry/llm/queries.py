@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import pii, quality_rules, secrets, sharding, token_counts
+from basketry.llm import minhash, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
 from basketry.llm.common import table
 from basketry.session import scratch_path
 
@@ -28,9 +28,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), scratch_path(spark, "token-cache"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op4_pii, op7_token_counts, op9_sharding)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("chosen")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op4_pii, op7_token_counts, op8_quality_classifier, op9_sharding, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
