@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import minhash, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
+from basketry.llm import decontamination, minhash, packing, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
 from basketry.llm.common import table
 from basketry.session import scratch_path
 
@@ -23,6 +23,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_words(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), scratch_path(spark, "token-cache"))
@@ -40,5 +48,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("chosen")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op4_pii, op7_token_counts, op8_quality_classifier, op9_sharding, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op4_pii, op5_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_sharding, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
