@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontamination, minhash, packing, pii, quality_classifier, quality_rules, secrets, sharding, token_counts
+from basketry.llm import decontamination, minhash, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, token_counts
 from basketry.llm.common import table
 from basketry.session import scratch_path
 
@@ -19,6 +19,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("verdicts")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("chosen")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op4_pii, op5_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_sharding, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_suffix_dedup, op4_pii, op5_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_sharding, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
