@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -112,51 +113,71 @@ def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int, share: float) ->
     return int(same[first:end].sum()), a + first, a + end
 
 
-def _search(items: list[tuple[int, str]], min_tokens: int, share: float, cover: float, names: list[str]):
-    state = {}
+def overlaps(batch: pa.RecordBatch, column: str, s: Seeds, min_tokens: int, share: float, cover: float):
+    """(row, item_id, item_tokens, matches, span_tokens, byte_start, byte_end)
+    of every overlap in a batch, the best run of each row and item."""
+    out = []
+    seeds = [(tuple(range(z)), 100 + z) for z in s.sizes] + [(mask, m) for m, mask in enumerate(MASKS)]
+    for lo, hi, data, offsets in text_slices(batch, column):
+        h, rows, starts, ends = tokens(data, offsets)
+        cut = np.searchsorted(rows, np.arange(hi - lo + 1))
+        seen = set()
+        for mask, number in seeds:
+            at, entry = s.hits(masked(h, mask, number))
+            for p, e in zip(at.tolist(), entry.tolist()):
+                r = int(rows[p])
+                seen.add((r, int(s.where[e, 1]), p - int(cut[r]) - int(s.where[e, 2])))
+        best = {}
+        for r, n, shift in seen:
+            m, first, end = best_overlap(s.toks[n], h[cut[r]:cut[r + 1]], shift, share)
+            size = len(s.toks[n])
+            if m >= (min_tokens if size * cover >= min_tokens else cover * size):
+                got = (m, -(first + shift), first, end, shift)
+                best[r, n] = max(best.get((r, n), got), got)
+        for (r, n), (m, _, first, end, shift) in sorted(best.items()):
+            x, y = int(cut[r]) + first + shift, int(cut[r]) + end + shift - 1
+            out.append((lo + r, s.ids[n], len(s.toks[n]), m, end - first, int(starts[x] - offsets[r]), int(ends[y] - offsets[r])))
+    return out
+
 
+def _search(items: list[tuple[int, str]], min_tokens: int, share: float, cover: float, names: list[str]):
     def run(batches):
-        if not state:
-            state["seeds"] = Seeds(items)
-        s = state["seeds"]
+        s = Seeds(items)
         for b in batches:
-            rows_out = []
-            for lo, hi, data, offsets in text_slices(b, "__text"):
-                h, rows, starts, ends = tokens(data, offsets)
-                if not len(h):
-                    continue
-                cut = np.searchsorted(rows, np.arange(hi - lo + 1))
-                seen = set()
-                seeds = [(tuple(range(z)), 100 + z) for z in s.sizes] + [(mask, m) for m, mask in enumerate(MASKS)]
-                for mask, number in seeds:
-                    k = masked(h, mask, number)
-                    if not len(k):
-                        continue
-                    at, entry = s.hits(k)
-                    for p, e in zip(at.tolist(), entry.tolist()):
-                        r = int(rows[p])
-                        n, q = int(s.where[e, 1]), int(s.where[e, 2])
-                        seen.add((r, n, p - int(cut[r]) - q))
-                best = {}
-                for r, n, shift in seen:
-                    got = best_overlap(s.toks[n], h[cut[r]:cut[r + 1]], shift, share)
-                    size = len(s.toks[n])
-                    if got[0] >= min(min_tokens, size) and got[0] >= cover * min(size, min_tokens / cover):
-                        if (r, n) not in best or (got[0], -got[1] - shift) > (best[r, n][0], -best[r, n][1] - best[r, n][3]):
-                            best[r, n] = (*got, shift)
-                for (r, n), (m, first, end, shift) in sorted(best.items()):
-                    x, y = int(cut[r]) + first + shift, int(cut[r]) + end + shift - 1
-                    rows_out.append((lo + r, s.ids[n], len(s.toks[n]), m, end - first, int(starts[x] - offsets[r]), int(ends[y] - offsets[r])))
-            cols = list(zip(*rows_out)) if rows_out else [[] for _ in range(7)]
+            found = overlaps(b, "__text", s, min_tokens, share, cover)
+            cols = list(zip(*found)) if found else [[]] * 7
             take = pa.array(cols[0], pa.int64())
-            kept = [b.column(c).take(take) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, pa.int64()) for c in cols[1:]]],
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in names], *[pa.array(c, pa.int64()) for c in cols[1:]]],
                                              [*names, "item_id", "item_tokens", "matches", "span_tokens", "byte_start", "byte_end"])
     return run
 
 
+def _without(items: list[tuple[int, str]], min_tokens: int, share: float, cover: float, text_col: str):
+    def run(batches):
+        s = Seeds(items)
+        for b in batches:
+            plain = pa.RecordBatch.from_arrays([pa.compute.fill_null(b.column(text_col).cast(pa.string()), "")], ["t"])
+            keep = np.ones(b.num_rows, bool)
+            keep[[x[0] for x in overlaps(plain, "t", s, min_tokens, share, cover)]] = False
+            yield b.filter(pa.array(keep))
+    return run
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, block_items: int):
+    """The distinct items (id, text) in blocks, at least one (perhaps empty)."""
+    items = (benchmark.select(F.col(item_col).cast("long").alias("i"), text_of(benchmark, item_text).alias("t")).filter("i is not null and t <> ''")
+             .distinct().orderBy("i", "t"))
+    part = items.limit(block_items).collect()
+    yield [tuple(r) for r in part]
+    while len(part) == block_items:
+        i, t = part[-1]
+        part = items.filter((F.col("i") > i) | (F.col("i") == i) & (F.col("t") > t)).limit(block_items).collect()
+        if part:
+            yield [tuple(r) for r in part]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                       min_tokens: int = 13, share: float = 0.8, cover: float = 0.8, block_items: int = 50_000, row_id: str | None = None) -> DataFrame:
+                       min_tokens: int = 13, share: float = 0.8, cover: float = 0.8, block_items: int = 50_000) -> DataFrame:
     """One row per document row and benchmark item that overlap: doc_id,
     item_id, item_tokens, matches, span_tokens, byte_start, byte_end, similarity.
 
@@ -168,21 +189,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     is null is left out; rows that repeat an id are separate rows. Results of
     all blocks of items are united.
     """
-    cols = {"doc_id": F.col(id_col)} | ({"row_id": F.col(row_id)} if row_id else {})
+    cols = {"doc_id": F.col(id_col)}
     base = docs.select(*[c.alias(k) for k, c in cols.items()], text_of(docs, text_col).alias("__text"))
     extra = [StructField(n, LongType()) for n in ("item_id", "item_tokens", "matches", "span_tokens", "byte_start", "byte_end")]
     shape = StructType([*base.drop("__text").schema.fields, *extra])
-    items = (benchmark.select(F.col(item_col).cast("long").alias("i"), text_of(benchmark, item_text).alias("t")).filter("i is not null and t <> ''")
-             .distinct().orderBy("i", "t"))
-    out, after = None, None
-    while True:
-        part = (items if after is None else items.filter(F.struct("i", "t") > F.struct(F.lit(after[0]), F.lit(after[1])))).limit(block_items).collect()
-        if out is not None and not part:
-            break
-        block = base.mapInArrow(_search([tuple(r) for r in part], min_tokens, share, cover, list(cols)), shape)
-        out = block if out is None else out.unionByName(block)
-        if len(part) < block_items:
-            break
-        after = part[-1]
-    # a block may split items that share an id: the best of the pair
+    parts = [base.mapInArrow(_search(b, min_tokens, share, cover, list(cols)), shape) for b in item_blocks(benchmark, item_col, item_text, block_items)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.withColumn("similarity", F.col("matches") / F.col("span_tokens"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+                    min_tokens: int = 13, share: float = 0.8, cover: float = 0.8, block_items: int = 50_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text overlaps no benchmark item
+    (as ``find_contamination`` has it). Every row is judged by its own text;
+    null and empty texts stay. One pass over the rows for each block of items,
+    without a shuffle."""
+    out = docs
+    for block in item_blocks(benchmark, item_col, item_text, block_items):
+        out = out.mapInArrow(_without(block, min_tokens, share, cover, text_col), docs.schema)
+    return out

@@ -133,11 +133,10 @@ def estimate(batches, percent: int, slack: float = 5.0):
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok))
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that are linked, by estimate and then by full sets."""
-    side = reps.select("cid", "regs", "n")
-    est = (pairs.join(side.select(F.col("cid").alias("u"), F.col("regs").alias("ru"), F.col("n").alias("nu")), "u")
-           .join(side.select(F.col("cid").alias("v"), F.col("regs").alias("rv"), F.col("n").alias("nv")), "v")
+    est = (pairs.join(rows.select(F.col("rid").alias("u"), F.col("regs").alias("ru"), F.col("n").alias("nu")), "u")
+           .join(rows.select(F.col("rid").alias("v"), F.col("regs").alias("rv"), F.col("n").alias("nv")), "v")
            .mapInArrow(lambda bs: estimate(bs, percent), "u long, v long"))
     full = (est.join(sets.select(F.col("cid").alias("u"), F.col("items").alias("iu")), "u")
             .join(sets.select(F.col("cid").alias("v"), F.col("items").alias("iv")), "v"))
@@ -164,27 +163,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = materialize(base.mapInArrow(_sketches(k, list(cols)), shape), "sketches")
     known = rows.filter("n > 0")
     classes = materialize(known.groupBy("digest").agg(F.min("rid").alias("cid")), "classes")
-    reps = known.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "cid")
+    reps = known.select(F.col("rid").alias("cid"), "n", "bands").join(classes.select("cid"), "cid", "left_semi")
     banded = reps.select("cid", "n", F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("low")).filter("size > 1")
     members = materialize(banded.join(crowded, "band"), "bands")
 
     # full sets of the candidates only, from their texts
     cand = members.select("cid").distinct()
-    named = reps.join(cand, "cid", "left_semi").select("cid", "th", F.col("doc_id").alias("_id"))
+    named = rows.select(F.col("rid").alias("cid"), "th", F.col("doc_id").alias("_id")).join(cand, "cid", "left_semi")
     texts = docs.select(F.xxhash64(text_of(docs, text_col)).alias("th"), F.col(id_col).alias("_id"), text_of(docs, text_col).alias("__text"))
     found = texts.join(named, texts["th"].eqNullSafe(named["th"]) & texts["_id"].eqNullSafe(named["_id"])).select("cid", "__text")
     sets = materialize(found.mapInArrow(_sets(k), "cid long, items array<bigint>").dropDuplicates(["cid"]), "sets")
 
     similar = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {int(percent)}"
-    low_n = reps.select(F.col("cid").alias("low"), F.col("n").alias("m"))
+    low_n = rows.select(F.col("rid").alias("low"), F.col("n").alias("m"))
     pairs = (members.filter(F.col("cid") != F.col("low")).join(low_n, "low").filter(f"least(n, m) * 100 >= greatest(n, m) * {int(percent)}")
              .select(F.col("low").alias("u"), F.col("cid").alias("v")).distinct())
     links, seen, width = None, None, CENTRES
     while True:
         pairs = materialize(pairs, "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        new = materialize(_confirmed(pairs, reps, sets, percent), "links")
+        new = materialize(_confirmed(pairs, rows, sets, percent), "links")
         links = new if links is None else links.unionByName(new)
         label = materialize(connected_components(links), "labels")
         # bands that still hold several components

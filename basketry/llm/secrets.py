@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,3 +113,26 @@ def redact(text, spans) -> str:
         out += [text[pos:max(a, pos)], "[SECRET]"]
         pos = b
     return "".join(out) + text[pos:]
+
+
+def redacted(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), chars_col: str = "n_chars", **options) -> DataFrame:
+    """The ``keep`` columns (the text among them) of every row, the values of
+    secrets that are not widely copied examples replaced by a marker, and
+    ``chars_col``, if kept, brought up to date where a text changed."""
+    found = scan_secrets(docs, text_col=text_col, keep=keep, **options)
+    ranges = F.expr("transform(filter(verdicts, v -> v.verdict <> 'example'), v -> struct(v.value_start as a, v.value_end as b))")
+    base = found.select(*[F.col(f"keep_{c}").alias(c) for c in keep], ranges.alias("__ranges"))
+    names, shape = list(keep), base.drop("__ranges").schema
+
+    def run(batches):
+        for b in batches:
+            texts, chars = b.column(text_col).to_pylist(), b.column(chars_col).to_pylist() if chars_col in names else None
+            for i, r in enumerate(b.column("__ranges").to_pylist()):
+                if r:
+                    texts[i] = redact(texts[i], [(x["a"], x["b"]) for x in r])
+                    if chars is not None:
+                        chars[i] = len(texts[i])
+            new = {text_col: pa.array(texts, b.column(text_col).type)} | ({chars_col: pa.array(chars, b.column(chars_col).type)} if chars is not None else {})
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names)
+
+    return base.mapInArrow(run, shape)
