@@ -90,9 +90,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_row = judged.select("rid", F.struct("s.start", "s.kind", "s.end", "s.value_start", "s.value_end", "digest", "n_owners", "n_repos", verdict.alias("verdict")).alias("v"))
     # spans of one row only: bounded by its text
     gathered = per_row.groupBy("rid").agg(F.sort_array(F.collect_list("v")).alias("verdicts"))
-    out = scanned.join(gathered, "rid", "left")
     none = F.expr("cast(array() as array<struct<start: long, kind: int, end: long, value_start: long, value_end: long, digest: string, n_owners: long, n_repos: long, verdict: string>>)")
-    out = out.withColumn("verdicts", F.coalesce("verdicts", none))
+    # only rows with spans are joined; the rest stays where it is
+    out = scanned.filter(F.size("found") > 0).join(gathered, "rid").unionByName(scanned.filter(F.size("found") == 0).withColumn("verdicts", none))
     counts = [F.expr(f"size(filter(verdicts, v -> v.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     marks = [F.expr(f"size(filter(verdicts, v -> v.verdict = '{name}'))").cast("long").alias(f"n_{name}") for name in ("live", "example")]
     names = F.array(*[F.lit(k) for k in ALL_KINDS])
