@@ -101,16 +101,17 @@ class Seeds:
 def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int, share: float) -> tuple[int, int, int]:
     """Of the aligned tokens (item p with document p + shift), the run with the
     most agreeing tokens among runs where at least ``share`` agree: (matches,
-    first, end) in item positions. Runs begin and end with an agreement; they
-    are found by extension to both sides of the best-scoring core (agreement
-    1 - share, substitution -share)."""
+    first, end) in item positions, trimmed to agreements at both ends."""
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     same = item[a:b] == doc[a + shift:b + shift]
-    gain = np.concatenate(([0.0], np.cumsum(np.where(same, 1 - share, -share))))
-    low = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - low))
-    first = int(np.argmin(gain[:end + 1]))
-    return int(same[first:end].sum()), a + first, a + end
+    gain = np.concatenate(([0], np.cumsum(np.where(same, round((1 - share) * 1000), -round(share * 1000)))))
+    count = np.concatenate(([0], np.cumsum(same)))
+    # for every end, the first start from which enough agree
+    start = np.searchsorted(-np.minimum.accumulate(gain), -gain)
+    m = count - count[start]
+    end = int(np.argmax(m))
+    run = np.flatnonzero(same[start[end]:end]) + int(start[end])
+    return (len(run), a + int(run[0]), a + int(run[-1]) + 1) if len(run) else (0, a, a)
 
 
 def overlaps(batch: pa.RecordBatch, column: str, s: Seeds, min_tokens: int, share: float, cover: float):

@@ -88,9 +88,11 @@ SPELLED = {
 LOOKALIKES = dict(zip("асеорхуіјѕԁһԛԝАВЕКМНОРСТХУοαρνικΟΑΡΕΤΗΚΜΝΒΙΧΥΖ", "aceopxyijsdhqwABEKMHOPCTXYoapvikOAPETHKMNBIXYZ"))
 _AT = r"[\x20]*(?:\[[\x20]*at[\x20]*\]|\([\x20]*at[\x20]*\)|\{[\x20]*at[\x20]*\}|<[\x20]*at[\x20]*>)[\x20]*"
 _DOT = r"[\x20]*(?:\[[\x20]*dot[\x20]*\]|\([\x20]*dot[\x20]*\)|\{[\x20]*dot[\x20]*\}|<[\x20]*dot[\x20]*>|\[\.\]|\(\.\))[\x20]*"
-#: A bare " at " counts only where " dot " follows one label later.
-_BARE = r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:\x20dot\x20|\.)[A-Za-z0-9-]{2,})"
-_BARE_DOT = r"(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9-]{2,})"
+#: Last labels that a spelled-out address may end in.
+_TOP = "com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|uk|us"
+#: Bare " at " and " dot " count only up to a spelled-out last label.
+_BARE = rf"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+){{0,4}}\x20dot\x20(?:{_TOP})\b)"
+_BARE_DOT = rf"(?<=[A-Za-z0-9])\x20dot\x20(?=(?:[A-Za-z0-9-]+(?:\x20dot\x20|\.)){{0,4}}(?:{_TOP})\b)"
 _WORDS = "|".join(sorted(SPELLED, key=lambda w: (-len(w), w)))
 #: Runs of at least three spelled digits; separators between them are dropped.
 _RUN = rf"(?<!\w)(?:{_WORDS})(?:[\x20-]+(?:{_WORDS}|[0-9]+)){{2,}}(?!\w)"

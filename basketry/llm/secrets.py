@@ -105,13 +105,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(text, spans) -> str:
-    """The text with every (start, end) range replaced by a marker."""
+    """The text with its (start, end) ranges replaced by a marker; overlapping
+    and touching ranges share one."""
     out, pos = [], 0
     for a, b in sorted(spans):
-        if b <= pos:
-            continue
-        out += [text[pos:max(a, pos)], "[SECRET]"]
-        pos = b
+        if a > pos or not out:
+            out += [text[pos:a], "[SECRET]"]
+        pos = max(pos, b)
     return "".join(out) + text[pos:]
 
 
