@@ -8,11 +8,11 @@ estimate of the registers drops hopeless ones, and the rest is confirmed on the
 full shingle sets.
 
 Documents with equal sets are one class from the start. Within a band, pairs
-are not listed in full: its members are first compared with the smallest one, links
-merge components, and only bands that still hold several components are
-compared with more centres (``CENTRES``, then ``GROWTH`` times as many each
-round), until every two members in different components have been compared. So
-no link of a band is lost.
+are not listed: its members are compared with the most central one, the text
+that shares most bands with others, and links merge components. Members of
+bands that still hold several components meet in clusters (documents connected
+by such bands) and are compared exactly, block by block, so no link of a band
+is lost; only a spanning forest of those links is written.
 """
 
 from __future__ import annotations
@@ -30,11 +30,10 @@ from basketry.llm.components import connected_components
 
 REGISTERS = 256
 MANTISSA = 10
-ROWS = 6
-BANDS = 42
-#: Centres a crowded band is first compared with, and their growth by round.
-CENTRES = 16
-GROWTH = 8
+ROWS = 7
+BANDS = 36
+#: Documents of a cluster that one task compares (two blocks at a time).
+BLOCK = 512
 _SHIFT = np.uint64(56)
 
 
@@ -64,15 +63,25 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
+#: For every register, the order in which the others stand in for it.
+_STAND_IN = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(99)).reshape(REGISTERS, REGISTERS), axis=1).astype(np.int64)
+
+
 def densified(r: np.ndarray) -> np.ndarray:
-    """Empty registers take the next full one's value (with its distance), so
-    that short documents band as reliably as long ones."""
-    full = np.flatnonzero(r)
-    if len(full) == REGISTERS:
-        return r.astype(np.uint64)
-    at = np.arange(REGISTERS)
-    nxt = full[np.searchsorted(full, at) % len(full)]
-    return r[nxt].astype(np.uint64) + (((nxt - at) % REGISTERS).astype(np.uint64) << np.uint64(16))
+    """Every empty register takes the value of the first full one in its own
+    fixed random order, so that registers of short documents agree as often,
+    and as independently, as those of long ones."""
+    full = r > 0
+    out = r.astype(np.uint64)
+    todo = np.flatnonzero(~full)
+    lo, step = 0, 8
+    while len(todo):
+        order = _STAND_IN[todo, lo:lo + step]
+        hit = full[order]
+        some = hit.any(axis=1)
+        out[todo[some]] = r[order[some, hit[some].argmax(axis=1)]]
+        todo, lo, step = todo[~some], lo + step, step * 4
+    return out
 
 
 def band_keys(r: np.ndarray) -> np.ndarray:
@@ -144,6 +153,61 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int)
     return full.select("u", "v", both.alias("both"), (F.size("iu") + F.size("iv") - both).alias("either")).filter(F.col("both") * 100 >= F.col("either") * percent).select("u", "v")
 
 
+def linked_blocks(percent: int):
+    """Links between members of one (pair of blocks of a) cluster: exact
+    intersections of all of them at once, as a product of 0/1 matrices over the
+    shingles that at least two members have, a slice of shingles at a time.
+    Yields a spanning forest of the links, never their list."""
+    def run(t: pa.Table) -> pa.Table:
+        cid, comp = t["cid"].to_numpy(), t["comp"].to_numpy()
+        m = len(cid)
+        items = t["items"].combine_chunks()
+        size = np.diff(items.offsets.to_numpy()).astype(np.int64)
+        value, column = np.unique(items.values.to_numpy()[items.offsets[0].as_py():], return_inverse=True)
+        row = np.repeat(np.arange(m), size)
+        shared = np.bincount(column, minlength=len(value)) > 1
+        number = np.cumsum(shared) - 1
+        keep = shared[column]
+        row, column = row[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((m, m), np.float32)
+        for lo in range(0, int(shared.sum()), 2048):
+            a, b = np.searchsorted(column, (lo, lo + 2048))
+            x = np.zeros((m, 2048), np.float32)
+            x[row[a:b], column[a:b] - lo] = 1
+            both += x @ x.T
+        i, j = np.nonzero((both * 100 >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :]))
+        root = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+        out = []
+        for p, q in zip(i.tolist(), j.tolist()):
+            u, v = find(int(comp[p])), find(int(comp[q]))
+            if u != v:
+                root[u] = v
+                out.append((int(cid[p]), int(cid[q])))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
+    return run
+
+
+def _within_clusters(cluster: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components inside every cluster. A
+    cluster of more than ``BLOCK`` documents is cut into blocks, and every two
+    blocks meet in a task of their own."""
+    size = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    placed = (cluster.join(size, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+              .withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    met = placed.select("component", F.col("node").alias("cid"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    keyed = met.select("cid", "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    full = keyed.join(docs, "cid").join(sets, "cid").select("component", "i", "j", "cid", "comp", "items")
+    return full.groupBy("component", "i", "j").applyInArrow(linked_blocks(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept,
     ``chosen`` and the columns named in ``keep`` under ``keep_<name>``.
@@ -165,8 +229,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = materialize(known.groupBy("digest").agg(F.min("rid").alias("cid")), "classes")
     reps = known.select(F.col("rid").alias("cid"), "n", "bands").join(classes.select("cid"), "cid", "left_semi")
     banded = reps.select("cid", "n", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("low")).filter("size > 1")
-    members = materialize(banded.join(crowded, "band"), "bands")
+    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = materialize(banded.join(crowded, "band"), "bands")
+    # centrality: how many neighbours a document's bands have. The text that a
+    # group's copies were made from shares more bands than any of them
+    central = shared.groupBy("cid").agg(F.sum("size").alias("score"))
+    members = materialize(shared.join(central, "cid"), "members")
 
     # full sets of the candidates only, from their texts
     cand = members.select("cid").distinct()
@@ -175,29 +243,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     found = texts.join(named, texts["th"].eqNullSafe(named["th"]) & texts["_id"].eqNullSafe(named["_id"])).select("cid", "__text")
     sets = materialize(found.mapInArrow(_sets(k), "cid long, items array<bigint>").dropDuplicates(["cid"]), "sets")
 
-    similar = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {int(percent)}"
-    low_n = rows.select(F.col("rid").alias("low"), F.col("n").alias("m"))
-    pairs = (members.filter(F.col("cid") != F.col("low")).join(low_n, "low").filter(f"least(n, m) * 100 >= greatest(n, m) * {int(percent)}")
-             .select(F.col("low").alias("u"), F.col("cid").alias("v")).distinct())
-    links, seen, width = None, None, CENTRES
-    while True:
-        pairs = materialize(pairs, "pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        new = materialize(_confirmed(pairs, rows, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        label = materialize(connected_components(links), "labels")
-        # bands that still hold several components
-        named = members.join(label, members["cid"] == label["node"], "left").select("band", "cid", "n", "size", F.coalesce("component", "cid").alias("comp"))
-        still = named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("band")
-        left = materialize(named.join(still, "band"), "open")
-        largest = left.agg(F.max("size")).first()[0]
-        if largest is None or largest <= width // GROWTH:
-            break
-        share = F.when(F.col("size") <= width, 1).otherwise(F.ceil(F.col("size") / width))
-        centres = left.filter(F.pmod(F.xxhash64("band", "cid"), share) == 0)
-        pairs = (left.alias("x").join(centres.alias("y"), F.expr(f"x.band = y.band and x.comp <> y.comp and {similar}"))
-                 .select(F.expr("least(x.cid, y.cid)").alias("u"), F.expr("greatest(x.cid, y.cid)").alias("v")).distinct().join(seen, ["u", "v"], "left_anti"))
-        width *= GROWTH
+    hub = members.groupBy("band").agg(F.max(F.struct("score", (-F.col("cid")).alias("c"), F.col("n").alias("m"))).alias("hub"))
+    pairs = (members.join(hub, "band").filter(f"cid <> -hub.c and least(n, hub.m) * 100 >= greatest(n, hub.m) * {int(percent)}")
+             .select(F.expr("least(cid, -hub.c)").alias("u"), F.expr("greatest(cid, -hub.c)").alias("v")).distinct())
+    pairs = materialize(pairs, "pairs")
+    links = materialize(_confirmed(pairs, rows, sets, percent), "links")
+    label = materialize(connected_components(links), "labels")
+
+    # bands that still hold several components: their members, in clusters of
+    # documents that share such bands, are compared exactly
+    named = members.select("band", "cid", "n").join(label, F.col("cid") == F.col("node"), "left").select("band", "cid", F.coalesce("component", "cid").alias("comp"))
+    still = named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("cid").alias("first")).filter("a <> b")
+    left = materialize(named.join(still.select("band", "first"), "band"), "open")
+    cluster = materialize(connected_components(left.select(F.col("first").alias("u"), F.col("cid").alias("v"))), "clusters")
+    more = materialize(_within_clusters(cluster, left.select("cid", "comp").distinct(), sets, percent), "more-links")
+    label = materialize(connected_components(links.unionByName(more)), "labels")
 
     cls = known.select("rid", "doc_id", "digest").join(classes, "digest").join(label, F.col("cid") == label["node"], "left")
     placed = cls.select("rid", "doc_id", F.coalesce("component", "cid").alias("comp"))
