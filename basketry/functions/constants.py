@@ -142,3 +142,11 @@ PAYMENT_BY_MOD6 = {0: "Cash", 1: "Credit Card", 2: "Debit Card", 3: "PayPal",
                    4: "Venmo", 5: "Bank Transfer"}
 FREQUENCY_BY_MOD8 = {0: "Weekly", 1: "Bi-Weekly", 2: "Fortnightly", 3: "Quarterly",
                      4: "Annually", 5: "Monthly", 6: "Every 3 Months", 7: "Daily"}
+
+# FIXED VALUES — the four group-mean ratios: (group, value, result)
+RATIO_SPECS = [
+    ("CATEGORY", "PURCHASE_AMOUNT_USD", "REL_SPEND_CAT_NEW"),
+    ("CLIMATE_GROUP_NEW", "PURCHASE_AMOUNT_USD", "PURCHASE_AMT_REL_CLIMATE_NEW"),
+    ("AGE_NEW", "PURCHASE_AMOUNT_USD", "REL_SPEND_AGE_NEW"),
+    ("CLIMATE_GROUP_NEW", "FREQUENCY_VALUE_NEW", "REL_FREQ_CLIMATE_NEW"),
+]

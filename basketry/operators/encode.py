@@ -1,8 +1,8 @@
 """Encoders fitted on one frame and applied to others.
 
-A fitted encoder is a small vocabulary or a handful of moments, proven small
-(checked bound) before it is inlined as literal expressions, so applying it is
-a narrow projection with no join.
+A fitted encoder is a vocabulary (the columns it will make) or a handful of
+moments, inlined as literal expressions, so applying it is a narrow projection
+with no join.
 """
 
 from __future__ import annotations
@@ -13,10 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from basketry.operators.lookup import bounded_rows
-
-VOCAB_BOUND = 1_000
-
 
 def categorical_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields
@@ -28,24 +24,19 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
-def fit_vocabulary(df: DataFrame, cols: Sequence[str], bound: int = VOCAB_BOUND) -> dict:
-    """{column: sorted distinct non-null values}, one pass for all columns."""
+def fit_vocabulary(df: DataFrame, cols: Sequence[str]) -> dict:
+    """{column: sorted distinct non-null values}, one pass for all columns. The
+    values become columns of the encoded frame, so the list is its schema:
+    group rare values first where a column has very many."""
     if not cols:
         return {}
     pairs = (df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p"))
         .where(F.col("p.v").isNotNull()).select("p.c", "p.v").distinct())
-    rows = bounded_rows(pairs, bound * len(cols))
-    if rows is None:
-        raise ValueError("vocabulary too large to encode as indicator columns")
     vocab = {c: [] for c in cols}
-    for r in rows:
+    for r in pairs.collect():
         vocab[r["c"]].append(r["v"])
-    for c in vocab:
-        if len(vocab[c]) > bound:
-            raise ValueError(f"{c}: more than {bound} values")
-        vocab[c].sort()
-    return vocab
+    return {c: sorted(v) for c, v in vocab.items()}
 
 
 def sql_ident(name: str) -> str:
@@ -107,7 +98,10 @@ def encode_train_test(train: DataFrame, test: DataFrame | None, drop_cols: Seque
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Two-valued text columns -> 0/1 in alphabetical order of the values."""
-    vocab = fit_vocabulary(df, cols, bound=2)
+    vocab = fit_vocabulary(df, cols)
+    wide = [c for c, v in vocab.items() if len(v) > 2]
+    if wide:
+        raise ValueError(f"more than two values in {wide}")
     repl = {}
     for c, vals in vocab.items():
         expr = None

@@ -9,6 +9,7 @@ is inlined as literals or broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from pyspark.sql.types import NumericType, StringType
 from basketry.functions import constants as K
 from basketry.functions.exprs import (climate_group, concat_text, cut, lookup, target_code,
                                       yes_flag)
-from basketry.operators.lookup import bounded_rows, checked_broadcast, lookup_join
-from basketry.operators.quantiles import quantiles, quantiles_many
+from basketry.operators.lookup import checked_broadcast, lookup_join
+from basketry.operators.quantiles import column_quantiles
+from basketry.session import materialize
 
 AMOUNT = "PURCHASE_AMOUNT_USD"
 
@@ -104,17 +106,17 @@ def _checked_edges(edges, col: str) -> list[float]:
     return list(edges)
 
 
-def quantile_edges(df: DataFrame, col: str, q: int = 4, approx: bool = False) -> list[float]:
-    """Edges of ``q`` equal-frequency bins: min, interior quantiles, max."""
-    probs = [i / q for i in range(q + 1)]
-    got = quantiles(df, col, probs, approx=approx)
-    return _checked_edges(got.get((), None), col)
+def quantile_edges(df: DataFrame, cols: Sequence[str], q: int = 4) -> dict:
+    """{column: edges of ``q`` equal-frequency bins (min, interior quantiles,
+    max)}, all columns in one search."""
+    got = column_quantiles(df, cols, [i / q for i in range(q + 1)])
+    return {c: _checked_edges(got[c], c) for c in cols}
 
 
 def qcut(df: DataFrame, col: str, q: int, labels: Sequence, out: str,
-         edges: Sequence[float] | None = None, approx: bool = False) -> DataFrame:
+         edges: Sequence[float] | None = None) -> DataFrame:
     """Equal-frequency bins, right-closed, lowest edge included (null -> null)."""
-    edges = list(edges) if edges is not None else quantile_edges(df, col, q, approx)
+    edges = list(edges) if edges is not None else quantile_edges(df, [col], q)[col]
     return df.withColumn(out, cut(col, edges, labels, include_lowest=True))
 
 
@@ -171,35 +173,36 @@ def rare_encode(df: DataFrame, min_share: float = K.RARE_SHARE,
     return df.withColumns(repl) if repl else df
 
 
-def association_drop(df: DataFrame, a: str = "DISCOUNT_APPLIED", b: str = "PROMO_CODE_USED",
-                     drop: str = "DISCOUNT_APPLIED", limit: float = K.ASSOCIATION_LIMIT):
-    """Drop ``drop`` when Cramér's V of (a, b) exceeds ``limit``. Returns (df, V)."""
-    from basketry.operators.stats import cramers_v_value
-    if a not in df.columns or b not in df.columns:
-        return df, None
-    v = cramers_v_value(df, a, b)
-    return (df.drop(drop) if v is not None and v > limit else df), v
-
-
 def coerce_features(df: DataFrame) -> DataFrame:
     from basketry.sources.files import coerce_numeric
     return coerce_numeric(df, [AMOUNT, "PREVIOUS_PURCHASES", "AGE", "REVIEW_RATING"])
 
 
+def clean_shoppers(df: DataFrame, min_share: float = K.RARE_SHARE, limit: float = K.ASSOCIATION_LIMIT) -> DataFrame:
+    """The cleaning in front of the features, in order: numbers that came as
+    text are read, rare values of every text column but identifiers -> ``Rare``
+    (a rare state ends in climate ``Unknown``), then the discount column goes
+    if it says the same as the promo column."""
+    from basketry.operators.stats import drop_if_associated
+    df = coerce_features(df)
+    text = [c for c in string_columns(df) if c not in ("ROW_ID", "CUSTOMER_ID")]
+    return drop_if_associated(rare_encode(df, min_share, text), limit=limit)[0]
+
+
 def derive_features(df: DataFrame, variant: str = "a", amount_edges=None, loyalty_edges=None,
-                    top_locations=None, approx: bool = False) -> DataFrame:
+                    top_locations=None) -> DataFrame:
     """The full feature pipeline on a shop frame (one row per shopper)."""
     out = coerce_features(df)
-    if (amount_edges is None or loyalty_edges is None) and not approx:
-        qs = quantiles_many(out, [AMOUNT, "PREVIOUS_PURCHASES"], [0.0, 0.25, 0.5, 0.75, 1.0])
-        amount_edges = amount_edges or _checked_edges(qs[AMOUNT], AMOUNT)
-        loyalty_edges = loyalty_edges or _checked_edges(qs["PREVIOUS_PURCHASES"], "PREVIOUS_PURCHASES")
+    if amount_edges is None or loyalty_edges is None:
+        qs = quantile_edges(out, [AMOUNT, "PREVIOUS_PURCHASES"])
+        amount_edges = amount_edges or qs[AMOUNT]
+        loyalty_edges = loyalty_edges or qs["PREVIOUS_PURCHASES"]
     out = encode_target(out)
     out = derive_spend(out)
     out = map_frequency(out)
     out = map_payment_type(out)
     out = bin_age(out)
-    out = qcut(out, AMOUNT, 4, K.AMOUNT_QUARTILE_LABELS, AMOUNT + "_NEW", amount_edges, approx)
+    out = qcut(out, AMOUNT, 4, K.AMOUNT_QUARTILE_LABELS, AMOUNT + "_NEW", amount_edges)
     out = bin_loyalty(out)
     out = flag_columns(out)
     out = add_climate_group(out)
@@ -207,73 +210,67 @@ def derive_features(df: DataFrame, variant: str = "a", amount_edges=None, loyalt
     out = topk_group(out, keep=top_locations)
     if variant == "b":
         out = topk_group(out, out="TOP_LOCATION_NEW", keep=top_locations)
-    out = qcut(out, "PREVIOUS_PURCHASES", 4, K.LOYALTY_SCORE_LABELS, "LOYALTY_SCORE_NEW",
-               loyalty_edges, approx)
+    out = qcut(out, "PREVIOUS_PURCHASES", 4, K.LOYALTY_SCORE_LABELS, "LOYALTY_SCORE_NEW", loyalty_edges)
     out = interaction_features(out)
     return out.drop("TEMP_TARGET")
 
 
 # --------------------------------------------------------------------------- fitted lookups
-def fit_conditional_counts(train: DataFrame, group: str, cat: str) -> DataFrame:
-    """(group, cat, n) for rows where both are present."""
-    return (train.where(F.col(group).isNotNull() & F.col(cat).isNotNull())
-            .groupBy(group, cat).agg(F.count(F.lit(1)).alias("n_gc")))
-
-
-def fit_conditional_probs(train: DataFrame, group: str, cat: str, smoothing: float = 1.0,
-                          bound: int = 10_000) -> DataFrame:
-    """P(cat | group) = (n_gc + s) / sum_c (n_gc + s) over every seen group x
-    every seen category (unseen pairs get s / (n_g + s K)).
-
-    The category list is checked against ``bound`` and expanded per group as a
-    literal array, so the product is generated without a join."""
-    counts = fit_conditional_counts(train, group, cat)
-    cats_rows = bounded_rows(counts.select(cat).distinct().orderBy(cat), bound)
-    if cats_rows is None:
-        raise ValueError(f"more than {bound} categories in {cat}")
-    cats = [r[cat] for r in cats_rows]
-    kk = float(len(cats))
-    s = float(smoothing)
-    groups = counts.groupBy(group).agg(F.sum("n_gc").alias("n_g"))
-    grid = groups.select(group, "n_g", F.explode(F.array(*[F.lit(c) for c in cats])).alias(cat))
-    return (grid.join(counts, [group, cat], "left")
-            .select(group, cat, ((F.coalesce(F.col("n_gc"), F.lit(0)) + s)
-                                 / (F.col("n_g") + s * kk)).alias("prob")))
-
-
-def fit_conditional_probs_many(train: DataFrame, group: str, cats: Sequence[str], smoothing: float = 1.0,
-                               bound: int = 100_000) -> dict:
-    """``fit_conditional_probs`` for several category columns in one pass:
-    (column, group, category) counts are folded together and collected under a
-    row bound; each smoothed table (every seen group x every seen category of
-    that column) is returned as a broadcast local table."""
-    spark = train.sparkSession
+def _pair_counts(train: DataFrame, group: str, cats: Sequence[str]) -> DataFrame:
+    """(k, group, cat, n) of several category columns in one pass: rows are
+    folded to (column, group, category) and counted."""
     items = [F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("c")) for i, c in enumerate(cats)]
-    long = (train.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*items)).alias("s"))
+    long = (train.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.explode(F.array(*items)).alias("s"))
             .where(F.col("s.c").isNotNull()))
-    rows = bounded_rows(long.groupBy(F.col("s.k").alias("k"), group, F.col("s.c").alias("c"))
-                        .agg(F.count(F.lit(1)).alias("n")), bound)
-    if rows is None:
-        raise ValueError(f"more than {bound} (group, category) pairs")
-    dtypes = dict(train.dtypes)
-    s_ = float(smoothing)
+    return long.groupBy(F.col("s.k").alias("k"), "g", F.col("s.c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataclass
+class ConditionalProbs:
+    """Smoothed P(cat | group): observed pairs, what an unseen pair of a seen
+    group gets, and the seen categories. Three small tables instead of their
+    product; each is broadcast where its checked size allows."""
+    pairs: DataFrame   # g, c, prob
+    groups: DataFrame  # g, unseen
+    cats: DataFrame    # c
+
+
+def fit_conditional_probs_many(train: DataFrame, group: str, cats: Sequence[str], smoothing: float = 1.0) -> dict:
+    """{column: ConditionalProbs} of several category columns, all counted in
+    one pass whose result is written once: P = (n_gc + s) / (n_g + s K)."""
+    counts = materialize(_pair_counts(train, group, cats), "pair-counts")
+    s_ = F.lit(float(smoothing))
     out = {}
     for i, c in enumerate(cats):
-        cnt = {(r[group], r["c"]): r["n"] for r in rows if r["k"] == i}
-        groups = sorted({g for g, _ in cnt}, key=str)
-        values = sorted({v for _, v in cnt})
-        ng = {g: sum(n for (gg, _), n in cnt.items() if gg == g) for g in groups}
-        kk = float(len(values))
-        table = [(g, v, (cnt.get((g, v), 0) + s_) / (ng[g] + s_ * kk)) for g in groups for v in values]
-        df = spark.createDataFrame(table, f"`{group}` {dtypes[group]}, _c string, prob double")
-        out[c] = F.broadcast(df.select(group, F.col("_c").cast(dtypes[c]).alias(c), "prob"))
+        mine = counts.where(F.col("k") == i).select("g", F.col("c").cast(train.schema[c].dataType).alias("c"), "n")
+        size = mine.agg(F.count_distinct("c").alias("kk")).first()["kk"]
+        groups = mine.groupBy("g").agg(F.sum("n").alias("n_g")).withColumn("_total", F.col("n_g") + s_ * size)
+        pairs = mine.join(checked_broadcast(groups), "g").select("g", "c", ((F.col("n") + s_) / F.col("_total")).alias("prob"))
+        out[c] = ConditionalProbs(checked_broadcast(pairs), checked_broadcast(groups.select("g", (s_ / F.col("_total")).alias("unseen"))),
+                                  checked_broadcast(mine.select("c").distinct()))
     return out
 
 
-def map_conditional_probs(df: DataFrame, probs: DataFrame, group: str, cat: str, out: str) -> DataFrame:
-    """Attach P(cat | group); pairs outside the fitted table give null."""
-    p = probs.select(group, cat, F.col("prob").alias(out))
-    return lookup_join(df, p, [group, cat])
+def fit_conditional_probs(train: DataFrame, group: str, cat: str, smoothing: float = 1.0) -> DataFrame:
+    """(group, cat, prob) for every seen group and every seen category, spelled
+    out: the observed pairs, and for each group the categories it lacks."""
+    fit = fit_conditional_probs_many(train, group, [cat], smoothing)[cat]
+    all_cats = fit.cats.agg(F.collect_list("c").alias("_all")).withColumn("_one", F.lit(1))  # the table's own second axis
+    grid = fit.groups.withColumn("_one", F.lit(1)).join(all_cats, "_one").select("g", "unseen", F.explode("_all").alias("c"))
+    return (grid.join(fit.pairs, ["g", "c"], "left")
+            .select(F.col("g").alias(group), F.col("c").alias(cat), F.coalesce("prob", "unseen").alias("prob")))
+
+
+def map_conditional_probs(df: DataFrame, fit, group: str, cat: str, out: str) -> DataFrame:
+    """Attach P(cat | group); groups or categories never seen give null.
+    ``fit`` is a ``ConditionalProbs`` or a (group, cat, prob) table."""
+    if isinstance(fit, DataFrame):
+        return lookup_join(df, fit.select(group, cat, F.col("prob").alias(out)), [group, cat])
+    seen = (df.join(fit.pairs.select(F.col("g").alias(group), F.col("c").alias(cat), F.col("prob").alias("_p")), [group, cat], "left")
+            .join(fit.groups.select(F.col("g").alias(group), F.col("unseen").alias("_u")), group, "left")
+            .join(fit.cats.select(F.col("c").alias(cat), F.lit(True).alias("_seen")), cat, "left"))
+    cols = [c for c in df.columns if c != out]
+    return seen.select(*cols, F.coalesce("_p", F.when(F.col("_seen"), F.col("_u"))).alias(out))
 
 
 def conditional_prob_features(train: DataFrame, test: DataFrame | None = None,
@@ -286,10 +283,9 @@ def conditional_prob_features(train: DataFrame, test: DataFrame | None = None,
     fitted = fit_conditional_probs_many(train, group, list(cats), smoothing)  # one pass for all
     for c in cats:
         name = f"P_{c}_given_CLIMATE_NEW"
-        probs = fitted[c]
-        train = map_conditional_probs(train, probs, group, c, name)
+        train = map_conditional_probs(train, fitted[c], group, c, name)
         if test is not None:
-            test = map_conditional_probs(test, probs, group, c, name)
+            test = map_conditional_probs(test, fitted[c], group, c, name)
         outs.append(name)
     if test is not None:  # test rows outside the fitted table take the train mean (one pass)
         means = train.agg(*[F.avg(o).alias(o) for o in outs]).first()
@@ -303,6 +299,7 @@ def conditional_prob_features(train: DataFrame, test: DataFrame | None = None,
     return train, test
 
 
+# --------------------------------------------------------------------------- group means
 def group_means(df: DataFrame, group: str, value: str, out: str = "_mean") -> DataFrame:
     return df.groupBy(group).agg(F.avg(F.col(value).cast("double")).alias(out))
 
@@ -378,29 +375,23 @@ def align_schema(df: DataFrame, columns: Sequence[str], fill=0) -> DataFrame:
     return df.select(*[F.col(c) if c in have else F.lit(fill).alias(c) for c in columns])
 
 
-def fit_group_means(train: DataFrame, specs: Sequence[tuple[str, str]], bound: int = 20_000) -> list:
+def fit_group_means(train: DataFrame, specs: Sequence[tuple[str, str]]) -> list:
     """Means of several (group, value) pairs in one pass: [(per-group table
-    (group, _gm) as a broadcast local table, global mean)] in spec order.
-    Rows of all specs are folded into (spec, group value, value) and
-    aggregated with grouping sets (per group and per spec)."""
-    spark = train.sparkSession
+    (group, _gm), broadcast where its checked size allows, global mean)] in spec
+    order. Rows of all specs are folded into (spec, group value, value) and
+    aggregated with grouping sets (per group and per spec); the result is
+    written once."""
     items = [F.struct(F.lit(i).alias("k"), F.col(g).cast("string").alias("gv"),
                       F.col(v).cast("double").alias("x")) for i, (g, v) in enumerate(specs)]
     long = train.select(F.explode(F.array(*items)).alias("s")).select("s.*")
     agg = (long.rollup("k", "gv").agg(F.avg("x").alias("m"), F.grouping_id().alias("gid"))
            .where(F.col("k").isNotNull()))
-    rows = bounded_rows(agg, bound * len(specs))
-    if rows is None:
-        raise ValueError("too many groups for a broadcast lookup")
+    agg = materialize(agg, "group-means")
+    glob = {r["k"]: r["m"] for r in agg.where("gid = 1").collect()}  # one row per spec
     dtypes = dict(train.dtypes)
-    out = []
-    for i, (g, _v) in enumerate(specs):
-        per = [(r["gv"], r["m"]) for r in rows if r["k"] == i and r["gid"] == 0 and r["gv"] is not None]
-        glob = [r["m"] for r in rows if r["k"] == i and r["gid"] == 1]
-        table = spark.createDataFrame(per, f"gv string, _gm double").select(
-            F.col("gv").cast(dtypes[g]).alias(g), "_gm")
-        out.append((F.broadcast(table), glob[0] if glob else None))
-    return out
+    return [(checked_broadcast(agg.where((F.col("k") == i) & (F.col("gid") == 0) & F.col("gv").isNotNull())
+                               .select(F.col("gv").cast(dtypes[g]).alias(g), F.col("m").alias("_gm"))), glob.get(i))
+            for i, (g, _v) in enumerate(specs)]
 
 
 def group_mean_ratios(train: DataFrame, test: DataFrame | None, specs: Sequence[tuple[str, str, str]]):

@@ -22,24 +22,20 @@ def bounded_rows(df: DataFrame, bound: int = LOOKUP_BOUND):
 
 def checked_broadcast(small: DataFrame, bound: int = LOOKUP_BOUND) -> DataFrame:
     """``small`` as a broadcast local table when its size is proven <= bound,
-    else ``small`` unchanged (the caller's join then shuffles)."""
+    else ``small`` unchanged (the caller's join then shuffles). A table that
+    has been checked is returned as it is."""
+    if getattr(small, "_checked", False):
+        return small
     rows = bounded_rows(small, bound)
     if rows is None:
-        return small
-    spark = small.sparkSession
-    return F.broadcast(spark.createDataFrame(rows, small.schema))
-
-
-def _is_local(df: DataFrame) -> bool:
-    """True when ``df`` is already a driver-side table (the output of
-    ``checked_broadcast``), possibly under projections."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return (("LogicalRDD" in plan or "LocalRelation" in plan)
-            and not any(t in plan for t in ("parquet", "Aggregate", "Join", "Window")))
+        out = small.select("*")
+    else:
+        out = F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+    out._checked = True
+    return out
 
 
 def lookup_join(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
                 bound: int = LOOKUP_BOUND) -> DataFrame:
     """Equi lookup of ``small`` on ``keys`` (null keys never match)."""
-    side = small if _is_local(small) else checked_broadcast(small, bound)
-    return df.join(side, list(keys), how)
+    return df.join(checked_broadcast(small, bound), list(keys), how)

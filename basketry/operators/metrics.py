@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import constants as K
+from basketry.operators.lookup import checked_broadcast
 from basketry.operators.ranking import running_sums
 
 
@@ -85,13 +86,15 @@ def best_threshold(sweep: DataFrame, min_recall: float = K.TARGET_RECALL_V2,
     """Per model: among thresholds with recall >= min_recall the one with the
     highest precision (lowest threshold on ties); none -> ``default``. Returns
     the sweep row of the chosen threshold plus ``met`` (1 if the target held)."""
-    ok = sweep.where(F.col("recall") >= F.lit(min_recall))
-    pick = ok.groupBy(model).agg(
-        F.min(F.struct((-F.col("precision")).alias("np"), F.col("threshold").alias("t"))).alias("_b"))
-    chosen = (sweep.select(model).distinct().join(pick, model, "left")
-              .select(model, F.coalesce(F.col("_b.t"), F.lit(float(default))).alias("threshold"),
-                      F.col("_b").isNotNull().cast("int").alias("met")))
-    return sweep.join(chosen, [model, "threshold"])
+    rest = [c for c in sweep.columns if c not in (model, "threshold")]
+    line = F.struct("threshold", *rest)
+    met = F.col("recall") >= F.lit(min_recall)
+    # one aggregate: the best row that meets the target, else the default's row
+    pick = sweep.groupBy(model).agg(
+        F.min_by(F.when(met, line), F.when(met, F.struct((-F.col("precision")).alias("np"), F.col("threshold").alias("t")))).alias("_b"),
+        F.max(F.when(F.col("threshold") == F.lit(float(default)), line)).alias("_d"))
+    return (pick.select(model, F.coalesce("_b", "_d").alias("_r"), F.col("_b").isNotNull().cast("int").alias("met"))
+            .where("_r is not null").select(model, "_r.*", "met"))
 
 
 def confusion_matrix(scored: DataFrame, thresholds: DataFrame | float, model: str = "model",
@@ -102,7 +105,7 @@ def confusion_matrix(scored: DataFrame, thresholds: DataFrame | float, model: st
         t = F.lit(float(thresholds))
         src = scored
     else:
-        src = scored.join(F.broadcast(thresholds.select(model, "threshold")), model)  # one row per model
+        src = scored.join(checked_broadcast(thresholds.select(model, "threshold")), model)
         t = F.col("threshold")
     pred = (F.col(p) >= t).cast("int")
     cells = src.groupBy(model, F.col(y).cast("int").alias("actual"), pred.alias("predicted")).agg(
@@ -115,24 +118,20 @@ def confusion_matrix(scored: DataFrame, thresholds: DataFrame | float, model: st
             .select(model, "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def score_counts(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p",
-                 decimals: int | None = None) -> DataFrame:
-    """(model, score, pos, neg) per distinct score; ``decimals`` rounds
-    continuous scores first so the per-model frame stays bounded."""
-    s = F.col(p) if decimals is None else F.round(F.col(p), decimals)
+def score_counts(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
+    """(model, score, pos, neg) per distinct score."""
     yy = F.col(y).cast("long")
-    return (scored.select(model, s.alias("score"), yy.alias("_y")).groupBy(model, "score")
+    return (scored.select(model, F.col(p).alias("score"), yy.alias("_y")).groupBy(model, "score")
             .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")))
 
 
-def roc_curve(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p",
-              decimals: int | None = None) -> DataFrame:
+def roc_curve(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
     """(model, score, fpr, tpr) at every distinct score (descending), plus the
     (0, 0) start point with a null score."""
-    c = score_counts(scored, model, y, p, decimals)
+    c = score_counts(scored, model, y, p)
     cum = running_sums(c, [model], "score", ["pos", "neg"], descending=True)
     tot = c.groupBy(model).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    pts = cum.join(F.broadcast(tot), model).select(  # one row per model
+    pts = cum.join(checked_broadcast(tot), model).select(
         model, "score", _safe(F.col("cum_neg"), F.col("N")).alias("fpr"),
         _safe(F.col("cum_pos"), F.col("P")).alias("tpr"))
     start = tot.select(model, F.lit(None).cast("double").alias("score"),
@@ -140,11 +139,10 @@ def roc_curve(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p
     return pts.unionByName(start)
 
 
-def auc(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p",
-        decimals: int | None = None) -> DataFrame:
+def auc(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
     """(model, auc): trapezoid area under the ROC curve, i.e. the Mann-Whitney
     probability with ties counted one half."""
-    c = score_counts(scored, model, y, p, decimals)
+    c = score_counts(scored, model, y, p)
     above = running_sums(c, [model], "score", ["pos"], descending=True, inclusive=False, prefix="above_")
     part = above.select(model, "pos", "neg", (F.col("neg") * (F.col("above_pos") + F.col("pos") / 2.0)).alias("_u"))
     return part.groupBy(model).agg(
@@ -154,34 +152,44 @@ def auc(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p",
 def classification_report(scored: DataFrame, thresholds: DataFrame | float, model: str = "model",
                           y: str = "y", p: str = "p") -> DataFrame:
     """(model, label, precision, recall, f1, support) for classes 0 and 1,
-    'accuracy' (f1 column holds the accuracy), 'macro avg', 'weighted avg'."""
-    cm = confusion_matrix(scored, thresholds, model, y, p)
-    wide = cm.groupBy(model).agg(*[
-        F.sum(F.when((F.col("actual") == a) & (F.col("predicted") == b), F.col("n"))).alias(f"c{a}{b}")
-        for a in (0, 1) for b in (0, 1)])
-    rows = []
-    for lab, tp, fp, fn in (("0", "c00", "c10", "c01"), ("1", "c11", "c01", "c10")):
-        pr = _safe(F.col(tp), F.col(tp) + F.col(fp))
-        rc = _safe(F.col(tp), F.col(tp) + F.col(fn))
-        f1 = F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(F.lit(0.0))
-        rows.append(F.struct(F.lit(lab).alias("label"), pr.alias("precision"), rc.alias("recall"),
-                             f1.alias("f1"), (F.col(tp) + F.col(fn)).alias("support")))
-    per = wide.select(model, F.explode(F.array(*rows)).alias("r")).select(model, "r.*")
-    tot = wide.select(model, (F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")).alias("_t"),
-                      ((F.col("c00") + F.col("c11")) / (F.col("c00") + F.col("c01") + F.col("c10")
-                                                          + F.col("c11"))).alias("_acc"))
-    accuracy = tot.select(model, F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                          F.lit(None).cast("double").alias("recall"), F.col("_acc").alias("f1"),
-                          F.col("_t").alias("support"))
-    macro = per.groupBy(model).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                                   F.avg("f1").alias("f1"), F.sum("support").alias("support"))
-    weighted = per.groupBy(model).agg(*[
-        (F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(m) for m in ("precision", "recall", "f1")
-    ], F.sum("support").alias("support"))
-    return (per.unionByName(accuracy)
-            .unionByName(macro.select(model, F.lit("macro avg").alias("label"), "precision", "recall", "f1", "support"))
-            .unionByName(weighted.select(model, F.lit("weighted avg").alias("label"), "precision", "recall", "f1",
-                                         "support")))
+    'accuracy' (f1 column holds the accuracy), 'macro avg', 'weighted avg'.
+    ``thresholds`` is one float or a (model, threshold) frame."""
+    if isinstance(thresholds, (int, float)):
+        src, t = scored, F.lit(float(thresholds))
+    else:
+        src, t = scored.join(checked_broadcast(thresholds.select(model, "threshold")), model), F.col("threshold")
+    yes, hit = F.col(y) == 1, F.col(p) >= t
+    cells = src.groupBy(model).agg(F.count_if(yes & hit).alias("tp"), F.count_if(~yes & hit).alias("fp"),
+                                   F.count_if(yes & ~hit).alias("fn"), F.count_if(~yes & ~hit).alias("tn"))
+    return report_rows(cells, model)
+
+
+def tuned_report(scored: DataFrame, min_recall: float = K.TARGET_RECALL_V2, default: float = K.DEFAULT_THRESHOLD,
+                 model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
+    """``classification_report`` at each model's own best threshold, from one
+    scan: the sweep's counts at the chosen threshold are the report's cells."""
+    best = best_threshold(threshold_sweep(scored, None, model, y, p), min_recall, default, model)
+    return report_rows(best.select(model, "tp", "fp", "fn", "tn"), model)
+
+
+def report_rows(cells: DataFrame, model: str = "model") -> DataFrame:
+    """Five report rows of every (model, tp, fp, fn, tn)."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+
+    def rates(hit, false, missed):
+        pr, rc = _safe(hit, hit + false), _safe(hit, hit + missed)
+        return pr, rc, F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(F.lit(0.0))
+
+    def row(label, pr, rc, f1, support):
+        return F.struct(F.lit(label).alias("label"), pr.alias("precision"), rc.alias("recall"), f1.alias("f1"), support.alias("support"))
+
+    neg, pos = rates(tn, fn, fp), rates(tp, fp, fn)
+    n0, n1 = tn + fp, tp + fn
+    none = F.lit(None).cast("double")
+    rows = [row("0", *neg, n0), row("1", *pos, n1), row("accuracy", none, none, (tp + tn) / (n0 + n1), n0 + n1),
+            row("macro avg", *[(a + b) / 2 for a, b in zip(neg, pos)], n0 + n1),
+            row("weighted avg", *[(a * n0 + b * n1) / (n0 + n1) for a, b in zip(neg, pos)], n0 + n1)]
+    return cells.select(model, F.explode(F.array(*rows)).alias("r")).select(model, "r.*")
 
 
 def compare_models(scored: DataFrame, min_recall: float = K.TARGET_RECALL_V1, model: str = "model",

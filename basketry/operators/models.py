@@ -7,10 +7,12 @@ train part only and then applied to test rows or new customers.
 
 from __future__ import annotations
 
+import importlib
+import json
 import math
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -18,14 +20,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import constants as K
 from basketry.operators import encode as E
 from basketry.operators import features as FE
 from basketry.operators import metrics as M
+from basketry.operators.lookup import checked_broadcast, lookup_join
 from basketry.operators.split import fold_column
+from basketry.session import materialize
 
 LABEL = "label"
 WEIGHT = "weight"
@@ -33,8 +37,8 @@ WEIGHT = "weight"
 
 @dataclass
 class TrainConfig:
-    """Model sizes. The defaults follow the analysed workload; ``quick()``
-    gives the small sizes used by the registered queries and tests."""
+    """Model sizes, FIXED VALUES of the analysed workload: feature selection by
+    200 trees, four candidates, 5 folds, and a grid per winner."""
     select_trees: int = 200
     select_depth: int = 12
     rf_trees: int = 100
@@ -53,14 +57,13 @@ class TrainConfig:
         "LogisticRegression": {"C": [0.1, 1.0, 10.0]},
     })
 
-    @staticmethod
-    def quick() -> "TrainConfig":
-        return TrainConfig(select_trees=30, select_depth=8, rf_trees=20, rf_depth=8, gbt_iter=20, folds=3,
-                           lr_max_iter=100, grids={
-                               "RandomForest": {"numTrees": [20], "maxDepth": [6, 10]},
-                               "GBT": {"stepSize": [0.1], "maxIter": [20], "maxDepth": [3, 5]},
-                               "GBT_deep": {"stepSize": [0.1], "maxIter": [20], "maxDepth": [4, 6]},
-                               "LogisticRegression": {"C": [0.1, 1.0, 10.0]}})
+
+def earlier_config() -> TrainConfig:
+    """FIXED VALUES of the earlier variant: 100-tree selection over all rows, a
+    24-point forest grid (12 here: MLlib has no minimum split size) scored by
+    precision over 3 folds, recall target 0.80."""
+    return TrainConfig(select_trees=100, folds=3, min_recall=K.TARGET_RECALL_V1,
+                       grids={"RandomForest": {"numTrees": [100, 200], "maxDepth": [8, 12, 16], "minInstancesPerNode": [1, 2]}})
 
 
 # --------------------------------------------------------------------------- estimators
@@ -74,9 +77,11 @@ def logistic_model(n_rows: int, C: float = 1.0, max_iter: int = 1000, balanced:
 
 def random_forest_model(num_trees: int = 100, max_depth: int = 12, seed: int = 42, balanced: bool = True,
                         min_instances: int = 1):
+    if max_depth > 30:
+        raise ValueError("MLlib trees are at most 30 deep")
     kw = {"weightCol": WEIGHT} if balanced else {}
     return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=num_trees,
-                                  maxDepth=min(max_depth, 30), seed=seed, minInstancesPerNode=min_instances,
+                                  maxDepth=max_depth, seed=seed, minInstancesPerNode=min_instances,
                                   **kw)
 
 
@@ -95,6 +100,16 @@ def candidate_models(n_rows: int, cfg: TrainConfig) -> dict:
     }
 
 
+def earlier_models(n_rows: int, cfg: TrainConfig) -> dict:
+    """The four fixed models the earlier variant compares."""
+    return {
+        "LogisticRegression": logistic_model(n_rows, 1.0, cfg.lr_max_iter, balanced=True),
+        "RandomForest": random_forest_model(200, 12, cfg.seed),
+        "GBT": gbt_model(200, 6, 0.1, cfg.seed),
+        "GBT_deep": gbt_model(200, 8, 0.1, cfg.seed),
+    }
+
+
 def probability(pred: DataFrame, out: str = "p") -> DataFrame:
     return pred.withColumn(out, vector_to_array(F.col("probability"))[1])
 
@@ -118,12 +133,18 @@ def auc_of(pred: DataFrame) -> float:
                                          metricName="areaUnderROC").evaluate(pred)
 
 
+def _folded(data: DataFrame, folds: int, seed: int) -> DataFrame:
+    """``data`` with its stratified folds (kept if it has them already)."""
+    return data if "fold" in data.columns else fold_column(data, LABEL, "ROW_ID", folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cross_validate(data: DataFrame, estimators: dict, folds: int = 5, seed: int = 42,
                    parallelism: int = 4) -> DataFrame:
     """(model, cv_auc_mean, cv_auc_std, folds, winner): stratified folds (hash
     order within label), ROC-AUC per held-out fold, population std; the
-    winner is the strictly greatest mean (first model on ties)."""
-    fd = fold_column(data, LABEL, "ROW_ID", folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    winner is the strictly greatest mean (first model on ties). Data that
+    carry a ``fold`` column keep it."""
+    fd = _folded(data, folds, seed)
 
     def one(task):
         name, i = task
@@ -135,7 +156,8 @@ def cross_validate(data: DataFrame, estimators: dict, folds: int = 5, seed: int
         with ThreadPoolExecutor(max_workers=parallelism) as pool:  # independent Spark jobs
             results = list(pool.map(one, tasks))
     finally:
-        fd.unpersist()
+        if fd is not data:
+            fd.unpersist()
     rows = []
     for name in estimators:
         scores = [a for n, _, a in sorted(results, key=lambda r: r[1]) if n == name]
@@ -167,7 +189,7 @@ def grid_search(data: DataFrame, name: str, cfg: TrainConfig, metric: str = "are
             b = b.addGrid(est.getParam(p), vals)
         maps = b.build()
     nf = folds or cfg.folds
-    fd = fold_column(data, LABEL, "ROW_ID", nf, cfg.seed).persist(StorageLevel.MEMORY_AND_DISK)
+    fd = _folded(data, nf, cfg.seed)
     try:
         if metric in ("areaUnderROC", "areaUnderPR"):
             ev = BinaryClassificationEvaluator(labelCol=LABEL, metricName=metric)
@@ -203,7 +225,8 @@ def grid_search(data: DataFrame, name: str, cfg: TrainConfig, metric: str = "are
                     best, best_model = mean, e
             best_model = best_model.fit(fd)
     finally:
-        fd.unpersist()
+        if fd is not data:
+            fd.unpersist()
     frame = data.sparkSession.createDataFrame(res, "params string, cv_metric double")
     return best_model, frame
 
@@ -218,11 +241,11 @@ def feature_importance(model, names: Sequence[str], top: int | None = 20, spark=
 
 def coefficients(model, names: Sequence[str], top: int | None = 20, spark=None) -> DataFrame:
     co = model.coefficients.toArray()
-    rows = sorted(((n, float(c), math.exp(float(c)), abs(float(c))) for n, c in zip(names, co)),
-                  key=lambda r: (-r[3], r[0]))
+    rows = sorted(((n, float(c), abs(float(c))) for n, c in zip(names, co)), key=lambda r: (-r[2], r[0]))
     if top:
         rows = rows[:top]
-    return spark.createDataFrame(rows, "feature string, coef double, odds_ratio double, abs_coef double")
+    out = spark.createDataFrame(rows, "feature string, coef double, abs_coef double")
+    return out.select("feature", "coef", F.exp("coef").alias("odds_ratio"), "abs_coef")  # a large coefficient gives infinity
 
 
 def select_features(data: DataFrame, names: Sequence[str], cfg: TrainConfig, fallback: bool = True):
@@ -237,9 +260,19 @@ def select_features(data: DataFrame, names: Sequence[str], cfg: TrainConfig, fal
 
 
 # --------------------------------------------------------------------------- pipeline
+RATIO_SPECS = K.RATIO_SPECS
+PROB_CATS = ["CATEGORY", "SIZE", "SEASON"]
+NOT_FEATURES = ["SUBSCRIPTION", "PROMO_USED_VAL"]
+CLIMATE = "CLIMATE_GROUP_NEW"
+KEEP = ["ROW_ID", LABEL, WEIGHT]
+
+
 @dataclass
-class Trained:
-    cfg: TrainConfig
+class Scorer:
+    """Everything scoring needs, fitted on the train part: lookups, vocabulary,
+    chosen columns, scaler, model and threshold. ``save`` writes it to a shared
+    folder; ``load_scorer`` reads it back, so a scoring job or stream starts
+    without training."""
     cond_probs: dict
     prob_means: dict
     ratio_means: dict
@@ -247,102 +280,166 @@ class Trained:
     encoded_columns: list
     selected: list
     scaler: dict
-    model: object
-    model_name: str
-    threshold: float
+    model: object = None
+    model_name: str = ""
+    threshold: float = K.DEFAULT_THRESHOLD
+
+    def features(self, df: DataFrame) -> DataFrame:
+        """Attach the fitted conditional probabilities and group-mean ratios."""
+        out = df
+        for c in PROB_CATS:
+            name = f"P_{c}_given_CLIMATE_NEW"
+            out = FE.map_conditional_probs(out, self.cond_probs[c], CLIMATE, c, name)
+            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(self.prob_means[name])))
+        out = out.withColumn("CLIMATE_ITEM_FIT_SCORE_NEW", F.col("P_CATEGORY_given_CLIMATE_NEW")
+                             * F.col("P_SIZE_given_CLIMATE_NEW") * F.col("P_SEASON_given_CLIMATE_NEW"))
+        for g, v, o in RATIO_SPECS:
+            means, gm = self.ratio_means[o]
+            x = F.col(v).cast("double")
+            out = lookup_join(out, means, [g]).withColumn(o, F.coalesce(F.try_divide(x, F.col("_gm")), F.try_divide(x, F.lit(gm)))).drop("_gm")
+        return out
+
+    def encode(self, df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+        """``keep`` and exactly ``columns``: one-hot by the fitted vocabulary,
+        absent columns 0."""
+        kept = df.select("*", *[F.col(k).alias(f"_keep_{k}") for k in keep])
+        enc = E.one_hot_apply(kept.drop(*[c for c in K.MODEL_DROP_COLUMNS if c in df.columns]), self.vocab)
+        have = set(enc.columns)
+        return enc.select(*[F.col(f"_keep_{k}").alias(k) for k in keep], *[F.col(c) if c in have else F.lit(0).alias(c) for c in columns])
+
+    def matrix(self, encoded: DataFrame, keep: Sequence[str] = ("ROW_ID",)) -> DataFrame:
+        """Scaled feature vectors; nulls are 0 before scaling, as in selection."""
+        return model_frame(E.standardize_apply(zero_filled(encoded, self.selected), self.scaler), self.selected, keep)
+
+    def score(self, df: DataFrame, keep: Sequence[str] = ("ROW_ID",), fitted: bool = False) -> DataFrame:
+        """keep + p + decision, one row per row of ``df`` (no join on an id)."""
+        f = df if fitted else self.features(df)
+        f = f.withColumn(LABEL, F.lit(0)).withColumn(WEIGHT, F.lit(1.0))
+        mf = self.matrix(self.encode(f, self.selected, [*keep, LABEL, WEIGHT]), keep)
+        return probability(self.model.transform(mf)).select(*keep, "p", (F.col("p") >= F.lit(self.threshold)).cast("int").alias("decision"))
+
+    def save(self, path: str) -> str:
+        spark = SparkSession.getActiveSession()
+        for c, fit in self.cond_probs.items():
+            for part in ("pairs", "groups", "cats"):
+                getattr(fit, part).write.mode("error").parquet(f"{path}/probs/{c}/{part}")
+        for o, (means, _) in self.ratio_means.items():
+            means.write.mode("error").parquet(f"{path}/means/{o}")
+        self.model.write().save(f"{path}/model")
+        meta = {"prob_means": self.prob_means, "global_means": {o: gm for o, (_, gm) in self.ratio_means.items()}, "vocab": self.vocab,
+                "encoded_columns": self.encoded_columns, "selected": self.selected, "scaler": self.scaler, "model_name": self.model_name,
+                "model_class": f"{type(self.model).__module__}.{type(self.model).__name__}", "threshold": self.threshold}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("error").parquet(f"{path}/meta")
+        return path
+
+
+def load_scorer(spark: SparkSession, path: str) -> Scorer:
+    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+    module, name = meta["model_class"].rsplit(".", 1)
+    model = getattr(importlib.import_module(module), name).load(f"{path}/model")
+
+    def table(p):
+        return checked_broadcast(spark.read.parquet(f"{path}/{p}"))
+
+    probs = {c: FE.ConditionalProbs(*[table(f"probs/{c}/{part}") for part in ("pairs", "groups", "cats")]) for c in PROB_CATS}
+    means = {o: (table(f"means/{o}"), meta["global_means"][o]) for _, _, o in RATIO_SPECS}
+    return Scorer(probs, meta["prob_means"], means, meta["vocab"], meta["encoded_columns"], meta["selected"],
+                  {c: tuple(v) for c, v in meta["scaler"].items()}, model, meta["model_name"], meta["threshold"])
+
+
+def zero_filled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols})
+
+
+@dataclass
+class Trained:
+    cfg: TrainConfig
+    scorer: Scorer
+    train: DataFrame  # ROW_ID, label, weight and every encoded column, written
+    test: DataFrame
     cv: DataFrame
     grid: DataFrame
     importances: DataFrame
     scored_test: DataFrame
 
 
-RATIO_SPECS = [("CATEGORY", "PURCHASE_AMOUNT_USD", "REL_SPEND_CAT_NEW"),
-               ("CLIMATE_GROUP_NEW", "PURCHASE_AMOUNT_USD", "PURCHASE_AMT_REL_CLIMATE_NEW"),
-               ("AGE_NEW", "PURCHASE_AMOUNT_USD", "REL_SPEND_AGE_NEW"),
-               ("CLIMATE_GROUP_NEW", "FREQUENCY_VALUE_NEW", "REL_FREQ_CLIMATE_NEW")]
-PROB_CATS = ["CATEGORY", "SIZE", "SEASON"]
-NOT_FEATURES = ["SUBSCRIPTION", "PROMO_USED_VAL"]
-CLIMATE = "CLIMATE_GROUP_NEW"
+def fit_encoder(train: DataFrame) -> tuple[Scorer, DataFrame]:
+    """(scorer without model, encoded train rows): lookups in one pass each,
+    vocabulary, leakage and label-derived columns dropped."""
+    probs = FE.fit_conditional_probs_many(train, CLIMATE, PROB_CATS)
+    means = {o: fit for (_g, _v, o), fit in zip(RATIO_SPECS, FE.fit_group_means(train, [(g, v) for g, v, _ in RATIO_SPECS]))}
+    names = [f"P_{c}_given_CLIMATE_NEW" for c in PROB_CATS]
+    tr = train
+    for c, name in zip(PROB_CATS, names):
+        tr = FE.map_conditional_probs(tr, probs[c], CLIMATE, c, name)
+    row = tr.agg(*[F.avg(n).alias(n) for n in names]).first()
+    scorer = Scorer(probs, {n: row[n] for n in names}, means, {}, [], [], {})
+    full = add_label_weight(scorer.features(train))
+    enc, _, scorer.vocab = E.encode_train_test(full, None, K.MODEL_DROP_COLUMNS, keep=KEEP)
+    enc = FE.drop_leakage(enc).drop(*NOT_FEATURES)
+    scorer.encoded_columns = [c for c in enc.columns if c not in KEEP]
+    return scorer, materialize(enc, "encoded-train")
 
 
-def _fitted_features(df: DataFrame, cond_probs: dict, prob_means: dict, ratio_means: dict) -> DataFrame:
-    """Apply the fitted conditional probabilities and group-mean ratios."""
-    out = df
-    for c in PROB_CATS:
-        name = f"P_{c}_given_CLIMATE_NEW"
-        out = FE.map_conditional_probs(out, cond_probs[c], CLIMATE, c, name)
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(prob_means[name])))
-    out = out.withColumn("CLIMATE_ITEM_FIT_SCORE_NEW", F.col("P_CATEGORY_given_CLIMATE_NEW")
-                         * F.col("P_SIZE_given_CLIMATE_NEW") * F.col("P_SEASON_given_CLIMATE_NEW"))
-    for g, v, o in RATIO_SPECS:
-        means, gm = ratio_means[o]
-        from basketry.operators.lookup import lookup_join
-        out = lookup_join(out, means.withColumnRenamed("_gm", "_m"), [g]).withColumn(
-            o, F.coalesce(F.try_divide(F.col(v).cast("double"), F.col("_m")),
-                          F.try_divide(F.col(v).cast("double"), F.lit(gm)))).drop("_m")
-    return out
+def label_only(df: DataFrame, label_col: str = "SUBSCRIPTION_STATUS") -> DataFrame:
+    """The label with weight 1: test rows are never weighted."""
+    return df.withColumn(LABEL, F.coalesce(F.col(label_col) == "Yes", F.lit(False)).cast("int")).withColumn(WEIGHT, F.lit(1.0))
+
+
+def scored_frame(model, name: str, rows: DataFrame) -> DataFrame:
+    return probability(model.transform(rows)).select("ROW_ID", F.lit(name).alias("model"), F.col(LABEL).cast("int").alias("y"), "p")
 
 
 def train_pipeline(feat_split: DataFrame, cfg: TrainConfig | None = None, models: Sequence[str] | None = None,
                    part: str = "part") -> Trained:
     """Fit the whole sequence on the train part and score the test part."""
     cfg = cfg or TrainConfig()
-    spark = feat_split.sparkSession
     train = feat_split.where(F.col(part) == "train").drop(part)
     test = feat_split.where(F.col(part) == "test").drop(part)
-    cond, pmeans = {}, {}
-    tr = train
-    for c in PROB_CATS:
-        name = f"P_{c}_given_CLIMATE_NEW"
-        cond[c] = FE.fit_conditional_probs(train, CLIMATE, c).checkpoint(eager=True)
-        tr = FE.map_conditional_probs(tr, cond[c], CLIMATE, c, name)
-    pm_row = tr.agg(*[F.avg(f"P_{c}_given_CLIMATE_NEW").alias(c) for c in PROB_CATS]).first()
-    pmeans = {f"P_{c}_given_CLIMATE_NEW": pm_row[c] for c in PROB_CATS}
-    fitted = FE.fit_group_means(train, [(g, v) for g, v, _ in RATIO_SPECS])  # one pass, bounded tables
-    rmeans = {o: fit for (_g, _v, o), fit in zip(RATIO_SPECS, fitted)}
-    train_f = add_label_weight(_fitted_features(train, cond, pmeans, rmeans))
-    test_f = add_label_weight(_fitted_features(test, cond, pmeans, rmeans))
-    keep = ["ROW_ID", LABEL, WEIGHT]
-    tr_enc, te_enc, vocab = E.encode_train_test(train_f, test_f, K.MODEL_DROP_COLUMNS, keep=keep)
-    tr_enc, te_enc = FE.drop_leakage(tr_enc), FE.drop_leakage(te_enc)
-    # label-derived and report-only flags are never model inputs
-    tr_enc, te_enc = tr_enc.drop(*NOT_FEATURES), te_enc.drop(*NOT_FEATURES)
-    names = [c for c in tr_enc.columns if c not in keep]
-    tr_enc = tr_enc.checkpoint(eager=True)
-    base = model_frame(tr_enc, names, ("ROW_ID",)).persist(StorageLevel.MEMORY_AND_DISK)
-    selected, imp = select_features(base, names, cfg)
+    scorer, tr_enc = fit_encoder(train)
+    te_enc = materialize(scorer.encode(label_only(scorer.features(test)), scorer.encoded_columns, KEEP), "encoded-test")
+    base = model_frame(tr_enc, scorer.encoded_columns).persist(StorageLevel.MEMORY_AND_DISK)
+    scorer.selected, imp = select_features(base, scorer.encoded_columns, cfg)
     base.unpersist()
-    scaler = E.fit_standardizer(tr_enc, selected)
-    tr_s = model_frame(E.standardize_apply(tr_enc, scaler), selected).persist(StorageLevel.MEMORY_AND_DISK)
-    te_s = model_frame(E.standardize_apply(te_enc, scaler), selected)
+    scorer.scaler = E.fit_standardizer(zero_filled(tr_enc, scorer.selected), scorer.selected)
+    tr_s = scorer.matrix(tr_enc).persist(StorageLevel.MEMORY_AND_DISK)
     n = tr_s.count()
+    folds = fold_column(tr_s, LABEL, "ROW_ID", cfg.folds, cfg.seed).persist(StorageLevel.MEMORY_AND_DISK)
     cands = candidate_models(n, cfg)
     if models:
         cands = {k: v for k, v in cands.items() if k in models}
-    cv = cross_validate(tr_s, cands, cfg.folds, cfg.seed)
-    winner = cv.where(F.col("winner") == 1).first()["model"]
-    best_model, grid = grid_search(tr_s, winner, cfg)
+    cv = cross_validate(folds, cands, cfg.folds, cfg.seed)
+    scorer.model_name = cv.where(F.col("winner") == 1).first()["model"]
+    scorer.model, grid = grid_search(folds, scorer.model_name, cfg)
+    scored = materialize(scored_frame(scorer.model, scorer.model_name, scorer.matrix(te_enc)), "scored-test")
+    folds.unpersist()
     tr_s.unpersist()
-    scored = probability(best_model.transform(te_s)).select(
-        "ROW_ID", F.lit(winner).alias("model"), F.col(LABEL).cast("int").alias("y"), "p")
-    scored = scored.checkpoint(eager=True)
     best = M.best_threshold(M.threshold_sweep(scored), cfg.min_recall).first()
-    return Trained(cfg, cond, pmeans, rmeans, vocab, names, selected, scaler, best_model, winner,
-                   float(best["threshold"]), cv, grid, imp, scored)
+    scorer.threshold = float(best["threshold"]) if best else K.DEFAULT_THRESHOLD
+    return Trained(cfg, scorer, tr_enc, te_enc, cv, grid, imp, scored)
+
+
+def fitted_scores(trained: Trained, models: dict | None = None) -> DataFrame:
+    """(ROW_ID, model, y, p) of the test part for every candidate model fitted
+    on the whole train part: what ``compare_models`` compares."""
+    tr = trained.scorer.matrix(trained.train).persist(StorageLevel.MEMORY_AND_DISK)
+    te = trained.scorer.matrix(trained.test)
+    models = models or candidate_models(tr.count(), trained.cfg)
+    with ThreadPoolExecutor(max_workers=4) as pool:  # independent Spark jobs
+        fits = dict(zip(models, pool.map(lambda e: e.fit(tr), models.values())))
+    out = None
+    for name, m in fits.items():
+        one = scored_frame(m, name, te)
+        out = one if out is None else out.unionByName(one)
+    out = materialize(out, "fitted-scores")
+    tr.unpersist()
+    return out
 
 
-def score_customers(trained: Trained, candidates: DataFrame) -> DataFrame:
-    """(ROW_ID, p, decision) for new customers given as feature rows (the
+def score_customers(scorer: Scorer, candidates: DataFrame, keep: Sequence[str] = ("ROW_ID",)) -> DataFrame:
+    """(keep..., p, decision) for new customers given as feature rows (the
     output of ``derive_features``): same fitted transforms as the test part."""
-    f = _fitted_features(candidates, trained.cond_probs, trained.prob_means, trained.ratio_means)
-    f = f.withColumn(LABEL, F.lit(0)).withColumn(WEIGHT, F.lit(1.0))
-    enc = E.one_hot_apply(f.drop(*[c for c in K.MODEL_DROP_COLUMNS if c in f.columns]), trained.vocab)
-    have = set(enc.columns)
-    enc = enc.select("ROW_ID", LABEL, WEIGHT,
-                     *[F.col(c) if c in have else F.lit(0).alias(c) for c in trained.selected])
-    mf = model_frame(E.standardize_apply(enc, trained.scaler), trained.selected)
-    return probability(trained.model.transform(mf)).select(
-        "ROW_ID", "p", (F.col("p") >= F.lit(trained.threshold)).cast("int").alias("decision"))
+    return scorer.score(candidates, keep)
 
 
 # FIXED VALUES — the candidate form's simplified features: frequency of an
@@ -373,26 +470,18 @@ def candidate_features(cands: DataFrame) -> DataFrame:
         (promo * freq).alias("PROMO_X_FREQ"))
 
 
-def score_candidates(trained: Trained, cands: DataFrame, seg_model=None, seg_scaler=None,
+def score_candidates(scorer: Scorer, cands: DataFrame, seg_model=None, seg_scaler=None,
                      seg_names: DataFrame | None = None) -> DataFrame:
     """(ROW_ID, p, decision[, segment, segment_name]) for raw candidate rows:
     simplified features, one-hot of GENDER and CATEGORY, every other trained
     column 0, the trained scaler and model, then the nearest k-means segment
-    (segmentation scaler) and its name."""
-    f = candidate_features(cands)
-    enc = E.one_hot_apply(f, {c: v for c, v in trained.vocab.items() if c in ("GENDER", "CATEGORY")})
-    have = set(enc.columns)
-    x = enc.select("ROW_ID", F.lit(0).alias(LABEL), F.lit(1.0).alias(WEIGHT),
-                   *[F.col(c) if c in have else F.lit(0).alias(c) for c in trained.selected])
-    mf = model_frame(E.standardize_apply(x, trained.scaler), trained.selected)
-    out = probability(trained.model.transform(mf)).select(
-        "ROW_ID", "p", (F.col("p") >= F.lit(trained.threshold)).cast("int").alias("decision"))
-    if seg_model is None:
-        return out
+    (segmentation scaler) and its name. One projection of each row."""
     from basketry.operators import segments as SG
-    vec, _ = SG.segmentation_matrix(f, SG.SEGMENT_FEATURES, scaler=seg_scaler)
-    seg = SG.assign_nearest(vec, SG.centroids_table(seg_model), SG.SEGMENT_FEATURES, "segment")
-    out = out.join(seg.select("ROW_ID", "segment"), "ROW_ID")
-    if seg_names is not None:
-        out = out.join(F.broadcast(seg_names), "segment", "left")  # one row per segment
-    return out
+    f = candidate_features(cands)
+    keep = ["ROW_ID"]
+    if seg_model is not None:
+        f = SG.add_segment(f, SG.centroids_table(seg_model), SG.SEGMENT_FEATURES, seg_scaler, "segment")
+        keep.append("segment")
+    only = replace(scorer, vocab={c: v for c, v in scorer.vocab.items() if c in ("GENDER", "CATEGORY")})
+    out = only.score(f, keep, fitted=True)
+    return out if seg_names is None else lookup_join(out, seg_names, ["segment"])

@@ -1,13 +1,9 @@
-"""Exact quantiles with bounded memory.
+"""Exact quantiles as a table, for any number of groups and distinct values.
 
-Spark's ``percentile`` is exact but keeps every distinct value of a group in
-one aggregation buffer. It is used only when the distinct count of the column
-is known to be small (``distinct_bound``). Beyond that the k-th value is found
-by histogram refinement: each pass counts the rows of the still-open value
-interval in ``buckets`` equal-width buckets (an ordinary partial aggregate, a
-few thousand output rows), keeps the bucket holding rank k, and narrows the
-interval to that bucket's [min, max]. Nothing but bucket counts reaches the
-driver, and no task ever sees more than its own input split.
+Rows are counted per (group, value), a partial aggregate; running counts over
+the values (range-partitioned, so no group meets in one task) tell which values
+hold the wanted ranks, and one aggregate per group picks them all. Nothing is
+collected.
 
 Interpolation is the linear rule shared by pandas, Spark ``percentile`` and
 DuckDB ``quantile_cont``: h = (n-1)p, v = x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
@@ -15,159 +11,46 @@ DuckDB ``quantile_cont``: h = (n-1)p, v = x[floor h] + (h - floor h)(x[ceil h] -
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DISTINCT_BOUND = 200_000
-BUCKETS = 4096
-COLLECT_BOUND = 50_000
-GROUP_BOUND = 10_000
-
-
-def _group_key(row, by):
-    return tuple(row[g] for g in by) if by else ()
-
-
-def _group_filter(by, key):
-    cond = F.lit(True)
-    for g, v in zip(by, key):
-        cond = cond & (F.col(g).isNull() if v is None else (F.col(g) == F.lit(v)))
-    return cond
-
-
-def _kth_values(df: DataFrame, col: str, by: Sequence[str], wanted: dict,
-                lo_hi: dict, buckets: int) -> dict:
-    """wanted: {(key, k)}; lo_hi: key -> (min, max). Returns {(key, k): value}."""
-    x = F.col(col)
-    state = {t: (lo_hi[t[0]][0], lo_hi[t[0]][1], 0) for t in wanted}  # lo, hi, below
-    found = {}
-    while True:
-        open_t = [t for t in state if t not in found]
-        for t in open_t:
-            lo, hi, _ = state[t]
-            if lo == hi:
-                found[t] = lo
-        open_t = [t for t in state if t not in found]
-        if not open_t:
-            return found
-        # one interval per open target; targets sharing an interval share a pass
-        intervals = sorted({(t[0], state[t][0], state[t][1]) for t in open_t},
-                           key=lambda r: (str(r[0]), r[1], r[2]))
-        structs = []
-        for idx, (key, lo, hi) in enumerate(intervals):
-            width = hi - lo
-            inside = _group_filter(by, key) & (x >= F.lit(lo)) & (x <= F.lit(hi))
-            b = F.least(F.lit(buckets - 1),
-                        F.floor((x - F.lit(lo)) / F.lit(width) * F.lit(buckets)).cast("int"))
-            structs.append(F.when(inside, F.struct(F.lit(idx).alias("i"), b.alias("b"))))
-        hits = df.select(x.alias("_x"), F.filter(F.array(*structs), lambda s: s.isNotNull())
-                         .alias("_hits"))
-        hist = (hits.where(F.size("_hits") > 0)
-                .select("_x", F.explode("_hits").alias("_h"))
-                .groupBy(F.col("_h.i").alias("i"), F.col("_h.b").alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx"))
-                .collect())
-        per_interval: dict[int, list] = {}
-        for r in hist:
-            per_interval.setdefault(r["i"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
-        small = []
-        for idx, (key, lo, hi) in enumerate(intervals):
-            rows = sorted(per_interval.get(idx, []))
-            for t in open_t:
-                if t[0] != key or state[t][0] != lo or state[t][1] != hi:
-                    continue
-                rank = t[1] - state[t][2]
-                cum = 0
-                for b, n, mn, mx in rows:
-                    if rank < cum + n:
-                        state[t] = (mn, mx, state[t][2] + cum)
-                        if n <= COLLECT_BOUND and mn != mx:
-                            small.append(t)
-                        break
-                    cum += n
-        # intervals holding few rows: read them once, sorted, and pick directly
-        for t in small:
-            lo, hi, below = state[t]
-            key = t[0]
-            vals = (df.where(_group_filter(by, key) & (x >= F.lit(lo)) & (x <= F.lit(hi)))
-                    .select(x.alias("v")).orderBy("v").collect())
-            found[t] = vals[t[1] - below]["v"]
-
-
-def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-              approx: bool = False, distinct_bound: int = DISTINCT_BOUND,
-              buckets: int = BUCKETS, accuracy: int = 100_000) -> dict:
-    """{group key tuple: [quantile per prob]} over the non-null values of ``col``.
-
-    ``by`` groups must be few (their count is the size of the result). Groups
-    with no values map to a list of None.
-    """
-    by = list(by)
-    probs = [float(p) for p in probs]
-    x = F.col(col)
-    base = df.select(*by, x.cast("double").alias(col)).where(x.isNotNull())
-    if approx:
-        rows = (base.groupBy(*by).agg(F.percentile_approx(col, probs, accuracy).alias("q"))
-                .limit(GROUP_BOUND + 1).collect())
-        if len(rows) > GROUP_BOUND:
-            raise ValueError(f"more than {GROUP_BOUND} groups")
-        return {_group_key(r, by): [float(v) for v in r["q"]] for r in rows}
-    stats = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("mn"),
-                                   F.max(col).alias("mx"),
-                                   F.approx_count_distinct(col).alias("nd")).limit(GROUP_BOUND + 1).collect())
-    if len(stats) > GROUP_BOUND:
-        raise ValueError(f"more than {GROUP_BOUND} groups; quantiles per group return to the driver")
-    if not stats:
-        return {}
-    if max(r["nd"] for r in stats) <= distinct_bound:
-        # exact aggregate; its buffer is bounded by the (small) distinct count
-        rows = base.groupBy(*by).agg(F.percentile(col, F.array(*[F.lit(p) for p in probs]))
-                                     .alias("q")).collect()
-        return {_group_key(r, by): [float(v) for v in r["q"]] for r in rows}
-    wanted, lo_hi, plan = set(), {}, {}
-    for r in stats:
-        key = _group_key(r, by)
-        lo_hi[key] = (r["mn"], r["mx"])
-        n = r["n"]
-        for p in probs:
-            h = (n - 1) * p
-            k0 = int(math.floor(h))
-            k1 = min(k0 + 1, n - 1)
-            plan[(key, p)] = (k0, k1, h - k0)
-            wanted.update({(key, k0), (key, k1)})
-    vals = _kth_values(base, col, by, wanted, lo_hi, buckets)
-    out = {}
-    for r in stats:
-        key = _group_key(r, by)
-        res = []
-        for p in probs:
-            k0, k1, frac = plan[(key, p)]
-            a, b = vals[(key, k0)], vals[(key, k1)]
-            res.append(a if frac == 0 or a == b else a + frac * (b - a))
-        out[key] = res
-    return out
-
-
-def quantiles_many(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   distinct_bound: int = DISTINCT_BOUND) -> dict:
-    """{col: [quantile per prob]} for several columns over the whole frame:
-    one statistics pass and, when every column's distinct count is under the
-    bound, one exact ``percentile`` pass for all of them; other columns go
-    through ``quantiles`` (histogram refinement) one by one."""
-    probs = [float(p) for p in probs]
-    stats = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"nd{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if stats[f"nd{i}"] <= distinct_bound]
-    out = {}
-    if small:
-        arr = F.array(*[F.lit(p) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = None if row[f"q{i}"] is None else [float(v) for v in row[f"q{i}"]]
-    for c in cols:
-        if c not in out:
-            out[c] = quantiles(df, c, probs, distinct_bound=distinct_bound).get((), None)
-    return out
+from basketry.operators.ranking import running_sums
+
+
+def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., q0, q1, ...): the quantile of the non-null values of ``col`` for
+    each probability, one row per group that has values."""
+    wanted, by = list(by), list(by) or ["_all"]
+    counts = (df.withColumn("_all", F.lit(0)).select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+              .groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    cum = running_sums(counts, by, "_x", ["_c"], prefix="_to")
+    size = cum.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    keyed = size.select(*[F.col(g).alias("_g_" + g) for g in by], "_n")
+    on = F.lit(True)
+    for g in by:
+        on = on & F.col(g).eqNullSafe(F.col("_g_" + g))
+    both = cum.join(keyed, on)
+    picks = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        lo = F.floor(h)
+        hi = F.least(lo + 1, F.col("_n") - 1)
+        for name, k in ((f"_lo{i}", lo), (f"_hi{i}", hi)):
+            picks.append(F.max(F.when((F.col("_to_c") > k) & (F.col("_to_c") - F.col("_c") <= k), F.col("_x"))).alias(name))
+    got = both.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
+    out = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        a, b = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append(F.when(a == b, a).otherwise(a + (h - F.floor(h)) * (b - a)).alias(f"q{i}"))
+    return got.select(*wanted, *out)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict:
+    """{column: [quantile per probability] or None without values}, all columns
+    folded into (column, value) rows and searched together."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")).select("s.*")
+    rows = {r["c"]: [float(r[f"q{i}"]) for i in range(len(probs))] for r in quantiles(long, "x", probs, ["c"]).collect()}  # one row per column
+    return {c: rows.get(c) for c in cols}

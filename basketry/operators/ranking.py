@@ -1,108 +1,66 @@
-"""Row positions inside groups, safe against a few very large groups.
+"""Row positions and running sums inside groups, safe against huge groups.
 
-``row_number() over (partition by g order by o)`` sends every row of a group
-to one task; if one group holds a third of the table, so does one task. Here a
-group with more than ``hot_rows`` rows is split into sub-ranges of its first
-order column (split points from ``percentile_approx``, a mergeable sketch, so
-the hot group itself is never gathered). Rows are ranked inside (group,
-sub-range) and shifted by the sizes of the earlier sub-ranges of the group.
-Sub-ranges are ordered by the first order column and rows with equal values
-share a sub-range, so the result equals the plain window exactly.
+``row_number() over (partition by g order by o)`` sends every row of a group to
+one task; if one group holds a third of the table, so does one task. Here the
+rows are range-partitioned by (group, order columns), which cuts a large group
+wherever its rows lie, and written once; positions (or sums) are taken inside
+(group, range) and shifted by the totals of the group's earlier ranges, of
+which there are at most as many as partitions. Rows that agree in group and
+order columns share a range, so the result equals the plain window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 5_000_000     # rows one window task may sort comfortably
-MAX_HOT_GROUPS = 10_000  # hot groups are at most n / hot_rows; checked
+from basketry.session import materialize
+
+
+def _ranged(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    keys = [*[F.col(g) for g in group_cols], *order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, *keys).withColumn("_b", F.spark_partition_id()), "ranges")
+
+
+def _earlier(totals: DataFrame, group_cols: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Totals of the group's earlier ranges (``_o_<col>``); one row per (group, range)."""
+    w = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*[F.col(g).alias("_g_" + g) for g in group_cols], F.col("_b").alias("_b2"),
+                         *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias("_o_" + c) for c in cols])
+
+
+def _shifted(df: DataFrame, offs: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    on = F.col("_b") == F.col("_b2")
+    for g in group_cols:
+        on = on & F.col(g).eqNullSafe(F.col("_g_" + g))
+    return df.join(offs, on).drop("_b", "_b2", *["_g_" + g for g in group_cols])
 
 
 def row_number_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                        out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+                        out: str) -> DataFrame:
     """1-based position of each row inside its group under a total order."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    first = order_cols[0]
-    ftype = dict(df.dtypes)[first]
-    key = (F.unix_micros(F.col(first).cast("timestamp")).cast("double")
-           if ftype in ("date", "timestamp", "timestamp_ntz") else F.col(first).cast("double"))
-    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).limit(MAX_HOT_GROUPS + 1).collect()
-    if not hot:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(out, F.row_number().over(w))
-    if len(hot) > MAX_HOT_GROUPS:
-        raise ValueError("too many oversized groups; raise hot_rows")
-    spark = df.sparkSession
-    hot_df = spark.createDataFrame([tuple(r[g] for g in group_cols) + (r["_n"],) for r in hot],
-                                   counts.schema)
-    # split points per hot group: enough sub-ranges to bring each near hot_rows
-    parts = max(2, min(1000, max(r["_n"] for r in hot) // hot_rows + 1))
-    probs = [i / parts for i in range(1, parts)]
-    keyed = df.withColumn("_k", key)
-    splits = (keyed.join(F.broadcast(hot_df.select(*group_cols)), group_cols)  # bounded: checked above
-              .groupBy(*group_cols).agg(F.percentile_approx("_k", probs, 10_000).alias("_splits")))
-    splits = spark.createDataFrame(splits.collect(), splits.schema)  # <= MAX_HOT_GROUPS rows
-    sub = F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(F.col("_splits"), lambda s: s <= F.col("_k"))))
-    banded = (keyed.join(F.broadcast(splits), group_cols, "left")
-              .withColumn("_b", sub).drop("_splits"))
-    w = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
-    local = banded.withColumn("_r", F.row_number().over(w))
-    # offsets: rows of the same group in earlier sub-ranges (hot groups only)
-    sizes = (banded.join(F.broadcast(hot_df.select(*group_cols)), group_cols)
-             .groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_m")))
-    wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.withColumn("_off", F.coalesce(F.sum("_m").over(wo), F.lit(0))).drop("_m")
-    offs = spark.createDataFrame(offs.collect(), offs.schema)  # <= MAX_HOT_GROUPS * parts rows
-    return (local.join(F.broadcast(offs), [*group_cols, "_b"], "left")
-            .withColumn(out, (F.col("_r") + F.coalesce(F.col("_off"), F.lit(0))).cast("int"))
-            .drop("_k", "_b", "_r", "_off"))
+    ranged = _ranged(df, group_cols, [F.col(c) for c in order_cols])
+    local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)))
+    sizes = ranged.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    return (_shifted(local, _earlier(sizes, group_cols, ["_m"]), group_cols)
+            .withColumn(out, (F.col("_r") + F.col("_o__m")).cast("int")).drop("_r", "_o__m"))
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_col: str, cols: Sequence[str],
-                 descending: bool = False, inclusive: bool = True, prefix: str = "cum_",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 descending: bool = False, inclusive: bool = True, prefix: str = "cum_") -> DataFrame:
     """Running sums of ``cols`` inside each group in ``order_col`` order (one
-    row per order value and group). Small groups use a window; a group with
-    more than ``hot_rows`` rows is cut into ordered sub-ranges (approximate
-    quantile split points), summed per sub-range, and shifted by the totals of
-    the sub-ranges before it — exact, and no group is sorted in one task."""
+    row per order value and group)."""
     group_cols, cols = list(group_cols), list(cols)
     order = F.desc(order_col) if descending else F.asc(order_col)
     frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).limit(MAX_HOT_GROUPS + 1).collect()
-    if not hot:
-        w = Window.partitionBy(*group_cols).orderBy(order).rowsBetween(*frame)
-        return df.withColumns({prefix + c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
-    if len(hot) > MAX_HOT_GROUPS:
-        raise ValueError("too many oversized groups; raise hot_rows")
-    spark = df.sparkSession
-    parts = max(2, min(1000, max(r["_n"] for r in hot) // hot_rows + 1))
-    probs = [i / parts for i in range(1, parts)]
-    key = F.col(order_col).cast("double")
-    hot_keys = F.broadcast(spark.createDataFrame([tuple(r[g] for g in group_cols) for r in hot],
-                                                 counts.select(*group_cols).schema))  # checked above
-    splits = (df.join(hot_keys, group_cols).groupBy(*group_cols)
-              .agg(F.percentile_approx(key, probs, 10_000).alias("_splits")))
-    splits = F.broadcast(spark.createDataFrame(splits.collect(), splits.schema))  # <= MAX_HOT_GROUPS rows
-    sub = F.size(F.filter(F.col("_splits"), lambda s: s <= key))
-    if descending:
-        sub = F.lit(parts) - sub  # higher values come first
-    sub = F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(sub)  # small groups: one range
-    banded = df.join(splits, group_cols, "left").withColumn("_b", sub).drop("_splits")
+    ranged = _ranged(df, group_cols, [order])
     w = Window.partitionBy(*group_cols, "_b").orderBy(order).rowsBetween(*frame)
-    local = banded.withColumns({"_l_" + c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
-    tot = (banded.join(hot_keys, group_cols).groupBy(*group_cols, "_b")
-           .agg(*[F.sum(c).alias("_t_" + c) for c in cols]))
-    wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*group_cols, "_b", *[F.coalesce(F.sum("_t_" + c).over(wo), F.lit(0)).alias("_o_" + c)
-                                           for c in cols])
-    offs = F.broadcast(spark.createDataFrame(offs.collect(), offs.schema))  # <= hot groups x parts rows
-    out = local.join(offs, [*group_cols, "_b"], "left")
-    out = out.withColumns({prefix + c: F.col("_l_" + c) + F.coalesce(F.col("_o_" + c), F.lit(0)) for c in cols})
-    return out.drop("_b", *["_l_" + c for c in cols], *["_o_" + c for c in cols])
+    local = ranged.withColumns({"_l_" + c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
+    totals = ranged.groupBy(*group_cols, "_b").agg(*[F.sum(c).alias(c) for c in cols])
+    out = _shifted(local, _earlier(totals, group_cols, cols), group_cols)
+    out = out.withColumns({prefix + c: F.col("_l_" + c) + F.col("_o_" + c) for c in cols})
+    return out.drop(*["_l_" + c for c in cols], *["_o_" + c for c in cols])

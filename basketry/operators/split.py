@@ -1,118 +1,89 @@
 """Exact stratified train/test split without a window over the table.
 
 Rows are ordered inside their label by (md5(key || '-' || salt), key); the
-first round(test_share * n_label) rows are the test set. The boundary row of
-each label is located with histograms over md5 prefixes (<= 65 536 buckets per
-label and pass, partially aggregated); only the boundary bucket's rows — a
-few for any realistic size — are read sorted. The split itself is then a plain
-filter against per-label literal cutoffs: no shuffle, no single-task window,
-and the same rows as ``row_number() over (partition by label order by ...)``.
+first round(test_share * n_label) rows are the test set. Where the order is cut
+is found in two steps, both on Spark tables: counts per label and md5 prefix (at
+most 65 536 rows a label) name the prefix that holds the cut, and only that
+prefix's rows are ranked. The split itself compares every row with its label's
+cut: the same rows as ``row_number() over (partition by label order by ...)``.
 """
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 4           # hex digits per refinement pass
-COLLECT_BOUND = 50_000
-LABEL_BOUND = 1_000
+from basketry.operators.lookup import checked_broadcast
+
+PREFIX = 4  # hex digits of the first step
 
 
 def split_hash(key: str, salt: int | str = 42) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{salt}")))
 
 
-def test_sizes(counts: dict, test_share: float) -> dict:
-    share = Decimal(str(test_share))
-    return {lab: int((share * n).quantize(Decimal(1), rounding=ROUND_HALF_UP))
-            for lab, n in counts.items()}
-
-
-def _label_eq(label: str, value) -> Column:
-    return F.col(label).isNull() if value is None else (F.col(label) == F.lit(value))
-
-
-def split_cutoffs(df: DataFrame, label: str, key: str = "ROW_ID", test_share: float = 0.2,
-                  salt: int | str = 42) -> dict:
-    """{label value: (hash, key) of the last test row, or None when no test rows}."""
-    h = split_hash(key, salt)
-    rows = df.groupBy(label).count().limit(LABEL_BOUND + 1).collect()
-    if len(rows) > LABEL_BOUND:
-        raise ValueError(f"more than {LABEL_BOUND} distinct labels in {label}")
-    need = test_sizes({r[label]: r["count"] for r in rows}, test_share)
-    base = df.select(F.col(label).alias("_lab"), F.col(key).alias("_key"), h.alias("_h"))
-    cut = {lab: None for lab in need}
-    # state: label -> (known prefix, rows before that prefix)
-    state = {lab: ("", 0) for lab, k in need.items() if k > 0}
-    depth = 0
-    while state:
-        depth += PREFIX
-        conds = [(F.col("_lab").isNull() if lab is None else (F.col("_lab") == F.lit(lab)))
-                 & F.col("_h").startswith(pre) for lab, (pre, _) in state.items()]
-        cond = conds[0]
-        for c in conds[1:]:
-            cond = cond | c
-        hist = (base.where(cond).groupBy("_lab", F.substring("_h", 1, depth).alias("_b"))
-                .count().collect())
-        per = {}
-        for r in hist:
-            per.setdefault(r["_lab"], []).append((r["_b"], r["count"]))
-        nxt = {}
-        for lab, (pre, below) in state.items():
-            rank = need[lab] - below  # 1-based rank inside the open prefix
-            cum = 0
-            for b, n in sorted(per.get(lab, [])):
-                if rank <= cum + n:
-                    if n <= COLLECT_BOUND or depth >= 32:
-                        vals = (base.where(_label_eq("_lab", lab) & (F.col("_h").startswith(b)))
-                                .select("_h", "_key").orderBy("_h", "_key").collect())
-                        v = vals[rank - cum - 1]
-                        cut[lab] = (v["_h"], v["_key"])
-                    else:
-                        nxt[lab] = (b, below + cum)
-                    break
-                cum += n
-        state = nxt
-    return cut
-
-
-def test_predicate(label: str, key: str, cutoffs: dict, salt: int | str = 42) -> Column:
-    h = split_hash(key, salt)
-    pred = F.lit(False)
-    for lab, c in cutoffs.items():
-        if c is None:
-            continue
-        ch, ck = c
-        inside = (h < F.lit(ch)) | ((h == F.lit(ch)) & (F.col(key) <= F.lit(ck)))
-        pred = pred | (_label_eq(label, lab) & inside)
-    return pred
+def split_cutoffs(df: DataFrame, label: str, key: str = "ROW_ID", shares: Sequence[float] = (0.2,),
+                  salt: int | str = 42) -> DataFrame:
+    """(_lab, j, _need, _ch, _ck): hash and key of the last row of the first
+    round(share * n) rows of each label, for the j-th share; shares that round
+    to no rows have no row here. Fails on a key that several rows of a label
+    carry around a cut, where no cut by key can be exact."""
+    base = df.select(F.col(label).alias("_lab"), F.col(key).alias("_key"), split_hash(key, salt).alias("_h"))
+    base = base.withColumn("_p", F.substring("_h", 1, PREFIX))
+    hist = base.groupBy("_lab", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy("_lab").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = hist.select("_lab", "_p", "_c", F.sum("_c").over(run).alias("_to"), F.sum("_c").over(Window.partitionBy("_lab")).alias("_n"))
+    needs = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.expr(f"CAST(round(CAST('{s}' AS DECIMAL(20, 10)) * _n) AS BIGINT)").alias("need"))
+                                for j, s in enumerate(shares)])).alias("_s")
+    at = (cum.select("*", needs).where("_s.need > _to - _c AND _s.need <= _to")
+          .select(F.col("_lab").alias("_lab2"), F.col("_p").alias("_p2"), F.col("_s.j").alias("j"), F.col("_s.need").alias("_need"),
+                  (F.col("_s.need") - (F.col("_to") - F.col("_c"))).alias("_rank")))
+    near = base.join(checked_broadcast(at), F.col("_lab").eqNullSafe(F.col("_lab2")) & (F.col("_p") == F.col("_p2")))
+    w = Window.partitionBy("_lab", "_p", "j").orderBy("_h", "_key")
+    picked = near.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("_key").over(w))
+    cut = picked.where("_r = _rank").select("_lab", "j", "_need", F.col("_h").alias("_ch"), F.col("_key").alias("_ck"), 
+                                            F.expr("_next <=> _key").alias("_tie"))
+    cut = checked_broadcast(cut)
+    if not cut.where("_tie").isEmpty():
+        raise ValueError(f"{key} repeats: rows of one key would fall on both sides of the split")
+    return cut.drop("_tie")
+
+
+def _with_cuts(df: DataFrame, cut: DataFrame, label: str, key: str, salt: int | str) -> DataFrame:
+    """Adds ``_below``: the smallest j whose cut the row does not exceed."""
+    per = cut.groupBy("_lab").agg(F.sort_array(F.collect_list(F.struct("j", "_ch", "_ck"))).alias("_cuts"))  # one entry per share
+    out = df.withColumn("_h", split_hash(key, salt)).join(checked_broadcast(per), F.col(label).eqNullSafe(F.col("_lab")), "left")
+    inside = F.filter("_cuts", lambda c: (F.col("_h") < c["_ch"]) | ((F.col("_h") == c["_ch"]) & (F.col(key) <= c["_ck"])))
+    return out.withColumn("_below", F.array_min(F.transform(inside, lambda c: c["j"]))).drop("_h", "_lab", "_cuts")
 
 
 def add_split_column(df: DataFrame, label: str = "SUBSCRIPTION_STATUS", key: str = "ROW_ID",
                      test_share: float = 0.2, salt: int | str = 42, out: str = "part") -> DataFrame:
-    cut = split_cutoffs(df, label, key, test_share, salt)
-    return df.withColumn(out, F.when(test_predicate(label, key, cut, salt), F.lit("test"))
-                         .otherwise(F.lit("train")))
+    return add_part(df, split_cutoffs(df, label, key, [test_share], salt), label, key, salt, out)
+
+
+def add_part(df: DataFrame, cut: DataFrame, label: str = "SUBSCRIPTION_STATUS", key: str = "ROW_ID",
+             salt: int | str = 42, out: str = "part") -> DataFrame:
+    """``out`` = test for rows up to their label's cut (``split_cutoffs`` of one
+    share), else train."""
+    return (_with_cuts(df, cut, label, key, salt)
+            .withColumn(out, F.when(F.col("_below").isNotNull(), F.lit("test")).otherwise(F.lit("train"))).drop("_below"))
 
 
 def stratified_split(df: DataFrame, label: str = "SUBSCRIPTION_STATUS", key: str = "ROW_ID",
                      test_share: float = 0.2, salt: int | str = 42):
     """(train, test) with exactly round(test_share * n) test rows per label."""
-    cut = split_cutoffs(df, label, key, test_share, salt)
-    pred = test_predicate(label, key, cut, salt)
-    return df.where(~pred), df.where(pred)
+    parts = add_split_column(df, label, key, test_share, salt, "_part")
+    return parts.where("_part = 'train'").drop("_part"), parts.where("_part = 'test'").drop("_part")
 
 
 def fold_column(df: DataFrame, label: str, key: str = "ROW_ID", folds: int = 5,
                 salt: int | str = 42, out: str = "fold") -> DataFrame:
     """Stratified fold id 0..folds-1: inside each label, rows in hash order are
-    dealt to folds in contiguous runs ending at round(j/folds * n_label)."""
-    preds = [test_predicate(label, key, split_cutoffs(df, label, key, j / folds, salt), salt)
-             for j in range(1, folds)]
-    expr = F.lit(folds - 1)
-    for j in range(folds - 2, -1, -1):
-        expr = F.when(preds[j], F.lit(j)).otherwise(expr)
-    return df.withColumn(out, expr.cast("int"))
+    dealt to folds in contiguous runs ending at round(j/folds * n_label). All
+    cuts come from one pass."""
+    cut = split_cutoffs(df, label, key, [j / folds for j in range(1, folds)], salt)
+    return (_with_cuts(df, cut, label, key, salt)
+            .withColumn(out, F.coalesce(F.col("_below"), F.lit(folds - 1)).cast("int")).drop("_below"))

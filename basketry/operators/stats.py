@@ -11,11 +11,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from basketry.operators.lookup import bounded_rows, checked_broadcast
-from basketry.operators.quantiles import quantiles
+from basketry.operators.lookup import checked_broadcast
+from basketry.operators.quantiles import column_quantiles, quantiles
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 
@@ -65,11 +69,10 @@ def crosstab_counts(df: DataFrame, a: str, b: str) -> DataFrame:
             .groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _values(df: DataFrame, col: str, bound: int = 1000) -> list:
-    rows = bounded_rows(df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col), bound)
-    if rows is None:
-        raise ValueError(f"more than {bound} values in {col}")
-    return [r[col] for r in rows]
+def _values(df: DataFrame, col: str) -> list:
+    """The values that become columns of a wide table (its schema: for a column
+    of many values use the long form)."""
+    return [r[col] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
 
 
 def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence | None = None) -> DataFrame:
@@ -90,32 +93,27 @@ def crosstab_row_pct(df: DataFrame, a: str, b: str, values: Sequence | None = No
 def cramers_v(df: DataFrame, a: str, b: str, yates: bool = True, guard: bool = True) -> DataFrame:
     """One row (v, chi2, n, r, k): sqrt(chi2 / (n (min(r,k) - 1))), chi2 with
     the Yates continuity correction for 2x2 tables; 0.0 when r < 2 or k < 2."""
-    ct = crosstab_counts(df, a, b)
-    col_rows = bounded_rows(ct.groupBy(b).agg(F.sum("n").alias("cn")).orderBy(b), 10_000)
-    if col_rows is None:
-        raise ValueError(f"more than 10000 values in {b}")
-    bvals = [r[b] for r in col_rows]
-    total = float(sum(r["cn"] for r in col_rows))
-    spark = df.sparkSession
-    cols = F.broadcast(spark.createDataFrame(col_rows, f"`{b}` {dict(ct.dtypes)[b]}, cn bigint"))
-    rows = ct.groupBy(a).agg(F.sum("n").alias("rn"))
-    grid = rows.select(a, "rn", F.lit(total).alias("_n"),
-                       F.explode(F.array(*[F.lit(v) for v in bvals])).alias(b))
-    cells = (grid.join(cols, b).join(ct, [a, b], "left")
-             .select(F.coalesce("n", F.lit(0)).cast("double").alias("o"),
-                     (F.col("rn").cast("double") * F.col("cn") / F.col("_n")).alias("e"),
-                     F.col("_n").alias("total"), F.col(a).alias("_a"), F.col(b).alias("_b")))
-    d = F.abs(F.col("o") - F.col("e"))
-    stats = cells.agg(F.count_distinct("_a").alias("r"), F.count_distinct("_b").alias("k"),
-                      F.max("total").cast("long").alias("n"),
-                      F.sum(F.pow(d, 2) / F.col("e")).alias("chi2_plain"),
-                      F.sum(F.pow(d - F.least(F.lit(0.5), d), 2) / F.col("e")).alias("chi2_yates"))
+    ct = crosstab_counts(df, a, b).select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col("n").cast("double").alias("o"))
+    rows = ct.groupBy("_a").agg(F.sum("o").alias("rn"))
+    cols = ct.groupBy("_b").agg(F.sum("o").alias("cn"))
+    # chi2 = n (sum o^2 / (row * column) - 1) needs the observed cells only
+    cells = ct.join(rows, "_a").join(cols, "_b")
+    stats = cells.agg(F.sum(F.col("o") * F.col("o") / (F.col("rn") * F.col("cn"))).alias("q"), F.sum("o").alias("n"),
+                      F.count_distinct("_a").alias("r"), F.count_distinct("_b").alias("k"),
+                      F.min_by("o", F.struct("_a", "_b")).alias("o11"), F.min_by("rn", F.struct("_a", "_b")).alias("r1"), F.min_by("cn", F.struct("_a", "_b")).alias("c1"))
+    n = F.col("n")
+    plain = n * (F.col("q") - 1)
+    # 2x2: every cell is off its expectation by the same |d|
+    d = F.abs(F.col("o11") - F.col("r1") * F.col("c1") / n)
+    expect = [x * y / n for x in (F.col("r1"), n - F.col("r1")) for y in (F.col("c1"), n - F.col("c1"))]
+    off = F.pow(d - F.least(F.lit(0.5), d), 2)
+    corrected = off / expect[0] + off / expect[1] + off / expect[2] + off / expect[3]
     two = (F.col("r") == 2) & (F.col("k") == 2)
-    chi2 = F.when(two & F.lit(yates), F.col("chi2_yates")).otherwise(F.col("chi2_plain"))
-    v = F.sqrt(chi2 / (F.col("n") * (F.least("r", "k") - 1)))
+    chi2 = F.when(two & F.lit(yates), corrected).otherwise(F.greatest(plain, F.lit(0.0)))
+    v = F.sqrt(chi2 / (n * (F.least("r", "k") - 1)))
     if guard:
         v = F.when((F.col("r") < 2) | (F.col("k") < 2), F.lit(0.0)).otherwise(v)
-    return stats.select(v.alias("v"), chi2.alias("chi2"), "n", "r", "k")
+    return stats.select(v.alias("v"), chi2.alias("chi2"), n.cast("long").alias("n"), "r", "k")
 
 
 def cramers_v_value(df: DataFrame, a: str, b: str, yates: bool = True):
@@ -135,54 +133,31 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Long (col_a, col_b, corr) for all ordered pairs: Pearson over rows where
     both are present; null when either side is constant there.
 
-    Two aggregates of plain sums. Pass 1 gives each column's mean and null
-    count; pass 2 sums mean-shifted values (x - mean), which keeps the raw
-    moment formula as accurate as a streaming covariance, and lets null-free
-    columns share their sums across every pair. Expressions are handed to the
-    JVM as SQL text (hundreds of them; one parse instead of thousands of calls)."""
+    One aggregate of the mean-shifted rows: every row gives, for each pair of
+    columns that are both present, the five products of the coefficient, and
+    MLlib's Gramian adds them up as one matrix a partition, without generated
+    code for each pair. With z = [x * present, present, x^2 * present], n, the
+    sums, the squares and the cross products of a pair are entries of z' z."""
     cols = list(cols)
-    q = {c: f"CAST(`{c}` AS DOUBLE)" for c in cols}
-    first = df.selectExpr(
-        "count(1) AS _n", *[f"avg({q[c]}) AS m{i}" for i, c in enumerate(cols)],
-        *[f"count({q[c]}) AS k{i}" for i, c in enumerate(cols)]).first()
-    total = first["_n"]
-    full = {c: first[f"k{i}"] == total for i, c in enumerate(cols)}
-    xs = {c: f"({q[c]} - CAST({float(first[f'm{i}'] or 0.0)!r} AS DOUBLE))" for i, c in enumerate(cols)}
-    aggs, plan = [], {}
-
-    def add(expr):
-        name = f"s{len(aggs)}"
-        aggs.append(f"{expr} AS {name}")
-        return name
-
-    single = {c: (add(f"sum({xs[c]})"), add(f"sum({xs[c]} * {xs[c]})")) for c in cols if full[c]}
-    for i, x in enumerate(cols):
-        for j in range(i, len(cols)):
-            y = cols[j]
-            if full[x] and full[y]:
-                plan[(i, j)] = ("_n", *single[x], *single[y], add(f"sum({xs[x]} * {xs[y]})"))
-            else:
-                both = f"({q[x]} IS NOT NULL AND {q[y]} IS NOT NULL)"
-                mx, my = f"IF({both}, {xs[x]}, NULL)", f"IF({both}, {xs[y]}, NULL)"
-                plan[(i, j)] = (add(f"count_if({both})"), add(f"sum({mx})"), add(f"sum({mx} * {mx})"),
-                                add(f"sum({my})"), add(f"sum({my} * {my})"), add(f"sum({mx} * {my})"))
-    wide = df.selectExpr("count(1) AS _n", *aggs)
-    # one row per unordered pair, one expression for every coefficient
-    items = []
-    for (a, b), names in plan.items():
-        items += [f"'{cols[a]}'", f"'{cols[b]}'", *[f"CAST({c} AS DOUBLE)" for c in names]]
-    long = wide.selectExpr(f"stack({len(plan)}, {', '.join(items)}) AS (a, b, n, sx, sxx, sy, syy, sxy)")
-    vx, vy = "(sxx - sx * sx / n)", "(syy - sy * sy / n)"
-    r = f"IF(n > 0 AND {vx} > 0 AND {vy} > 0, (sxy - sx * sy / n) / sqrt({vx} * {vy}), NULL)"
-    both = long.selectExpr("a", "b", f"{r} AS r").selectExpr(
-        "explode(IF(a = b, array(named_struct('col_a', a, 'col_b', b, 'corr', r)), "
-        "array(named_struct('col_a', a, 'col_b', b, 'corr', r), named_struct('col_a', b, 'col_b', a, 'corr', r)))) AS p")
-    return both.select("p.*")
+    k = len(cols)
+    x = [F.col(c).cast("double") for c in cols]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()
+    shift = [F.coalesce(v - F.lit(float(means[f"m{i}"] or 0.0)), F.lit(0.0)) for i, v in enumerate(x)]
+    z = F.array(*shift, *[v.isNotNull().cast("double") for v in x], *[v * v for v in shift])
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(z).alias("z")), "z")).computeGramianMatrix().toArray()
+    rows = []
+    for i in range(k):
+        for j in range(k):
+            n, sx, sy = gram[k + i, k + j], gram[i, k + j], gram[j, k + i]
+            vx = gram[2 * k + i, k + j] - sx * sx / n if n else 0.0
+            vy = gram[2 * k + j, k + i] - sy * sy / n if n else 0.0
+            cov = gram[i, j] - sx * sy / n if n else 0.0
+            rows.append((cols[i], cols[j], float(cov / math.sqrt(vx * vy)) if vx > 0 and vy > 0 else None))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 # --------------------------------------------------------------------------- distributions
-def _group_params(df: DataFrame, value: str, group: str, points: int, cut: float,
-                  bound: int = 1000) -> DataFrame:
+def _group_params(df: DataFrame, value: str, group: str, points: int, cut: float) -> DataFrame:
     """Per group: n, bandwidth h = sd(ddof 1) * n^(-1/5) (Scott), grid start, step."""
     st = (df.where(F.col(value).isNotNull())
           .groupBy(group).agg(F.count(F.lit(1)).alias("n"),
@@ -194,71 +169,55 @@ def _group_params(df: DataFrame, value: str, group: str, points: int, cut: float
     hi = F.col("mx") + F.lit(cut) * h
     params = st.select(group, "n", h.alias("h"), lo.alias("lo"),
                        ((hi - lo) / F.lit(points - 1)).alias("step"))
-    return checked_broadcast(params.where(F.col("h") > 0), bound)
+    return checked_broadcast(params.where(F.col("h") > 0))
 
 
-def kde(df: DataFrame, value: str, group: str, points: int = 200, cut: float = 3.0,
-        reach: float = 9.0, max_distinct: int | None = None, bin_factor: int = 64) -> DataFrame:
+def kde(df: DataFrame, value: str, group: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian KDE per group on a ``points`` grid spanning [min - cut h, max + cut h].
 
-    Values are first counted per (group, value) — a partial aggregate — and
-    each distinct value adds to the grid points within ``reach`` bandwidths
-    (the kernel beyond is < 1e-17 of its peak), so the work is bounded by
-    distinct values x grid points and no pair of rows is ever formed."""
+    Every row adds to every grid point of its group; partial aggregation leaves
+    groups x points rows of each task to shuffle, and no pair of rows is ever
+    formed. Columns of a whole-number type are first counted by value."""
     params = _group_params(df, value, group, points, cut)
-    x = F.col(value).cast("double")
-    counted = (df.where(F.col(value).isNotNull()).groupBy(group, x.alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_c")))
-    if max_distinct is not None:
-        nd = counted.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-        if nd > max_distinct:
-            # scale switch: snap values to a grid ``bin_factor`` times finer than
-            # the output grid (error <= step / (2 bin_factor) in x) so the work
-            # per group is bounded by points x bin_factor, whatever the data
-            binned = df.where(F.col(value).isNotNull()).join(params, group).select(
-                group, (F.col("lo") + F.round((x - F.col("lo")) / (F.col("step") / bin_factor))
-                        * (F.col("step") / bin_factor)).alias("_v"))
-            counted = binned.groupBy(group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    j = counted.join(params, group)
-    v, h, lo, step = F.col("_v"), F.col("h"), F.col("lo"), F.col("step")
-    i_from = F.greatest(F.lit(0), F.ceil((v - F.lit(reach) * h - lo) / step).cast("int"))
-    i_to = F.least(F.lit(points - 1), F.floor((v + F.lit(reach) * h - lo) / step).cast("int"))
-    contrib = (j.where(i_from <= i_to)
-               .select(group, "_v", "_c", "h", "lo", "step",
-                       F.explode(F.sequence(i_from, i_to)).alias("i"))
-               .withColumn("x", F.col("lo") + F.col("i") * F.col("step"))
-               .withColumn("w", F.col("_c") * F.exp(-0.5 * F.pow((F.col("x") - F.col("_v")) / F.col("h"), 2)))
-               .groupBy(group, "i").agg(F.sum("w").alias("_s")))
-    grid = params.select(group, "n", "h", "lo", "step",
-                         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    return (grid.join(contrib, [group, "i"], "left")
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    if isinstance(df.schema[value].dataType, IntegralType):
+        rows = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    else:
+        rows = rows.withColumn("_c", F.lit(1))
+    j = rows.join(params, F.col("_g").eqNullSafe(F.col(group)))
+    contrib = (j.select("_g", "_v", "_c", "h", "lo", "step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+               .select("_g", "i", (F.col("_c") * F.exp(-0.5 * F.pow((F.col("lo") + F.col("i") * F.col("step") - F.col("_v")) / F.col("h"), 2))).alias("w"))
+               .groupBy("_g", "i").agg(F.sum("w").alias("_s")))
+    return (contrib.join(params, F.col("_g").eqNullSafe(F.col(group)))
             .select(group, "i", (F.col("lo") + F.col("i") * F.col("step")).alias("x"),
-                    (F.coalesce(F.col("_s"), F.lit(0.0))
-                     / (F.col("n") * F.col("h") * F.lit(SQRT_2PI))).alias("density"),
-                    "step"))
+                    (F.col("_s") / (F.col("n") * F.col("h") * F.lit(SQRT_2PI))).alias("density"), "step"))
 
 
 def box_stats(df: DataFrame, value: str, group: str, whisker: float = 1.5) -> DataFrame:
     """Per group: q1, median, q3 (linear), whiskers at the most extreme values
     within whisker * IQR of the box, number of points beyond."""
-    qs = quantiles(df, value, [0.25, 0.5, 0.75], by=[group])
-    spark = df.sparkSession
-    q = spark.createDataFrame([(k[0], *v) for k, v in qs.items()],
-                              f"`{group}` {dict(df.dtypes)[group]}, q1 double, median double, q3 double")
+    q = checked_broadcast(quantiles(df, value, [0.25, 0.5, 0.75], by=[group]).toDF(group, "q1", "median", "q3"))
     x = F.col(value).cast("double")
     iqr = F.col("q3") - F.col("q1")
     lo = F.col("q1") - F.lit(whisker) * iqr
     hi = F.col("q3") + F.lit(whisker) * iqr
-    j = df.where(F.col(value).isNotNull()).join(F.broadcast(q), group)  # one row per group
+    j = df.where(F.col(value).isNotNull()).join(q, group)
     return j.groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(x >= lo, x)).alias("whisker_low"),
         F.max(F.when(x <= hi, x)).alias("whisker_high"),
         F.count_if((x < lo) | (x > hi)).alias("n_outliers"))
 
 
-def quantile_table(df: DataFrame, col: str, probs: Sequence[float], approx: bool = False) -> DataFrame:
-    """One row: q_<pct> per probability (exact by default)."""
-    vals = quantiles(df, col, probs, approx=approx).get((), [None] * len(probs))
+def violin(df: DataFrame, value: str, group: str, points: int = 100, cut: float = 2.0) -> DataFrame:
+    """The density of ``kde`` with its group's quartiles (q1, median, q3)."""
+    q = quantiles(df, value, [0.25, 0.5, 0.75], by=[group]).toDF(group, "q1", "median", "q3")
+    q = checked_broadcast(q.withColumnRenamed(group, "_q"))
+    return kde(df, value, group, points, cut).join(q, F.col(group).eqNullSafe(F.col("_q"))).drop("_q")
+
+
+def quantile_table(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
+    """One row: q_<pct> per probability (null without values)."""
+    vals = column_quantiles(df, [col], probs)[col] or [None] * len(probs)
     names = [f"q{int(round(p * 100))}" for p in probs]
     return df.sparkSession.createDataFrame([tuple(vals)], ", ".join(f"{n} double" for n in names))
 
@@ -279,11 +238,9 @@ def group_mode(df: DataFrame, group: Sequence[str] | str, cols: Sequence[str],
     return out.select(*group, *[F.coalesce(F.col(c), F.lit(default)).alias(c) for c in cols])
 
 
-def distinct_count(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+def distinct_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, n_distinct) over non-null values; one pass for all columns."""
-    p = _pairs(df, cols)
-    agg = F.approx_count_distinct("value") if approx else F.count_distinct("value")
-    return p.groupBy("feature").agg(agg.alias("n_distinct"))
+    return _pairs(df, cols).groupBy("feature").agg(F.count_distinct("value").alias("n_distinct"))
 
 
 def top_counts(df: DataFrame, col: str, k: int = 10) -> DataFrame:

@@ -27,11 +27,13 @@ def _onehot_sql():
 
 @register("one_hot_aligned", _onehot_sql())
 def q_one_hot_aligned(spark, sf_dir):
+    """The aligned wide frames of both parts (test rows get exactly the train
+    columns), read back as the indicators that are set."""
     f = views.feat_split(spark, sf_dir)
     train, test = f.where(F.col("part") == "train"), f.where(F.col("part") == "test")
-    cats = E.categorical_columns(train.drop(*K.MODEL_DROP_COLUMNS), exclude=KEYS)
-    vocab = E.fit_vocabulary(train, cats)  # train vocabulary only
-    return E.one_hot_sparse(f, vocab, KEYS)
+    tr, te, vocab = E.encode_train_test(train, test, K.MODEL_DROP_COLUMNS, keep=KEYS)  # train vocabulary only
+    names = [f"{c}_{v}" for c, vals in vocab.items() for v in vals]
+    return E.indicators_long(tr.unionByName(te), names, KEYS)
 
 
 B_DROP = [c for c in K.MODEL_DROP_COLUMNS if c != "SUBSCRIPTION_STATUS"]
@@ -50,15 +52,19 @@ def q_label_encode(spark, sf_dir):
 def _onehot_full_sql():
     multi = [c for c in ONEHOT_COLS if c not in BINARY_COLS]
     parts = [f"SELECT ROW_ID, '{c}_' || {c} AS onehot FROM feat WHERE {c} IS NOT NULL" for c in multi]
+    for c in BINARY_COLS:  # label-encoded: the indicator of the larger value
+        parts.append(f"SELECT ROW_ID, '{c}' AS onehot FROM feat WHERE {c} = (SELECT max({c}) FROM feat)")
     return with_views(" UNION ALL ".join(parts), *FEAT)
 
 
 @register("one_hot_full", _onehot_full_sql())
 def q_one_hot_full(spark, sf_dir):
+    """The whole encoded frame, read back as the columns that are 1."""
     f = views.feat(spark, sf_dir).drop(*B_DROP)
     cats = E.categorical_columns(f)
-    binary, multi = E.split_by_cardinality(f, cats)  # binary ones are label-encoded, not expanded
-    return E.one_hot_sparse(f, E.fit_vocabulary(f, multi), ["ROW_ID"])
+    enc = E.one_hot_full(f, cats)
+    names = [c for c in enc.columns if c in cats or c not in f.columns]
+    return E.indicators_long(enc, names, ["ROW_ID"])
 
 
 STD_COLS = ["AGE", "PURCHASE_AMOUNT_USD", "PREVIOUS_PURCHASES", "REVIEW_RATING"]

@@ -163,8 +163,7 @@ SELECT model, label, round(precision, 6) AS precision, round(recall, 6) AS recal
                  CAST(coalesce(sum(n) FILTER (WHERE actual = 1 AND predicted = 1), 0) AS BIGINT) AS c11
                FROM cm GROUP BY model))"""))
 def q_classification_report(spark, sf_dir):
-    res = M.classification_report(scored(spark, sf_dir), tuned(spark, sf_dir))
-    return r6(res, ["precision", "recall", "f1"])
+    return r6(M.tuned_report(scored(spark, sf_dir)), ["precision", "recall", "f1"])
 
 
 COMPARE_SQL = with_views("""

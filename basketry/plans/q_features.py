@@ -210,10 +210,7 @@ def q_fit_score(spark, sf_dir):
     return train.unionByName(test).select("ROW_ID", "part", *[r6(c).alias(c) for c in cols])
 
 
-RATIOS = [("CATEGORY", "PURCHASE_AMOUNT_USD", "REL_SPEND_CAT_NEW"),
-          ("CLIMATE_GROUP_NEW", "PURCHASE_AMOUNT_USD", "PURCHASE_AMT_REL_CLIMATE_NEW"),
-          ("AGE_NEW", "PURCHASE_AMOUNT_USD", "REL_SPEND_AGE_NEW"),
-          ("CLIMATE_GROUP_NEW", "FREQUENCY_VALUE_NEW", "REL_FREQ_CLIMATE_NEW")]
+RATIOS = K.RATIO_SPECS
 
 
 def _ratio_sql() -> str:
@@ -248,7 +245,8 @@ def _transform_sql() -> str:
 @register("group_transform_mean", _transform_sql())
 def q_group_transform_mean(spark, sf_dir):
     f = feat_frame(spark, sf_dir)
-    f, _ = FE.group_mean_ratios(f, None, RATIOS)  # means over the same rows: a transform
+    for g, v, out in RATIOS:
+        f = FE.group_transform_mean(f, g, v, "_mean", ratio=out).drop("_mean")
     return f.select("ROW_ID", *[r6(o).alias(o) for _, _, o in RATIOS])
 
 
@@ -270,6 +268,15 @@ def q_drop_leakage(spark, sf_dir):
     return FE.drop_leakage(feat_frame(spark, sf_dir), mode="prefix")
 
 
+@register("drop_leakage_substring", with_views(
+    "SELECT * EXCLUDE (SUB_FREQ_NEW, PROMO_NO_SUB_NEW, SHIP_SUB_NEW) FROM feat", *FEAT))
+def q_drop_leakage_substring(spark, sf_dir):
+    """The earlier variant on one-hot names: a leaking column anywhere in a
+    name. The indicator names carry a prefix, so only the substring finds them."""
+    f = feat_frame(spark, sf_dir).withColumnsRenamed({c: f"X_{c}" for c in K.LEAKAGE_COLUMNS})
+    return FE.drop_leakage(f, mode="substring")
+
+
 @register("drop_columns", with_views(
     "SELECT * EXCLUDE (" + ", ".join(c for c in K.MODEL_DROP_COLUMNS if c != "SUBSCRIPTION_STATUS")
     + ") FROM feat", *FEAT))
@@ -328,3 +335,43 @@ def q_align_schema(spark, sf_dir):
 def q_filter_eq(spark, sf_dir):
     s = shop_frame(spark, sf_dir)
     return s.where(F.col("SUBSCRIPTION_STATUS") == "Yes").select("ROW_ID", "PURCHASE_AMOUNT_USD")
+
+
+# --------------------------------------------------------------------------- from the file to the features
+CLEAN_TEXT = ["GENDER", "ITEM_PURCHASED", "CATEGORY", "LOCATION", "SIZE", "COLOR", "SEASON", "SUBSCRIPTION_STATUS", "SHIPPING_TYPE",
+              "DISCOUNT_APPLIED", "PROMO_CODE_USED", "PAYMENT_METHOD", "FREQUENCY_OF_PURCHASES"]
+CLEAN_SHARE = 0.03
+
+
+def _clean_cte(share: float) -> str:
+    cols = ", ".join(f"""CASE WHEN {c} IS NULL THEN NULL WHEN {c} IN (SELECT {c} FROM shop WHERE {c} IS NOT NULL GROUP BY {c}
+       HAVING count(*) / (SELECT count(*) FROM shop) >= {share}) THEN {c} ELSE '{K.RARE_LABEL}' END AS {c}""" for c in CLEAN_TEXT)
+    return f"clean AS (SELECT * REPLACE ({cols}) FROM shop)"
+
+
+@register("csv_to_features", with_views(
+    f"SELECT ROW_ID, LOCATION, {', '.join(FEAT_COLUMNS)} FROM feat", _clean_cte(CLEAN_SHARE), *feat_ctes("clean")))
+def q_csv_to_features(spark, sf_dir):
+    """A header CSV through every front step in order: scan, normalise the
+    names, canonical names, rare values, association drop, features."""
+    from basketry.plans.q_sources import CSV_SCHEMA
+    from basketry.session import scratch_path
+    from basketry.sources.files import canonical_columns, raw_header_frame, scan_csv, write_csv
+    path = write_csv(raw_header_frame(shop_frame(spark, sf_dir)), scratch_path(spark, "shop-csv"))
+    clean = FE.clean_shoppers(canonical_columns(scan_csv(spark, path, schema=CSV_SCHEMA)), CLEAN_SHARE)
+    return FE.derive_features(clean).select("ROW_ID", "LOCATION", *FEAT_COLUMNS)
+
+
+# --------------------------------------------------------------------------- the candidate form's features
+@register("candidate_features", with_views(f"""
+SELECT ROW_ID, GENDER, CATEGORY, PURCHASE_AMOUNT_USD, PREVIOUS_PURCHASES,
+  CAST(PREVIOUS_PURCHASES AS DOUBLE) * PURCHASE_AMOUNT_USD AS TOTAL_SPEND_WEIGHTED_NEW,
+  round(CAST(PURCHASE_AMOUNT_USD AS DOUBLE) / (PREVIOUS_PURCHASES + 1), 6) AS SPEND_PER_PURCHASE_NEW, f AS FREQUENCY_VALUE_NEW, l AS LOYALTY_SCORE_NEW,
+  CAST(coalesce(REVIEW_RATING >= 4, false) AS INT) AS HIGH_REVIEW_RATING_NEW, round(PURCHASE_AMOUNT_USD * REVIEW_RATING, 6) AS SPEND_RATING_NEW,
+  CAST(PROMO_CODE_USED = 'Yes' AS INT) * l AS PROMO_X_LOYALTY, CAST(PROMO_CODE_USED = 'Yes' AS INT) * f AS PROMO_X_FREQ
+FROM (SELECT *, coalesce({case_map('FREQUENCY_OF_PURCHASES', K.FREQUENCY_PER_YEAR)}, 12) AS f,
+        CASE WHEN PREVIOUS_PURCHASES < 13 THEN 1 WHEN PREVIOUS_PURCHASES < 25 THEN 2 WHEN PREVIOUS_PURCHASES < 38 THEN 3 ELSE 4 END AS l FROM shop)"""))
+def q_candidate_features(spark, sf_dir):
+    from basketry.operators.models import candidate_features
+    out = candidate_features(shop_frame(spark, sf_dir))
+    return out.withColumns({c: r6(c) for c in ("SPEND_PER_PURCHASE_NEW", "SPEND_RATING_NEW")})

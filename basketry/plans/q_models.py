@@ -1,8 +1,10 @@
 """Registered queries: segmentation and classifier fits (M1-M5, M18-M28, E7,
-F4, T3) — rows-only checks, plus the nearest-centroid step (M2) with an oracle.
+F4, T3) — rows-only checks, plus the steps that SQL can express (M2, the chord
+of M3) with an oracle.
 
-Fits use ``TrainConfig.quick()`` sizes so the whole catalogue stays fast at
-test scale; the library defaults keep the workload's sizes.
+Feature selection, the compared models, folds, restarts and the logistic grid
+have the workload's own sizes. Only the tree grids are small here
+(``GRIDS``): see the README for what the full ones take.
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ import threading
 
 from pyspark.sql import functions as F
 
-from basketry.operators import encode as E
+from basketry.operators import metrics as M
 from basketry.operators import models as MD
 from basketry.operators import segments as SG
 from basketry.plans import views
 from basketry.plans.fixture_sql import with_views
 from basketry.plans.registry import register
 from basketry.plans.sql_features import feat_ctes, segf_cte
+from basketry.session import scratch_path
 
 _MEMO: dict = {}
 _LOCK = threading.RLock()
@@ -32,33 +35,26 @@ def _memo(spark, sf_dir, name, build):
         return _MEMO[key]
 
 
-def trained(spark, sf_dir):
+# the winner's grid as the registered queries run it
+GRIDS = {
+    "RandomForest": {"numTrees": [100], "maxDepth": [8, 12]},
+    "GBT": {"stepSize": [0.1], "maxIter": [50], "maxDepth": [3, 5]},
+    "GBT_deep": {"stepSize": [0.1], "maxIter": [50], "maxDepth": [4, 6]},
+    "LogisticRegression": {"C": [0.1, 1.0, 10.0]},
+}
+
+
+def trained(spark, sf_dir) -> MD.Trained:
     return _memo(spark, sf_dir, "trained",
-                 lambda: MD.train_pipeline(views.feat_split(spark, sf_dir), MD.TrainConfig.quick()))
+                 lambda: MD.train_pipeline(views.feat_split(spark, sf_dir), MD.TrainConfig(grids=GRIDS)))
 
 
-def segmented(spark, sf_dir):
-    return _memo(spark, sf_dir, "kmeans", lambda: SG.kmeans_segments(views.feat(spark, sf_dir), k=5, restarts=10))
+def fitted_scores(spark, sf_dir):
+    return _memo(spark, sf_dir, "fitted", lambda: MD.fitted_scores(trained(spark, sf_dir)))
 
 
-def encoded(spark, sf_dir):
-    """(train model frame, test model frame, feature names): fitted features,
-    aligned one-hot, leakage dropped; no selection, no scaling."""
-    def build():
-        t = trained(spark, sf_dir)
-        f = views.feat_split(spark, sf_dir)
-        out = []
-        for part in ("train", "test"):
-            x = MD._fitted_features(f.where(F.col("part") == part).drop("part"), t.cond_probs, t.prob_means,
-                                    t.ratio_means)
-            x = MD.add_label_weight(x)
-            x = E.one_hot_apply(x.drop(*[c for c in MD.K.MODEL_DROP_COLUMNS if c in x.columns]), t.vocab)
-            have = set(x.columns)
-            x = x.select("ROW_ID", MD.LABEL, MD.WEIGHT,
-                         *[F.col(c) if c in have else F.lit(0).alias(c) for c in t.encoded_columns])
-            out.append(MD.model_frame(x, t.encoded_columns).checkpoint(eager=True))
-        return out[0], out[1], t.encoded_columns
-    return _memo(spark, sf_dir, "encoded", build)
+def segmented(spark, sf_dir):
+    return _memo(spark, sf_dir, "kmeans", lambda: SG.kmeans_segments(views.feat(spark, sf_dir), k=5, restarts=10))
 
 
 @register("kmeans_segments")
@@ -68,10 +64,28 @@ def q_kmeans_segments(spark, sf_dir):
 
 @register("elbow_k")
 def q_elbow_k(spark, sf_dir):
-    curve = SG.elbow_inertias(views.feat(spark, sf_dir), B_SEGMENT_FEATURES, range(2, 11), restarts=3)
+    curve = SG.elbow_inertias(views.feat(spark, sf_dir), B_SEGMENT_FEATURES, range(2, 11))
     return SG.elbow_k(spark.createDataFrame(curve, "k int, inertia double"))
 
 
+@register("elbow_segments")
+def q_elbow_segments(spark, sf_dir):
+    """The earlier variant: k chosen by the elbow, then segmented with it."""
+    k, _, out, _ = SG.elbow_segments(views.feat(spark, sf_dir), B_SEGMENT_FEATURES)
+    return out.withColumn("k", F.lit(k))
+
+
+# the curve the chord step is checked on: rows per year of age as its inertias
+@register("elbow_chord", with_views("""
+SELECT k, inertia, round(d, 6) AS chord_distance, CAST(row_number() OVER (ORDER BY d DESC, k) = 1 AS INT) AS is_elbow FROM (
+  SELECT k, inertia, abs((x2 - x1) * (y1 - inertia) - (x1 - k) * (y2 - y1)) / sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS d
+  FROM c CROSS JOIN (SELECT min(k) AS x1, max(k) AS x2, arg_min(inertia, k) AS y1, arg_max(inertia, k) AS y2 FROM c))""",
+    "c AS (SELECT CAST(PREVIOUS_PURCHASES AS INT) AS k, CAST(count(*) AS DOUBLE) AS inertia FROM shop GROUP BY 1)"))
+def q_elbow_chord(spark, sf_dir):
+    curve = views.shop(spark, sf_dir).groupBy(F.col("PREVIOUS_PURCHASES").cast("int").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("inertia"))
+    return SG.elbow_k(curve).withColumn("chord_distance", F.round("chord_distance", 6))
+
+
 @register("silhouette")
 def q_silhouette(spark, sf_dir):
     model, clusters, scaler = segmented(spark, sf_dir)
@@ -88,6 +102,16 @@ def q_pca_project(spark, sf_dir):
     return proj
 
 
+@register("pca_project_3")
+def q_pca_project_3(spark, sf_dir):
+    """Three components beside each row's segment."""
+    _, clusters, scaler = segmented(spark, sf_dir)
+    model = segmented(spark, sf_dir)[0]
+    f = SG.add_segment(views.feat(spark, sf_dir), SG.centroids_table(model), SG.SEGMENT_FEATURES, scaler, "Cluster")
+    vec, _ = SG.segmentation_matrix(f, scaler=scaler, keep=("ROW_ID", "Cluster"))
+    return SG.pca_project(vec, 3, keep=("ROW_ID", "Cluster"))[0]
+
+
 @register("pca_explained_variance")
 def q_pca_explained_variance(spark, sf_dir):
     _, _, scaler = segmented(spark, sf_dir)
@@ -128,26 +152,31 @@ def q_assign_nearest(spark, sf_dir):
     return out.select("ROW_ID", idmap.cast("int").alias("nearest"))
 
 
-def _fit_and_score(spark, sf_dir, est):
-    tr, te, _ = encoded(spark, sf_dir)
-    model = est.fit(tr)
-    return model, MD.probability(model.transform(te)).select("ROW_ID", F.col(MD.LABEL).cast("int").alias("y"), "p")
+def _one(spark, sf_dir, model):
+    return fitted_scores(spark, sf_dir).where(F.col("model") == model).select("ROW_ID", "y", "p")
 
 
 @register("logistic_model")
 def q_logistic_model(spark, sf_dir):
-    tr, _, _ = encoded(spark, sf_dir)
-    return _fit_and_score(spark, sf_dir, MD.logistic_model(tr.count(), 1.0, 100))[1]
+    """On the selected, scaled features, like the other two."""
+    return _one(spark, sf_dir, "LogisticRegression")
 
 
 @register("random_forest_model")
 def q_random_forest_model(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, MD.random_forest_model(20, 8))[1]
+    return _one(spark, sf_dir, "RandomForest")
 
 
 @register("gbt_model")
 def q_gbt_model(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, MD.gbt_model(20, 5, 0.1))[1]
+    return _one(spark, sf_dir, "GBT")
+
+
+@register("compare_fitted_models")
+def q_compare_fitted_models(spark, sf_dir):
+    """The four compared models, each fitted on the train part and scored on
+    the test part, at its own best threshold."""
+    return M.compare_models(fitted_scores(spark, sf_dir), trained(spark, sf_dir).cfg.min_recall)
 
 
 @register("cross_validate")
@@ -163,7 +192,7 @@ def q_grid_search(spark, sf_dir):
 @register("select_features")
 def q_select_features(spark, sf_dir):
     t = trained(spark, sf_dir)
-    return t.importances.where(F.col("feature").isin(t.selected))
+    return t.importances.where(F.col("feature").isin(t.scorer.selected))
 
 
 @register("keep_important")
@@ -176,81 +205,85 @@ def q_topk_features(spark, sf_dir):
     return trained(spark, sf_dir).importances.orderBy(F.desc("importance"), "feature").limit(20)
 
 
+def _fit(spark, sf_dir, est):
+    t = trained(spark, sf_dir)
+    rows = t.scorer.matrix(t.train)
+    return est(rows.count()).fit(rows), t.scorer.selected
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    model, _ = _fit_and_score(spark, sf_dir, MD.random_forest_model(20, 8))
-    _, _, names = encoded(spark, sf_dir)
-    return MD.feature_importance(model, names, 20, spark)
+    """Of the compared forest, over the selected features."""
+    t = trained(spark, sf_dir)
+    model, names = _fit(spark, sf_dir, lambda n: MD.candidate_models(n, t.cfg)["RandomForest"])
+    return MD.feature_importance(model, names, None, spark)
 
 
 @register("coefficients")
 def q_coefficients(spark, sf_dir):
-    tr, _, names = encoded(spark, sf_dir)
-    model, _ = _fit_and_score(spark, sf_dir, MD.logistic_model(tr.count(), 1.0, 100))
+    """Of the compared logistic model, on scaled features: sizes compare."""
+    t = trained(spark, sf_dir)
+    model, names = _fit(spark, sf_dir, lambda n: MD.candidate_models(n, t.cfg)["LogisticRegression"])
     return MD.coefficients(model, names, 20, spark)
 
 
 @register("train_pipeline")
 def q_train_pipeline(spark, sf_dir):
     t = trained(spark, sf_dir)
-    from basketry.operators import metrics as M
     rep = M.compare_models(t.scored_test, t.cfg.min_recall)
     return rep.select("model", "threshold", "accuracy", "precision", "recall", "f1", "auc",
-                      F.lit(len(t.selected)).alias("n_features"))
+                      F.lit(len(t.scorer.selected)).alias("n_features"))
+
+
+@register("grid_search_precision")
+def q_grid_search_precision(spark, sf_dir):
+    """Earlier variant: balanced random forest grid, 3 folds, scored by the
+    positive class's precision (on the selected, scaled train features)."""
+    t = trained(spark, sf_dir)
+    cfg = MD.earlier_config()
+    cfg.grids = {"RandomForest": {**cfg.grids["RandomForest"], "numTrees": [100], "minInstancesPerNode": [1]}}
+    _, frame = MD.grid_search(t.scorer.matrix(t.train), "RandomForest", cfg, metric="precision")
+    return frame
+
+
+def saved_scorer(spark, sf_dir) -> str:
+    """The fitted pipeline in the shared folder, written once."""
+    return _memo(spark, sf_dir, "scorer", lambda: trained(spark, sf_dir).scorer.save(scratch_path(spark, "scorer")))
+
+
+def _with_segment(spark, sf_dir, rows):
+    model, _, scaler = segmented(spark, sf_dir)
+    return SG.add_segment(rows, SG.centroids_table(model), SG.SEGMENT_FEATURES, scaler, "segment")
 
 
 @register("score_customers")
 def q_score_customers(spark, sf_dir):
-    """Candidates = the held-out customers, scored through the fitted pipeline."""
-    t = trained(spark, sf_dir)
-    cands = views.feat_split(spark, sf_dir).where(F.col("part") == "test").drop("part")
-    scored = MD.score_customers(t, cands)
-    model, clusters, scaler = segmented(spark, sf_dir)
-    vec, _ = SG.segmentation_matrix(cands, scaler=scaler)
-    seg = SG.assign_nearest(vec, SG.centroids_table(model), SG.SEGMENT_FEATURES, "segment")
-    return scored.join(seg.select("ROW_ID", "segment"), "ROW_ID")
+    """Every customer through the pipeline as saved and loaded, with the
+    nearest segment: projections and small lookups of one row each."""
+    scorer = MD.load_scorer(spark, saved_scorer(spark, sf_dir))
+    rows = _with_segment(spark, sf_dir, views.feat(spark, sf_dir))
+    return MD.score_customers(scorer, rows, keep=("ROW_ID", "segment"))
 
 
 @register("score_stream")
 def q_score_stream(spark, sf_dir):
-    """Held-out customers arrive as parquet files; a Structured Streaming job
-    scores them with the fitted pipeline into a parquet sink."""
-    from basketry.session import scratch_path
+    """Customers arrive as parquet files; a Structured Streaming job loads the
+    saved pipeline and scores them into a parquet sink."""
     from basketry.streaming.scoring import run_score_stream
-    t = trained(spark, sf_dir)
-    cands = views.feat_split(spark, sf_dir).where(F.col("part") == "test").drop("part")
+    cands = views.feat(spark, sf_dir)
     src = scratch_path(spark, "candidates")
     cands.write.parquet(src)
-    sink = run_score_stream(spark, t, src, cands.schema)
-    return spark.read.parquet(sink)
+    return spark.read.parquet(run_score_stream(spark, saved_scorer(spark, sf_dir), src, cands.schema))
 
 
 @register("score_candidates")
 def q_score_candidates(spark, sf_dir):
-    """Candidate form as a table: the held-out shoppers' raw rows through the
-    simplified candidate features, the trained model and the k-means segments
-    (named by their rank in mean weighted spend)."""
+    """Candidate form as a table: all shoppers' raw rows through the simplified
+    candidate features, the trained model and the k-means segments (named by
+    their rank in mean weighted spend)."""
     from basketry.operators import crm as C
     t = trained(spark, sf_dir)
-    model, clusters, scaler = segmented(spark, sf_dir)
-    prof = C.segment_profile(views.feat(spark, sf_dir).join(clusters, "ROW_ID"))
+    model, _, scaler = segmented(spark, sf_dir)
+    prof = C.segment_profile(_with_segment(spark, sf_dir, views.feat(spark, sf_dir)).withColumnRenamed("segment", "Cluster"))
     names = prof.select(F.col("Cluster").alias("segment"), "segment_name")
-    test_ids = views.feat_split(spark, sf_dir).where(F.col("part") == "test").select("ROW_ID")
-    cands = views.shop(spark, sf_dir).join(test_ids, "ROW_ID", "left_semi")
-    return MD.score_candidates(t, cands, model, scaler, names)
-
-
-@register("grid_search_precision")
-def q_grid_search_precision(spark, sf_dir):
-    """Earlier variant: balanced random forest grid, 3 folds, scored by the
-    positive class's precision (on the selected, scaled train features)."""
-    t = trained(spark, sf_dir)
-    f = views.feat_split(spark, sf_dir).where(F.col("part") == "train").drop("part")
-    x = MD._fitted_features(f, t.cond_probs, t.prob_means, t.ratio_means)
-    x = MD.add_label_weight(x)
-    x = E.one_hot_apply(x.drop(*[c for c in MD.K.MODEL_DROP_COLUMNS if c in x.columns]), t.vocab)
-    have = set(x.columns)
-    x = x.select("ROW_ID", MD.LABEL, MD.WEIGHT, *[F.col(c) if c in have else F.lit(0).alias(c) for c in t.selected])
-    data = MD.model_frame(E.standardize_apply(x, t.scaler), t.selected)
-    _, frame = MD.grid_search(data, "RandomForest", t.cfg, metric="precision", folds=3)
-    return frame
+    return MD.score_candidates(t.scorer, views.shop(spark, sf_dir), model, scaler, names)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import constants as K
 from basketry.operators import crm as C
+from basketry.operators.lookup import checked_broadcast
 from basketry.operators.stats import quantile_table
 from basketry.plans import views
 from basketry.plans.fixture_sql import with_views
@@ -166,7 +167,7 @@ def q_crm_action(spark, sf_dir):
     acts = C.crm_display(C.crm_action(C.crm_summary(s)))
     names = C.segment_names_fixed(
         s.groupBy("Cluster").agg(F.avg("TOTAL_SPEND_WEIGHTED_NEW").alias("TotWght"))).select("Cluster", "segment_name")
-    res = acts.join(F.broadcast(names), "Cluster")  # one row per segment
+    res = acts.join(checked_broadcast(names), "Cluster")
     return r6(res.select("Cluster", "segment_name", "n_customers", "rate_pct", "avg_spend", "avg_prev_purchases",
                          "avg_freq", "promo_pct", "crm_action").orderBy(F.desc("rate_pct"), "Cluster"),
               ["avg_spend", "avg_prev_purchases", "avg_freq"])
@@ -198,16 +199,16 @@ def q_segment_names_rule(spark, sf_dir):
 
 
 @register("segment_recommendation", with_views(f"""
-SELECT s.ROW_ID, s.Cluster, sc.p, round(r.sub_rate_pct, 6) AS sub_rate_pct,
+SELECT s.ROW_ID, sc.model, s.Cluster, sc.p, round(r.sub_rate_pct, 6) AS sub_rate_pct,
   CASE WHEN r.sub_rate_pct < 40 THEN {_q(K.REC_LOW)} WHEN r.sub_rate_pct < 60 THEN {_q(K.REC_MID)}
        WHEN r.sub_rate_pct IS NOT NULL THEN {_q(K.REC_HIGH)} END AS advice,
   CASE WHEN sc.p >= 0.5 AND r.sub_rate_pct >= 50 THEN {_q(K.REC_BOTH_HIGH)}
        WHEN sc.p < 0.5 AND r.sub_rate_pct < 40 THEN {_q(K.REC_BOTH_LOW)} END AS joint
-FROM segf s JOIN scored sc ON sc.ROW_ID = s.ROW_ID AND sc.model = 'alpha'
+FROM segf s JOIN scored sc ON sc.ROW_ID = s.ROW_ID
 LEFT JOIN risk r ON r.Cluster = s.Cluster""", *SEGF, RISK_CTE))
 def q_segment_recommendation(spark, sf_dir):
     s = seg(spark, sf_dir).select("ROW_ID", "Cluster")
-    sc = views.scored(spark, sf_dir).where(F.col("model") == "alpha").select("ROW_ID", "p")
+    sc = views.scored(spark, sf_dir).select("ROW_ID", "model", "p")
     rows = s.join(sc, "ROW_ID")
     res = C.segment_recommendation(rows, C.segment_risk(seg(spark, sf_dir)), 0.5)
-    return r6(res.select("ROW_ID", "Cluster", "p", "sub_rate_pct", "advice", "joint"), ["sub_rate_pct"])
+    return r6(res.select("ROW_ID", "model", "Cluster", "p", "sub_rate_pct", "advice", "joint"), ["sub_rate_pct"])

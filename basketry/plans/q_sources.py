@@ -53,19 +53,23 @@ def q_normalize_columns(spark, sf_dir):
     return normalize_columns(raw_header_frame(shop_frame(spark, sf_dir)))
 
 
+ODD_TEXT = ["unknown", "NaN", "12d", "1f", "  ", "Infinity", " 1.2e3 "]
+
+
 @register("coerce_numeric", with_views("""
 SELECT ROW_ID,
-  CASE WHEN ROW_ID % 89 = 0 THEN NULL ELSE CAST(AGE AS DOUBLE) END AS AGE,
+  CASE WHEN ROW_ID % 89 < 5 THEN NULL WHEN ROW_ID % 89 = 5 THEN 'Infinity'::DOUBLE WHEN ROW_ID % 89 = 6 THEN 1200.0
+       ELSE CAST(AGE AS DOUBLE) END AS AGE,
   PURCHASE_AMOUNT_USD, CAST(PREVIOUS_PURCHASES AS DOUBLE) AS PREVIOUS_PURCHASES,
   REVIEW_RATING FROM shop"""))
 def q_coerce_numeric(spark, sf_dir):
-    """The four numeric columns arrive as text (some ages unreadable, missing
+    """The four numeric columns arrive as text (some ages in odd forms, missing
     ratings blank) and are coerced back: unparsable -> null."""
     s = shop_frame(spark, sf_dir)
     text = s.select(
         "ROW_ID",
-        F.when(F.col("ROW_ID") % 89 == 0, F.lit("unknown"))
-         .otherwise(F.col("AGE").cast("string")).alias("AGE"),
+        F.coalesce(F.get(F.array(*[F.lit(x) for x in ODD_TEXT]), (F.col("ROW_ID") % 89).cast("int")),
+                   F.col("AGE").cast("string")).alias("AGE"),
         F.col("PURCHASE_AMOUNT_USD").cast("string").alias("PURCHASE_AMOUNT_USD"),
         F.col("PREVIOUS_PURCHASES").cast("string").alias("PREVIOUS_PURCHASES"),
         F.coalesce(F.col("REVIEW_RATING").cast("string"), F.lit("")).alias("REVIEW_RATING"))

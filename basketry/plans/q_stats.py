@@ -101,6 +101,11 @@ def q_crosstab_row_pct_gender(spark, sf_dir):
     return rr(S.crosstab_row_pct(shop_frame(spark, sf_dir), "GENDER", "SUBSCRIPTION_STATUS"), ["No", "Yes"])
 
 
+@register("crosstab_row_pct_promo", _rowpct_sql("PROMO_CODE_USED", "SUBSCRIPTION_STATUS", ["No", "Yes"]))
+def q_crosstab_row_pct_promo(spark, sf_dir):
+    return rr(S.crosstab_row_pct(shop_frame(spark, sf_dir), "PROMO_CODE_USED", "SUBSCRIPTION_STATUS"), ["No", "Yes"])
+
+
 def _cramers_sql(a, b, src="shop"):
     return with_views(f"""
 SELECT round(CASE WHEN r < 2 OR k < 2 THEN 0.0 ELSE sqrt(chi2 / (n * (least(r, k) - 1))) END, 6) AS v,
@@ -183,10 +188,10 @@ JOIN (SELECT {group}, CAST({value} AS DOUBLE) AS v, count(*) AS cnt FROM {src} W
 GROUP BY p.{group}, g.i, p.lo, p.step, p.n, p.h""")
 
 
-def _kde_out(res, group):
+def _kde_out(res, group, *quartiles):
     return res.select(group, F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"),
                       F.round("density", 12).alias("density"),
-                      F.round(F.col("density") * F.col("step"), 9).alias("mass"))
+                      F.round(F.col("density") * F.col("step"), 9).alias("mass"), *[F.round(q, 6).alias(q) for q in quartiles])
 
 
 @register("kde_by_group", _kde_sql("PURCHASE_AMOUNT_USD", "SUBSCRIPTION_STATUS", 200, 3))
@@ -195,10 +200,18 @@ def q_kde_by_group(spark, sf_dir):
     return _kde_out(res, "SUBSCRIPTION_STATUS")
 
 
-@register("violin_stats", _kde_sql("AGE", "SUBSCRIPTION_STATUS", 100, 2))
+def _violin_sql(value, group):
+    dens = _kde_sql(value, group, 100, 2)
+    head, body = dens.split("SELECT p.", 1)
+    return f"""{head}SELECT d.*, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3 FROM (SELECT p.{body}) d
+JOIN (SELECT {group}, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median, quantile_cont({value}, 0.75) AS q3
+      FROM shop WHERE {value} IS NOT NULL GROUP BY {group}) q ON q.{group} IS NOT DISTINCT FROM d.{group}"""
+
+
+@register("violin_stats", _violin_sql("AGE", "SUBSCRIPTION_STATUS"))
 def q_violin_stats(spark, sf_dir):
-    res = S.kde(shop_frame(spark, sf_dir), "AGE", "SUBSCRIPTION_STATUS", 100, 2.0)
-    return _kde_out(res, "SUBSCRIPTION_STATUS")
+    res = S.violin(shop_frame(spark, sf_dir), "AGE", "SUBSCRIPTION_STATUS")
+    return _kde_out(res, "SUBSCRIPTION_STATUS", "q1", "median", "q3")
 
 
 def _box_sql(value, group):
@@ -292,9 +305,16 @@ def q_sort_rows(spark, sf_dir):
 
 
 @register("append_rows", with_views("""
-SELECT ROW_ID, part, PURCHASE_AMOUNT_USD FROM split WHERE part = 'train'
-UNION ALL SELECT ROW_ID, part, PURCHASE_AMOUNT_USD FROM split WHERE part = 'test'""",
-    *FEAT, *__import__("basketry.plans.sql_features", fromlist=["split_ctes"]).split_ctes()))
+SELECT ROW_ID, CUSTOMER_ID, CATEGORY, PURCHASE_AMOUNT_USD, PREVIOUS_PURCHASES FROM shop
+UNION ALL
+SELECT top + row_number() OVER (ORDER BY CUSTOMER_ID), CUSTOMER_ID, 'New', 0.0, n FROM
+  (SELECT CUSTOMER_ID, CAST(2 * count(*) AS INT) AS n, (SELECT max(ROW_ID) FROM shop) AS top FROM shop GROUP BY CUSTOMER_ID)"""))
 def q_append_rows(spark, sf_dir):
-    f = views.feat_split(spark, sf_dir).select("ROW_ID", "part", "PURCHASE_AMOUNT_USD")
-    return f.where(F.col("part") == "train").unionByName(f.where(F.col("part") == "test"))
+    """One new row per customer appended to the table, numbered on from it."""
+    from basketry.operators.ranking import row_number_in_group
+    s = shop_frame(spark, sf_dir).select("ROW_ID", "CUSTOMER_ID", "CATEGORY", "PURCHASE_AMOUNT_USD", "PREVIOUS_PURCHASES")
+    top = s.agg(F.max("ROW_ID")).first()[0] or 0
+    new = s.groupBy("CUSTOMER_ID").agg((F.count(F.lit(1)) * 2).cast("int").alias("n"))
+    new = row_number_in_group(new, [], ["CUSTOMER_ID"], "rn")
+    return s.unionByName(new.select((F.lit(top) + F.col("rn")).cast("long").alias("ROW_ID"), "CUSTOMER_ID", F.lit("New").alias("CATEGORY"),
+                                    F.lit(0.0).alias("PURCHASE_AMOUNT_USD"), F.col("n").alias("PREVIOUS_PURCHASES")))

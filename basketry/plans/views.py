@@ -1,8 +1,9 @@
 """Derived tables shared by the registered queries.
 
-``shop`` (reconstructed shopper rows), ``feat`` (shop + the feature pipeline)
-and ``feat_split`` (feat + train/test part) are each built once per dataset and
-written as parquet under the shared checkpoint folder. Later queries scan them
+``shop`` (reconstructed shopper rows) and ``feat`` (shop + the feature
+pipeline) are each built once per dataset and written as parquet under the
+shared checkpoint folder; ``feat_split`` (feat + train/test part) and ``seg``
+(feat + segment) are projections of it. Later queries scan them
 with column pruning and filter pushdown instead of re-deriving the join tree,
 and a lost executor costs a re-read, not a re-derivation.
 """
@@ -40,14 +41,25 @@ def feat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "feat", lambda: derive_features(shop(spark, sf_dir)))
 
 
+def remembered(spark: SparkSession, sf_dir: str, name: str, build):
+    """A small fitted value, once per session and dataset."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    with _LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = build()
+        return _MEMO[key]
+
+
 def feat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from basketry.operators.split import add_split_column
-    return materialized(spark, sf_dir, "feat_split", lambda: add_split_column(feat(spark, sf_dir)))
+    """``feat`` with its part, a projection at read time over the stored cuts."""
+    from basketry.operators.split import add_part, split_cutoffs
+    f = feat(spark, sf_dir)
+    return add_part(f, remembered(spark, sf_dir, "cuts", lambda: split_cutoffs(f, "SUBSCRIPTION_STATUS")))
 
 
 def seg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.sources.tables import seg_column
-    return materialized(spark, sf_dir, "seg", lambda: feat(spark, sf_dir).withColumn("Cluster", seg_column()))
+    return feat(spark, sf_dir).withColumn("Cluster", seg_column())
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

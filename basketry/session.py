@@ -11,10 +11,14 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app: str = "basketry") -> SparkSession:
-    """Local session for tests and the bench. On a cluster, the platform's own
-    session is used as is; nothing here is required there."""
-    spark = (
+                  app: str = "basketry", checkpoint_dir: str | None = None) -> SparkSession:
+    """Session for tests and the bench. On a cluster, the platform's own
+    session is used as is; nothing here is required there. ``checkpoint_dir``
+    is the shared folder of written tables; only a local master may leave it
+    out (a private folder is made then)."""
+    if checkpoint_dir is None and master.startswith("local") and not master.startswith("local-cluster"):
+        checkpoint_dir = tempfile.mkdtemp(prefix="basketry-ckpt-")
+    builder = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -25,9 +29,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config(_CKPT_KEY, tempfile.mkdtemp(prefix="basketry-ckpt-"))
-        .getOrCreate()
     )
+    if checkpoint_dir is not None:
+        builder = builder.config(_CKPT_KEY, checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -49,13 +54,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="basketry-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
 
+def materialize(df, name: str):
+    """``df`` written once to the shared checkpoint folder and read back: cuts
+    the lineage at a table that survives the loss of any executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)

@@ -24,6 +24,7 @@ def test_elbow_curve(spark, q):
     rows = q["elbow_k"](spark, SF001).orderBy("k").collect()
     assert [r.k for r in rows] == list(range(2, 11))
     assert sum(r.is_elbow for r in rows) == 1
+    assert all(a.inertia > b.inertia for a, b in zip(rows, rows[1:]))
 
 
 def test_pipeline_outputs(spark, q):
@@ -50,7 +51,36 @@ def test_stream_equals_batch(spark, q):
 
 def test_importances_sum_to_one(spark, q):
     total = q["feature_importance"](spark, SF001).agg(F.sum("importance")).first()[0]
-    assert 0 < total <= 1.0 + 1e-9
+    assert total == pytest.approx(1.0)
+
+
+def test_four_models_are_compared(spark, q):
+    rows = q["compare_fitted_models"](spark, SF001).collect()
+    assert {r.model for r in rows} == {"LogisticRegression", "RandomForest", "GBT", "GBT_deep"}
+    assert sum(r.best_by_f1 for r in rows) == sum(r.best_by_auc for r in rows) == 1
+
+
+def test_saved_pipeline_scores_alike(spark, q):
+    from basketry.operators import models as MD
+    from basketry.plans import q_models as QM, views
+    t = QM.trained(spark, SF001)
+    mine = {r.ROW_ID: r.p for r in t.scorer.score(views.feat(spark, SF001)).collect()}
+    loaded = {r.ROW_ID: r.p for r in q["score_customers"](spark, SF001).collect()}
+    assert mine == loaded and len(mine) == views.shop(spark, SF001).count()
+    test = {r.ROW_ID: r.p for r in t.scored_test.collect()}
+    assert all(abs(mine[k] - v) < 1e-12 for k, v in test.items())
+    assert isinstance(MD.load_scorer(spark, QM.saved_scorer(spark, SF001)), MD.Scorer)
+
+
+def test_scoring_needs_no_join_on_the_id(spark, q):
+    plan = q["score_customers"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_tree_depth_beyond_the_library_fails():
+    from basketry.operators import models as MD
+    with pytest.raises(ValueError):
+        MD.random_forest_model(10, 31)
 
 
 def test_candidate_scoring(spark, q):

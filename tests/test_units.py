@@ -13,7 +13,7 @@ from basketry.operators import features as FE
 from basketry.operators import metrics as M
 from basketry.operators import segments as SG
 from basketry.operators import stats as S
-from basketry.operators.quantiles import quantiles
+from basketry.operators.quantiles import column_quantiles, quantiles
 from basketry.operators.split import add_split_column, fold_column
 from basketry.sources.files import coerce_numeric, normalize_name
 
@@ -124,14 +124,18 @@ def test_null_in_concat(spark):
     assert df.select(concat_text("SEASON", "CATEGORY")).first()[0] == "nan_Shoes"
 
 
-@pytest.mark.parametrize("bound", [10**9, 5])
-def test_quantiles_exact_both_paths(spark, bound):
+def test_quantiles_exact_per_group(spark):
     rng = np.random.default_rng(11)
     vals = np.round(rng.lognormal(3, 1.5, 3000), 2)
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    rows = [("g", float(v)) for v in vals] + [("one", 5.0), ("two", 1.0), ("two", 2.0), (None, 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = quantiles(df, "x", probs, distinct_bound=bound, buckets=16)[()]
-    assert got == pytest.approx(list(np.quantile(vals, probs)), rel=1e-12)
+    got = {r.g: list(r)[1:] for r in quantiles(df, "x", probs, ["g"]).collect()}
+    assert got["g"] == pytest.approx(list(np.quantile(vals, probs)), rel=1e-12)
+    assert got["one"] == [5.0] * 5 and got["two"] == [1.0, 1.25, 1.5, 1.75, 2.0] and got[None] == [7.0] * 5 and "none" not in got
+    assert list(quantiles(df.where("g = 'g'"), "x", probs).first()) == got["g"]
+    assert quantiles(df.where("g = 'none'"), "x", probs).collect() == []
+    assert column_quantiles(df.withColumn("y", F.lit(None).cast("double")), ["x", "y"], [0.5])["y"] is None
 
 
 def test_split_sizes_and_folds(spark):
@@ -189,7 +193,7 @@ def test_row_number_hot_group_equals_window(spark):
     for i in range(3000, 3400):
         rows.append((int(rng.integers(2, 50)), dt.datetime(2000, 1, 1) + dt.timedelta(days=int(rng.integers(0, 400))), i))
     df = spark.createDataFrame(rows, "c long, d timestamp, k long")
-    got = row_number_in_group(df, ["c"], ["d", "k"], "rn", hot_rows=200)
+    got = row_number_in_group(df, ["c"], ["d", "k"], "rn")
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy("d", "k")))
     assert sorted(map(tuple, got.select("k", "rn").collect())) == sorted(map(tuple, ref.select("k", "rn").collect()))
 
@@ -204,20 +208,13 @@ def test_sparse_one_hot_equals_wide(spark):
     assert got == want == [(1, "c_a"), (1, "d_x"), (2, "c_b"), (3, "d_y")]
 
 
-@pytest.mark.parametrize("hot", [10**9, 50])
-def test_auc_roc_hot_path_equal(spark, hot):
-    from basketry.operators import ranking
+def test_auc_roc_match_direct_count(spark):
     rng = np.random.default_rng(9)
     p = np.round(rng.random(2000), 3)
     y = (rng.random(2000) < p).astype(int)
     sc = spark.createDataFrame([("m", int(a), float(b)) for a, b in zip(y, p)], "model string, y int, p double")
-    old = ranking.HOT_ROWS
-    try:
-        ranking.running_sums.__defaults__ = ranking.running_sums.__defaults__[:-1] + (hot,)
-        got = M.auc(sc).first()["auc"]
-        roc = {r.score: (r.fpr, r.tpr) for r in M.roc_curve(sc).collect() if r.score is not None}
-    finally:
-        ranking.running_sums.__defaults__ = ranking.running_sums.__defaults__[:-1] + (old,)
+    got = M.auc(sc).first()["auc"]
+    roc = {r.score: (r.fpr, r.tpr) for r in M.roc_curve(sc).collect() if r.score is not None}
     pos, neg = p[y == 1], p[y == 0]
     mw = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert got == pytest.approx(mw, rel=1e-12)
@@ -233,7 +230,7 @@ def test_running_sums_mixed_groups(spark, descending, inclusive):
     rows = [("big", float(i), int(rng.integers(0, 5))) for i in range(600)]
     rows += [(f"s{g}", float(i), int(rng.integers(0, 5))) for g in range(5) for i in range(7)]
     df = spark.createDataFrame(rows, "g string, k double, v long")
-    got = running_sums(df, ["g"], "k", ["v"], descending=descending, inclusive=inclusive, hot_rows=40)
+    got = running_sums(df, ["g"], "k", ["v"], descending=descending, inclusive=inclusive)
     order = F.desc("k") if descending else F.asc("k")
     w = Window.partitionBy("g").orderBy(order).rowsBetween(Window.unboundedPreceding,
                                                            Window.currentRow if inclusive else -1)
@@ -258,21 +255,53 @@ def test_group_mean_ratios_one_pass_equals_single(spark):
     assert sorted(map(key, te_m.select(cols).collect())) == sorted(map(key, te_s.select(cols).collect()))
 
 
-def test_kde_binned_switch_close_to_exact(spark):
-    rng = np.random.default_rng(8)
-    v = rng.normal(100, 15, 3000)
-    df = spark.createDataFrame([("g", float(x)) for x in v], "grp string, x double")
-    exact = [r.density for r in S.kde(df, "x", "grp", points=100).orderBy("i").collect()]
-    binned = [r.density for r in S.kde(df, "x", "grp", points=100, max_distinct=500).orderBy("i").collect()]
-    peak = max(exact)
-    assert max(abs(a - b) for a, b in zip(exact, binned)) < 1e-3 * peak
-
-
 def test_conditional_probs_many_equals_single(spark):
     df = spark.createDataFrame([("g1", "a", "S"), ("g1", "b", "S"), ("g2", "a", None), ("g2", "a", "M"),
                                 (None, "b", "M"), ("g3", None, "L")], "grp string, c1 string, c2 string")
     many = FE.fit_conditional_probs_many(df, "grp", ["c1", "c2"])
+    asked = spark.createDataFrame([(g, c, c) for g in ("g1", "g2", "g3", "g4", None) for c in ("a", "b", "S", "M", "L", "zz", None)], "grp string, c1 string, c2 string")
     for c in ("c1", "c2"):
-        a = sorted((r[0], r[1], round(r[2], 12)) for r in many[c].collect())
-        b = sorted((r[0], r[1], round(r[2], 12)) for r in FE.fit_conditional_probs(df, "grp", c).collect())
+        table = FE.fit_conditional_probs(df, "grp", c)
+        key = lambda r: tuple("∅" if x is None else round(x, 12) if isinstance(x, float) else x for x in r)
+        a = sorted(key(r) for r in FE.map_conditional_probs(asked, many[c], "grp", c, "p").collect())
+        b = sorted(key(r) for r in FE.map_conditional_probs(asked, table, "grp", c, "p").select("grp", "c1", "c2", "p").collect())
         assert a == b
+    full = {(r[0], r[1]): r[2] for r in FE.fit_conditional_probs(df, "grp", "c1").collect()}
+    assert full == pytest.approx({("g1", "a"): 2 / 4, ("g1", "b"): 2 / 4, ("g2", "a"): 3 / 4, ("g2", "b"): 1 / 4})
+
+
+def test_split_fails_on_a_key_that_repeats_at_the_cut(spark):
+    df = spark.createDataFrame([(1 if i < 900 else i, "Yes") for i in range(1000)], "ROW_ID long, SUBSCRIPTION_STATUS string")
+    with pytest.raises(ValueError, match="repeats"):
+        add_split_column(df)
+
+
+def test_coerce_numeric_text(spark):
+    text = ["1", " 2.5 ", "-3.", ".5", "1e3", "NaN", "12d", "1f", "", " ", "Infinity", "-inf", "0x10", "1_000", "abc", None]
+    df = spark.createDataFrame([(t,) for t in text], "a string")
+    want = [1.0, 2.5, -3.0, 0.5, 1000.0, None, None, None, None, None, math.inf, -math.inf, None, None, None, None]
+    assert [r.a for r in coerce_numeric(df, ["a"]).collect()] == want
+    assert coerce_numeric(spark.createDataFrame([(float("nan"),)], "a double"), ["a"]).first()[0] is None
+
+
+def test_front_of_the_pipeline(spark, tmp_path):
+    """The example in ``basketry.api``: a file's own headers to features."""
+    from basketry import api as B
+    from basketry.plans.views import shop
+    from basketry.sources.files import raw_header_frame, write_csv
+    path = write_csv(raw_header_frame(shop(spark, "/root/testdata/sf0.001")), str(tmp_path / "csv"))
+    raw = spark.read.option("header", True).csv(path)
+    feat = B.derive_features(B.clean_shoppers(B.canonical_columns(B.normalize_columns(raw))))
+    assert feat.count() == shop(spark, "/root/testdata/sf0.001").count() and "CLIMATE_GROUP_NEW" in feat.columns
+
+
+def test_lookups_stay_small_without_auto_broadcast(spark):
+    df = spark.createDataFrame([("g1", "a"), ("g2", "b")] * 50, "grp string, c1 string")
+    fit = FE.fit_conditional_probs_many(df, "grp", ["c1"])["c1"]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = FE.map_conditional_probs(df, fit, "grp", "c1", "p")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
