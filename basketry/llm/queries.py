@@ -53,4 +53,41 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_suffix_dedup, op4_pii, op5_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_sharding, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {}
+_RULES = ", ".join(f"{{'rule': '{name}', 'j': {j}, 'c': {float(c)!r}, 'v': {expr}}}" for name, (expr, grid) in quality_rules.RULES.items() for j, c in enumerate(grid))
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || lang, '') AS s FROM documents),
+x AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+wd AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM x),
+tri AS (SELECT doc_id, i, [w, lead(w, 1) OVER o, lead(w, 2) OVER o] AS g FROM wd WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri WHERE g[3] IS NOT NULL) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o.k) AS n FROM rep CROSS JOIN range(3) o(k) GROUP BY doc_id),
+m0 AS (SELECT x.doc_id, s, CAST(len(ws) AS DOUBLE) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS DOUBLE) AS word_chars,
+  length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+  FROM x LEFT JOIN cov USING (doc_id)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m0),
+truth AS (SELECT doc_id, min(quality) AS y FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+good AS (SELECT m.* FROM m JOIN truth USING (doc_id) WHERE y = 1 AND NOT base_failed),
+tests AS (SELECT s, r.rule, r.j, r.c, count(*) AS n, count(*) FILTER (WHERE r.v > r.c) AS k FROM (SELECT s, unnest([{_RULES}]) AS r FROM good) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k < n * 0.01 THEN list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) ELSE 1 END AS p, 0.1 / ((SELECT count(DISTINCT s) FROM good) * {len(quality_rules.RULES)}) AS level FROM tests),
+cut AS (SELECT s, rule, arg_max(c, j) AS c FROM p WHERE j < (SELECT coalesce(min(q.j), 1000) FROM p q WHERE q.s = p.s AND q.rule = p.rule AND q.p > q.level) GROUP BY s, rule),
+over AS (SELECT doc_id, string_agg(a.rule, ',' ORDER BY a.rule) AS failed_rules FROM
+  (SELECT DISTINCT doc_id, s, r.rule, r.v FROM (SELECT doc_id, s, unnest([{_RULES}]) AS r FROM m WHERE n_words > 0)) a JOIN cut ON cut.s = a.s AND cut.rule = a.rule WHERE a.v > cut.c GROUP BY doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules FROM m LEFT JOIN over USING (doc_id)"""
+
+OP9_SQL = """
+WITH tbl AS (SELECT list(list_reduce(range(0, 8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), n) ORDER BY n) AS t FROM range(256) r(n)),
+d AS (SELECT doc_id, '=' || source AS src, coalesce(text, '') AS t, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, coalesce(src, '') AS s, h, hex(encode(t)) AS x, octet_length(encode(t)) + 8 AS size FROM d),
+b AS (SELECT doc_id, s, h, size, list_transform(range(0, size - 8), lambda i: CAST(('0x' || x[2 * i + 1:2 * i + 2]) AS BIGINT)) AS bytes FROM u),
+c AS (SELECT doc_id, s, h, size, xor(4294967295, list_reduce(bytes, lambda a, v: xor(a >> 8, tbl.t[(xor(a, v) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS crc FROM b CROSS JOIN tbl),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, size, crc) - 1 AS r, count(*) OVER (PARTITION BY s) AS n FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * r + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), s, r) - 1 AS p, count(*) OVER () AS total FROM r)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(p * 24 // total AS INT) AS shard,
+  row_number() OVER (PARTITION BY p * 24 // total ORDER BY p) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM o"""
+
+#: The others rest on detectors, training, sketches, tokenizers or packing that
+#: SQL does not express; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op9_sharding": OP9_SQL}
