@@ -2,7 +2,7 @@ import random
 
 from basketry.llm import decontamination as D
 
-from conftest import words
+from corpus_rows import words
 
 
 def item(n, size):

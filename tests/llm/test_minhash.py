@@ -7,7 +7,7 @@ import pytest
 from basketry.llm import minhash as M
 from basketry.llm.components import connected_components
 
-from conftest import odd_rows, words
+from corpus_rows import odd_rows, words
 
 SEP = " \t\n\x0b\x0c\r"
 

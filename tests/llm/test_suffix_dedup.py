@@ -6,7 +6,7 @@ import pytest
 
 from basketry.llm import suffix_dedup as S
 
-from conftest import words
+from corpus_rows import words
 
 
 def brute(rows, length=100):
