@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from sf_dirs import SF01
 
 import __spark_entry__ as entry
 from basketry.operators import metrics as M

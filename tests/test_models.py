@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from sf_dirs import SF001
 
 import __spark_entry__ as entry
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from conftest import SF001
+from sf_dirs import SF001
 from tools.oracle_check import digest
 
 import __spark_entry__ as entry
