@@ -9,8 +9,6 @@ have the workload's own sizes. Only the tree grids are small here
 
 from __future__ import annotations
 
-import threading
-
 from pyspark.sql import functions as F
 
 from basketry.operators import metrics as M
@@ -22,17 +20,10 @@ from basketry.plans.registry import register
 from basketry.plans.sql_features import feat_ctes, segf_cte
 from basketry.session import scratch_path
 
-_MEMO: dict = {}
-_LOCK = threading.RLock()
 B_SEGMENT_FEATURES = ["FREQUENCY_VALUE_NEW", "SPEND_PER_PURCHASE_NEW", "LOYALTY_SCORE_NEW"]
 
 
-def _memo(spark, sf_dir, name, build):
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    with _LOCK:
-        if key not in _MEMO:
-            _MEMO[key] = build()
-        return _MEMO[key]
+_memo = views.remembered
 
 
 # the winner's grid as the registered queries run it

@@ -20,8 +20,20 @@ _MEMO: dict = {}
 _LOCK = threading.RLock()
 
 
+def data_stamp(spark: SparkSession, sf_dir: str) -> int:
+    """Changes when a table of the folder does: names, sizes and times of its
+    entries, from the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return hash(tuple(sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries)))
+
+
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/"), data_stamp(spark, sf_dir), name
+
+
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = _key(spark, sf_dir, name)
     with _LOCK:
         path = _MEMO.get(key)
         if path is None:
@@ -43,7 +55,7 @@ def feat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remembered(spark: SparkSession, sf_dir: str, name: str, build):
     """A small fitted value, once per session and dataset."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = _key(spark, sf_dir, name)
     with _LOCK:
         if key not in _MEMO:
             _MEMO[key] = build()
