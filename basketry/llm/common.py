@@ -109,13 +109,25 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(end) + 1, np.searchsorted(offsets, starts, side="right") - 1
 
 
+#: Bytes hashed at once: bounds the temporary arrays of very long texts.
+STRIDE = 1 << 22
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hash of every word (A-Z lower-cased on demand)."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
     with np.errstate(over="ignore"):
-        up, down = powers(len(data) + 1)
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:-1], out=run[1:])
-        return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRIDE, side="right")))
+            a, b = int(starts[i]), int(ends[j - 1])
+            up, down = powers(b - a + 1)
+            run = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((_BYTE_LOWER if lower else _BYTE)[data[a:b]] * up[:-1], out=run[1:])
+            s, e = starts[i:j] - a, ends[i:j] - a
+            out[i:j] = mix((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64))
+            i = j
+    return out
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -84,7 +84,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = materialize(map_texts(docs, cols, text_col, f"found {_SPANS}, base_sha256 string", _scan), "secrets")
     one = scanned.filter(F.size("found") > 0).select("rid", "owner", "repo", F.explode("found").alias("s"))
     hits = one.select("rid", "owner", "repo", "s", F.col("s.digest").alias("digest"))
-    judged = hits.select("rid", "s", "digest").join(ownership(hits.select("digest", "owner", "repo")), "digest")
+    owned = materialize(ownership(hits.select("digest", "owner", "repo")), "ownership")  # the join can split a hot digest
+    judged = hits.select("rid", "s", "digest").join(owned, "digest")
     verdict = (F.when(F.col("n_owners") >= example_owners, "example")
                .when((F.col("n_owners") == 1) & (F.col("s.entropy") >= min_entropy), "live").otherwise("unclear"))
     per_row = judged.select("rid", F.struct("s.start", "s.kind", "s.end", "s.value_start", "s.value_end", "digest", "n_owners", "n_repos", verdict.alias("verdict")).alias("v"))
