@@ -305,3 +305,19 @@ def test_lookups_stay_small_without_auto_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+
+
+def test_scan_csv_infers_types(spark, tmp_path):
+    from basketry.sources.files import scan_csv, write_csv
+    path = write_csv(spark.createDataFrame([(1, 2.5, "x"), (2, None, "y")], "`Row ID` long, `Review Rating` double, `Size` string"), str(tmp_path / "c"))
+    df = scan_csv(spark, path, infer=True)
+    assert dict(df.dtypes) == {"ROW_ID": "int", "REVIEW_RATING": "double", "SIZE": "string"}
+    assert sorted(map(tuple, df.collect())) == [(1, 2.5, "x"), (2, None, "y")]
+
+
+def test_group_mean_ratio_mean_ratio_fallback(spark):
+    train = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 4.0)], "g string, v double")
+    test = spark.createDataFrame([("a", 4.0), ("z", 9.0), (None, 2.0)], "g string, v double")
+    _, out = FE.group_mean_ratio(train, test, "g", "v", "r", fallback="mean_ratio")
+    # unseen and null groups take the mean of the train ratios 0.5, 1.5 and 1
+    assert sorted((r.g or "", r.r) for r in out.collect()) == [("", 1.0), ("a", 2.0), ("z", 1.0)]
