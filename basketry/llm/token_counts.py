@@ -8,13 +8,17 @@ encodes only the misses, each once, and appends them.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.common import materialize
+
 CACHE = "digest string, version string, n_tokens long"
 _LOADED: dict = {}
 
@@ -32,35 +36,40 @@ class Counter:
     huge runs of white space) goes to the library itself."""
 
     def __init__(self, path: str, fast: bool = True):
-        self.ranks, self.lib, self.pieces, self.specials = None, None, None, []
-        if path.endswith(".model"):
-            import sentencepiece
-            self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-            return
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_padding()
-        self.lib.no_truncation()
+        self.path, self.ranks, self.lib, self.specials = path, None, None, []
         beside = path[:-len(".json")] + ".tiktoken"
-        added = self.lib.get_added_tokens_decoder().values()
-        simple = all(t.special and not (t.lstrip or t.rstrip or t.single_word) for t in added) and len(added) <= 1
-        if fast and self.lib.normalizer is None and simple and os.path.exists(beside):
-            import base64
-            import public_tokenizers
-            import tiktoken
-            with open(beside, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            self.specials = [t.content for t in added]
-
-    def normalised(self, text: str) -> str:
-        return self.lib.normalizer.normalize_str(text) if self.lib is not None and self.lib.normalizer is not None else text
+        if fast and path.endswith(".json") and os.path.exists(beside):
+            with open(path, "rb") as f:
+                spec = json.load(f)
+            added = spec["added_tokens"]
+            plain = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added) and len(added) <= 1
+            if spec["normalizer"] is None and plain:
+                import public_tokenizers
+                import tiktoken
+                with open(beside, "rb") as f:
+                    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+                self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+                self.specials = [t["content"] for t in added]
+
+    def library(self):
+        """The file's own library, loaded when a text needs it."""
+        if self.lib is None:
+            if self.path.endswith(".model"):
+                import sentencepiece
+                self.lib = sentencepiece.SentencePieceProcessor(model_file=self.path)
+            else:
+                from tokenizers import Tokenizer
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"
+                self.lib = Tokenizer.from_file(self.path)
+                self.lib.no_padding()
+                self.lib.no_truncation()
+        return self.lib
 
     def slow(self, text: str) -> int:
-        if self.pieces is not None:
-            return len(self.pieces.encode(text, num_threads=1))
-        return len(self.lib.encode(text, add_special_tokens=False).ids)
+        lib = self.library()
+        if self.path.endswith(".model"):
+            return len(lib.encode(text, num_threads=1))
+        return len(lib.encode(text, add_special_tokens=False).ids)
 
     def count(self, text: str) -> int:
         if self.ranks is None:
@@ -88,7 +97,8 @@ def _encode(path: str, version: str):
     def run(batches):
         c = counter(path)
         for b in batches:
-            n = [c.count(t) for t in b.column("text").to_pylist()]
+            text = b.column("text")
+            n = [c.count(text[i].as_py()) for i in range(len(text))]  # one text at a time in Python
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
     return run
 
@@ -100,8 +110,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     equal texts are encoded once. ``cache_path`` is a folder all executors
     share; a missing one is an empty cache. An append becomes visible only when
     its job has committed, and a digest that two runs appended is read once.
-    Normalised content is what the tokenizer's own normaliser leaves unchanged
-    in its counts: the text itself.
+    Normalised content is the text in UTF-8, null as empty: what the tokenizer
+    counts, so equal digests have equal counts.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
@@ -113,6 +123,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     misses = keyed.select("digest", "text").dropDuplicates(["digest"]).join(stored.select("digest"), "digest", "left_anti")
     misses.mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").parquet(cache_path)
     spark.catalog.refreshByPath(cache_path)
-    counts = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("version") == version)
+    # one row per digest, as a table: the join below can then split a hot digest
+    counts = materialize(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
