@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = materialize(known.groupBy("digest").agg(F.min("rid").alias("cid")), "classes")
     reps = known.select(F.col("rid").alias("cid"), "n", "bands").join(classes.select("cid"), "cid", "left_semi")
     banded = reps.select("cid", "n", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    crowded = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowded")
     shared = materialize(banded.join(crowded, "band"), "bands")
     # centrality: how many neighbours a document's bands have. The text that a
     # group's copies were made from shares more bands than any of them
@@ -243,7 +243,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     found = texts.join(named, texts["th"].eqNullSafe(named["th"]) & texts["_id"].eqNullSafe(named["_id"])).select("cid", "__text")
     sets = materialize(found.mapInArrow(_sets(k), "cid long, items array<bigint>").dropDuplicates(["cid"]), "sets")
 
-    hub = members.groupBy("band").agg(F.max(F.struct("score", (-F.col("cid")).alias("c"), F.col("n").alias("m"))).alias("hub"))
+    # aggregates joined back are tables of their own, so that the joins can
+    # split a band or component that holds a third of all rows
+    hub = materialize(members.groupBy("band").agg(F.max(F.struct("score", (-F.col("cid")).alias("c"), F.col("n").alias("m"))).alias("hub")), "hubs")
     pairs = (members.join(hub, "band").filter(f"cid <> -hub.c and least(n, hub.m) * 100 >= greatest(n, hub.m) * {int(percent)}")
              .select(F.expr("least(cid, -hub.c)").alias("u"), F.expr("greatest(cid, -hub.c)").alias("v")).distinct())
     pairs = materialize(pairs, "pairs")
@@ -253,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # bands that still hold several components: their members, in clusters of
     # documents that share such bands, are compared exactly
     named = members.select("band", "cid", "n").join(label, F.col("cid") == F.col("node"), "left").select("band", "cid", F.coalesce("component", "cid").alias("comp"))
-    still = named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("cid").alias("first")).filter("a <> b")
+    still = materialize(named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("cid").alias("first")).filter("a <> b"), "still")
     left = materialize(named.join(still.select("band", "first"), "band"), "open")
     cluster = materialize(connected_components(left.select(F.col("first").alias("u"), F.col("cid").alias("v"))), "clusters")
     more = materialize(_within_clusters(cluster, left.select("cid", "comp").distinct(), sets, percent), "more-links")
@@ -261,8 +263,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     cls = known.select("rid", "doc_id", "digest").join(classes, "digest").join(label, F.col("cid") == label["node"], "left")
     placed = cls.select("rid", "doc_id", F.coalesce("component", "cid").alias("comp"))
-    named = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
-    full = placed.select("rid", "comp").join(named, "comp").select("rid", "component_id", (F.col("rid") == F.col("first")).alias("chosen"))
+    named = materialize(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")), "names")
+    full = placed.select("rid", "comp").join(named, "comp").select("rid", "component_id", (F.col("rid") == F.col("first.rid")).alias("chosen"))
     out = rows.join(full, "rid", "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"),
