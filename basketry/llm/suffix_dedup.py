@@ -37,7 +37,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import _BYTE, materialize, mix, powers, text_of, text_slices
+from basketry.llm.common import STRIDE, _BYTE, materialize, mix, powers, text_of, text_slices
 from basketry.session import scratch_path
 
 LENGTH = 100
@@ -86,13 +86,22 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return r, at - offsets[r], count, spot[at] - at, h[spot[at]]
 
 
+def _runs(batch: pa.RecordBatch, length: int, gram: int):
+    """``anchors`` of a batch, slice by slice; a very long text is gone through
+    in overlapping pieces (a run that a border cuts is two runs)."""
+    for lo, hi, data, offsets in text_slices(batch, "text"):
+        for p in range(0, len(data) if hi - lo == 1 else 1, STRIDE):
+            piece = data[p:p + STRIDE + length - 1] if hi - lo == 1 else data
+            r, first, count, off, h = anchors(piece, np.array([0, len(piece)]) if hi - lo == 1 else offsets, length, gram)
+            yield lo, r, first + p, count, off, h
+
+
 def _anchor_rows(length: int, gram: int):
     """A window run is packed: first window << 14 | (windows - 1) << 7 | anchor offset."""
     def run(batches):
         for b in batches:
             tid = b.column("tid").to_numpy()
-            for lo, _, data, offsets in text_slices(b, "text"):
-                r, first, count, off, h = anchors(data, offsets, length, gram)
+            for lo, r, first, count, off, h in _runs(b, length, gram):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tid[lo + r]), pa.array((first << 14) | (count - 1 << 7) | off)], ["h", "tid", "at"])
     return run
 
@@ -313,7 +322,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     found = texts.select("tid", "text").mapInArrow(_anchor_rows(length, gram), "h long, tid long, at long")
     other = found.select(F.col("h").alias("h2"), F.col("tid").alias("t2"), F.col("at").alias("a2"))
     again = materialize(found.join(other, (F.col("h") == F.col("h2")) & ((F.col("tid") != F.col("t2")) | (F.col("at") != F.col("a2"))), "left_semi"), "anchors")
-    hot = again.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("h", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    # as a table of its own, so that the join below can split a hot anchor
+    hot = materialize(again.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("h", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot")
     salted = again.join(hot, "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("tid", "at"), F.col("parts")).cast("int"), F.lit(-1)))
     per_text = salted.groupBy("tid").agg(F.collect_list(F.struct("h", "salt", "at")).alias("runs"))  # bounded by the text
     placed = per_text.join(texts.select("tid", "dk", "sub"), "tid").select("dk", "sub", "runs")
@@ -329,9 +339,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     runs = ranges.groupBy("dk", "sub").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # bounded by the text
     done = texts.select("dk", "sub", "id", "text").join(runs, ["dk", "sub"]).drop("id").mapInArrow(
         _strip(length), "dk long, sub long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
-    changed = materialize(done, "stripped")
     owners = texts.select("dk", "sub", F.col("id").alias("first_id"))
-    out = heads.join(owners.join(changed, ["dk", "sub"], "left"), ["dk", "sub"], "left")
+    # one row per text, as a table: the join can split a text that many rows share
+    per_class = materialize(owners.join(done, ["dk", "sub"], "left"), "stripped")
+    out = heads.join(per_class, ["dk", "sub"], "left")
     copy = F.col("first_id").isNotNull() & (F.col("id") != F.col("first_id"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.expr("cast(array() as array<struct<start: long, end: long>>)")
