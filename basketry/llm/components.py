@@ -11,18 +11,18 @@ from basketry.llm.common import materialize
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, component (the smallest node reachable) of every node of ``edges``
     (u, v: longs, no self links needed). Alternating large-star and small-star
-    steps; every step is an aggregate and an equi-join, written to the shared
-    folder, so a hub's links are split like any skewed join."""
+    steps. Every aggregate is written to the shared folder before it is joined
+    back, so a hub's links are split like any skewed join."""
     e = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         # large star: every larger neighbour of u is linked to u's smallest
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         # small star: every smaller neighbour of u, and u, to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("x"))
         nxt = materialize(small.select(F.col("x.a").alias("u"), F.col("x.b").alias("v")).filter("u <> v").distinct(), name)
         # a forest of stars: every node has one smaller neighbour, which has none
