@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from basketry.functions import constants as K
 from basketry.operators import features as FE
-from basketry.operators.split import stratified_split
 from basketry.plans.fixture_sql import with_views
 from basketry.plans.registry import register
 from basketry.plans.sql_features import (FEAT_COLUMNS, TARGET_SQL, case_climate, case_cut, cond_prob_ctes, split_ctes,
-                                         case_map, feat_ctes, nan_text, quart_case, yes)
+                                         case_map, feat_ctes, nan_text)
 from basketry.plans import views
 from basketry.plans.views import shop as shop_frame
 
