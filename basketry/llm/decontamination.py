@@ -1,10 +1,11 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seed hashing without loss.
 
-Fixed masks pick some of the tokens of every window of a text and ignore the
-rest; windows of benchmark items and of documents that agree under a mask are
-hits, whatever the ignored tokens are. A hit fixes how item and document are
-aligned; around it the aligned tokens are compared, and an overlap is reported
-if enough of them agree, substitutions allowed.
+Substitutions cut an overlap into pieces of agreeing tokens, and the rules of
+an overlap say how many there can be, so one piece has a known least length.
+Windows of that many tokens of benchmark items and of documents that agree are
+hits: every overlap has one. A hit fixes how item and document are aligned; the
+aligned tokens are counted, then compared, and an overlap is reported if enough
+of them agree, substitutions allowed.
 
 The benchmark's hashes are a stated query set: they are sent to the tasks in
 blocks of at most ``block_items`` items, every block against all documents.
@@ -12,6 +13,8 @@ blocks of at most ``block_items`` items, every block against all documents.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -21,16 +24,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from basketry.llm.common import mix, text_of, text_slices, word_bounds, word_hashes
 
-#: The masks: token offsets of a window that are hashed. Different gaps, so a
-#: substitution that spoils one mask is ignored by another; the first also
-#: serves items barely longer than itself.
-MASKS = (
-    (0, 1, 2, 3, 4, 5, 6, 7),
-    (0, 1, 3, 4, 6, 7, 9, 10),
-    (0, 1, 2, 5, 6, 7, 10, 11),
-    (0, 2, 3, 5, 7, 8, 10, 11),
-    (0, 1, 2, 3, 8, 9, 10, 11),
-)
+#: The windows at the default rules: an item of 17 or more tokens has four equal
+#: tokens in a row in every overlap, shorter ones up to four (``seed_length``).
+MASKS = ((0, 1, 2, 3), (0, 1, 2), (0, 1), (0,))
+#: Hits, and aligned tokens, that are held at once.
+AT_ONCE = 1 << 20
 _TOKEN = np.zeros(256, np.uint8)
 _TOKEN[48:58] = np.arange(48, 58)
 _TOKEN[65:91] = np.arange(97, 123)
@@ -57,45 +55,99 @@ def masked(h: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return out
 
 
+def gains(share: float) -> tuple[int, int]:
+    """What an agreeing token adds to a run, and another one takes away: a run
+    in which ``share`` agree does not fall below 0."""
+    return round((1 - share) * 1000), round(share * 1000)
+
+
+def needed(size: int, min_tokens: int, cover: float) -> int:
+    """The agreeing tokens of an overlap with an item of ``size`` tokens."""
+    return max(1, min_tokens if size * cover >= min_tokens else math.ceil(cover * size))
+
+
+def seed_length(size: int, min_tokens: int, share: float, cover: float) -> int:
+    """Tokens that agree in a row in every overlap with an item of ``size``
+    tokens, whatever is replaced: m agreeing ones with at most e others between
+    them lie in e + 1 pieces. 0 if there can be no overlap."""
+    up, down = gains(share)
+    out = 0
+    for m in range(needed(size, min_tokens, cover), size + 1):
+        e = min(size - m, m * up // down) if down else size - m
+        out = min(out or size, -(-m // (e + 1)))
+    return out
+
+
 class Seeds:
-    """The hashed windows of a block of benchmark items. Items shorter than the
-    shortest mask are hashed whole, by length."""
+    """The hashed windows of a block of benchmark items, of each item as long
+    as ``seed_length`` has it."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], min_tokens: int, share: float, cover: float):
         self.ids = [i for i, _ in items]
         self.toks = []
         keys, where = [], []
-        whole: dict[int, list] = {}
+        lengths = {}
         for n, (_, text) in enumerate(items):
             data = np.frombuffer((text or "").encode(), np.uint8)
             h = tokens(data, np.array([0, len(data)]))[0]
             self.toks.append(h)
-            if 0 < len(h) <= MASKS[0][-1]:
-                whole.setdefault(len(h), []).append((masked(h, tuple(range(len(h))), 100 + len(h)), n))
-            for m, mask in enumerate(MASKS):
-                k = masked(h, mask, m)
+            if len(h) not in lengths:
+                lengths[len(h)] = seed_length(len(h), min_tokens, share, cover)
+            if z := lengths[len(h)]:
+                k = masked(h, tuple(range(z)), z)
                 keys.append(k)
-                where += [(m, n, p) for p in range(len(k))]
-        for size, found in whole.items():
-            for k, n in found:
-                keys.append(k)
-                where.append((-size, n, 0))
+                where.append(np.column_stack([np.full(len(k), n), np.arange(len(k))]))
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
-        self.key, self.where = key[order], np.array(where, np.int64).reshape(-1, 3)[order]
-        self.sizes = sorted(whole)
+        self.key, self.where = key[order], (np.concatenate(where) if where else np.zeros((0, 2), np.int64))[order]
+        self.lengths = sorted({z for z in lengths.values() if z})
+        self.size = np.array([len(h) for h in self.toks], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate([*self.toks, np.zeros(0, np.uint64)])
+        self.needed = np.array([needed(int(z), min_tokens, cover) for z in self.size], np.int64)
         # one bit for the low 20 bits of every key: most windows end here
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def hits(self, k: np.ndarray):
-        """Pairs (position in k, entry) of equal hashes."""
+        """Pairs (position in k, entry) of equal hashes, some at a time."""
         near = np.flatnonzero(self.bits[(k & np.uint64((1 << 20) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(self.key, k[near], "left"), np.searchsorted(self.key, k[near], "right")
         near, lo, n = near[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        at = np.repeat(near, n)
-        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return at, entry
+        part = np.cumsum(n) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(n)]
+        for x, y in zip(cuts, cuts[1:]):
+            m = n[x:y]
+            yield np.repeat(near[x:y], m), np.repeat(lo[x:y], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+
+    def aligned(self, h: np.ndarray, rows: np.ndarray, cut: np.ndarray) -> set[tuple[int, int, int]]:
+        """The alignments (row, item, shift) with a hit and, in all, as many
+        agreeing tokens as an overlap needs."""
+        out = set()
+        span = len(h) + int(self.size.max(initial=0)) + 1
+        for z in self.lengths:
+            for at, entry in self.hits(masked(h, tuple(range(z)), z)):
+                n, p = self.where[entry, 0], self.where[entry, 1]
+                key = np.unique((rows[at] * len(self.ids) + n) * span + at - p + int(self.size.max()))
+                rn, shift = key // span, key % span - int(self.size.max())
+                r, n = rn // len(self.ids), rn % len(self.ids)
+                shift -= cut[r]
+                a = np.maximum(0, -shift)
+                size = np.minimum(self.size[n], cut[r + 1] - cut[r] - shift) - a
+                keep = size >= self.needed[n]
+                r, n, shift, a, size = r[keep], n[keep], shift[keep], a[keep], size[keep]
+                part = np.cumsum(size) // AT_ONCE
+                cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(size)]
+                for x, y in zip(cuts, cuts[1:]):
+                    if x == y:
+                        continue
+                    c = size[x:y]
+                    begin = np.cumsum(c) - c
+                    i = np.arange(c.sum()) - np.repeat(begin, c)
+                    same = self.flat[i + np.repeat(self.first[n[x:y]] + a[x:y], c)] == h[i + np.repeat(cut[r[x:y]] + a[x:y] + shift[x:y], c)]
+                    ok = np.add.reduceat(same.astype(np.int64), begin) >= self.needed[n[x:y]]
+                    out.update(zip(r[x:y][ok].tolist(), n[x:y][ok].tolist(), shift[x:y][ok].tolist()))
+        return out
 
 
 def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int, share: float) -> tuple[int, int, int]:
@@ -104,7 +156,8 @@ def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int, share: float) ->
     first, end) in item positions, trimmed to agreements at both ends."""
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     same = item[a:b] == doc[a + shift:b + shift]
-    gain = np.concatenate(([0], np.cumsum(np.where(same, round((1 - share) * 1000), -round(share * 1000)))))
+    up, down = gains(share)
+    gain = np.concatenate(([0], np.cumsum(np.where(same, up, -down))))
     count = np.concatenate(([0], np.cumsum(same)))
     # for every end, the first start from which enough agree
     start = np.searchsorted(-np.minimum.accumulate(gain), -gain)
@@ -114,25 +167,17 @@ def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int, share: float) ->
     return (len(run), a + int(run[0]), a + int(run[-1]) + 1) if len(run) else (0, a, a)
 
 
-def overlaps(batch: pa.RecordBatch, column: str, s: Seeds, min_tokens: int, share: float, cover: float):
+def overlaps(batch: pa.RecordBatch, column: str, s: Seeds, share: float):
     """(row, item_id, item_tokens, matches, span_tokens, byte_start, byte_end)
     of every overlap in a batch, the best run of each row and item."""
     out = []
-    seeds = [(tuple(range(z)), 100 + z) for z in s.sizes] + [(mask, m) for m, mask in enumerate(MASKS)]
     for lo, hi, data, offsets in text_slices(batch, column):
         h, rows, starts, ends = tokens(data, offsets)
         cut = np.searchsorted(rows, np.arange(hi - lo + 1))
-        seen = set()
-        for mask, number in seeds:
-            at, entry = s.hits(masked(h, mask, number))
-            for p, e in zip(at.tolist(), entry.tolist()):
-                r = int(rows[p])
-                seen.add((r, int(s.where[e, 1]), p - int(cut[r]) - int(s.where[e, 2])))
         best = {}
-        for r, n, shift in seen:
+        for r, n, shift in s.aligned(h, rows, cut):
             m, first, end = best_overlap(s.toks[n], h[cut[r]:cut[r + 1]], shift, share)
-            size = len(s.toks[n])
-            if m >= (min_tokens if size * cover >= min_tokens else cover * size):
+            if m >= s.needed[n]:
                 got = (m, -(first + shift), first, end, shift)
                 best[r, n] = max(best.get((r, n), got), got)
         for (r, n), (m, _, first, end, shift) in sorted(best.items()):
@@ -143,9 +188,9 @@ def overlaps(batch: pa.RecordBatch, column: str, s: Seeds, min_tokens: int, shar
 
 def _search(items: list[tuple[int, str]], min_tokens: int, share: float, cover: float, names: list[str]):
     def run(batches):
-        s = Seeds(items)
+        s = Seeds(items, min_tokens, share, cover)
         for b in batches:
-            found = overlaps(b, "__text", s, min_tokens, share, cover)
+            found = overlaps(b, "__text", s, share)
             cols = list(zip(*found)) if found else [[]] * 7
             take = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in names], *[pa.array(c, pa.int64()) for c in cols[1:]]],
@@ -155,11 +200,11 @@ def _search(items: list[tuple[int, str]], min_tokens: int, share: float, cover:
 
 def _without(items: list[tuple[int, str]], min_tokens: int, share: float, cover: float, text_col: str):
     def run(batches):
-        s = Seeds(items)
+        s = Seeds(items, min_tokens, share, cover)
         for b in batches:
             plain = pa.RecordBatch.from_arrays([pa.compute.fill_null(b.column(text_col).cast(pa.string()), "")], ["t"])
             keep = np.ones(b.num_rows, bool)
-            keep[[x[0] for x in overlaps(plain, "t", s, min_tokens, share, cover)]] = False
+            keep[[x[0] for x in overlaps(plain, "t", s, share)]] = False
             yield b.filter(pa.array(keep))
     return run
 

@@ -63,3 +63,53 @@ def test_odd_rows(odd, empty, spark):
     assert D.find_contamination(empty, items).collect() == [] and D.find_contamination(odd, items.limit(0)).collect() == []
     clean = D.clean_documents(odd, items)
     assert clean.columns == odd.columns and clean.count() == odd.count() - 6
+
+
+def brute(item, doc):
+    """The most agreeing tokens of any accepted aligned run, 0 if none is."""
+    best = 0
+    for shift in range(1 - len(item), len(doc)):
+        same = [0 <= p + shift < len(doc) and x == doc[p + shift] for p, x in enumerate(item)]
+        inside = [0 <= p + shift < len(doc) for p in range(len(item))]
+        for a in range(len(item)):
+            for b in range(a + 1, len(item) + 1):
+                m = sum(same[a:b])
+                if all(inside[a:b]) and 10 * m >= 8 * (b - a) and (m >= 13 if len(item) >= 17 else 10 * m >= 8 * len(item)):
+                    best = max(best, m)
+    return best
+
+
+def found(items, docs, **rules):
+    import pyarrow as pa
+    rules = {"min_tokens": 13, "share": 0.8, "cover": 0.8} | rules
+    s = D.Seeds(items, **rules)
+    return {(r, i): m for r, i, _, m, *_ in D.overlaps(pa.RecordBatch.from_arrays([pa.array(docs, pa.string())], ["t"]), "t", s, rules["share"])}
+
+
+def test_no_set_of_substitutions_hides_an_item():
+    from itertools import combinations
+    for size in range(1, 21):
+        w = [f"t{j}" for j in range(size)]
+        docs, want = [], {}
+        for e in range(min(size, 4) + 1):
+            for gone in combinations(range(size), e):
+                doc = ["before"] + [f"x{j}" if j in gone else x for j, x in enumerate(w)] + ["after"]
+                if size < 12 or len(docs) % 97 == 0:
+                    m = brute(w, doc)
+                    want |= {(len(docs), 1): m} if m else {}
+                elif size - e >= (13 if size >= 17 else 0.8 * size) and 10 * (size - e) >= 8 * size:
+                    want[len(docs), 1] = None
+                docs.append(" ".join(doc))
+        got = found([(1, " ".join(w))], docs)
+        assert all(k in got and m in (None, got[k]) for k, m in want.items()), size
+        assert all(k in want for k in got if size < 12), size
+
+
+def test_overlaps_equal_brute_force_on_few_words():
+    r = random.Random(5)
+    items = [(n, " ".join(r.choice("abc") for _ in range(r.randrange(1, 24)))) for n in range(25)]
+    docs = [" ".join(r.choice("abc") for _ in range(r.randrange(0, 30))) for _ in range(25)]
+    want = {(d, n): m for d, x in enumerate(docs) for n, t in items if (m := brute(t.split(), x.split()))}
+    assert found(items, docs) == want and want
+    for share, cover in ((1.0, 1.0), (0.5, 0.5), (0.0, 0.3), (0.9, 1.1)):  # no rule fails
+        found(items, docs, share=share, cover=cover)
