@@ -2,9 +2,8 @@
 F4, T3) — rows-only checks, plus the steps that SQL can express (M2, the chord
 of M3) with an oracle.
 
-Feature selection, the compared models, folds, restarts and the logistic grid
-have the workload's own sizes. Only the tree grids are small here
-(``GRIDS``): see the README for what the full ones take.
+Feature selection, the compared models, folds, restarts and every grid have
+the workload's own sizes: see the README for what the tree grids take.
 """
 
 from __future__ import annotations
@@ -26,18 +25,9 @@ B_SEGMENT_FEATURES = ["FREQUENCY_VALUE_NEW", "SPEND_PER_PURCHASE_NEW", "LOYALTY_
 _memo = views.remembered
 
 
-# the winner's grid as the registered queries run it
-GRIDS = {
-    "RandomForest": {"numTrees": [100], "maxDepth": [8, 12]},
-    "GBT": {"stepSize": [0.1], "maxIter": [50], "maxDepth": [3, 5]},
-    "GBT_deep": {"stepSize": [0.1], "maxIter": [50], "maxDepth": [4, 6]},
-    "LogisticRegression": {"C": [0.1, 1.0, 10.0]},
-}
-
-
 def trained(spark, sf_dir) -> MD.Trained:
     return _memo(spark, sf_dir, "trained",
-                 lambda: MD.train_pipeline(views.feat_split(spark, sf_dir), MD.TrainConfig(grids=GRIDS)))
+                 lambda: MD.train_pipeline(views.feat_split(spark, sf_dir), MD.TrainConfig()))
 
 
 def fitted_scores(spark, sf_dir):
@@ -231,9 +221,7 @@ def q_grid_search_precision(spark, sf_dir):
     """Earlier variant: balanced random forest grid, 3 folds, scored by the
     positive class's precision (on the selected, scaled train features)."""
     t = trained(spark, sf_dir)
-    cfg = MD.earlier_config()
-    cfg.grids = {"RandomForest": {**cfg.grids["RandomForest"], "numTrees": [100], "minInstancesPerNode": [1]}}
-    _, frame = MD.grid_search(t.scorer.matrix(t.train), "RandomForest", cfg, metric="precision")
+    _, frame = MD.grid_search(t.scorer.matrix(t.train), "RandomForest", MD.earlier_config(), metric="precision")
     return frame
 
 

@@ -88,3 +88,18 @@ def test_candidate_scoring(spark, q):
     rows = df.collect()
     assert rows and all(0.0 <= r.p <= 1.0 and r.decision in (0, 1) for r in rows)
     assert {r.segment for r in rows} <= set(range(5)) and all(r.segment_name for r in rows)
+
+
+def test_registered_queries_run_the_whole_grids(monkeypatch):
+    from types import SimpleNamespace
+    from basketry.operators import models as MD
+    from basketry.plans import q_models as QM, views
+    asked = []
+    monkeypatch.setattr(QM, "_memo", lambda spark, sf_dir, name, build: build())
+    monkeypatch.setattr(views, "feat_split", lambda spark, sf_dir: None)
+    monkeypatch.setattr(MD, "train_pipeline", lambda data, cfg=None, **kw: asked.append(cfg or MD.TrainConfig()) or SimpleNamespace(
+        scorer=SimpleNamespace(matrix=lambda rows: rows), train=None, grid="grid"))
+    monkeypatch.setattr(MD, "grid_search", lambda data, name, cfg, **kw: asked.append(cfg) or (None, "frame"))
+    assert QM.q_grid_search(None, "x") == "grid" and asked == [MD.TrainConfig()]
+    QM.q_grid_search_precision(None, "x")
+    assert asked[-1] == MD.earlier_config()
