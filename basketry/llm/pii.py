@@ -2,8 +2,8 @@
 
 Besides the plain patterns, every text that shows a trace of a disguise is run
 through transducers that replace homoglyphs (full-width and look-alike letters
-and digits), spelled digits ("five five") and at/dot disguises ("(at)",
-" dot "), while a map keeps for every normalised character the source range it
+and digits), spelled digits ("five five"), at/dot disguises ("(at)",
+" dot ") and the bare words of an address or IP, while a map keeps for every normalised character the source range it
 came from. Identifiers found in the normalised text are mapped back to source
 offsets (code points), and added unless a plain detection overlaps them.
 """
@@ -96,7 +96,18 @@ _BARE_DOT = rf"(?<=[A-Za-z0-9])\x20dot\x20(?=(?:[A-Za-z0-9-]+(?:\x20dot\x20|\.))
 _WORDS = "|".join(sorted(SPELLED, key=lambda w: (-len(w), w)))
 #: Runs of at least three spelled digits; separators between them are dropped.
 _RUN = rf"(?<!\w)(?:{_WORDS})(?:[\x20-]+(?:{_WORDS}|[0-9]+)){{2,}}(?!\w)"
-_STEP = re.compile(rf"(?P<at>{_AT}|{_BARE})|(?P<dot>{_DOT}|{_BARE_DOT})|(?P<run>{_RUN})|(?P<plus>\bplus[\x20]+(?=[0-9]|{_WORDS}))", re.I)
+#: Four or more groups of one to three digits, written or spelled, with dots.
+_GROUP = rf"(?:{_WORDS}|[0-9]{{1,3}})(?:[\x20-]+(?:{_WORDS}|[0-9])){{0,2}}"
+_SPOKEN = rf"(?<![\w.]){_GROUP}(?:(?:\x20dot\x20|{_DOT}|\.){_GROUP}){{3,}}(?!\w)"
+_STEP = re.compile(rf"(?P<at>{_AT}|{_BARE})|(?P<ip>{_SPOKEN})|(?P<dot>{_DOT}|{_BARE_DOT})|(?P<run>{_RUN})|(?P<plus>\bplus[\x20]+(?=[0-9]|{_WORDS}))", re.I)
+_PART = re.compile(rf"(?P<dot>\x20dot\x20|{_DOT}|\.)|{_WORDS}|[0-9]+", re.I)
+#: Words joined by bare " at " and " dot ", and the pieces of such a chain.
+_BARE_TRACE = re.compile(r"\x20dot\x20", re.I)
+_CHAIN = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+@-]++(?:\x20(?:at|dot)\x20[A-Za-z0-9._%+@-]++)+", re.I)
+_LINK = re.compile(r"(?P<at>\x20at\x20|@)|(?P<dot>\x20dot\x20)|[A-Za-z0-9._%+-]+", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]+\.(?:[A-Za-z0-9-]+\.)*(?:xn--[A-Za-z0-9-]+|[A-Za-z]{2,})(?![A-Za-z0-9-])", re.I)
+#: Words that make the dot of "at this dot here" a noun.
+_NOUN = frozenset("a an the this that these those each every any some no another either which what my your his her its our their".split())
 _TOKEN = re.compile(rf"{_WORDS}|[0-9]+", re.I)
 _TRACE = re.compile(rf"[\[({{<]\s*(?:at|dot|\.)\s*[\])}}>]|\x20(?:at|dot)\x20|\b(?:{_WORDS})[\x20-]+(?:{_WORDS})\b", re.I)
 _ODD = re.compile("[" + "".join(LOOKALIKES) + "！-～­​-‍⁠﻿٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
@@ -147,8 +158,39 @@ def fold_char(c: str) -> str:
     return unicodedata.normalize("NFKC", c)
 
 
+def spoken_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Pieces for the bare " at " and " dot " of addresses: a local part, an at
+    and a host whose last label has two letters or more, with a bare " dot "
+    somewhere between them."""
+    pieces = []
+    for chain in _CHAIN.finditer(text) if _BARE_TRACE.search(text) else ():
+        sides, ats = [[]], []
+        for x in _LINK.finditer(text, chain.start(), chain.end()):
+            if x.lastgroup == "at":
+                ats.append(x.span())
+                sides.append([])
+            else:
+                sides[-1].append((x.start(), x.end(), x.lastgroup == "dot"))
+        host = None  # the side that is a host already
+        for n, at in enumerate(ats):
+            left, right = sides[n], sides[n + 1]
+            m = _HOST.match("".join("." if dot else text[a:b] for a, b, dot in right))
+            if n == host or not left or left[-1][2] or not m:
+                continue
+            dots, pos = [x for x in left if x[2]], 0
+            for x in right:
+                if x[2] and pos < m.end():
+                    dots.append(x)
+                pos += 1 if x[2] else x[1] - x[0]
+            bare = at[1] - at[0] > 1
+            if dots and not (bare and len(right) == 3 and text[right[0][0]:right[0][1]].lower() in _NOUN):
+                host = n + 1
+                pieces += sorted([(a, b, ".") for a, b, _ in dots] + ([(*at, "@")] if bare else []))
+    return pieces
+
+
 def normalise(text: str) -> Mapped:
-    """The two transducers in turn: characters, then disguises."""
+    """The transducers in turn: characters, disguises, spoken addresses."""
     m = Mapped(text)
     m = m.rewrite([(x.start(), x.end(), fold_char(x.group())) for x in _ODD.finditer(m.text)])
     pieces = []
@@ -159,12 +201,18 @@ def normalise(text: str) -> Mapped:
             pieces.append((x.start(), x.end(), "."))
         elif x.lastgroup == "plus":
             pieces.append((x.start(), x.end(), "+"))
+        elif x.lastgroup == "ip":
+            pos = x.start()
+            for t in _PART.finditer(m.text, x.start(), x.end()):
+                pieces.append((pos, t.end(), "." if t.lastgroup else SPELLED.get(t.group().lower(), t.group())))
+                pos = t.end()
         else:
             pos = x.start()
             for t in _TOKEN.finditer(m.text, x.start(), x.end()):
                 pieces.append((pos, t.end(), SPELLED.get(t.group().lower(), t.group())))
                 pos = t.end()
-    return m.rewrite(pieces)
+    m = m.rewrite(pieces)
+    return m.rewrite(spoken_addresses(m.text))
 
 
 def hidden(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

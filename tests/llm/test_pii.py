@@ -62,3 +62,28 @@ def test_disguises_map_back_to_source(disguise, kind):
 def test_plain_prose_stays_clean():
     for t in ("We met at noon. Dot your i.", "look at this dot here", "one two and three", "un deux", "Прямой текст остаётся", "at the house dot", "I saw seven of nine"):
         assert P.hidden(t, P.detect(t)) == []
+
+
+@pytest.mark.parametrize("disguise, kind", [
+    ("jane at firma dot ch", "email"), ("jane at mail dot example dot it", "email"), ("JANE AT FIRMA DOT CH", "email"), ("jane dot doe at example.museum", "email"), ("jane at a dot b dot c dot d dot e dot f dot g dot ch", "email"),
+    ("jane [at] firma dot berlin", "email"), ("jane@firma dot ch", "email"), ("jane at this dot com", "email"), ("192 dot 168 dot 0 dot 1", "ip"), ("one nine two dot one six eight dot zero dot one", "ip"),
+    ("one zero (dot) two [dot] three dot four", "ip"), ("192.168 dot 0 dot one", "ip"), ("uno dot dos dot tres dot uno cero", "ip"),
+])
+@pytest.mark.parametrize("after", ["; merci", ". We met at noon", ""])
+def test_bare_words_map_back_to_source(disguise, kind, after):
+    text = f"Écrivez: {disguise}{after}"
+    found = [(a, b) for a, k, b in P.hidden(text, P.detect(text)) if P.ALL_KINDS[k] == f"hidden_{kind}"]
+    assert found == [(9, 9 + len(disguise))]
+
+
+def test_bare_words_of_prose_stay():
+    for t in ("look at the dot there", "one dot two dot three", "300 dot 1 dot 1 dot 1", "meet at noon dot", "look at it @ dot x", "a dot b dot c"):
+        assert P.hidden(t, P.detect(t)) == []
+
+
+def test_long_chains_of_bare_words_take_linear_time():
+    import time
+    began = time.process_time()
+    for t in ("a dot " * 40_000, "a at " * 40_000, "one dot " * 40_000, "a@" * 40_000 + " dot b", "1." * 40_000 + " dot b", "one one " * 40_000):
+        P.hidden(t, [])
+    assert time.process_time() - began < 20
