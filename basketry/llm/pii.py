@@ -5,7 +5,7 @@ through transducers that replace homoglyphs (full-width and look-alike letters
 and digits), spelled digits ("five five"), at/dot disguises ("(at)",
 " dot ") and the bare words of an address or IP, while a map keeps for every normalised character the source range it
 came from. Identifiers found in the normalised text are mapped back to source
-offsets (code points), and added unless a plain detection overlaps them.
+offsets (code points), and added unless plain detections cover them wholly.
 """
 
 from __future__ import annotations
@@ -222,13 +222,18 @@ def hidden(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int,
     m = normalise(text)
     if m.runs is None:
         return []
-    taken = sorted((a, b) for a, _, b in plain)
-    starts, ends = [a for a, _ in taken], [b for _, b in taken]
+    starts, ends = [], []  # of the stretches that plain spans cover
+    for a, b in sorted((a, b) for a, _, b in plain):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
     for a, k, b in detect(m.text):
         x, y = m.source(a, b)
-        i = bisect.bisect_left(starts, y)  # plain spans that begin before y
-        if not any(e > x for e in ends[max(0, i - 8):i]):
+        i = bisect.bisect_right(starts, x) - 1  # the last stretch that begins at x or before
+        if i < 0 or ends[i] < y:
             out.append((x, k + len(KINDS), y))
     return out
 

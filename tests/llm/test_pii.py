@@ -87,3 +87,17 @@ def test_long_chains_of_bare_words_take_linear_time():
     for t in ("a dot " * 40_000, "a at " * 40_000, "one dot " * 40_000, "a@" * 40_000 + " dot b", "1." * 40_000 + " dot b", "one one " * 40_000):
         P.hidden(t, [])
     assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("text, kind", [("bob@mail.example[.]com", "hidden_email"), ("+49 170 1234 five six seven", "hidden_phone")])
+def test_a_partly_plain_identifier_is_covered_wholly(text, kind):
+    plain = P.detect(text)
+    assert plain and all(b < len(text) for _, _, b in plain)
+    assert [(a, P.ALL_KINDS[k], b) for a, k, b in P.hidden(text, plain)] == [(0, kind, len(text))]
+
+
+def test_a_span_that_plain_ones_cover_is_not_added():
+    text = "bob@mail.example.com, write (at) noon [.] "
+    assert P.hidden(text, P.detect(text)) == []
+    many = "+1 " + "1.2.3.4 " * 20 + "one two three"  # a long plain span, then many short ones
+    assert P.hidden(many, [(0, 3, len(many)), *P.detect(many)]) == []
