@@ -30,8 +30,8 @@ from basketry.llm.components import connected_components
 
 REGISTERS = 256
 MANTISSA = 10
-ROWS = 7
-BANDS = 36
+#: The most often that bands may miss a pair at the threshold.
+MISS = 5e-6
 #: Documents of a cluster that one task compares (two blocks at a time).
 BLOCK = 512
 _SHIFT = np.uint64(56)
@@ -84,8 +84,20 @@ def densified(r: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(r: np.ndarray) -> np.ndarray:
-    return mix(shingle_hashes_of_rows(densified(r)[:BANDS * ROWS].reshape(BANDS, ROWS)) + np.arange(BANDS, dtype=np.uint64))
+def missed(percent: float, rows: int) -> float:
+    """How often a pair of this similarity shares no band of ``rows`` registers."""
+    return (1 - (percent / 100) ** rows) ** (REGISTERS // rows)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(rows, bands): the longest bands that miss a pair at the threshold no
+    more often than ``MISS``; single registers if none do."""
+    rows = next((r for r in range(REGISTERS, 1, -1) if missed(percent, r) <= MISS), 1)
+    return rows, REGISTERS // rows
+
+
+def band_keys(r: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    return mix(shingle_hashes_of_rows(densified(r)[:bands * rows].reshape(bands, rows)) + np.arange(bands, dtype=np.uint64))
 
 
 def shingle_hashes_of_rows(x: np.ndarray) -> np.ndarray:
@@ -96,7 +108,7 @@ def shingle_hashes_of_rows(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(k: int, names: list[str]):
+def _sketches(k: int, names: list[str], shape: tuple[int, int]):
     def run(batches):
         for b in batches:
             n, digest, regs, bands = [], [], [], []
@@ -106,7 +118,7 @@ def _sketches(k: int, names: list[str]):
                     r = registers(s)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     regs.append(r.tobytes())
-                    bands.append(band_keys(r).view(np.int64))
+                    bands.append(band_keys(r, *shape).view(np.int64))
                 else:
                     digest.append(None), regs.append(None), bands.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()),
@@ -224,7 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     base = docs.select(*[c.alias(x) for x, c in cols.items()], text_of(docs, text_col).alias("__text"))
     shape = StructType([*base.drop("__text").schema.fields, StructField("n", LongType()), StructField("digest", BinaryType()),
                         StructField("regs", BinaryType()), StructField("bands", ArrayType(LongType()))])
-    rows = materialize(base.mapInArrow(_sketches(k, list(cols)), shape), "sketches")
+    rows = materialize(base.mapInArrow(_sketches(k, list(cols), banding(percent)), shape), "sketches")
     known = rows.filter("n > 0")
     classes = materialize(known.groupBy("digest").agg(F.min("rid").alias("cid")), "classes")
     reps = known.select(F.col("rid").alias("cid"), "n", "bands").join(classes.select("cid"), "cid", "left_semi")

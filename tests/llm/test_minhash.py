@@ -127,3 +127,23 @@ def test_components_of_paths_cycles_and_hubs(spark):
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_bands_follow_from_the_threshold():
+    assert M.banding(85) == (7, 36) and M.banding(80) == (6, 42)
+    for percent in range(20, 101):
+        rows, bands = M.banding(percent)
+        assert rows * bands <= M.REGISTERS and M.missed(percent, rows) <= M.MISS
+    assert M.banding(0) == (1, 256)
+
+
+def test_isolated_pairs_at_the_threshold_share_a_band():
+    # three of these pairs share none of 36 bands of 7 registers
+    r = np.random.default_rng(3)
+    rows, bands = M.banding(80)
+    a = r.integers(1, 1 << 15, (20_000, M.REGISTERS)).astype(np.uint16)
+    b = np.where(r.random(a.shape) < 0.8, a, a + 1).astype(np.uint16)
+    alike = (a == b)[:, :rows * bands].reshape(-1, bands, rows).all(axis=2).any(axis=1)
+    for i in range(0, 20_000, 100):
+        assert (M.band_keys(a[i], rows, bands) == M.band_keys(b[i], rows, bands)).any() == alike[i]
+    assert alike.all()
