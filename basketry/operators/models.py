@@ -59,7 +59,7 @@ class TrainConfig:
 
 
 def earlier_config() -> TrainConfig:
-    """FIXED VALUES of the earlier variant: 100-tree selection over all rows, a
+    """FIXED VALUES of the earlier variant: 100-tree selection, a
     24-point forest grid (12 here: MLlib has no minimum split size) scored by
     precision over 3 folds, recall target 0.80."""
     return TrainConfig(select_trees=100, folds=3, min_recall=K.TARGET_RECALL_V1,
@@ -391,8 +391,9 @@ def scored_frame(model, name: str, rows: DataFrame) -> DataFrame:
 
 
 def train_pipeline(feat_split: DataFrame, cfg: TrainConfig | None = None, models: Sequence[str] | None = None,
-                   part: str = "part") -> Trained:
-    """Fit the whole sequence on the train part and score the test part."""
+                   part: str = "part", metric: str = "areaUnderROC") -> Trained:
+    """Fit the whole sequence on the train part and score the test part; the
+    winner's grid is scored by ``metric``."""
     cfg = cfg or TrainConfig()
     train = feat_split.where(F.col(part) == "train").drop(part)
     test = feat_split.where(F.col(part) == "test").drop(part)
@@ -410,7 +411,7 @@ def train_pipeline(feat_split: DataFrame, cfg: TrainConfig | None = None, models
         cands = {k: v for k, v in cands.items() if k in models}
     cv = cross_validate(folds, cands, cfg.folds, cfg.seed)
     scorer.model_name = cv.where(F.col("winner") == 1).first()["model"]
-    scorer.model, grid = grid_search(folds, scorer.model_name, cfg)
+    scorer.model, grid = grid_search(folds, scorer.model_name, cfg, metric)
     scored = materialize(scored_frame(scorer.model, scorer.model_name, scorer.matrix(te_enc)), "scored-test")
     folds.unpersist()
     tr_s.unpersist()

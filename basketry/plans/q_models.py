@@ -34,6 +34,12 @@ def fitted_scores(spark, sf_dir):
     return _memo(spark, sf_dir, "fitted", lambda: MD.fitted_scores(trained(spark, sf_dir)))
 
 
+def trained_earlier(spark, sf_dir) -> MD.Trained:
+    """The earlier variant: its forest, tuned by precision."""
+    return _memo(spark, sf_dir, "trained-earlier", lambda: MD.train_pipeline(
+        views.feat_split(spark, sf_dir), MD.earlier_config(), models=["RandomForest"], metric="precision"))
+
+
 def segmented(spark, sf_dir):
     return _memo(spark, sf_dir, "kmeans", lambda: SG.kmeans_segments(views.feat(spark, sf_dir), k=5, restarts=10))
 
@@ -219,10 +225,16 @@ def q_train_pipeline(spark, sf_dir):
 @register("grid_search_precision")
 def q_grid_search_precision(spark, sf_dir):
     """Earlier variant: balanced random forest grid, 3 folds, scored by the
-    positive class's precision (on the selected, scaled train features)."""
-    t = trained(spark, sf_dir)
-    _, frame = MD.grid_search(t.scorer.matrix(t.train), "RandomForest", MD.earlier_config(), metric="precision")
-    return frame
+    positive class's precision (on its own selected, scaled train features)."""
+    return trained_earlier(spark, sf_dir).grid
+
+
+@register("compare_earlier_models")
+def q_compare_earlier_models(spark, sf_dir):
+    """Earlier variant: its four fixed models on its own selection, each at its
+    best threshold of recall 0.80."""
+    t = trained_earlier(spark, sf_dir)
+    return M.compare_models(MD.fitted_scores(t, MD.earlier_models(t.train.count(), t.cfg)), t.cfg.min_recall)
 
 
 def saved_scorer(spark, sf_dir) -> str:

@@ -103,3 +103,20 @@ def test_registered_queries_run_the_whole_grids(monkeypatch):
     assert QM.q_grid_search(None, "x") == "grid" and asked == [MD.TrainConfig()]
     QM.q_grid_search_precision(None, "x")
     assert asked[-1] == MD.earlier_config()
+
+
+def test_the_earlier_variant_is_run(monkeypatch, spark, q):
+    from types import SimpleNamespace
+    from basketry.operators import models as MD
+    from basketry.plans import q_models as QM, views
+    cfg = MD.earlier_config()
+    asked = []
+    monkeypatch.setattr(QM, "_memo", lambda spark, sf_dir, name, build: build())
+    monkeypatch.setattr(views, "feat_split", lambda spark, sf_dir: None)
+    monkeypatch.setattr(MD, "train_pipeline", lambda data, cfg, **kw: asked.append((cfg, kw)) or SimpleNamespace(
+        cfg=cfg, train=SimpleNamespace(count=lambda: 10)))
+    monkeypatch.setattr(MD, "fitted_scores", lambda t, models: models)
+    monkeypatch.setattr(QM.M, "compare_models", lambda scores, recall: (scores, recall))
+    models, recall = q["compare_earlier_models"](None, "x")
+    assert asked == [(cfg, {"models": ["RandomForest"], "metric": "precision"})] and recall == 0.80
+    assert models["RandomForest"].getNumTrees() == 200 and models["GBT_deep"].getMaxDepth() == 8 and models["GBT"].getMaxIter() == 200
