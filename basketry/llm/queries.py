@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import centroid_clustering, decontamination, importance_resampling, minhash, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, token_counts
+from basketry.llm import centroid_clustering, context_mixing, decontamination, importance_resampling, minhash, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, token_counts
 from basketry.llm.common import table
 from basketry.session import scratch_path
 
@@ -52,6 +52,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("chosen")
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,7 +66,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_secret_scans, op3_suffix_dedup, op4_pii, op5_decontamination, op6_packing, op7_token_counts, op8_quality_classifier, op9_sharding, op10_minhash,
-    op12_importance_resampling, op13_centroid_clustering)}
+    op11_context_mixing, op12_importance_resampling, op13_centroid_clustering)}
 _RULES = ", ".join(f"{{'rule': '{name}', 'j': {j}, 'c': {float(c)!r}, 'v': {expr}}}" for name, (expr, grid) in quality_rules.RULES.items() for j, c in enumerate(grid))
 
 OP1_SQL = f"""
