@@ -36,9 +36,9 @@ from basketry.llm.common import _BYTE_LOWER, _IS_SEP, materialize, mix, powers,
 
 END = START = 256
 #: Text bytes of a block and of a piece of a long text.
-BLOCK, PIECE = 1 << 23, 1 << 22
+BLOCK, PIECE = 1 << 22, 1 << 21
 #: Decisions between two starts of the weights.
-LANE = 6144
+LANE = 4096
 #: Hashed contexts looked up beside the byte before.
 CONTEXTS = ("bytes", "word")
 #: Bytes before that the first of them covers; positions worked through at once.
@@ -422,7 +422,7 @@ def _ask(packed: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in batch.to_pylist():
+            for b in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 sym, edge, learn = _opened(b["size"], b["held"], b["last"], b["payload"])
                 _, keys, stop, words = contexts(sym, edge)
                 ends = edge[1:][np.array(b["last"], bool)] - 1
