@@ -1,18 +1,23 @@
-"""Benchmark decontamination by seed hashing without loss.
+"""Benchmark decontamination by spaced-seed hashing, without loss.
 
-Substitutions cut an overlap into pieces of agreeing tokens, and the rules of
-an overlap say how many there can be, so one piece has a known least length.
-Windows of that many tokens of benchmark items and of documents that agree are
-hits: every overlap has one. A hit fixes how item and document are aligned; the
+A mask is a few token positions; the positions between them are ignored, so a
+replaced token there does not matter. Windows of benchmark items and of
+documents whose tokens agree under a mask are hits. Each item is searched by a
+family of masks chosen for its length such that no set of replaced tokens which
+the rules of an overlap allow can spoil every window of every mask (``least_to_block`` proves it). A hit fixes how item and document are aligned; the
 aligned tokens are counted, then compared, and an overlap is reported if enough
-of them agree, substitutions allowed.
+of them agree.
+
+Items of fewer than ``SHORT`` tokens say too little to be found inside a
+sentence: they overlap a line that consists of exactly their tokens.
 
 The benchmark's hashes are a stated query set: they are sent to the tasks in
-blocks of at most ``block_items`` items, every block against all documents.
+blocks of bounded items and bytes, every block against all documents.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -24,9 +29,19 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from basketry.llm.common import mix, text_of, text_slices, word_bounds, word_hashes
 
-#: The windows at the default rules: an item of 17 or more tokens has four equal
-#: tokens in a row in every overlap, shorter ones up to four (``seed_length``).
-MASKS = ((0, 1, 2, 3), (0, 1, 2), (0, 1), (0,))
+#: Families of masks, the most selective first. All but the last two ignore
+#: positions; those serve items of two tokens and of one, which leave no room.
+MASKS = (
+    ((0, 1, 2, 3, 6), (0, 1, 3, 5, 6)),
+    ((0, 2, 3, 4),),
+    ((0, 1, 3), (0, 2, 3)),
+    ((0, 1, 3),),
+    ((0, 2),),
+    ((0, 1),),
+    ((0,),),
+)
+#: Items of fewer tokens overlap whole lines only.
+SHORT = 4
 #: Hits, and aligned tokens, that are held at once.
 AT_ONCE = 1 << 20
 _TOKEN = np.zeros(256, np.uint8)
@@ -66,41 +81,72 @@ def needed(size: int, min_tokens: int, cover: float) -> int:
     return max(1, min_tokens if size * cover >= min_tokens else math.ceil(cover * size))
 
 
-def seed_length(size: int, min_tokens: int, share: float, cover: float) -> int:
-    """Tokens that agree in a row in every overlap with an item of ``size``
-    tokens, whatever is replaced: m agreeing ones with at most e others between
-    them lie in e + 1 pieces. 0 if there can be no overlap."""
+@functools.cache
+def least_to_block(family: tuple[tuple[int, ...], ...], length: int) -> int:
+    """The least number of tokens to replace in a run of ``length`` so that no
+    mask of the family finds its positions unchanged anywhere: the cheapest path
+    over the last few tokens' states."""
+    shapes = [sum(1 << (m[-1] - j) for j in m) for m in family]
+    recent = (1 << max(m[-1] for m in family)) - 1
+    best = {0: 0}  # which of the last tokens are unchanged -> tokens replaced
+    for _ in range(length):
+        after: dict[int, int] = {}
+        for state, n in best.items():
+            for same in (0, 1):
+                window = state << 1 | same
+                if not same or all(window & p != p for p in shapes):
+                    key, cost = window & recent, n + 1 - same
+                    if cost < after.get(key, length + 1):
+                        after[key] = cost
+        best = after
+    return min(best.values())
+
+
+def most_replaced(length: int, size: int, min_tokens: int, share: float, cover: float) -> int:
+    """The most replaced tokens an overlap of ``length`` aligned tokens may
+    have; -1 if there is none of that length."""
     up, down = gains(share)
-    out = 0
-    for m in range(needed(size, min_tokens, cover), size + 1):
-        e = min(size - m, m * up // down) if down else size - m
-        out = min(out or size, -(-m // (e + 1)))
-    return out
+    least = needed(size, min_tokens, cover)
+    return max((e for e in range(length - least + 1) if e * down <= (length - e) * up), default=-1)
+
+
+@functools.cache
+def family(size: int, min_tokens: int, share: float, cover: float) -> int | None:
+    """The first family of ``MASKS`` that every overlap with an item of ``size``
+    tokens hits, whatever is replaced; None if there can be no overlap. Runs of
+    up to 100 tokens are tried: longer ones are made of such runs, one of which
+    has no larger part replaced."""
+    lengths = [n for n in range(1, min(size, 100) + 1) if most_replaced(n, size, min_tokens, share, cover) >= 0]
+    if not lengths and size <= 100:
+        return None
+    for k, masks in enumerate(MASKS):
+        if all(least_to_block(masks, n) > most_replaced(n, size, min_tokens, share, cover) for n in lengths):
+            return k
+    return len(MASKS) - 1  # single tokens: every overlap has one
 
 
 class Seeds:
-    """The hashed windows of a block of benchmark items, of each item as long
-    as ``seed_length`` has it."""
+    """The masked windows of a block of benchmark items, of each item under its
+    length's family."""
 
     def __init__(self, items: list[tuple[int, str]], min_tokens: int, share: float, cover: float):
         self.ids = [i for i, _ in items]
         self.toks = []
-        keys, where = [], []
-        lengths = {}
+        keys, where, used = [], [], set()
         for n, (_, text) in enumerate(items):
             data = np.frombuffer((text or "").encode(), np.uint8)
             h = tokens(data, np.array([0, len(data)]))[0]
             self.toks.append(h)
-            if len(h) not in lengths:
-                lengths[len(h)] = seed_length(len(h), min_tokens, share, cover)
-            if z := lengths[len(h)]:
-                k = masked(h, tuple(range(z)), z)
-                keys.append(k)
-                where.append(np.column_stack([np.full(len(k), n), np.arange(len(k))]))
+            k = family(len(h), min_tokens, share, cover) if len(h) else None
+            for i, mask in enumerate(MASKS[k] if k is not None else ()):
+                found = masked(h, mask, 16 * k + i)
+                used.add((k, i))
+                keys.append(found)
+                where.append(np.column_stack([np.full(len(found), n), np.arange(len(found))]))
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
         self.key, self.where = key[order], (np.concatenate(where) if where else np.zeros((0, 2), np.int64))[order]
-        self.lengths = sorted({z for z in lengths.values() if z})
+        self.used = sorted(used)
         self.size = np.array([len(h) for h in self.toks], np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.flat = np.concatenate([*self.toks, np.zeros(0, np.uint64)])
@@ -120,13 +166,13 @@ class Seeds:
             m = n[x:y]
             yield np.repeat(near[x:y], m), np.repeat(lo[x:y], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
 
-    def aligned(self, h: np.ndarray, rows: np.ndarray, cut: np.ndarray) -> set[tuple[int, int, int]]:
-        """The alignments (row, item, shift) with a hit and, in all, as many
-        agreeing tokens as an overlap needs."""
-        out = set()
+    def aligned(self, h: np.ndarray, rows: np.ndarray, cut: np.ndarray, first: np.ndarray, last: np.ndarray):
+        """The alignments with a hit and, in all, as many agreeing tokens as an
+        overlap needs, some at a time: (row, item, shift, agreeing tokens).
+        ``first`` and ``last`` mark the tokens at the ends of lines."""
         span = len(h) + int(self.size.max(initial=0)) + 1
-        for z in self.lengths:
-            for at, entry in self.hits(masked(h, tuple(range(z)), z)):
+        for k, i in self.used:
+            for at, entry in self.hits(masked(h, MASKS[k][i], 16 * k + i)):
                 n, p = self.where[entry, 0], self.where[entry, 1]
                 key = np.unique((rows[at] * len(self.ids) + n) * span + at - p + int(self.size.max()))
                 rn, shift = key // span, key % span - int(self.size.max())
@@ -135,6 +181,9 @@ class Seeds:
                 a = np.maximum(0, -shift)
                 size = np.minimum(self.size[n], cut[r + 1] - cut[r] - shift) - a
                 keep = size >= self.needed[n]
+                short = np.flatnonzero(keep & (self.size[n] < SHORT))
+                begin = cut[r[short]] + shift[short]
+                keep[short] = first[begin] & last[begin + self.size[n[short]] - 1] & (size[short] == self.size[n[short]])
                 r, n, shift, a, size = r[keep], n[keep], shift[keep], a[keep], size[keep]
                 part = np.cumsum(size) // AT_ONCE
                 cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(size)]
@@ -143,11 +192,11 @@ class Seeds:
                         continue
                     c = size[x:y]
                     begin = np.cumsum(c) - c
-                    i = np.arange(c.sum()) - np.repeat(begin, c)
-                    same = self.flat[i + np.repeat(self.first[n[x:y]] + a[x:y], c)] == h[i + np.repeat(cut[r[x:y]] + a[x:y] + shift[x:y], c)]
-                    ok = np.add.reduceat(same.astype(np.int64), begin) >= self.needed[n[x:y]]
-                    out.update(zip(r[x:y][ok].tolist(), n[x:y][ok].tolist(), shift[x:y][ok].tolist()))
-        return out
+                    j = np.arange(c.sum()) - np.repeat(begin, c)
+                    same = self.flat[j + np.repeat(self.first[n[x:y]] + a[x:y], c)] == h[j + np.repeat(cut[r[x:y]] + a[x:y] + shift[x:y], c)]
+                    agree = np.add.reduceat(same.astype(np.int64), begin)
+                    ok = agree >= np.where(self.size[n[x:y]] < SHORT, self.size[n[x:y]], self.needed[n[x:y]])
+                    yield r[x:y][ok], n[x:y][ok], shift[x:y][ok], agree[ok]
 
 
 def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int, share: float) -> tuple[int, int, int]:
@@ -174,12 +223,25 @@ def overlaps(batch: pa.RecordBatch, column: str, s: Seeds, share: float):
     for lo, hi, data, offsets in text_slices(batch, column):
         h, rows, starts, ends = tokens(data, offsets)
         cut = np.searchsorted(rows, np.arange(hi - lo + 1))
-        best = {}
-        for r, n, shift in s.aligned(h, rows, cut):
-            m, first, end = best_overlap(s.toks[n], h[cut[r]:cut[r + 1]], shift, share)
-            if m >= s.needed[n]:
-                got = (m, -(first + shift), first, end, shift)
-                best[r, n] = max(best.get((r, n), got), got)
+        line = np.searchsorted(np.flatnonzero(data == 10), starts) + rows
+        edge = np.concatenate(([True], line[1:] != line[:-1], [True])) if len(line) else np.ones(1, bool)
+        best: dict = {}  # the best run of each row and item so far, never all their alignments
+        for r, n, shift, agree in s.aligned(h, rows, cut, edge[:-1], edge[1:]):
+            whole = agree == s.size[n]
+            order = np.lexsort((shift, n, r, ~whole))
+            r, n, shift, agree, whole = r[order], n[order], shift[order], agree[order], whole[order]
+            pair = r * len(s.ids) + n
+            keep = ~whole
+            keep[np.unique(pair[whole], return_index=True)[1]] = True  # of whole copies, the earliest
+            keep &= whole | ~np.isin(pair, pair[whole])
+            for r1, n1, shift1, agree1 in zip(r[keep].tolist(), n[keep].tolist(), shift[keep].tolist(), agree[keep].tolist()):
+                old = best.get((r1, n1))
+                if old is not None and agree1 < old[0]:
+                    continue
+                m, first, end = best_overlap(s.toks[n1], h[cut[r1]:cut[r1 + 1]], shift1, share)
+                if m >= s.needed[n1]:
+                    got = (m, -(first + shift1), first, end, shift1)
+                    best[r1, n1] = got if old is None else max(old, got)
         for (r, n), (m, _, first, end, shift) in sorted(best.items()):
             x, y = int(cut[r]) + first + shift, int(cut[r]) + end + shift - 1
             out.append((lo + r, s.ids[n], len(s.toks[n]), m, end - first, int(starts[x] - offsets[r]), int(ends[y] - offsets[r])))
@@ -209,17 +271,29 @@ def _without(items: list[tuple[int, str]], min_tokens: int, share: float, cover:
     return run
 
 
+#: Bytes of item texts sent to the tasks at once.
+BLOCK_BYTES = 16 << 20
+
+
 def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, block_items: int):
-    """The distinct items (id, text) in blocks, at least one (perhaps empty)."""
+    """The distinct items (id, text) in blocks of at most ``block_items`` items
+    and about ``BLOCK_BYTES`` of text (a longer item is a block of its own), at
+    least one block (perhaps empty)."""
     items = (benchmark.select(F.col(item_col).cast("long").alias("i"), text_of(benchmark, item_text).alias("t")).filter("i is not null and t <> ''")
              .distinct().orderBy("i", "t"))
-    part = items.limit(block_items).collect()
-    yield [tuple(r) for r in part]
-    while len(part) == block_items:
-        i, t = part[-1]
-        part = items.filter((F.col("i") > i) | (F.col("i") == i) & (F.col("t") > t)).limit(block_items).collect()
-        if part:
+    after, sent = items, False
+    while True:
+        # how many of the next items fit is known before any text is fetched
+        sizes = [r[0] for r in after.select(F.octet_length("t")).limit(block_items).collect()]
+        fit = max(1, int(np.searchsorted(np.cumsum(sizes), BLOCK_BYTES, side="right"))) if sizes else 0
+        part = after.limit(fit).collect() if fit else []
+        if part or not sent:
             yield [tuple(r) for r in part]
+        sent = True
+        if len(part) == len(sizes) < block_items:
+            return
+        i, t = part[-1]
+        after = items.filter((F.col("i") > i) | (F.col("i") == i) & (F.col("t") > t))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -229,11 +303,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     An overlap is an aligned run in which at least ``share`` of the tokens
     agree, with ``min_tokens`` agreeing tokens, or for shorter items ``cover``
-    of the item. The best run of each pair is given (ties: the earliest),
+    of the item; an item of fewer than ``SHORT`` tokens overlaps a line that has
+    its tokens and no others (its rows show item_tokens). The best run of each pair is given (ties: the earliest),
     its place as UTF-8 bytes of the text. Null and empty texts and items
     overlap nothing; items with equal text are separate items, an item whose id
-    is null is left out; rows that repeat an id are separate rows. Results of
-    all blocks of items are united.
+    is null is left out; rows that repeat an id are separate rows. Very long
+    texts are searched whole, alignments some at a time. Results of all blocks
+    of items are united. Empty tables give no rows; further columns, whatever
+    their names, play no part.
     """
     cols = {"doc_id": F.col(id_col)}
     base = docs.select(*[c.alias(k) for k, c in cols.items()], text_of(docs, text_col).alias("__text"))
@@ -250,8 +327,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                     min_tokens: int = 13, share: float = 0.8, cover: float = 0.8, block_items: int = 50_000) -> DataFrame:
     """The rows of ``docs``, all columns, whose text overlaps no benchmark item
     (as ``find_contamination`` has it). Every row is judged by its own text;
-    null and empty texts stay. One pass over the rows for each block of items,
-    without a shuffle."""
+    null and empty texts stay, repeated rows all go or all stay. One pass over
+    the rows for each block of items, without a shuffle."""
     out = docs
     for block in item_blocks(benchmark, item_col, item_text, block_items):
         out = out.mapInArrow(_without(block, min_tokens, share, cover, text_col), docs.schema)

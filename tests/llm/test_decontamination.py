@@ -23,7 +23,7 @@ def frame(spark):
         rows.append((100 + n, f"{body} {item(n, 40)} {body[:300]}"))
         rows.append((200 + n, f"{body[:200]}\n{spoiled(item(n, 40), 8).upper()}, {body}"))
         rows.append((300 + n, f"{body} {' '.join(item(n, 40).split()[:8])} {body}"))  # too little of it
-    rows += [(400, "a SHORT item, here!"), (401, "a short item there"), (402, None), (403, "")]
+    rows += [(400, "first line\n SHORT item, here!\nlast"), (401, "a short item here"), (402, None), (403, "")]
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
 
 
@@ -41,10 +41,47 @@ def test_passages_with_and_without_substitutions(spark):
     assert kept == set(texts) - {d for d, _ in found}
 
 
-def test_every_pair_of_substitutions_in_a_window_is_survived():
-    # in a run of 40 tokens with every 8th replaced some mask always hits
-    rows = [i for i in range(40) if i % 8 != 4]
-    assert any(all(s + j in rows for j in m) for m in D.MASKS for s in range(40 - m[-1]))
+def test_masks_ignore_positions_and_none_is_lossy():
+    for masks in D.MASKS[:-2]:
+        assert any(b - a > 1 for m in masks for a, b in zip(m, m[1:]))
+    rules = (13, 0.8, 0.8)
+    assert [D.family(n, *rules) for n in (1, 2, 3)] == [6, 5, 4]
+    for size in range(3, 400):  # every length of three tokens or more is searched with gaps
+        k = D.family(size, *rules)
+        assert k < 5 and (size < 16 or k == 0)
+        for n in range(1, min(size, 100) + 1):
+            assert D.least_to_block(D.MASKS[k], n) > D.most_replaced(n, size, *rules)
+    # beyond 100 tokens a run is made of shorter ones: blocking each 20 takes 5
+    assert D.least_to_block(D.MASKS[0], 20) >= 5
+
+
+def test_least_to_block_equals_trying_all():
+    from itertools import combinations
+    for masks in D.MASKS:
+        for n in range(1, 13):
+            def whole(gone):
+                return any(all(s + j not in gone for j in m) for m in masks for s in range(n - m[-1]))
+            want = next(e for e in range(n + 1) for gone in combinations(range(n), e) if not whole(gone))
+            assert D.least_to_block(masks, n) == want
+
+
+def test_short_items_match_whole_lines_only():
+    docs = ["well yes indeed", "Yes!", "a\n yes \nb", "the cat\nand the", "and the", "yes yes", ""]
+    assert {k for k in found([(1, "yes"), (2, "and the")], docs)} == {(1, 1), (2, 1), (3, 2), (4, 2)}
+
+
+def test_a_word_repeated_a_hundred_thousand_times():
+    docs = ["the " * 100_000, "the"]
+    got = found([(1, "the the the the the"), (2, "the"), (3, " ".join(["the"] * 40))], docs)
+    assert got == {(0, 1): 5, (1, 2): 1, (0, 3): 40}
+
+
+def test_items_are_sent_in_blocks_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 100)
+    items = spark.createDataFrame([(n, item(n, 3 + 10 * (n % 4))) for n in range(15)], "item_id long, text string")
+    blocks = list(D.item_blocks(items, "item_id", "text", 4))
+    assert sorted(x for b in blocks for x in b) == sorted((r.item_id, r.text) for r in items.collect())
+    assert all(len(b) <= 4 and (len(b) == 1 or sum(len(t.encode()) for _, t in b) <= 100) for b in blocks)
 
 
 def test_whole_items_are_found_in_the_tables(spark, docs, texts):
@@ -67,6 +104,8 @@ def test_odd_rows(odd, empty, spark):
 
 def brute(item, doc):
     """The most agreeing tokens of any accepted aligned run, 0 if none is."""
+    if len(item) < D.SHORT:
+        return len(item) if item == doc else 0
     best = 0
     for shift in range(1 - len(item), len(doc)):
         same = [0 <= p + shift < len(doc) and x == doc[p + shift] for p, x in enumerate(item)]
@@ -94,6 +133,8 @@ def test_no_set_of_substitutions_hides_an_item():
         for e in range(min(size, 4) + 1):
             for gone in combinations(range(size), e):
                 doc = ["before"] + [f"x{j}" if j in gone else x for j, x in enumerate(w)] + ["after"]
+                if size < D.SHORT:
+                    doc = doc[1:-1]
                 if size < 12 or len(docs) % 97 == 0:
                     m = brute(w, doc)
                     want |= {(len(docs), 1): m} if m else {}
