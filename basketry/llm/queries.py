@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import centroid_clustering, context_mixing, decontamination, importance_resampling, minhash, packing, pii, quality_classifier, quality_rules, secrets, sharding, suffix_dedup, token_counts
 from basketry.llm.common import table
-from basketry.session import scratch_path
+from basketry.session import ensure_checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -37,7 +39,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), scratch_path(spark, "token-cache"))
+    # one cache for each place of the tables: a second run there encodes what is new
+    cache = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-cache-{hashlib.md5(sf_dir.rstrip('/').encode()).hexdigest()}"
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +97,11 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 
 OP9_SQL = """
 WITH tbl AS (SELECT list(list_reduce(range(0, 8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), n) ORDER BY n) AS t FROM range(256) r(n)),
-d AS (SELECT doc_id, '=' || source AS src, coalesce(text, '') AS t, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-u AS (SELECT doc_id, coalesce(src, '') AS s, h, hex(encode(t)) AS x, octet_length(encode(t)) + 8 AS size FROM d),
-b AS (SELECT doc_id, s, h, size, list_transform(range(0, size - 8), lambda i: CAST(('0x' || x[2 * i + 1:2 * i + 2]) AS BIGINT)) AS bytes FROM u),
-c AS (SELECT doc_id, s, h, size, xor(4294967295, list_reduce(bytes, lambda a, v: xor(a >> 8, tbl.t[(xor(a, v) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS crc FROM b CROSS JOIN tbl),
+d AS (SELECT doc_id, '=' || source AS src, coalesce(text, '') AS t FROM documents),
+u AS (SELECT doc_id, coalesce(src, '') AS s, hex(encode(t)) AS x, octet_length(encode(t)) + 8 AS size FROM d),
+b AS (SELECT doc_id, s, size, list_transform(range(0, size - 8), lambda i: CAST(('0x' || x[2 * i + 1:2 * i + 2]) AS BIGINT)) AS bytes FROM u),
+k AS (SELECT doc_id, s, size, xor(4294967295, list_reduce(bytes, lambda a, v: xor(a >> 8, tbl.t[(xor(a, v) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS crc FROM b CROSS JOIN tbl),
+c AS (SELECT *, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(crc AS VARCHAR)) AS h FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, size, crc) - 1 AS r, count(*) OVER (PARTITION BY s) AS n FROM c),
 o AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * r + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), s, r) - 1 AS p, count(*) OVER () AS total FROM r)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(p * 24 // total AS INT) AS shard,

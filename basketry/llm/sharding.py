@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-#: Hash ranges per source, and fractional-rank ranges: each is one window group.
-BUCKETS = 1024
+#: Rows of a hash range or a fractional-rank range, on average: each is one
+#: window group, so the number of ranges grows with the table.
+RANGE_ROWS = 20_000
 
 
 def _offsets(counts: DataFrame, by: list[str], key: str, total: str, offset: str) -> DataFrame:
@@ -26,14 +27,17 @@ def _offsets(counts: DataFrame, by: list[str], key: str, total: str, offset: str
     return counts.withColumn(offset, F.sum("n").over(run) - F.col("n")).withColumn(total, F.sum("n").over(w))
 
 
-def interleave(docs: DataFrame, shards: int, stratum: Column, order_key: Column, ties: list[Column], keep: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+def interleave(docs: DataFrame, shards: int, stratum: Column, order_key: Column, ties: list[Column], keep: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """``keep`` columns plus shard and slot of every row of ``docs``.
 
     ``order_key`` is the seeded shuffle key, a lower-case hex string (such as
     ``md5``) of which ranges are even; ``ties`` break equal keys (rows equal in
     all of them are interchangeable). A null stratum is a stratum of its own.
-    Counts of shards differ by at most one. An empty table gives no rows.
+    ``buckets`` is the number of ranges (as many as ``RANGE_ROWS`` asks for
+    unless given). Counts of shards differ by at most one. An empty table gives
+    no rows.
     """
+    buckets = buckets or max(1, -(-docs.count() // RANGE_ROWS))
     hexes = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
     base = docs.select(
         F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit("")).alias("_s"), order_key.alias("_h"),
@@ -53,16 +57,19 @@ def interleave(docs: DataFrame, shards: int, stratum: Column, order_key: Column,
     return pos.withColumn("_g", shard).select("_k.*", F.col("_g").cast("int").alias("shard"), (F.col("_p") - first).alias("slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, seed: str = "0", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = BUCKETS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, seed: str = "0", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``rows``: shard counts differ by at most one. Size is the UTF-8
     bytes of the text plus 8; a null text counts as empty, a null id or source
     is ordinary. Rows that repeat an id are separate rows, ordered by size and
-    checksum; wholly equal rows are interchangeable.
+    checksum; wholly equal rows are interchangeable. The shuffle key is hashed
+    from id and checksum, so rows that share an id (or have none) spread over the
+    ranges. Texts of any length are only measured; an empty table gives no rows;
+    further columns, whatever their names, play no part.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size, crc = F.octet_length(text).cast("long") + 8, F.crc32(text.cast("binary"))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), crc.cast("string")).cast("binary"))
     out = interleave(docs, shards, F.col(source_col), key, [F.col(id_col), size, crc], {"doc_id": F.col(id_col), "size": size, "text_crc32": crc}, buckets)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,9 +1,10 @@
 """Token counts behind a digest cache.
 
-The cache is a Parquet table (digest, version, n_tokens) in a shared folder: the
-digest is the SHA-256 of the normalised content, the version that of the
-tokenizer's file. Counting joins the documents' distinct digests to the cache,
-encodes only the misses, each once, and appends them.
+The cache is a Parquet table (digest, n_tokens) in a shared folder, partitioned
+by version: the digest is the SHA-256 of the normalised content, the version that of everything
+counts come from (the tokenizer's files and splitting pattern). Counting joins
+the documents' distinct digests to the cache; texts are fetched for the misses
+alone, each is encoded once, and the counts are appended.
 """
 
 from __future__ import annotations
@@ -19,13 +20,31 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import materialize
 
-CACHE = "digest string, version string, n_tokens long"
+CACHE = "digest string, n_tokens long, version string"
 _LOADED: dict = {}
 
 
+#: Digests of misses that are broadcast to the texts at most (64 bytes each).
+FEW_MISSES = 200_000
+
+
+def _ranks_path(path: str) -> str | None:
+    beside = path[:-len(".json")] + ".tiktoken"
+    return beside if path.endswith(".json") and os.path.exists(beside) else None
+
+
 def tokenizer_version(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+    """Digest of the tokenizer's file and, where texts are counted by the ranks
+    beside it, of those and of the pattern that splits texts for them."""
+    h = hashlib.sha256()
+    for p in (path, _ranks_path(path)):
+        if p:
+            with open(p, "rb") as f:
+                h.update(hashlib.sha256(f.read()).digest())
+    if _ranks_path(path):
+        import public_tokenizers
+        h.update(public_tokenizers.PATTERN.encode())
+    return h.hexdigest()
 
 
 class Counter:
@@ -37,8 +56,8 @@ class Counter:
 
     def __init__(self, path: str, fast: bool = True):
         self.path, self.ranks, self.lib, self.specials = path, None, None, []
-        beside = path[:-len(".json")] + ".tiktoken"
-        if fast and path.endswith(".json") and os.path.exists(beside):
+        beside = _ranks_path(path)
+        if fast and beside:
             with open(path, "rb") as f:
                 spec = json.load(f)
             added = spec["added_tokens"]
@@ -79,8 +98,8 @@ class Counter:
                 parts = text.split(self.specials[0])
                 return len(parts) - 1 + sum(len(self.ranks.encode_ordinary(p)) for p in parts)
             return len(self.ranks.encode_ordinary(text))
-        except BaseException as e:  # the encoder's own panics are no Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:
+            if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):  # what the encoder itself gives up on
                 raise
             return self.slow(text)
 
@@ -99,7 +118,7 @@ def _encode(path: str, version: str):
         for b in batches:
             text = b.column("text")
             n = [c.count(text[i].as_py()) for i in range(len(text))]  # one text at a time in Python
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64()), pa.array([version] * len(n), pa.string())], ["digest", "n_tokens", "version"])
     return run
 
 
@@ -111,20 +130,30 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     share; a missing one is an empty cache. An append becomes visible only when
     its job has committed, and a digest that two runs appended is read once.
     Normalised content is the text in UTF-8, null as empty: what the tokenizer
-    counts, so equal digests have equal counts.
+    counts, so equal digests have equal counts. Texts of any length are encoded
+    whole, one at a time. An empty table gives no rows; further columns, whatever
+    their names, play no part.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    keyed = base.select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("version") == version)
-    misses = keyed.select("digest", "text").dropDuplicates(["digest"]).join(stored.select("digest"), "digest", "left_anti")
-    misses.mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").parquet(cache_path)
-    spark.catalog.refreshByPath(cache_path)
-    stored = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("version") == version)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    spark.createDataFrame([], CACHE).write.mode("append").partitionBy("version").parquet(cache_path)
+
+    def stored():
+        spark.catalog.refreshByPath(cache_path)
+        return spark.read.schema(CACHE).parquet(cache_path).filter(F.col("version") == version).select("digest", "n_tokens")
+
+    rows = materialize(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    misses = materialize(rows.select("digest").distinct().join(stored(), "digest", "left_anti"), "misses")
+    n = misses.count()
+    if n:
+        texts = keyed.select("digest", "text")
+        if n <= FEW_MISSES:  # texts of hits stay where they are
+            texts = texts.join(F.broadcast(misses), "digest", "left_semi").dropDuplicates(["digest"])
+        else:
+            texts = texts.dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
+        texts.mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").partitionBy("version").parquet(cache_path)
     # one row per digest, as a table: the join below can then split a hot digest
-    counts = materialize(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
-    rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
+    counts = materialize(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -10,7 +10,7 @@ def brute(rows, shards):
     by = defaultdict(list)
     for i, t, s in rows:
         b = (t or "").encode()
-        key = hashlib.md5(f"0:{'' if i is None else i}".encode()).hexdigest()
+        key = hashlib.md5(f"0:{'' if i is None else i}:{zlib.crc32(b)}".encode()).hexdigest()
         by["" if s is None else "=" + s].append((key, (i is not None, i or 0), len(b) + 8, zlib.crc32(b), i))
     order = []
     for s, v in by.items():
@@ -31,7 +31,7 @@ def key(x):
 
 def test_matches_brute_force(docs):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    for shards, buckets in ((24, 1024), (7, 3), (1, 1)):
+    for shards, buckets in ((24, None), (24, 1024), (7, 3), (1, 1)):
         got = [tuple(r) for r in S.shard_documents(docs, shards, buckets=buckets).collect()]
         assert sorted(got, key=key) == sorted(brute(rows, shards), key=key)
 
@@ -49,3 +49,13 @@ def test_odd_rows(odd, empty):
     got = [tuple(r) for r in S.shard_documents(odd).collect()]
     assert sorted(got, key=key) == sorted(brute(rows, 24), key=key)
     assert S.shard_documents(empty).collect() == []
+
+
+def test_rows_that_share_an_id_spread(spark):
+    """A third of all rows without an id: no window group holds them all."""
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"text {i}", "a") for i in range(3000)], "doc_id long, text string, source string")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    got = [tuple(r) for r in S.shard_documents(docs, 24, buckets=30).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows, 24), key=key)
+    hashes = [hashlib.md5(f"0::{zlib.crc32(t.encode())}".encode()).hexdigest() for i, t, _ in rows if i is None]
+    assert max(Counter(int(h[:8], 16) * 30 >> 32 for h in hashes).values()) < 100

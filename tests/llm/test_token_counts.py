@@ -49,5 +49,33 @@ def test_counts_and_cache(spark, docs, texts, odd, empty):
     assert spark.read.parquet(cache).count() == stored.count() + len(new)
     assert T.token_counts(empty, PATH, cache).collect() == []
     # an entry that two runs appended counts once
-    spark.read.parquet(cache).limit(5).coalesce(1).write.mode("append").parquet(cache)
+    spark.read.parquet(cache).limit(5).coalesce(1).write.mode("append").partitionBy("version").parquet(cache)
     assert len(T.token_counts(docs, PATH, cache).collect()) == len(first)
+
+
+def test_many_misses_give_the_same(spark, docs, monkeypatch):
+    want = sorted(map(tuple, T.token_counts(docs, PATH, scratch_path(spark, "cache")).collect()))
+    monkeypatch.setattr(T, "FEW_MISSES", 0)
+    assert sorted(map(tuple, T.token_counts(docs, PATH, scratch_path(spark, "cache")).collect())) == want
+
+
+def test_a_second_run_of_the_query_encodes_nothing(spark, monkeypatch):
+    from basketry.llm import queries as Q
+    first = sorted(map(tuple, Q.op7_token_counts(spark, "/root/testdata/sf0.001").collect()))
+
+    def refuse(*_):
+        raise AssertionError("something was encoded")
+    monkeypatch.setattr(T, "_encode", refuse)
+    assert sorted(map(tuple, Q.op7_token_counts(spark, "/root/testdata/sf0.001/").collect())) == first
+
+
+def test_the_version_follows_everything_counts_come_from(tmp_path, monkeypatch):
+    for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        (tmp_path / name).write_bytes(open(P.path(name), "rb").read())
+    path = str(tmp_path / "byte_bpe_50k.json")
+    seen = {T.tokenizer_version(path)}
+    (tmp_path / "byte_bpe_50k.tiktoken").write_bytes(b"")
+    seen.add(T.tokenizer_version(path))
+    monkeypatch.setattr(P, "PATTERN", "x")
+    seen.add(T.tokenizer_version(path))
+    assert len(seen) == 3
