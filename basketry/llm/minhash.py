@@ -32,8 +32,8 @@ REGISTERS = 256
 MANTISSA = 10
 #: The most often that bands may miss a pair at the threshold.
 MISS = 5e-6
-#: Documents of a cluster that one task compares (two blocks at a time).
-BLOCK = 512
+#: Documents, and shingles, of a cluster's block (a task compares two blocks).
+BLOCK, BLOCK_ITEMS = 512, 1 << 21
 _SHIFT = np.uint64(56)
 
 
@@ -207,13 +207,28 @@ def linked_blocks(percent: int):
     return run
 
 
+def prefixes(items: DataFrame, percent: int) -> DataFrame:
+    """(item, cid, comp): of every set (cid, comp, items) the rarest shingles
+    that a linked partner must share one of.
+
+    With all shingles in one order (how many sets have them, then their value),
+    two sets of a similarity of at least ``percent`` / 100 have a common one
+    among the first n - ceil(n * percent / 100) + 1 of each. Shingles of a single
+    set stand first and can't be common: only the others are kept."""
+    rows = items.select("cid", "comp", F.size("items").alias("n"), F.explode("items").alias("item"))
+    often = materialize(rows.groupBy("item").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "shared-shingles")
+    per = rows.join(often, "item").groupBy("cid", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("s"))  # bounded by the set
+    room = F.col("n") - F.ceil(F.col("n") * int(percent) / 100) + 1 - (F.col("n") - F.size("s"))
+    return per.filter(room > 0).select("cid", "comp", F.explode(F.slice("s", F.lit(1), room.cast("int"))).alias("x")).select("x.item", "cid", "comp")
+
+
 def _within_clusters(cluster: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between different components inside every cluster. A
-    cluster of more than ``BLOCK`` documents is cut into blocks, and every two
-    blocks meet in a task of their own."""
-    size = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = (cluster.join(size, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-              .withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    cluster of more than ``BLOCK`` documents or ``BLOCK_ITEMS`` shingles is cut
+    into blocks, and every two blocks meet in a task of their own."""
+    sized = cluster.join(sets.select(F.col("cid").alias("node"), F.size("items").alias("n")), "node")
+    size = materialize(sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).alias("blocks")), "cluster-sizes")
+    placed = cluster.join(size, "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
     met = placed.select("component", F.col("node").alias("cid"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
     keyed = met.select("cid", "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     full = keyed.join(docs, "cid").join(sets, "cid").select("component", "i", "j", "cid", "comp", "items")
@@ -264,13 +279,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = materialize(_confirmed(pairs, rows, sets, percent), "links")
     label = materialize(connected_components(links), "labels")
 
-    # bands that still hold several components: their members, in clusters of
-    # documents that share such bands, are compared exactly
+    # bands that still hold several components: their members can only be linked
+    # where they share one of their rarest shingles. Texts of one template that
+    # are similar, but not enough, share none and are done here, at a cost linear
+    # in their sets; the others are compared exactly, cluster by cluster
     named = members.select("band", "cid", "n").join(label, F.col("cid") == F.col("node"), "left").select("band", "cid", F.coalesce("component", "cid").alias("comp"))
-    still = materialize(named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("cid").alias("first")).filter("a <> b"), "still")
-    left = materialize(named.join(still.select("band", "first"), "band"), "open")
-    cluster = materialize(connected_components(left.select(F.col("first").alias("u"), F.col("cid").alias("v"))), "clusters")
-    more = materialize(_within_clusters(cluster, left.select("cid", "comp").distinct(), sets, percent), "more-links")
+    still = materialize(named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("band"), "still")
+    left = materialize(named.join(still, "band").select("cid", "comp").distinct(), "open")
+    rare = materialize(prefixes(left.join(sets, "cid"), percent), "prefixes")
+    meet = materialize(rare.groupBy("item").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("cid").alias("first")).filter("a <> b").select("item", "first"), "meeting-shingles")
+    cluster = materialize(connected_components(rare.join(meet, "item").select(F.col("first").alias("u"), F.col("cid").alias("v"))), "clusters")
+    more = materialize(_within_clusters(cluster, left, sets, percent), "more-links")
     label = materialize(connected_components(links.unionByName(more)), "labels")
 
     cls = known.select("rid", "doc_id", "digest").join(classes, "digest").join(label, F.col("cid") == label["node"], "left")

@@ -147,3 +147,37 @@ def test_isolated_pairs_at_the_threshold_share_a_band():
     for i in range(0, 20_000, 100):
         assert (M.band_keys(a[i], rows, bands) == M.band_keys(b[i], rows, bands)).any() == alike[i]
     assert alike.all()
+
+
+def test_linked_sets_share_a_prefix_shingle(spark):
+    r = random.Random(8)
+    base = [r.randrange(10**6) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        kept = [x for x in base if r.random() < r.choice((0.8, 0.95, 1.0))]
+        rows.append((i, i, sorted({*kept, *(r.randrange(10**6) for _ in range(r.randrange(0, 8)))})))
+    for percent in (50, 80, 85, 100):
+        got = defaultdict(set)
+        for x in M.prefixes(spark.createDataFrame(rows, "cid long, comp long, items array<bigint>"), percent).collect():
+            got[x.cid].add(x.item)
+        linked = 0
+        for i, _, a in rows:
+            assert len(got[i]) <= len(a) - -(-len(a) * percent // 100) + 1
+            for j, _, b in rows[:i]:
+                both = len(set(a) & set(b))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    linked += 1
+                    assert got[i] & got[j]
+        assert linked or percent == 100
+
+
+def test_texts_of_one_template_are_done_without_comparing_them(spark):
+    """Similar to each other at about 0.6 and never linked: no two of them meet."""
+    form = [f"f{i}" for i in range(150)]
+    rows = [(i, i, [hash_of(x) for x in form + [f"own{i}-{j}" for j in range(45)]]) for i in range(1000)]
+    assert M.prefixes(spark.createDataFrame(rows, "cid long, comp long, items array<bigint>"), 85).count() == 0
+
+
+def hash_of(x):
+    import zlib
+    return zlib.crc32(x.encode())
