@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from basketry.llm.common import materialize, text_of
+from basketry.llm.token_counts import counter, counts_by_digest
 
 SIZES = (512, 1024, 2048, 4096)
 
@@ -107,24 +108,65 @@ def pack(docs: DataFrame, length: Column, sizes: tuple[int, ...] = SIZES, bin_co
     text) gives one empty piece. Rows that repeat an id are separate documents.
     A row's block is a hash of its place in the table, so no id or length makes
     a block hot; the number of blocks grows with the table. Ties in length are
-    placed in row order.
+    placed in row order. An empty table gives no rows; further columns, whatever
+    their names, play no part.
     """
+    one = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("total"))
+    rows = materialize(one.withColumn("rid", F.monotonically_increasing_id()), "lengths")
+    return _packed(rows, [], sizes, bin_cost, attention, block_rows)
+
+
+def _packed(rows: DataFrame, extra: list[tuple[str, Column]], sizes: tuple[int, ...], bin_cost: float, attention: float, block_rows: int) -> DataFrame:
+    """``pack`` over a written table (rid, doc_id, total, ...), with further
+    columns of each piece."""
     sizes = tuple(sorted({int(s) for s in sizes}))
     if not sizes or sizes[0] <= 0:
         raise ValueError("sizes must be positive")
     top = sizes[-1]
-    one = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("total"))
-    rows = materialize(one.withColumn("rid", F.monotonically_increasing_id()), "lengths")
     last = F.greatest(F.floor((F.col("total") - 1) / top).cast("int"), F.lit(0))
     n = rows.agg(F.sum(last + 1)).first()[0] or 0
     blocks = max(1, -(-int(n) // block_rows))
     start = F.col("piece").cast("long") * top
-    pieces = rows.select("rid", "doc_id", "total", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
-        F.pmod(F.xxhash64("rid", "piece"), F.lit(blocks)).alias("block"), "rid", "doc_id", "piece", start.alias("start"), F.least(F.lit(top).cast("long"), F.col("total") - start).alias("length"))
+    pieces = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
+        F.pmod(F.xxhash64("rid", "piece"), F.lit(blocks)).alias("block"), "rid", "doc_id", "piece", start.alias("start"), F.least(F.lit(top).cast("long"), F.col("total") - start).alias("length"),
+        *[c.alias(name) for name, c in extra])
     shape = StructType([*pieces.schema.fields, *[StructField(c, LongType()) for c in ("bin", "bin_offset", "bin_size")]])
     return pieces.groupBy("block").applyInArrow(_pack(sizes, bin_cost, attention), shape).drop("rid")
 
 
+def _long_cuts(tokenizer_path: str, top: int):
+    def run(batches):
+        for b in batches:
+            text, found = b.column("text"), []
+            c = counter(tokenizer_path)
+            for i in range(len(text)):  # one text at a time in Python
+                t = text[i].as_py()
+                found.append(c.cuts(t, top) if len(t.encode()) > top else [])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("rid", "doc_id", "n_bytes", "digest")], pa.array(found, pa.list_(pa.int64()))], ["rid", "doc_id", "n_bytes", "digest", "cuts"])
+    return run
+
+
+def pack_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, sizes: tuple[int, ...] = SIZES, bin_cost: float = 32.0, attention: float = 8192.0, block_rows: int = 20_000,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pack`` by tokens: lengths come from the token cache, and every piece has
+    its range of the text's UTF-8 bytes (byte_start, byte_end). Texts of more
+    bytes than the largest size are encoded to find where its pieces begin; a
+    piece's bytes are those of its tokens, so a character of several tokens may
+    be parted. What holds of nulls, empty and long texts and repeated ids in
+    ``pack`` holds here."""
+    top = max(sizes)
+    text = text_of(docs, text_col)
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    named = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest", F.when(F.octet_length("text") > top, F.col("text")).otherwise(F.lit("")).alias("text"))
+    shape = StructType([*named.drop("text").schema.fields, StructField("cuts", ArrayType(LongType()))])
+    found = materialize(named.mapInArrow(_long_cuts(tokenizer_path, top), shape), "cuts")
+    counts = counts_by_digest(found.select("digest"), base.select("digest", "text"), tokenizer_path, cache_path)
+    rows = materialize(found.join(counts, "digest").withColumnRenamed("n_tokens", "total").drop("digest"), "lengths")
+    begin = F.when(F.col("piece") == 0, F.lit(0).cast("long")).otherwise(F.try_element_at("cuts", F.col("piece")))
+    end = F.coalesce(F.try_element_at("cuts", F.col("piece") + 1), F.col("n_bytes"))
+    return _packed(rows, [("byte_start", begin), ("byte_end", end)], sizes, bin_cost, attention, block_rows)
+
+
 def pack_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``pack`` by the number of words of each whole text."""
     words = F.size(F.array_remove(F.split(text_of(docs, text_col), r"[\x20\x09-\x0D]+", -1), ""))

@@ -13,6 +13,16 @@ from basketry.session import ensure_checkpoint_dir
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
+def token_cache(spark: SparkSession, sf_dir: str) -> str:
+    """One cache for each place of the tables: a second run there encodes what is new."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-cache-{hashlib.md5(sf_dir.rstrip('/').encode()).hexdigest()}"
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,14 +44,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_words(table(spark, sf_dir, "documents"))
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), tokenizer(), token_cache(spark, sf_dir))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-    # one cache for each place of the tables: a second run there encodes what is new
-    cache = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-cache-{hashlib.md5(sf_dir.rstrip('/').encode()).hexdigest()}"
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(), token_cache(spark, sf_dir))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import os
 
@@ -104,6 +105,30 @@ class Counter:
             return self.slow(text)
 
 
+    def cuts(self, text: str, every: int) -> list[int]:
+        """The UTF-8 byte at which each ``every``-th token begins, the first
+        left out: where a text is parted into pieces of so many tokens."""
+        if self.ranks is not None:
+            try:
+                special = self.specials[0] if self.specials else None
+                parts = text.split(special) if special and special in text else [text]
+                size = []
+                for i, part in enumerate(parts):
+                    size += [len(special.encode())] if i else []
+                    size += [len(self.ranks.decode_single_token_bytes(t)) for t in self.ranks.encode_ordinary(part)]
+                ends = list(itertools.accumulate(size))
+                return [ends[k - 1] for k in range(every, len(size), every)]
+            except BaseException as e:
+                if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
+                    raise
+        lib = self.library()
+        if self.path.endswith(".model"):
+            starts = [p.begin for p in lib.encode(text, return_type="proto").pieces]  # bytes
+            return [starts[k] for k in range(every, len(starts), every)]
+        starts = [a for a, _ in lib.encode(text, add_special_tokens=False).offsets]  # characters
+        return [len(text[:starts[k]].encode()) for k in range(every, len(starts), every)]
+
+
 def counter(path: str, fast: bool = True) -> Counter:
     """One per worker process."""
     key = (path, fast)
@@ -134,26 +159,31 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     whole, one at a time. An empty table gives no rows; further columns, whatever
     their names, play no part.
     """
-    spark = docs.sparkSession
-    version = tokenizer_version(tokenizer_path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    rows = materialize(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    counts = counts_by_digest(rows.select("digest"), keyed.select("digest", "text"), tokenizer_path, cache_path)
+    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def counts_by_digest(digests: DataFrame, texts: DataFrame, tokenizer_path: str, cache_path: str) -> DataFrame:
+    """(digest, n_tokens), a row each, of all ``digests``: from the cache, which
+    first gets what it lacks from ``texts`` (digest, text)."""
+    spark = digests.sparkSession
+    version = tokenizer_version(tokenizer_path)
     spark.createDataFrame([], CACHE).write.mode("append").partitionBy("version").parquet(cache_path)
 
     def stored():
         spark.catalog.refreshByPath(cache_path)
         return spark.read.schema(CACHE).parquet(cache_path).filter(F.col("version") == version).select("digest", "n_tokens")
 
-    rows = materialize(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
-    misses = materialize(rows.select("digest").distinct().join(stored(), "digest", "left_anti"), "misses")
+    misses = materialize(digests.distinct().join(stored(), "digest", "left_anti"), "misses")
     n = misses.count()
     if n:
-        texts = keyed.select("digest", "text")
         if n <= FEW_MISSES:  # texts of hits stay where they are
             texts = texts.join(F.broadcast(misses), "digest", "left_semi").dropDuplicates(["digest"])
         else:
             texts = texts.dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
         texts.mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").partitionBy("version").parquet(cache_path)
-    # one row per digest, as a table: the join below can then split a hot digest
-    counts = materialize(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # one row per digest, as a table: a join to it can then split a hot digest
+    return materialize(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
