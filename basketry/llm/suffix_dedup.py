@@ -44,6 +44,8 @@ LENGTH = 100
 GRAM = 24
 #: Occurrences of an anchor from which on it is salted, and rows inserted together.
 BLOCK = 2000
+#: Text bytes of a bucket of the table of texts.
+BUCKET_BYTES = 16 << 20
 ROWS = 20_000
 
 
@@ -300,7 +302,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     smaller start. A null id comes after all others. Rows that repeat an id
     with other text are ordered by the text's hash; rows equal in id and text
     are one document listed twice and get the same result.
-    ``gram`` < ``length`` <= 127 + gram.
+    ``gram`` < ``length`` <= 127 + gram. Very long texts are worked whole, in
+    strides; an empty table gives no rows; further columns, whatever their
+    names, play no part.
     """
     if not 0 < gram < length or length - gram > 126:
         raise ValueError("0 < gram < length <= gram + 126")
@@ -313,7 +317,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     heads = keyed.select("doc_id", "id", "dk", "sub", n_bytes.alias("n_bytes"), kept_all.alias("whole"))
 
     # one row per text, bucketed as the joins below need it
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(8, -(-int(heads.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
     name, path = f"texts_{uuid.uuid4().hex}", scratch_path(spark, "texts")
     (keyed.filter(n_bytes >= length).groupBy("dk", "sub").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
      .withColumn("tid", F.monotonically_increasing_id()).write.bucketBy(buckets, "dk", "sub").option("path", path).saveAsTable(name))
@@ -328,8 +332,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     per_text = salted.groupBy("tid").agg(F.collect_list(F.struct("h", "salt", "at")).alias("runs"))  # bounded by the text
     placed = per_text.join(texts.select("tid", "dk", "sub"), "tid").select("dk", "sub", "runs")
     cuts = texts.select("dk", "sub", "id", "text").join(placed, ["dk", "sub"]).mapInArrow(_cut(length), _CUT)
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    results = materialize(cuts.repartition(int(parts), "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_insert(length, gram), _FOUND), "repeats")
+    results = materialize(cuts.repartition(buckets, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_insert(length, gram), _FOUND), "repeats")
 
     # salted anchors: the first of each collection against those of the others
     firsts = results.filter("digest is not null").select("digest", "id", "dk", "sub", "first")
@@ -342,6 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     owners = texts.select("dk", "sub", F.col("id").alias("first_id"))
     # one row per text, as a table: the join can split a text that many rows share
     per_class = materialize(owners.join(done, ["dk", "sub"], "left"), "stripped")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")  # the entry; all that follows reads written results
     out = heads.join(per_class, ["dk", "sub"], "left")
     copy = F.col("first_id").isNotNull() & (F.col("id") != F.col("first_id"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))

@@ -71,3 +71,9 @@ def test_columns_sort_suffixes():
                 a, b = key[i][1], key[i - 1][1]
                 n = next((x for x in range(min(len(a), len(b))) if a[x] != b[x]), min(len(a), len(b)))
                 assert c.lcp[i] == n
+
+
+def test_no_table_stays_in_the_catalogue(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    S.remove_repeats(docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
