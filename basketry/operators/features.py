@@ -11,14 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import DoubleType, MapType, NumericType, StringType, StructField, StructType
 
 from basketry.functions import constants as K
 from basketry.functions.exprs import (climate_group, concat_text, cut, lookup, target_code,
                                       yes_flag)
-from basketry.operators.lookup import checked_broadcast, lookup_join
+from basketry.operators.lookup import LOOKUP_BOUND, checked_broadcast, lookup_join
 from basketry.operators.quantiles import column_quantiles
 from basketry.session import materialize
 
@@ -254,10 +254,11 @@ def fit_conditional_probs_many(train: DataFrame, group: str, cats: Sequence[str]
 def fit_conditional_probs(train: DataFrame, group: str, cat: str, smoothing: float = 1.0) -> DataFrame:
     """(group, cat, prob) for every seen group and every seen category, spelled
     out: the observed pairs, and for each group the categories it lacks."""
-    fit = fit_conditional_probs_many(train, group, [cat], smoothing)[cat]
-    all_cats = fit.cats.agg(F.collect_list("c").alias("_all")).withColumn("_one", F.lit(1))  # the table's own second axis
-    grid = fit.groups.withColumn("_one", F.lit(1)).join(all_cats, "_one").select("g", "unseen", F.explode("_all").alias("c"))
-    return (grid.join(fit.pairs, ["g", "c"], "left")
+    fit = fit_group_probs(train, group, [cat], smoothing)
+    if isinstance(fit, GroupProbs):
+        return fit.table.select(group, F.explode("_p0").alias(cat, "prob")).withColumn(cat, F.col(cat).cast(train.schema[cat].dataType))
+    fit = fit.fits[cat]  # the result is the product by definition, spread over the groups' tasks
+    return (fit.groups.join(fit.cats).join(fit.pairs, ["g", "c"], "left")
             .select(F.col("g").alias(group), F.col("c").alias(cat), F.coalesce("prob", "unseen").alias("prob")))
 
 
@@ -273,30 +274,97 @@ def map_conditional_probs(df: DataFrame, fit, group: str, cat: str, out: str) ->
     return seen.select(*cols, F.coalesce("_p", F.when(F.col("_seen"), F.col("_u"))).alias(out))
 
 
+def _prob_name(cat: str) -> str:
+    return f"P_{cat}_given_CLIMATE_NEW"
+
+
+@dataclass
+class GroupProbs:
+    """Smoothed P(cat | group) of several category columns, one row per group: a
+    map from every seen category to its probability for each column. One lookup
+    join attaches them all. ``means``: the mean over the training rows."""
+    group: str
+    cats: list
+    table: DataFrame  # group, _p0, _p1, ...: map<string, double>
+    means: list
+
+    def attach(self, df: DataFrame, outs: Sequence[str]) -> DataFrame:
+        """Unknown groups and categories give null."""
+        looked = df.join(checked_broadcast(self.table), self.group, "left")
+        cols = [F.try_element_at(F.col(f"_p{i}"), F.col(c).cast("string")).alias(o) for i, (c, o) in enumerate(zip(self.cats, outs))]
+        return looked.select(*[c for c in df.columns if c not in outs], *cols)
+
+
+@dataclass
+class PairProbs:
+    """The same for tables beyond the bound of a lookup: each column's pairs,
+    groups and categories stay tables of their own, joined one by one."""
+    group: str
+    cats: list
+    fits: dict
+    means: list
+
+    def attach(self, df: DataFrame, outs: Sequence[str]) -> DataFrame:
+        for c, o in zip(self.cats, outs):
+            df = map_conditional_probs(df, self.fits[c], self.group, c, o)
+        return df
+
+
+def fit_group_probs(train: DataFrame, group: str, cats: Sequence[str], smoothing: float = 1.0, bound: int = LOOKUP_BOUND):
+    """P = (n_gc + s) / (n_g + s K) of several category columns, counted in one
+    pass: ``GroupProbs`` where groups x categories are at most ``bound``,
+    ``PairProbs`` beyond it."""
+    counts = materialize(_pair_counts(train, group, cats), "pair-counts")
+    size = {r["k"]: (r["g"], r["c"]) for r in counts.groupBy("k").agg(F.count_distinct("g").alias("g"), F.count_distinct("c").alias("c")).collect()}  # one row per column
+    if sum(g * c for g, c in size.values()) > bound:
+        fits = fit_conditional_probs_many(train, group, list(cats), smoothing)
+        means = []
+        for i, c in enumerate(cats):
+            mine = counts.where(F.col("k") == i).select("g", F.col("c").cast(train.schema[c].dataType).alias("c"), "n").join(fits[c].pairs, ["g", "c"])
+            means.append(mine.agg(F.sum(F.col("n") * F.col("prob")) / F.sum("n")).first()[0])
+        return PairProbs(group, list(cats), fits, means)
+    rows = counts.collect()  # at most ``bound``
+    seen = [sorted({r["c"] for r in rows if r["k"] == i}) for i in range(len(cats))]
+    n = {(r["k"], r["g"], r["c"]): r["n"] for r in rows}
+    groups, table, means = sorted({r["g"] for r in rows}), [], []
+    for g in groups:
+        maps = []
+        for i, known in enumerate(seen):
+            n_g = sum(n.get((i, g, c), 0) for c in known)
+            maps.append({c: (n.get((i, g, c), 0) + smoothing) / (n_g + smoothing * len(known)) for c in known} if n_g else None)
+        table.append((g, *maps))
+    for i in range(len(cats)):
+        mine = [(k, v) for k, v in n.items() if k[0] == i]
+        probs = {g: maps[i] for g, *maps in table}
+        means.append(sum(v * probs[g][c] for (_, g, c), v in mine) / sum(v for _, v in mine) if mine else None)
+    schema = StructType([train.schema[group], *[StructField(f"_p{i}", MapType(StringType(), DoubleType())) for i in range(len(cats))]])
+    return GroupProbs(group, list(cats), checked_broadcast(train.sparkSession.createDataFrame(table, schema)), means)
+
+
+FIT_SCORE = "CLIMATE_ITEM_FIT_SCORE_NEW"
+
+
+def attach_probs(df: DataFrame, fit, fill: Column | None = None) -> DataFrame:
+    """``df`` with every P(cat | group) and the fit score, their product. Rows
+    where ``fill`` holds take the training mean for a missing one."""
+    outs = [_prob_name(c) for c in fit.cats]
+    out = fit.attach(df, outs)
+    if fill is not None:
+        out = out.withColumns({o: F.when(fill, F.coalesce(F.col(o), F.lit(m))).otherwise(F.col(o)) for o, m in zip(outs, fit.means)})
+    score = F.col(outs[0])
+    for o in outs[1:]:
+        score = score * F.col(o)
+    return out.withColumn(FIT_SCORE, score)
+
+
 def conditional_prob_features(train: DataFrame, test: DataFrame | None = None,
                               group: str = "CLIMATE_GROUP_NEW",
                               cats: Sequence[str] = ("CATEGORY", "SIZE", "SEASON"),
                               smoothing: float = 1.0):
     """P_<cat>_given_CLIMATE_NEW for each cat and the fit score (product).
     Probabilities are fitted on ``train``; test nulls take the train mean."""
-    outs = []
-    fitted = fit_conditional_probs_many(train, group, list(cats), smoothing)  # one pass for all
-    for c in cats:
-        name = f"P_{c}_given_CLIMATE_NEW"
-        train = map_conditional_probs(train, fitted[c], group, c, name)
-        if test is not None:
-            test = map_conditional_probs(test, fitted[c], group, c, name)
-        outs.append(name)
-    if test is not None:  # test rows outside the fitted table take the train mean (one pass)
-        means = train.agg(*[F.avg(o).alias(o) for o in outs]).first()
-        test = test.withColumns({o: F.coalesce(F.col(o), F.lit(means[o])) for o in outs})
-    score = F.col(outs[0])
-    for o in outs[1:]:
-        score = score * F.col(o)
-    train = train.withColumn("CLIMATE_ITEM_FIT_SCORE_NEW", score)
-    if test is not None:
-        test = test.withColumn("CLIMATE_ITEM_FIT_SCORE_NEW", score)
-    return train, test
+    fit = fit_group_probs(train, group, cats, smoothing)
+    return attach_probs(train, fit), None if test is None else attach_probs(test, fit, F.lit(True))
 
 
 # --------------------------------------------------------------------------- group means
@@ -394,15 +462,43 @@ def fit_group_means(train: DataFrame, specs: Sequence[tuple[str, str]]) -> list:
             for i, (g, _v) in enumerate(specs)]
 
 
+@dataclass
+class GroupMeans:
+    """Fitted means of several (group, value, name) specs: one table per group
+    column with every mean that column needs, and the overall means."""
+    specs: list
+    tables: dict   # group column -> (group column, _m<spec>, ...)
+    overall: list
+
+    def attach(self, df: DataFrame, fill: Column | None = None) -> DataFrame:
+        """value / group mean of every spec, one join per group column; where
+        ``fill`` holds, a row without one takes value / overall mean."""
+        names = [o for _, _, o in self.specs]
+        out = df
+        for g, table in self.tables.items():
+            out = out.join(checked_broadcast(table), g, "left")
+        cols = []
+        for i, (g, v, o) in enumerate(self.specs):
+            x = F.col(v).cast("double")
+            ratio = F.try_divide(x, F.col(f"_m{i}"))
+            if fill is not None:
+                ratio = F.coalesce(ratio, F.when(fill, F.try_divide(x, F.lit(self.overall[i]))))
+            cols.append(ratio.alias(o))
+        return out.select(*[c for c in df.columns if c not in names], *cols)
+
+
+def fit_group_mean_tables(train: DataFrame, specs: Sequence[tuple[str, str, str]]) -> GroupMeans:
+    """All specs fitted in one pass over ``train``."""
+    fitted = fit_group_means(train, [(g, v) for g, v, _ in specs])
+    tables = {}
+    for i, ((g, _, _), (table, _)) in enumerate(zip(specs, fitted)):
+        mine = table.withColumnRenamed("_gm", f"_m{i}")
+        tables[g] = mine if g not in tables else tables[g].join(mine, g, "full")
+    return GroupMeans([tuple(x) for x in specs], {g: checked_broadcast(t) for g, t in tables.items()}, [gm for _, gm in fitted])
+
+
 def group_mean_ratios(train: DataFrame, test: DataFrame | None, specs: Sequence[tuple[str, str, str]]):
     """Several ``group_mean_ratio`` columns (global-mean fallback on test)
     fitted together in one pass over ``train``."""
-    fitted = fit_group_means(train, [(g, v) for g, v, _ in specs])
-    for (g, v, o), (table, gm) in zip(specs, fitted):
-        x = F.col(v).cast("double")
-        train = train.join(table, [g], "left").withColumn(o, F.try_divide(x, F.col("_gm"))).drop("_gm")
-        if test is not None:
-            test = (test.join(table, [g], "left")
-                    .withColumn(o, F.coalesce(F.try_divide(x, F.col("_gm")), F.try_divide(x, F.lit(gm))))
-                    .drop("_gm"))
-    return train, test
+    fit = fit_group_mean_tables(train, specs)
+    return fit.attach(train), None if test is None else fit.attach(test, F.lit(True))

@@ -31,7 +31,7 @@ def checked_broadcast(small: DataFrame, bound: int = LOOKUP_BOUND) -> DataFrame:
         out = small.select("*")
     else:
         out = F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
-    out._checked = True
+    out._checked, out._is_small = True, rows is not None
     return out
 
 

@@ -27,13 +27,11 @@ def _onehot_sql():
 
 @register("one_hot_aligned", _onehot_sql())
 def q_one_hot_aligned(spark, sf_dir):
-    """The aligned wide frames of both parts (test rows get exactly the train
-    columns), read back as the indicators that are set."""
-    f = views.feat_split(spark, sf_dir)
-    train, test = f.where(F.col("part") == "train"), f.where(F.col("part") == "test")
-    tr, te, vocab = E.encode_train_test(train, test, K.MODEL_DROP_COLUMNS, keep=KEYS)  # train vocabulary only
-    names = [f"{c}_{v}" for c, vals in vocab.items() for v in vals]
-    return E.indicators_long(tr.unionByName(te), names, KEYS)
+    """Both parts by the train part's vocabulary, in one scan."""
+    f = E.drop_for_model(views.feat_split(spark, sf_dir), K.MODEL_DROP_COLUMNS)
+    cats = E.categorical_columns(f, exclude=KEYS)
+    vocab = E.fit_vocabulary_table(f.where(F.col("part") == "train"), cats)
+    return E.hot_names(E.indexed(f, vocab, cats, "ROW_ID"), KEYS)
 
 
 B_DROP = [c for c in K.MODEL_DROP_COLUMNS if c != "SUBSCRIPTION_STATUS"]
@@ -59,12 +57,18 @@ def _onehot_full_sql():
 
 @register("one_hot_full", _onehot_full_sql())
 def q_one_hot_full(spark, sf_dir):
-    """The whole encoded frame, read back as the columns that are 1."""
+    """The whole frame: two-valued columns as one indicator of the larger value,
+    the others by their vocabulary."""
     f = views.feat(spark, sf_dir).drop(*B_DROP)
     cats = E.categorical_columns(f)
-    enc = E.one_hot_full(f, cats)
-    names = [c for c in enc.columns if c in cats or c not in f.columns]
-    return E.indicators_long(enc, names, ["ROW_ID"])
+    vocab = E.fit_vocabulary_table(f, cats)
+    sizes = vocab.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v")).where("n <= 2").collect()  # a row per column
+    binary = {r["c"]: r["v"] if r["n"] == 2 else None for r in sizes}
+    multi = [c for c in cats if c not in binary]
+    hot = E.indexed(f, vocab, multi, "ROW_ID")
+    codes = E.label_encode_with(hot, binary)
+    flags = F.explode(F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in binary]), lambda x: x.isNotNull())).alias("onehot")
+    return E.hot_names(hot, ["ROW_ID"]).unionByName(codes.select("ROW_ID", flags))
 
 
 STD_COLS = ["AGE", "PURCHASE_AMOUNT_USD", "PREVIOUS_PURCHASES", "REVIEW_RATING"]

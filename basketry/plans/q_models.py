@@ -3,7 +3,8 @@ F4, T3) — rows-only checks, plus the steps that SQL can express (M2, the chord
 of M3) with an oracle.
 
 Feature selection, the compared models, folds, restarts and every grid have
-the workload's own sizes: see the README for what the tree grids take.
+the workload's own sizes. Each training query computes the stages it needs and
+no more; stages stay in the shared folder for every later query and process.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from basketry.operators import metrics as M
 from basketry.operators import models as MD
 from basketry.operators import segments as SG
+from basketry.operators.fits import FitStore
 from basketry.plans import views
 from basketry.plans.fixture_sql import with_views
 from basketry.plans.registry import register
@@ -25,19 +27,21 @@ B_SEGMENT_FEATURES = ["FREQUENCY_VALUE_NEW", "SPEND_PER_PURCHASE_NEW", "LOYALTY_
 _memo = views.remembered
 
 
-def trained(spark, sf_dir) -> MD.Trained:
-    return _memo(spark, sf_dir, "trained",
-                 lambda: MD.train_pipeline(views.feat_split(spark, sf_dir), MD.TrainConfig()))
+def training(spark, sf_dir) -> MD.Training:
+    """The workload's training sequence; each query asks for the stages it needs."""
+    return _training(spark, sf_dir, "training", MD.TrainConfig())
 
 
-def fitted_scores(spark, sf_dir):
-    return _memo(spark, sf_dir, "fitted", lambda: MD.fitted_scores(trained(spark, sf_dir)))
+def training_earlier(spark, sf_dir) -> MD.Training:
+    """The earlier variant: its forest, tuned by precision; its own four models."""
+    return _training(spark, sf_dir, "training-earlier", MD.earlier_config(), models=["RandomForest"], metric="precision", candidates=MD.earlier_models)
 
 
-def trained_earlier(spark, sf_dir) -> MD.Trained:
-    """The earlier variant: its forest, tuned by precision."""
-    return _memo(spark, sf_dir, "trained-earlier", lambda: MD.train_pipeline(
-        views.feat_split(spark, sf_dir), MD.earlier_config(), models=["RandomForest"], metric="precision"))
+def _training(spark, sf_dir, name, cfg, **kw) -> MD.Training:
+    def build():
+        store = FitStore(spark, views.data_stamp(spark, sf_dir), sf_dir.rstrip("/"), name, repr(cfg))
+        return MD.Training(views.feat_split(spark, sf_dir), cfg, store=store, **kw)
+    return _memo(spark, sf_dir, name, build)
 
 
 def segmented(spark, sf_dir):
@@ -140,7 +144,7 @@ def q_assign_nearest(spark, sf_dir):
 
 
 def _one(spark, sf_dir, model):
-    return fitted_scores(spark, sf_dir).where(F.col("model") == model).select("ROW_ID", "y", "p")
+    return training(spark, sf_dir).fitted_scores([model]).select("ROW_ID", "y", "p")
 
 
 @register("logistic_model")
@@ -163,83 +167,74 @@ def q_gbt_model(spark, sf_dir):
 def q_compare_fitted_models(spark, sf_dir):
     """The four compared models, each fitted on the train part and scored on
     the test part, at its own best threshold."""
-    return M.compare_models(fitted_scores(spark, sf_dir), trained(spark, sf_dir).cfg.min_recall)
+    t = training(spark, sf_dir)
+    return M.compare_models(t.fitted_scores(), t.cfg.min_recall)
 
 
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    return trained(spark, sf_dir).cv
+    return training(spark, sf_dir).cv
 
 
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
-    return trained(spark, sf_dir).grid
+    return training(spark, sf_dir).grid
 
 
 @register("select_features")
 def q_select_features(spark, sf_dir):
-    t = trained(spark, sf_dir)
-    return t.importances.where(F.col("feature").isin(t.scorer.selected))
+    t = training(spark, sf_dir)
+    return t.importances.where(F.col("feature").isin([name for name, *_ in t.selected])).select("feature", "importance")
 
 
 @register("keep_important")
 def q_keep_important(spark, sf_dir):
-    return trained(spark, sf_dir).importances.where(F.col("importance") >= 0.01)
+    return training(spark, sf_dir).importances.where(F.col("importance") >= 0.01).select("feature", "importance")
 
 
 @register("topk_features")
 def q_topk_features(spark, sf_dir):
-    return trained(spark, sf_dir).importances.orderBy(F.desc("importance"), "feature").limit(20)
-
-
-def _fit(spark, sf_dir, est):
-    t = trained(spark, sf_dir)
-    rows = t.scorer.matrix(t.train)
-    return est(rows.count()).fit(rows), t.scorer.selected
+    return training(spark, sf_dir).importances.orderBy(F.desc("importance"), "feature").limit(20).select("feature", "importance")
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """Of the compared forest, over the selected features."""
-    t = trained(spark, sf_dir)
-    model, names = _fit(spark, sf_dir, lambda n: MD.candidate_models(n, t.cfg)["RandomForest"])
-    return MD.feature_importance(model, names, None, spark)
+    t = training(spark, sf_dir)
+    return MD.feature_importance(t.fitted("RandomForest"), [name for name, *_ in t.selected], None, spark)
 
 
 @register("coefficients")
 def q_coefficients(spark, sf_dir):
     """Of the compared logistic model, on scaled features: sizes compare."""
-    t = trained(spark, sf_dir)
-    model, names = _fit(spark, sf_dir, lambda n: MD.candidate_models(n, t.cfg)["LogisticRegression"])
-    return MD.coefficients(model, names, 20, spark)
+    t = training(spark, sf_dir)
+    return MD.coefficients(t.fitted("LogisticRegression"), [name for name, *_ in t.selected], 20, spark)
 
 
 @register("train_pipeline")
 def q_train_pipeline(spark, sf_dir):
-    t = trained(spark, sf_dir)
-    rep = M.compare_models(t.scored_test, t.cfg.min_recall)
-    return rep.select("model", "threshold", "accuracy", "precision", "recall", "f1", "auc",
-                      F.lit(len(t.scorer.selected)).alias("n_features"))
+    """The tuned winner on the test part, at the threshold of its out-of-fold scores."""
+    return training(spark, sf_dir).report()
 
 
 @register("grid_search_precision")
 def q_grid_search_precision(spark, sf_dir):
     """Earlier variant: balanced random forest grid, 3 folds, scored by the
     positive class's precision (on its own selected, scaled train features)."""
-    return trained_earlier(spark, sf_dir).grid
+    return training_earlier(spark, sf_dir).grid
 
 
 @register("compare_earlier_models")
 def q_compare_earlier_models(spark, sf_dir):
     """Earlier variant: its four fixed models on its own selection, each at its
     best threshold of recall 0.80."""
-    t = trained_earlier(spark, sf_dir)
-    return M.compare_models(MD.fitted_scores(t, MD.earlier_models(t.train.count(), t.cfg)), t.cfg.min_recall)
+    t = training_earlier(spark, sf_dir)
+    return M.compare_models(t.fitted_scores(), t.cfg.min_recall)
 
 
 def saved_scorer(spark, sf_dir) -> str:
     """The fitted pipeline in the shared folder, written once."""
-    return _memo(spark, sf_dir, "scorer", lambda: trained(spark, sf_dir).scorer.save(scratch_path(spark, "scorer")))
+    return training(spark, sf_dir).saved_scorer()
 
 
 def _with_segment(spark, sf_dir, rows):
@@ -273,8 +268,8 @@ def q_score_candidates(spark, sf_dir):
     candidate features, the trained model and the k-means segments (named by
     their rank in mean weighted spend)."""
     from basketry.operators import crm as C
-    t = trained(spark, sf_dir)
+    scorer = MD.load_scorer(spark, saved_scorer(spark, sf_dir))
     model, _, scaler = segmented(spark, sf_dir)
     prof = C.segment_profile(_with_segment(spark, sf_dir, views.feat(spark, sf_dir)).withColumnRenamed("segment", "Cluster"))
     names = prof.select(F.col("Cluster").alias("segment"), "segment_name")
-    return MD.score_candidates(t.scorer, views.shop(spark, sf_dir), model, scaler, names)
+    return MD.score_candidates(scorer, views.shop(spark, sf_dir), model, scaler, names)

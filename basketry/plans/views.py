@@ -10,6 +10,7 @@ and a lost executor costs a re-read, not a re-derivation.
 
 from __future__ import annotations
 
+import hashlib
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,12 @@ _MEMO: dict = {}
 _LOCK = threading.RLock()
 
 
-def data_stamp(spark: SparkSession, sf_dir: str) -> int:
+def data_stamp(spark: SparkSession, sf_dir: str) -> str:
     """Changes when a table of the folder does: names, sizes and times of its
-    entries, from the file system that holds it."""
+    entries, from the file system that holds it; the same in every process."""
     path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return hash(tuple(sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries)))
+    return hashlib.md5(repr(sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries)).encode()).hexdigest()
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:

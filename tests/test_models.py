@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sf_dirs import SF001
 
 import __spark_entry__ as entry
+from basketry.operators import metrics as M
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +64,7 @@ def test_four_models_are_compared(spark, q):
 def test_saved_pipeline_scores_alike(spark, q):
     from basketry.operators import models as MD
     from basketry.plans import q_models as QM, views
-    t = QM.trained(spark, SF001)
+    t = QM.training(spark, SF001)
     mine = {r.ROW_ID: r.p for r in t.scorer.score(views.feat(spark, SF001)).collect()}
     loaded = {r.ROW_ID: r.p for r in q["score_customers"](spark, SF001).collect()}
     assert mine == loaded and len(mine) == views.shop(spark, SF001).count()
@@ -90,33 +91,103 @@ def test_candidate_scoring(spark, q):
     assert {r.segment for r in rows} <= set(range(5)) and all(r.segment_name for r in rows)
 
 
-def test_registered_queries_run_the_whole_grids(monkeypatch):
-    from types import SimpleNamespace
+def test_registered_queries_run_the_whole_workload(spark):
     from basketry.operators import models as MD
-    from basketry.plans import q_models as QM, views
-    asked = []
-    monkeypatch.setattr(QM, "_memo", lambda spark, sf_dir, name, build: build())
-    monkeypatch.setattr(views, "feat_split", lambda spark, sf_dir: None)
-    monkeypatch.setattr(MD, "train_pipeline", lambda data, cfg=None, **kw: asked.append(cfg or MD.TrainConfig()) or SimpleNamespace(
-        scorer=SimpleNamespace(matrix=lambda rows: rows), train=None, grid="grid"))
-    monkeypatch.setattr(MD, "grid_search", lambda data, name, cfg, **kw: asked.append(cfg) or (None, "frame"))
-    assert QM.q_grid_search(None, "x") == "grid" and asked == [MD.TrainConfig()]
-    QM.q_grid_search_precision(None, "x")
-    assert asked[-1] == MD.earlier_config()
-
-
-def test_the_earlier_variant_is_run(monkeypatch, spark, q):
-    from types import SimpleNamespace
+    from basketry.plans import q_models as QM
+    t, e = QM.training(spark, SF001), QM.training_earlier(spark, SF001)
+    assert t.cfg == MD.TrainConfig() and t.models is None and t.metric == "areaUnderROC"
+    assert e.cfg == MD.earlier_config() and e.winner == "RandomForest" and e.metric == "precision" and e.cfg.min_recall == 0.80
+    earlier = e._candidates(10, e.cfg)
+    assert earlier["RandomForest"].getNumTrees() == 200 and earlier["GBT_deep"].getMaxDepth() == 8 and earlier["GBT"].getMaxIter() == 200
+    for name, points, fits in (("GBT", 18, 9), ("GBT_deep", 18, 9), ("RandomForest", 12, 12), ("LogisticRegression", 3, 3)):
+        named, todo = MD.grid_fits(name, t.cfg, 100)
+        assert len(named) == points == len({label for label, _ in named}) and len(todo) == fits
+        assert sorted(label for f in todo for label, _ in f.points) == sorted(label for label, _ in named)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    """900 rows with folds; y follows x."""
+    from pyspark.ml.functions import array_to_vector
+    rows = spark.range(900).select(F.col("id").alias("ROW_ID"), (F.xxhash64("id") % 1000 / 1000).alias("a"), (F.xxhash64("id", F.lit(1)) % 1000 / 1000).alias("b"))
+    y = (F.col("a") + F.col("b") * F.col("b") > 0.1).cast("double")
+    return rows.select("ROW_ID", y.alias("label"), F.lit(1.0).alias("weight"), array_to_vector(F.array("a", "b")).alias("features"), (F.col("ROW_ID") % 3).cast("int").alias("fold")).coalesce(1).cache()
+
+
+def test_one_boosted_fit_scores_every_smaller_number_of_rounds(spark, small):
+    """All points of a boosted grid equal fits of their own."""
     from basketry.operators import models as MD
-    from basketry.plans import q_models as QM, views
-    cfg = MD.earlier_config()
-    asked = []
-    monkeypatch.setattr(QM, "_memo", lambda spark, sf_dir, name, build: build())
-    monkeypatch.setattr(views, "feat_split", lambda spark, sf_dir: None)
-    monkeypatch.setattr(MD, "train_pipeline", lambda data, cfg, **kw: asked.append((cfg, kw)) or SimpleNamespace(
-        cfg=cfg, train=SimpleNamespace(count=lambda: 10)))
-    monkeypatch.setattr(MD, "fitted_scores", lambda t, models: models)
-    monkeypatch.setattr(QM.M, "compare_models", lambda scores, recall: (scores, recall))
-    models, recall = q["compare_earlier_models"](None, "x")
-    assert asked == [(cfg, {"models": ["RandomForest"], "metric": "precision"})] and recall == 0.80
-    assert models["RandomForest"].getNumTrees() == 200 and models["GBT_deep"].getMaxDepth() == 8 and models["GBT"].getMaxIter() == 200
+    from basketry.operators.fits import FitStore
+    cfg = MD.TrainConfig(grids={"GBT": {"stepSize": [0.1, 0.3], "maxIter": [3, 6], "maxDepth": [2, 3]}})
+    named, fits = MD.grid_fits("GBT", cfg, 900)
+    assert len(named) == 8 and len(fits) == 4
+    shared = MD.out_of_fold(small, fits, 3, FitStore(spark, "shared", id(small)), "g")
+    alone = MD.out_of_fold(small, [MD.Fit(MD.grid_model("GBT", p, cfg, 900), [(label, None)]) for label, p in named], 3, FitStore(spark, "alone", id(small)), "g")
+    a, b = ({(r.point, r.ROW_ID): (r.p, r.predicted) for r in x.collect()} for x in (shared, alone))
+    assert len(a) == 8 * 900 and a == b
+    assert MD.fold_metrics(shared, "areaUnderROC") == MD.fold_metrics(alone, "areaUnderROC")
+    assert MD.fold_metrics(shared, "precision") == MD.fold_metrics(alone, "precision")
+
+
+def test_finished_fits_are_found_again(spark, small):
+    """A run that broke off goes on where it was; another store object finds all."""
+    from basketry.operators import models as MD
+    from basketry.operators.fits import FitStore
+    fits = [MD.Fit(MD.logistic_model(900, c), [(f"C={c}", None)]) for c in (0.1, 1.0)]
+
+    class Broken:
+        def fit(self, data):
+            raise RuntimeError("lost")
+    with pytest.raises(RuntimeError, match="lost"):
+        MD.out_of_fold(small, [*fits, MD.Fit(Broken(), [("x", None)])], 3, FitStore(spark, "again", id(small)), "g", at_once=1)
+    done = [MD.Fit(Broken(), f.points) for f in fits]  # would fail if fitted
+    oof = MD.out_of_fold(small, done, 3, FitStore(spark, "again", id(small)), "g")
+    assert oof.count() == 2 * 900
+
+
+def test_stages_are_whole_or_absent(spark):
+    from basketry.operators.fits import FitStore
+    store, calls = FitStore(spark, "stages", "test"), []
+
+    def half(path):
+        spark.range(3).write.parquet(path)
+        raise RuntimeError("half")
+    with pytest.raises(RuntimeError):
+        store.stage("t", half)
+    assert store.published("t") is None
+    assert store.table("t", lambda: calls.append(1) or spark.range(5)).count() == 5
+    assert FitStore(spark, "stages", "test").table("t", lambda: calls.append(1) or spark.range(9)).count() == 5 and calls == [1]
+    assert FitStore(spark, "stages", "other").published("t") is None
+    assert store.value("v", lambda: {"a": [1, None]}) == {"a": [1, None]}
+
+
+def test_selection_fits_the_forest_and_nothing_else(spark):
+    from basketry.operators import models as MD
+    from basketry.plans import views
+    t = MD.Training(views.feat_split(spark, SF001), MD.TrainConfig(select_trees=5, select_depth=4))
+    assert t.selected
+    stages = {f.getPath().getName() for f in t.store._fs.listStatus(t.store._path(""))}
+    assert {s[:-5] for s in stages if s.endswith(".done")} == {"lookups", "encoded", "importances"}
+
+
+def test_threshold_leaves_test_labels_alone(spark):
+    from basketry.operators import models as MD
+    from basketry.plans import views
+    data = views.feat_split(spark, SF001)
+    turned = data.withColumn("SUBSCRIPTION_STATUS", F.when(F.col("part") == "test", F.when(F.col("SUBSCRIPTION_STATUS") == "Yes", "No").otherwise("Yes")).otherwise(F.col("SUBSCRIPTION_STATUS")))
+    cfg = MD.TrainConfig(select_trees=5, select_depth=4, grids={"LogisticRegression": {"C": [0.1, 1.0]}})
+    one, two = (MD.Training(d, cfg, models=["LogisticRegression"]) for d in (data, turned))
+    assert one.threshold == two.threshold and one.oof.count() == data.where("part = 'train'").count()
+    best = M.best_threshold(M.threshold_sweep(one.oof), cfg.min_recall).first()
+    assert one.threshold == best["threshold"]
+    on_test = MD.Training(turned, MD.TrainConfig(select_trees=5, select_depth=4, threshold_on="test", grids=cfg.grids), models=["LogisticRegression"])
+    assert on_test.threshold == M.best_threshold(M.threshold_sweep(on_test.scored_test), cfg.min_recall).first()["threshold"]
+
+
+def test_lookups_may_be_fitted_on_all_rows(spark):
+    from basketry.operators import models as MD
+    from basketry.plans import views
+    data = views.feat_split(spark, SF001)
+    train, every = (MD.Training(data, MD.TrainConfig(fit_on=x)).lookups for x in ("train", "all"))
+    want = data.agg(F.avg("PURCHASE_AMOUNT_USD")).first()[0]
+    assert every.means.overall[0] == pytest.approx(want) and train.means.overall[0] != pytest.approx(want)

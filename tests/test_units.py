@@ -198,14 +198,61 @@ def test_row_number_hot_group_equals_window(spark):
     assert sorted(map(tuple, got.select("k", "rn").collect())) == sorted(map(tuple, ref.select("k", "rn").collect()))
 
 
-def test_sparse_one_hot_equals_wide(spark):
-    df = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "z", "y")], "ROW_ID int, c string, d string")
-    vocab = {"c": ["a", "b"], "d": ["x", "y"]}
+def wide_hits(df, vocab, keep="ROW_ID"):
+    """(row, name) of every 1 in the wide frame."""
     wide = E.one_hot_apply(df, vocab)
-    names = ["c_a", "c_b", "d_x", "d_y"]
-    want = sorted(map(tuple, E.indicators_long(wide, names, ["ROW_ID"]).collect()))
-    got = sorted(map(tuple, E.one_hot_sparse(df, vocab, ["ROW_ID"]).collect()))
-    assert got == want == [(1, "c_a"), (1, "d_x"), (2, "c_b"), (3, "d_y")]
+    return sorted((r[keep], c) for r in wide.collect() for c in wide.columns if c != keep and r[c] == 1)
+
+
+def test_sparse_one_hot_equals_wide(spark):
+    train = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "b", "y")], "ROW_ID int, c string, d string")
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "z", "y"), (4, None, None)], "ROW_ID int, c string, d string")
+    vocab = E.fit_vocabulary_table(train, ["c", "d"])
+    assert sorted(map(tuple, vocab.collect())) == [("c", "a", 0), ("c", "b", 1), ("d", "x", 2), ("d", "y", 3)]
+    want = wide_hits(df, E.fit_vocabulary(train, ["c", "d"]))
+    assert want == [(1, "c_a"), (1, "d_x"), (2, "c_b"), (3, "d_y")]
+    assert sorted(map(tuple, E.hot_names(E.indexed(df, vocab, ["c", "d"], "ROW_ID"), ["ROW_ID"]).collect())) == want
+
+
+def test_sparse_vectors_hold_numbers_and_indicators(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, "a"), (2, None, "b"), (3, 1.0, None)], "ROW_ID int, n double, c string")
+    vocab = E.fit_vocabulary_table(df, ["c"])
+    rows = E.sparse_vectors(E.indexed(df, vocab, ["c"], "ROW_ID"), ["n"], 2, ["ROW_ID"], str(tmp_path / "v")).orderBy("ROW_ID").collect()
+    assert [r.features.toArray().tolist() for r in rows] == [[2.5, 1.0, 0.0], [0.0, 0.0, 1.0], [1.0, 0.0, 0.0]]
+
+
+def test_a_column_of_very_many_values(spark, monkeypatch):
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("ROW_ID"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("c"), (F.col("id") % 3).cast("string").alias("d"))
+    vocab = E.fit_vocabulary_table(df, ["c", "d"])
+    assert vocab.count() == n + 3 and vocab.agg(F.max("idx"), F.count_distinct("idx")).first()[:] == (n + 2, n + 3)
+    hot = E.indexed(df, vocab, ["c", "d"], "ROW_ID")
+    plan = hot._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") == 0  # no list of values went through the driver
+    got = hot.agg(F.count(F.lit(1)), F.sum(F.size("_hot"))).first()
+    assert got[:] == (n, 2 * n)
+    few = hot.where("ROW_ID in (0, 7)").orderBy("ROW_ID").collect()
+    assert [[(x.c, x.v) for x in r._hot] for r in few] == [[("c", "v0"), ("d", "0")], [("c", "v7"), ("d", "1")]]
+    with pytest.raises(ValueError, match="sparse"):
+        E.fit_vocabulary(df, ["c"])
+
+
+def test_group_probs_beyond_the_bound_are_the_same(spark):
+    df = spark.createDataFrame([("g1", "a", "S"), ("g1", "b", "S"), ("g2", "a", None), ("g2", "a", "M"), (None, "b", "M"), ("g3", None, "L")], "g string, c1 string, c2 string")
+    asked = spark.createDataFrame([(g, c, d) for g in ("g1", "g2", "g3", "g4", None) for c in ("a", "zz", None) for d in ("S", "L")], "g string, c1 string, c2 string")
+    small, big = FE.fit_group_probs(df, "g", ["c1", "c2"]), FE.fit_group_probs(df, "g", ["c1", "c2"], bound=1)
+    assert isinstance(small, FE.GroupProbs) and isinstance(big, FE.PairProbs) and small.means == pytest.approx(big.means)
+    key = lambda r: tuple("∅" if x is None else round(x, 12) if isinstance(x, float) else x for x in r)
+    a, b = (sorted(key(r) for r in f.attach(asked, ["p", "q"]).select("g", "c1", "c2", "p", "q").collect()) for f in (small, big))
+    assert a == b
+    train_mean = FE.attach_probs(df, small).agg(F.avg("P_c1_given_CLIMATE_NEW")).first()[0]
+    assert small.means[0] == pytest.approx(train_mean)
+
+
+def test_one_lookup_join_attaches_all_probabilities(spark):
+    df = spark.createDataFrame([("g1", "a", "S"), ("g2", "b", "M")], "g string, c1 string, c2 string")
+    plan = FE.fit_group_probs(df, "g", ["c1", "c2"]).attach(df, ["p", "q"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1
 
 
 def test_auc_roc_match_direct_count(spark):
