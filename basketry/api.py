@@ -28,7 +28,7 @@ from basketry.operators.models import (Scorer, TrainConfig, candidate_features,
 from basketry.operators.quantiles import column_quantiles, quantiles  # noqa: F401
 from basketry.operators.ranking import row_number_in_group  # noqa: F401
 from basketry.operators.segments import (add_segment, assign_nearest, elbow_inertias, elbow_k, elbow_segments,  # noqa: F401
-                                         kmeans_segments, pca_project, silhouette)
+                                         kmeans_segments, pca_project, silhouette, silhouette_euclidean)
 from basketry.operators.split import add_split_column, fold_column, stratified_split  # noqa: F401
 from basketry.operators.stats import (box_stats, correlation_matrix, cramers_v,  # noqa: F401
                                       cramers_v_value, crosstab_counts, crosstab_row_pct, crosstab_wide,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from basketry.operators.lookup import checked_broadcast
+from basketry.operators.lookup import bounded_rows, checked_broadcast
 from basketry.operators.quantiles import column_quantiles, quantiles
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
@@ -69,10 +69,17 @@ def crosstab_counts(df: DataFrame, a: str, b: str) -> DataFrame:
             .groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
 
 
+#: Most columns a wide table may get from one column's values.
+WIDE_BOUND = 10_000
+
+
 def _values(df: DataFrame, col: str) -> list:
-    """The values that become columns of a wide table (its schema: for a column
-    of many values use the long form)."""
-    return [r[col] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
+    """The values that become columns of a wide table (its schema); more than
+    ``WIDE_BOUND`` are an error: that is what the long form is for."""
+    rows = bounded_rows(df.where(F.col(col).isNotNull()).select(col).distinct(), WIDE_BOUND)
+    if rows is None:
+        raise ValueError(f"{col} has more than {WIDE_BOUND} values: use crosstab_counts")
+    return sorted(r[col] for r in rows)
 
 
 def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence | None = None) -> DataFrame:

@@ -202,11 +202,12 @@ def train_test(spark, sf_dir):
 
 @register("fit_score", _fit_score_sql())
 def q_fit_score(spark, sf_dir):
-    train, test = train_test(spark, sf_dir)
-    train, test = FE.conditional_prob_features(train, test)
+    f = views.feat_split(spark, sf_dir)
+    fit = FE.fit_group_probs(f.where(F.col("part") == "train"), "CLIMATE_GROUP_NEW", ["CATEGORY", "SIZE", "SEASON"])
+    out = FE.attach_probs(f, fit, F.col("part") == "test")  # both parts in one scan, one lookup join
     cols = ["P_CATEGORY_given_CLIMATE_NEW", "P_SIZE_given_CLIMATE_NEW", "P_SEASON_given_CLIMATE_NEW",
             "CLIMATE_ITEM_FIT_SCORE_NEW"]
-    return train.unionByName(test).select("ROW_ID", "part", *[r6(c).alias(c) for c in cols])
+    return out.select("ROW_ID", "part", *[r6(c).alias(c) for c in cols])
 
 
 RATIOS = K.RATIO_SPECS
@@ -226,10 +227,10 @@ def _ratio_sql() -> str:
 
 @register("group_mean_ratio", _ratio_sql())
 def q_group_mean_ratio(spark, sf_dir):
-    train, test = train_test(spark, sf_dir)
-    train, test = FE.group_mean_ratios(train, test, RATIOS)
+    f = views.feat_split(spark, sf_dir)
+    out = FE.fit_group_mean_tables(f.where(F.col("part") == "train"), RATIOS).attach(f, F.col("part") == "test")
     outs = [o for _, _, o in RATIOS]
-    return train.unionByName(test).select("ROW_ID", "part", *[r6(c).alias(c) for c in outs])
+    return out.select("ROW_ID", "part", *[r6(c).alias(c) for c in outs])
 
 
 def _transform_sql() -> str:

@@ -114,20 +114,49 @@ def q_pca_explained_variance(spark, sf_dir):
 FEATS = SG.SEGMENT_FEATURES
 
 
-def _nearest_sql():
+def _z_ctes():
+    """The fixed segments' rows with z-scored behaviour features."""
     z = ", ".join(f"(coalesce(CAST({c} AS DOUBLE), 0) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS z_{c}"
                   for c in FEATS)
     mom = ", ".join(f"avg(coalesce(CAST({c} AS DOUBLE), 0)) AS m_{c}, stddev_pop(coalesce(CAST({c} AS DOUBLE), 0)) AS s_{c}"
                     for c in FEATS)
+    return [*feat_ctes(), segf_cte(), f"mo AS (SELECT {mom} FROM segf)", f"zz AS (SELECT ROW_ID, Cluster, {z} FROM segf CROSS JOIN mo)"]
+
+
+def _nearest_sql():
     cen = ", ".join(f"avg(z_{c}) AS c_{c}" for c in FEATS)
     dist = " + ".join(f"power(z.z_{c} - c.c_{c}, 2)" for c in FEATS)
     return with_views(f"""
 SELECT ROW_ID, CAST(Cluster AS INT) AS nearest FROM (
   SELECT z.ROW_ID, c.Cluster, row_number() OVER (PARTITION BY z.ROW_ID ORDER BY {dist}, c.Cluster) AS rn
-  FROM zz z CROSS JOIN cen c) WHERE rn = 1""", *feat_ctes(), segf_cte(),
-        f"mo AS (SELECT {mom} FROM segf)",
-        f"zz AS (SELECT ROW_ID, Cluster, {z} FROM segf CROSS JOIN mo)",
-        f"cen AS (SELECT Cluster, {cen} FROM zz GROUP BY Cluster)")
+  FROM zz z CROSS JOIN cen c) WHERE rn = 1""", *_z_ctes(), f"cen AS (SELECT Cluster, {cen} FROM zz GROUP BY Cluster)")
+
+
+def _silhouette_sql():
+    dist = " + ".join(f"power(x.z_{c} - q.z_{c}, 2)" for c in FEATS)
+    return with_views("""
+SELECT ROW_ID, CAST(own AS INT) AS Cluster, round(CASE WHEN n = 1 OR b IS NULL THEN 0 ELSE coalesce((b - s / (n - 1)) / nullif(greatest(s / (n - 1), b), 0), 0) END, 6) AS silhouette FROM (
+  SELECT ROW_ID, own, max(CASE WHEN c = own THEN s END) AS s, max(CASE WHEN c = own THEN n END) AS n, min(CASE WHEN c <> own THEN s / n END) AS b FROM d GROUP BY ROW_ID, own)""",
+        *_z_ctes(), f"d AS (SELECT q.ROW_ID, q.Cluster AS own, x.Cluster AS c, sum(sqrt({dist})) AS s, CAST(count(*) AS DOUBLE) AS n FROM zz q CROSS JOIN zz x WHERE q.ROW_ID % 20 = 0 GROUP BY ALL)")
+
+
+@register("silhouette_points", _silhouette_sql())
+def q_silhouette_points(spark, sf_dir):
+    """Euclidean silhouette in the fixed segments of every row whose id is
+    divisible by 20, against all rows."""
+    vec, _ = SG.segmentation_matrix(views.seg(spark, sf_dir), FEATS, keep=("ROW_ID", "Cluster"))
+    out = SG.silhouette_euclidean(vec, FEATS)
+    return out.select("ROW_ID", F.col("Cluster").cast("int").alias("Cluster"), F.round("silhouette", 6).alias("silhouette"))
+
+
+@register("silhouette_euclidean")
+def q_silhouette_euclidean(spark, sf_dir):
+    """The mean Euclidean silhouette of the k-means segments, over the rows
+    whose id is divisible by 20."""
+    model, _, scaler = segmented(spark, sf_dir)
+    vec, _ = SG.segmentation_matrix(views.feat(spark, sf_dir), scaler=scaler)
+    out = SG.silhouette_euclidean(model.transform(vec), FEATS)
+    return out.agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("n_points")).withColumn("distance", F.lit("euclidean"))
 
 
 @register("assign_nearest", _nearest_sql())
