@@ -106,17 +106,18 @@ def _checked_edges(edges, col: str) -> list[float]:
     return list(edges)
 
 
-def quantile_edges(df: DataFrame, cols: Sequence[str], q: int = 4) -> dict:
+def quantile_edges(df: DataFrame, cols: Sequence[str], q: int = 4, approx: bool = False) -> dict:
     """{column: edges of ``q`` equal-frequency bins (min, interior quantiles,
     max)}, all columns in one search."""
-    got = column_quantiles(df, cols, [i / q for i in range(q + 1)])
+    got = column_quantiles(df, cols, [i / q for i in range(q + 1)], approx)
     return {c: _checked_edges(got[c], c) for c in cols}
 
 
 def qcut(df: DataFrame, col: str, q: int, labels: Sequence, out: str,
-         edges: Sequence[float] | None = None) -> DataFrame:
-    """Equal-frequency bins, right-closed, lowest edge included (null -> null)."""
-    edges = list(edges) if edges is not None else quantile_edges(df, [col], q)[col]
+         edges: Sequence[float] | None = None, approx: bool = False) -> DataFrame:
+    """Equal-frequency bins, right-closed, lowest edge included (null -> null);
+    with ``approx`` the inner edges are those of a sketch."""
+    edges = list(edges) if edges is not None else quantile_edges(df, [col], q, approx)[col]
     return df.withColumn(out, cut(col, edges, labels, include_lowest=True))
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
@@ -182,9 +183,9 @@ def _group_params(df: DataFrame, value: str, group: str, points: int, cut: float
 def kde(df: DataFrame, value: str, group: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian KDE per group on a ``points`` grid spanning [min - cut h, max + cut h].
 
-    Every row adds to every grid point of its group; partial aggregation leaves
-    groups x points rows of each task to shuffle, and no pair of rows is ever
-    formed. Columns of a whole-number type are first counted by value."""
+    Every row adds its bumps at all grid points as one vector; tasks add the
+    vectors up, so one per task and group is shuffled, and no row is ever
+    exploded. Columns of a whole-number type are first counted by value."""
     params = _group_params(df, value, group, points, cut)
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
     if isinstance(df.schema[value].dataType, IntegralType):
@@ -192,9 +193,9 @@ def kde(df: DataFrame, value: str, group: str, points: int = 200, cut: float = 3
     else:
         rows = rows.withColumn("_c", F.lit(1))
     j = rows.join(params, F.col("_g").eqNullSafe(F.col(group)))
-    contrib = (j.select("_g", "_v", "_c", "h", "lo", "step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-               .select("_g", "i", (F.col("_c") * F.exp(-0.5 * F.pow((F.col("lo") + F.col("i") * F.col("step") - F.col("_v")) / F.col("h"), 2))).alias("w"))
-               .groupBy("_g", "i").agg(F.sum("w").alias("_s")))
+    bumps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_c") * F.exp(-0.5 * F.pow((F.col("lo") + i * F.col("step") - F.col("_v")) / F.col("h"), 2)))
+    sums = j.select("_g", array_to_vector(bumps).alias("_b")).groupBy("_g").agg(Summarizer.sum(F.col("_b")).alias("_b"))
+    contrib = sums.select("_g", F.posexplode(vector_to_array("_b")).alias("i", "_s"))
     return (contrib.join(params, F.col("_g").eqNullSafe(F.col(group)))
             .select(group, "i", (F.col("lo") + F.col("i") * F.col("step")).alias("x"),
                     (F.col("_s") / (F.col("n") * F.col("h") * F.lit(SQRT_2PI))).alias("density"), "step"))
@@ -222,9 +223,10 @@ def violin(df: DataFrame, value: str, group: str, points: int = 100, cut: float
     return kde(df, value, group, points, cut).join(q, F.col(group).eqNullSafe(F.col("_q"))).drop("_q")
 
 
-def quantile_table(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
-    """One row: q_<pct> per probability (null without values)."""
-    vals = column_quantiles(df, [col], probs)[col] or [None] * len(probs)
+def quantile_table(df: DataFrame, col: str, probs: Sequence[float], approx: bool = False) -> DataFrame:
+    """One row: q_<pct> per probability (null without values); ``approx`` takes
+    a sketch's values (their rank error: ``quantiles.RANK_ERROR``)."""
+    vals = column_quantiles(df, [col], probs, approx)[col] or [None] * len(probs)
     names = [f"q{int(round(p * 100))}" for p in probs]
     return df.sparkSession.createDataFrame([tuple(vals)], ", ".join(f"{n} double" for n in names))
 

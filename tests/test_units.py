@@ -368,3 +368,42 @@ def test_group_mean_ratio_mean_ratio_fallback(spark):
     _, out = FE.group_mean_ratio(train, test, "g", "v", "r", fallback="mean_ratio")
     # unseen and null groups take the mean of the train ratios 0.5, 1.5 and 1
     assert sorted((r.g or "", r.r) for r in out.collect()) == [("", 1.0), ("a", 2.0), ("z", 1.0)]
+
+
+@pytest.fixture(scope="module")
+def many_values(spark):
+    rows = spark.range(120_000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 1000 == 1, None).otherwise("b").alias("g"), "id")
+    return rows.select("g", F.when(F.col("id") % 7 == 0, F.lit(5.0)).when(F.col("id") % 501 == 0, None).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1000.0).alias("x")).cache()
+
+
+PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+
+
+def test_bracketed_quantiles_are_exact(spark, many_values, monkeypatch):
+    from basketry.operators import quantiles as QU
+    xs = {}
+    for r in many_values.where("x is not null").collect():
+        xs.setdefault(r.g, []).append(r.x)
+    want = {g: np.quantile(v, PROBS) for g, v in xs.items()}
+    asked = []
+    real = QU._by_counts
+    monkeypatch.setattr(QU, "_by_counts", lambda *a: asked.append(1) or real(*a))
+    got = {r.g: list(r)[1:] for r in QU.quantiles(many_values, "x", PROBS, ["g"]).collect()}
+    assert not asked and got.keys() == want.keys()  # two scans, no sort of all values
+    assert all(got[g] == pytest.approx(list(want[g]), rel=1e-12) for g in want)
+    monkeypatch.setattr(QU, "RANK_ERROR", -0.01)  # brackets that miss their ranks are noticed
+    got = {r.g: list(r)[1:] for r in QU.quantiles(many_values, "x", PROBS, ["g"]).collect()}
+    assert asked and all(got[g] == pytest.approx(list(want[g]), rel=1e-12) for g in want)
+
+
+def test_approximate_quantiles_keep_their_bound(spark, many_values):
+    from basketry.operators import quantiles as QU
+    xs = {}
+    for r in many_values.where("x is not null").collect():
+        xs.setdefault(r.g, []).append(r.x)
+    for r in QU.quantiles(many_values, "x", PROBS, ["g"], approx=True).collect():
+        v = np.sort(xs[r.g])
+        for i, p in enumerate(PROBS):
+            lo, hi = np.searchsorted(v, r[f"q{i}"], "left") / len(v), np.searchsorted(v, r[f"q{i}"], "right") / len(v)
+            assert lo - r.rank_error - 1 / len(v) <= p <= hi + r.rank_error + 1 / len(v)
+    assert FE.qcut(many_values, "x", 2, ["low", "high"], "half", approx=True).where("half is not null").count() > 0
