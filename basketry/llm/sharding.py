@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a hash range or a fractional-rank range, on average: each is one
-#: window group, so the number of ranges grows with the table.
-RANGE_ROWS = 20_000
+#: Hash ranges per source, and fractional-rank ranges, at least; and the rows of
+#: one on average at most. Each is one window group, so ranges grow with the table.
+RANGES, RANGE_ROWS = 1024, 20_000
 
 
 def _offsets(counts: DataFrame, by: list[str], key: str, total: str, offset: str) -> DataFrame:
@@ -37,7 +37,7 @@ def interleave(docs: DataFrame, shards: int, stratum: Column, order_key: Column,
     unless given). Counts of shards differ by at most one. An empty table gives
     no rows.
     """
-    buckets = buckets or max(1, -(-docs.count() // RANGE_ROWS))
+    buckets = buckets or max(RANGES, -(-docs.count() // RANGE_ROWS))
     hexes = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
     base = docs.select(
         F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit("")).alias("_s"), order_key.alias("_h"),
