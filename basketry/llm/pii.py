@@ -86,8 +86,19 @@ SPELLED = {
 }
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = dict(zip("асеорхуіјѕԁһԛԝАВЕКМНОРСТХУοαρνικΟΑΡΕΤΗΚΜΝΒΙΧΥΖ", "aceopxyijsdhqwABEKMHOPCTXYoapvikOAPETHKMNBIXYZ"))
-_AT = r"[\x20]*(?:\[[\x20]*at[\x20]*\]|\([\x20]*at[\x20]*\)|\{[\x20]*at[\x20]*\}|<[\x20]*at[\x20]*>)[\x20]*"
-_DOT = r"[\x20]*(?:\[[\x20]*dot[\x20]*\]|\([\x20]*dot[\x20]*\)|\{[\x20]*dot[\x20]*\}|<[\x20]*dot[\x20]*>|\[\.\]|\(\.\))[\x20]*"
+#: How "at" and "dot" are spelled in the languages of the texts.
+AT_WORDS, DOT_WORDS = ("at", "ät", "arroba", "arobase"), ("dot", "punkt", "punto", "point")
+#: Which of them make a bare address together, outside English: a language's own.
+BARE_PAIRS = (("at|ät", "punkt"), ("ät", "punkt|dot"), ("arroba", "punto|dot"), ("arobase", "point|dot"))
+_ATS, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
+
+
+def _bracketed(words: str) -> str:
+    return "|".join(rf"{a}[\x20]*(?:{words})[\x20]*{b}" for a, b in ((r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"), ("<", ">")))
+
+
+_AT = rf"[\x20]*(?:{_bracketed(_ATS)})[\x20]*"
+_DOT = rf"[\x20]*(?:{_bracketed(_DOTS)}|\[\.\]|\(\.\))[\x20]*"
 #: Last labels that a spelled-out address may end in.
 _TOP = "com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|uk|us"
 #: Bare " at " and " dot " count only up to a spelled-out last label.
@@ -95,12 +106,13 @@ _BARE = rf"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-
 _BARE_DOT = rf"(?<=[A-Za-z0-9])\x20dot\x20(?=(?:[A-Za-z0-9-]+(?:\x20dot\x20|\.)){{0,4}}(?:{_TOP})\b)"
 _WORDS = "|".join(sorted(SPELLED, key=lambda w: (-len(w), w)))
 #: Runs of at least three spelled digits; separators between them are dropped.
-_RUN = rf"(?<!\w)(?:{_WORDS})(?:[\x20-]+(?:{_WORDS}|[0-9]+)){{2,}}(?!\w)"
+_TIMES = r"(?:(?:double|triple)[\x20-]+)?"
+_RUN = rf"(?<!\w){_TIMES}(?:{_WORDS})(?:[\x20-]+(?:{_TIMES}(?:{_WORDS})|[0-9]+)){{2,}}(?!\w)"
 #: Four or more groups of one to three digits, written or spelled, with dots.
 _GROUP = rf"(?:{_WORDS}|[0-9]{{1,3}})(?:[\x20-]+(?:{_WORDS}|[0-9])){{0,2}}"
-_SPOKEN = rf"(?<![\w.]){_GROUP}(?:(?:\x20dot\x20|{_DOT}|\.){_GROUP}){{3,}}(?!\w)"
-_STEP = re.compile(rf"(?P<at>{_AT}|{_BARE})|(?P<ip>{_SPOKEN})|(?P<dot>{_DOT}|{_BARE_DOT})|(?P<run>{_RUN})|(?P<plus>\bplus[\x20]+(?=[0-9]|{_WORDS}))", re.I)
-_PART = re.compile(rf"(?P<dot>\x20dot\x20|{_DOT}|\.)|{_WORDS}|[0-9]+", re.I)
+_SPOKEN = rf"(?<![\w.]){_GROUP}(?:(?:\x20(?:{_DOTS})\x20|{_DOT}|\.){_GROUP}){{3,}}(?!\w)"
+_STEP = re.compile(rf"(?P<at>{_AT}|{_BARE})|(?P<ip>{_SPOKEN})|(?P<dot>{_DOT}|{_BARE_DOT})|(?P<run>{_RUN})|(?P<plus>\bplus[\x20]+(?=[0-9]|{_TIMES}(?:{_WORDS})))", re.I)
+_PART = re.compile(rf"(?P<dot>\x20(?:{_DOTS})\x20|{_DOT}|\.)|{_WORDS}|[0-9]+", re.I)
 #: Words joined by bare " at " and " dot ", and the pieces of such a chain.
 _BARE_TRACE = re.compile(r"\x20dot\x20", re.I)
 _CHAIN = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+@-]++(?:\x20(?:at|dot)\x20[A-Za-z0-9._%+@-]++)+", re.I)
@@ -108,8 +120,20 @@ _LINK = re.compile(r"(?P<at>\x20at\x20|@)|(?P<dot>\x20dot\x20)|[A-Za-z0-9._%+-]+
 _HOST = re.compile(r"[A-Za-z0-9-]+\.(?:[A-Za-z0-9-]+\.)*(?:xn--[A-Za-z0-9-]+|[A-Za-z]{2,})(?![A-Za-z0-9-])", re.I)
 #: Words that make the dot of "at this dot here" a noun.
 _NOUN = frozenset("a an the this that these those each every any some no another either which what my your his her its our their".split())
-_TOKEN = re.compile(rf"{_WORDS}|[0-9]+", re.I)
-_TRACE = re.compile(rf"[\[({{<]\s*(?:at|dot|\.)\s*[\])}}>]|\x20(?:at|dot)\x20|\b(?:{_WORDS})[\x20-]+(?:{_WORDS})\b", re.I)
+_TOKEN = re.compile(rf"(?:(?P<times>double|triple)[\x20-]+)?(?P<word>{_WORDS}|[0-9]+)", re.I)
+_LABEL = "[A-Za-z0-9-]{1,63}"
+#: Whole addresses of bare words outside English: a local part, the language's at, and a host whose
+#: last label has two letters or more; German ones need a spelled dot in the host.
+_FOREIGN = [re.compile(rf"(?<![\w.%+@-])[A-Za-z0-9_%+.-]{{1,64}}(?:\x20(?:{dot})\x20[A-Za-z0-9_%+.-]{{1,64}}){{0,5}}(?P<at>\x20(?:{at})\x20){_LABEL}"
+                       rf"(?:(?:\x20(?:{dot})\x20|\.){_LABEL}){{0,5}}{rf'\x20(?:{dot})\x20' if '|' in at else rf'(?:\x20(?:{dot})\x20|\.)'}[A-Za-z]{{2,24}}(?![\w-])", re.I)
+            for at, dot in BARE_PAIRS]
+_FOREIGN_TRACE = re.compile(r"\x20(?:ät|arroba|arobase|punkt)\x20", re.I)
+_FOREIGN_DOT = re.compile(r"\x20(?:punkt|punto|point|dot)\x20", re.I)
+#: A plain @ with a space on both sides, and words joined by underscores up to a common last label.
+_SPACED = re.compile(r"(?<=[A-Za-z0-9])\x20@\x20(?=(?:[A-Za-z0-9-]{1,63}\.){1,5}[A-Za-z]{2,24}(?![\w-]))")
+_JOINED = re.compile(rf"(?<![A-Za-z0-9_.%+-])[A-Za-z0-9.%+-]+(?:_dot_[A-Za-z0-9.%+-]+)*_at_[A-Za-z0-9-]+(?:(?:_dot_|\.)[A-Za-z0-9-]+)*_dot_(?:{_TOP})(?![A-Za-z0-9_-])", re.I)
+_JOINT = re.compile("_at_|_dot_", re.I)
+_TRACE = re.compile(rf"[\[({{<]\s*(?:{_ATS}|{_DOTS}|\.)\s*[\])}}>]|\x20(?:{_ATS}|{_DOTS}|@)\x20|_at_|\b(?:{_WORDS})[\x20-]+(?:{_WORDS}|double|triple)\b", re.I)
 _ODD = re.compile("[" + "".join(LOOKALIKES) + "！-～­​-‍⁠﻿٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
 
 
@@ -189,6 +213,24 @@ def spoken_addresses(text: str) -> list[tuple[int, int, str]]:
     return pieces
 
 
+def other_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Pieces for addresses of bare words outside English, for a plain @ between
+    spaces, and for words joined by underscores."""
+    found = [(m.start(), m.end(), "@") for m in _SPACED.finditer(text)] if " @ " in text else []
+    if "_" in text:
+        for m in _JOINED.finditer(text):
+            found += [(x.start(), x.end(), "@" if len(x.group()) == 4 else ".") for x in _JOINT.finditer(text, m.start(), m.end())]
+    for pattern in _FOREIGN if _FOREIGN_TRACE.search(text) else ():
+        for m in pattern.finditer(text):
+            found.append((*m.span("at"), "@"))
+            found += [(x.start(), x.end(), ".") for a, b in ((m.start(), m.start("at")), (m.end("at"), m.end())) for x in _FOREIGN_DOT.finditer(text, a, b)]
+    pieces = []
+    for piece in sorted(set(found)):
+        if not pieces or piece[0] >= pieces[-1][1]:
+            pieces.append(piece)
+    return pieces
+
+
 def normalise(text: str) -> Mapped:
     """The transducers in turn: characters, disguises, spoken addresses."""
     m = Mapped(text)
@@ -209,9 +251,11 @@ def normalise(text: str) -> Mapped:
         else:
             pos = x.start()
             for t in _TOKEN.finditer(m.text, x.start(), x.end()):
-                pieces.append((pos, t.end(), SPELLED.get(t.group().lower(), t.group())))
+                times = {"double": 2, "triple": 3}.get((t["times"] or "").lower(), 1)
+                pieces.append((pos, t.end(), SPELLED.get(t["word"].lower(), t["word"]) * times))
                 pos = t.end()
     m = m.rewrite(pieces)
+    m = m.rewrite(other_addresses(m.text))
     return m.rewrite(spoken_addresses(m.text))
 
 
@@ -258,7 +302,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Every whole text is scanned (null as empty: no spans, the digest of the
     empty string); rows that repeat an id stay separate rows. Offsets are code
     points of the source text, ends exclusive. ``spans`` holds the base spans
-    and the ``hidden_*`` spans the normalised text shows.
+    and the ``hidden_*`` spans the normalised text shows. Very long texts are
+    scanned whole in linear time; an empty table gives no rows; further columns,
+    whatever their names, play no part.
     """
     return map_texts(docs, {"doc_id": F.col(id_col)}, text_col,
                      "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_hidden long", _scan)

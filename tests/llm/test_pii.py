@@ -101,3 +101,30 @@ def test_a_span_that_plain_ones_cover_is_not_added():
     assert P.hidden(text, P.detect(text)) == []
     many = "+1 " + "1.2.3.4 " * 20 + "one two three"  # a long plain span, then many short ones
     assert P.hidden(many, [(0, 3, len(many)), *P.detect(many)]) == []
+
+
+@pytest.mark.parametrize("disguise, kind", [
+    ("jane arroba ejemplo punto com", "email"), ("jane punto doe arroba mail punto ejemplo punto es", "email"), ("jane arroba ejemplo.com", "email"), ("jean arobase exemple point fr", "email"),
+    ("jean.dupont arobase exemple.fr", "email"), ("jane (arroba) ejemplo (punto) com", "email"), ("jane [ät] firma [punkt] de", "email"), ("jane ät firma punkt de", "email"), ("jane at firma punkt de", "email"),
+    ("192 punto 168 punto 0 punto 1", "ip"), ("192 punkt 168 punkt null punkt eins", "ip"), ("+49 one seven zero double two three four five six", "phone"), ("plus four nine triple one two three four five six seven", "phone"),
+    ("jane_at_mail_dot_com", "email"), ("jane_dot_doe_at_mail.example_dot_org", "email"), ("jane @ mail.com", "email"), ("jane.doe @ mail.example.org", "email"),
+])
+@pytest.mark.parametrize("after", ["; merci", ""])
+def test_other_languages_and_joints_map_back_to_source(disguise, kind, after):
+    text = f"Écrivez: {disguise}{after}"
+    found = [(a, b) for a, k, b in P.hidden(text, P.detect(text)) if P.ALL_KINDS[k] == f"hidden_{kind}"]
+    assert found == [(9, 9 + len(disguise))]
+
+
+def test_prose_of_other_languages_stays():
+    for t in ("a las dos en punto y media", "au point de départ at one point we met", "wir treffen uns at home", "Der Punkt ist klar, ein punkt mehr", "look_at_this_dot_product", "x @ y", "point @ noon",
+              "c'est un point at this point here", "double check one thing", "in dem punkt sind wir einig", "estamos a punto de salir arroba"):
+        assert P.hidden(t, P.detect(t)) == [], t
+
+
+def test_long_chains_of_other_languages_take_linear_time():
+    import time
+    began = time.process_time()
+    for t in ("a punto " * 30_000, "a arroba " * 30_000, "a punkt b ät " * 20_000, "a_at_" * 30_000, "a_dot_" * 30_000, "a @ " * 30_000, "double one " * 30_000, "a.b @ " * 30_000, "a" * 100_000 + " arroba b"):
+        P.hidden(t, [])
+    assert time.process_time() - began < 20
