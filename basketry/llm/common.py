@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.session import scratch_path
+from basketry.session import materialize  # noqa: F401  (written tables, for all operators)
 
 #: The characters that separate words: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,15 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read back: cuts
-    the lineage at a table that survives the loss of any executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(docs: DataFrame, text_col: str):
     """The text as a string, null as the empty string."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
