@@ -26,7 +26,7 @@ _LOADED: dict = {}
 
 
 #: Digests of misses that are broadcast to the texts at most (64 bytes each).
-FEW_MISSES = 200_000
+FEW_MISSES = 20_000
 
 
 def _ranks_path(path: str) -> str | None:
