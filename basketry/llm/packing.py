@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from basketry.llm.common import materialize, text_of
-from basketry.llm.token_counts import counter, counts_by_digest
+from basketry.llm.token_counts import FEW_MISSES, counter, counts_by_digest
 
 SIZES = (512, 1024, 2048, 4096)
 
@@ -137,12 +137,9 @@ def _packed(rows: DataFrame, extra: list[tuple[str, Column]], sizes: tuple[int,
 def _long_cuts(tokenizer_path: str, top: int):
     def run(batches):
         for b in batches:
-            text, found = b.column("text"), []
-            c = counter(tokenizer_path)
-            for i in range(len(text)):  # one text at a time in Python
-                t = text[i].as_py()
-                found.append(c.cuts(t, top) if len(t.encode()) > top else [])
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("rid", "doc_id", "n_bytes", "digest")], pa.array(found, pa.list_(pa.int64()))], ["rid", "doc_id", "n_bytes", "digest", "cuts"])
+            text, c = b.column("text"), counter(tokenizer_path)
+            found = [c.cuts(text[i].as_py(), top) for i in range(len(text))]  # one text at a time in Python
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(found, pa.list_(pa.int64()))], ["digest", "cuts"])
     return run
 
 
@@ -150,18 +147,19 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, sizes: tu
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``pack`` by tokens: lengths come from the token cache, and every piece has
     its range of the text's UTF-8 bytes (byte_start, byte_end). Texts of more
-    bytes than the largest size are encoded to find where its pieces begin; a
+    tokens than the largest size are encoded to find where their pieces begin; a
     piece's bytes are those of its tokens, so a character of several tokens may
     be parted. What holds of nulls, empty and long texts and repeated ids in
     ``pack`` holds here."""
     top = max(sizes)
     text = text_of(docs, text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    named = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest", F.when(F.octet_length("text") > top, F.col("text")).otherwise(F.lit("")).alias("text"))
-    shape = StructType([*named.drop("text").schema.fields, StructField("cuts", ArrayType(LongType()))])
-    found = materialize(named.mapInArrow(_long_cuts(tokenizer_path, top), shape), "cuts")
+    found = materialize(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
     counts = counts_by_digest(found.select("digest"), base.select("digest", "text"), tokenizer_path, cache_path)
-    rows = materialize(found.join(counts, "digest").withColumnRenamed("n_tokens", "total").drop("digest"), "lengths")
+    long = materialize(counts.filter(F.col("n_tokens") > top).select("digest"), "long")
+    parted = base.select("digest", "text").join(F.broadcast(long) if long.count() <= FEW_MISSES else long, "digest", "left_semi").dropDuplicates(["digest"])
+    cuts = materialize(parted.mapInArrow(_long_cuts(tokenizer_path, top), "digest string, cuts array<bigint>"), "cuts")
+    rows = materialize(found.join(counts, "digest").join(cuts, "digest", "left").withColumnRenamed("n_tokens", "total").drop("digest"), "lengths")
     begin = F.when(F.col("piece") == 0, F.lit(0).cast("long")).otherwise(F.try_element_at("cuts", F.col("piece")))
     end = F.coalesce(F.try_element_at("cuts", F.col("piece") + 1), F.col("n_bytes"))
     return _packed(rows, [("byte_start", begin), ("byte_end", end)], sizes, bin_cost, attention, block_rows)
