@@ -191,3 +191,37 @@ def test_lookups_may_be_fitted_on_all_rows(spark):
     train, every = (MD.Training(data, MD.TrainConfig(fit_on=x)).lookups for x in ("train", "all"))
     want = data.agg(F.avg("PURCHASE_AMOUNT_USD")).first()[0]
     assert every.means.overall[0] == pytest.approx(want) and train.means.overall[0] != pytest.approx(want)
+
+
+def _cloud(spark, n=1500):
+    """Rows of two features in four heaps, as a matrix and as a frame."""
+    import numpy as np
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 2)) + np.array([[0, 0], [4, 0], [0, 4], [5, 5]])[rng.integers(0, 4, n)]
+    return x, spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "ROW_ID long, a double, b double").repartition(3, "ROW_ID").sortWithinPartitions("ROW_ID")
+
+
+def test_fits_moved_together_are_the_fits_alone(spark):
+    """Common passes over the rows end where MLlib's own fits end."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    from basketry.operators import segments as SG
+    vec = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(_cloud(spark)[1]).cache()
+    fits = SG.kmeans_fits(vec, [2, 4], restarts=2, features=["a", "b"])
+    for k, (model, cost) in fits.items():
+        alone = [KMeans(k=k, seed=42 + r, maxIter=300, featuresCol="features", predictionCol="Cluster").fit(vec) for r in range(2)]
+        best = min(alone, key=lambda m: m.summary.trainingCost)
+        assert cost == pytest.approx(best.summary.trainingCost)
+        assert [list(c) for c in model.clusterCenters()] == [pytest.approx(list(c)) for c in best.clusterCenters()]
+        assert model.transform(vec).select("ROW_ID", "Cluster").exceptAll(best.transform(vec).select("ROW_ID", "Cluster")).isEmpty()
+    starts = {i: KMeans(k=3, seed=i, maxIter=0, featuresCol="features").fit(vec).clusterCenters() for i in range(2)}
+    passes = []
+    step = SG._lloyd_step
+    SG._lloyd_step = lambda fits, d: passes.append(sorted(fits)) or step(fits, d)
+    try:
+        SG.lloyd(vec, ["a", "b"], starts)
+    finally:
+        SG._lloyd_step = step
+    assert passes[0] == [0, 1] and len(passes) <= 300
+    far = SG.lloyd(vec, ["a", "b"], {0: [[0.0, 0.0], [900.0, 900.0]]})[0][0]
+    assert list(far[1]) == [900.0, 900.0]  # an empty cluster stays
