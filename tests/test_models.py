@@ -225,3 +225,23 @@ def test_fits_moved_together_are_the_fits_alone(spark):
     assert passes[0] == [0, 1] and len(passes) <= 300
     far = SG.lloyd(vec, ["a", "b"], {0: [[0.0, 0.0], [900.0, 900.0]]})[0][0]
     assert list(far[1]) == [900.0, 900.0]  # an empty cluster stays
+
+
+@pytest.mark.parametrize("block, block_rows", [(10_000, 10_000), (7, 90)])
+def test_silhouette_of_any_blocks_is_the_plain_one(spark, block, block_rows):
+    """Equal rows, rows far from the origin and a cluster of one included."""
+    import numpy as np
+    from basketry.operators import segments as SG
+    x, df = _cloud(spark, 400)
+    x[40] = x[60] = x[80] + 1e-7
+    x += 50
+    label = np.where(np.arange(400) == 20, 9, (x[:, 0] > 52).astype(int))
+    df = spark.createDataFrame([(i, int(c), float(a), float(b)) for i, (c, (a, b)) in enumerate(zip(label, x))], "ROW_ID long, Cluster int, a double, b double")
+    got = {r.ROW_ID: (r.Cluster, r.silhouette) for r in SG.silhouette_euclidean(df, ["a", "b"], block=block, block_rows=block_rows).collect()}
+    want = {}
+    for i in range(0, 400, 20):
+        far = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        own = label == label[i]
+        near, other = far[own].sum() / max(own.sum() - 1, 1), min(far[label == c].mean() for c in set(label) - {label[i]})
+        want[i] = (label[i], pytest.approx(0.0 if own.sum() == 1 else (other - near) / max(other, near), abs=1e-9))
+    assert got == want
