@@ -245,3 +245,26 @@ def test_silhouette_of_any_blocks_is_the_plain_one(spark, block, block_rows):
         near, other = far[own].sum() / max(own.sum() - 1, 1), min(far[label == c].mean() for c in set(label) - {label[i]})
         want[i] = (label[i], pytest.approx(0.0 if own.sum() == 1 else (other - near) / max(other, near), abs=1e-9))
     assert got == want
+
+
+def test_tasks_import_nothing_of_the_library(spark):
+    """What k-means and the silhouette send to tasks runs where the library is not installed."""
+    import subprocess
+    import sys
+    from pyspark import cloudpickle
+    from basketry.operators import segments as SG
+    sent = [SG._lloyd_step({0: [[0.0]]}, 1)]
+    frame, group = type(spark.range(1)), type(spark.range(1).groupBy("id").cogroup(spark.range(1).groupBy("id")))
+    rows, cogroup = frame.mapInArrow, group.applyInArrow
+    group.applyInArrow = lambda self, f, schema: sent.append(f) or cogroup(self, f, schema)
+    frame.mapInArrow = lambda self, f, *a, **kw: sent.append(f) or rows(self, f, *a, **kw)
+    try:
+        df = _cloud(spark, 100)[1]
+        SG.lloyd(df, ["a", "b"], {0: [[0.0, 0.0], [4.0, 4.0]]}, 1)
+        SG.silhouette_euclidean(df.selectExpr("*", "0 AS Cluster"), ["a", "b"])
+    finally:
+        group.applyInArrow, frame.mapInArrow = cogroup, rows
+    assert len(sent) == 4
+    for f in sent:
+        code = f"import sys, pickle; sys.path = [p for p in sys.path if p]; pickle.loads(bytes.fromhex('{cloudpickle.dumps(f).hex()}')); assert 'basketry' not in sys.modules"
+        subprocess.run([sys.executable, "-I", "-c", code], check=True, cwd="/")
