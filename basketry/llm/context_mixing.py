@@ -47,6 +47,9 @@ REACH, CACHED = 4, 1 << 17
 PRIOR, STEPS, FIRST, RATE = 0.05, 16.0, 0.4, 0.001
 #: Weight sets (one for each subset of the hashed contexts that were seen); bound of the mixed log odds.
 GATES, LIMIT = 4, np.float32(12)
+#: Decisions of each lane fetched at once; where an event holds the hashed contexts' log odds.
+AHEAD = 16
+_SECOND, _THIRD = np.array([[0, -1, 0, 0], [0, 0, -1, 0]], np.int8).view(np.uint32).ravel()
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -188,15 +191,24 @@ def _run_contexts(sym: np.ndarray, edge: np.ndarray, prev: np.ndarray, keys: dic
         return stop, mix(word[stop] + (stop - begin[stop]).astype(np.uint64))
 
 
-def grouped(keys: np.ndarray, weight: np.ndarray | None = None):
-    """(sorted distinct keys, index of every position, summed weight of each)."""
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, index of every position)."""
     index, key = pd.factorize(keys)
     by = np.argsort(key, kind="stable")
     rank = np.empty(len(by), np.int32)
     rank[by] = np.arange(len(by), dtype=np.int32)
-    index = rank[index]
-    total = None if weight is None else np.bincount(index, weight, len(by)).astype(np.int64)
-    return key[by], index, total
+    return key[by], rank[index]
+
+
+def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, how many positions of each are learnt from)."""
+    def runs(x):
+        return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    every, some = np.sort(keys), np.sort(keys[learn])
+    key, first = every[runs(every)], runs(some)
+    total = np.zeros(len(key), np.int64)
+    total[np.searchsorted(key, some[first])] = np.diff(np.append(first, len(some)))
+    return key, total
 
 
 # ------------------------------------------------------------------ compact arrays
@@ -249,12 +261,13 @@ def picked(starts: np.ndarray, values: np.ndarray, which: np.ndarray) -> np.ndar
 
 
 # ------------------------------------------------------------------ mixing
-def mixed(events: np.ndarray, gate: np.ndarray, lane: np.ndarray) -> np.ndarray:
+def mixed(events: np.ndarray, lane: np.ndarray) -> np.ndarray:
     """Natural log of the probability each lane's decisions get.
 
     An event is four 8-bit inputs in one 32-bit word: the log odds of what came
-    by each predictor, and a constant; ``lane`` is where each lane begins, with
-    the total at the end. All lanes go one decision at a time, the longest first.
+    by each predictor, and a constant; its gate says which of the hashed
+    contexts' log odds are not 0. ``lane`` is where each lane begins, with the
+    total at the end. All lanes go one decision at a time, the longest first.
     """
     size = np.diff(lane)
     order = np.argsort(-size, kind="stable")
@@ -262,10 +275,14 @@ def mixed(events: np.ndarray, gate: np.ndarray, lane: np.ndarray) -> np.ndarray:
     alive = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")
     weights = np.tile(np.array([FIRST, FIRST, FIRST, 0], np.float32) / np.float32(STEPS), (len(size) * GATES, 1)).view(np.complex128).ravel()  # four floats moved as one
     slot, total, rate = np.arange(len(size)) * GATES, np.zeros(len(size)), np.float32(RATE / STEPS)
+    step = np.empty((len(size), 4), np.float32)
     for t, a in enumerate(alive):
-        at = begin[:a] + t
-        cell = slot[:a] + gate.take(at)
-        row = events.take(at).view(np.int8).reshape(a, 4).astype(np.float32)
+        if t % AHEAD == 0:  # the next events of all lanes, by decision
+            at = begin[:a, None] + np.arange(t, t + AHEAD)
+            words = np.ascontiguousarray(events.take(np.minimum(at, len(events) - 1, out=at)).T)
+            seen = ((words & _SECOND) != 0).view(np.int8) | ((words & _THIRD) != 0).view(np.int8) << 1
+        cell = slot[:a] + seen[t % AHEAD, :a]
+        row = words[t % AHEAD, :a].view(np.int8).reshape(a, 4).astype(np.float32)
         weight = weights.take(cell).view(np.float32).reshape(a, 4)
         part = row * weight
         odds = part[:, 0] + part[:, 1]
@@ -273,12 +290,14 @@ def mixed(events: np.ndarray, gate: np.ndarray, lane: np.ndarray) -> np.ndarray:
         odds += part[:, 3]
         np.maximum(odds, -LIMIT, out=odds)
         np.minimum(odds, LIMIT, out=odds)
-        wrong = np.exp(-odds)
+        wrong = np.exp(np.negative(odds, out=odds), out=odds)
         inverse = wrong + np.float32(1)  # 1 / probability of what came
-        total[:a] -= np.log(inverse)
         wrong /= inverse
         wrong *= rate
-        row *= wrong[:, None]
+        total[:a] -= np.log(inverse, out=inverse)
+        by = step[:a]
+        by[:, 0] = by[:, 1] = by[:, 2] = by[:, 3] = wrong
+        row *= by
         weight += row
         weights[cell] = weight.view(np.complex128).ravel()
     out = np.zeros(len(size))
@@ -289,30 +308,24 @@ def mixed(events: np.ndarray, gate: np.ndarray, lane: np.ndarray) -> np.ndarray:
 def block_scores(sym: np.ndarray, edge: np.ndarray, code: Code, prev: np.ndarray, look: dict, replies: dict) -> np.ndarray:
     """Natural log probability of every piece. ``look`` says where in the
     replies the path of each position's pair begins."""
-    size = code.size[prev, sym]
+    pair = prev * np.int32(code.size.shape[1]) + sym
+    size, base = code.size.ravel().take(pair), code.start.ravel().take(pair)
     at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-    base = code.start[prev, sym]
-    events, gate = np.empty((int(at[-1]), 4), np.int8), np.empty(int(at[-1]), np.int8)
-    events[:, 3] = STEPS
+    events = np.empty((int(at[-1]), 4), np.int8)
     for a in range(0, len(sym), CACHED):
         b = min(len(sym), a + CACHED)
-        lo, hi, rep = int(at[a]), int(at[b]), size[a:b]
+        lo, hi, rep = int(at[a]), int(at[b]), size[a:b].astype(np.intp)
         first, span = (at[a:b] - lo).astype(np.int32), np.arange(hi - lo, dtype=np.int32)
-        owner = np.repeat(np.arange(b - a, dtype=np.int32), rep)
-        path = (base[a:b] - first).take(owner)
+        path = np.repeat(base[a:b] - first, rep)
         path += span
         events[lo:hi, 0] = code.odds.take(path)
-        events[lo:hi, 3] *= code.sign.take(path)
-        known = np.zeros(hi - lo, np.int8)
+        events[lo:hi, 3] = code.sign.take(path) * np.int8(STEPS)
         for i, name in enumerate(CONTEXTS):
-            where = (look[name][a:b] - first).take(owner)
+            where = np.repeat(look[name][a:b] - first, rep)
             where += span
-            odds = replies[name].take(where)
-            events[lo:hi, i + 1] = odds
-            known |= (odds != 0).view(np.int8) << i
-        gate[lo:hi] = known
+            events[lo:hi, i + 1] = replies[name].take(where)
     head = lanes(at, edge)
-    cost = mixed(events.view(np.uint32).ravel(), gate, np.append(at[head], at[-1]))
+    cost = mixed(events.view(np.uint32).ravel(), np.append(at[head], at[-1]))
     return np.bincount(np.searchsorted(edge, head, side="right") - 1, cost, len(edge) - 1)
 
 
@@ -330,9 +343,13 @@ def lanes(at: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 def looked_up(keys: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys, where each position's path begins in their answers)."""
-    key, index, _ = grouped(keys)
+    index, key = pd.factorize(keys)
+    by = np.argsort(key, kind="stable")
+    key = key[by]
     length = code.size[((key >> np.uint64(9)) & np.uint64(511)).astype(np.int64), (key & np.uint64(511)).astype(np.int64)]
-    return key, np.concatenate(([0], np.cumsum(length, dtype=np.int64)))[:-1].astype(np.int32)[index]
+    start = np.empty(len(key), np.int32)
+    start[by] = np.cumsum(length, dtype=np.int64) - length
+    return key, start[index]
 
 
 # ------------------------------------------------------------------ Spark jobs
@@ -429,7 +446,7 @@ def _ask(packed: DataFrame, buckets: int) -> DataFrame:
                 asked = [(i, keys.pop(name), learn) for i, name in enumerate(CONTEXTS)]
                 asked.append((-1, np.concatenate((words, np.full(len(ends), ENDED))), np.concatenate((learn[stop], learn[ends]))))
                 for kind, k, weight in asked:
-                    key, _, total = grouped(k, weight)
+                    key, total = counted(k, weight)
                     edges = _deal(key, buckets)
                     used = np.flatnonzero(np.diff(edges))
                     yield pa.RecordBatch.from_arrays([
@@ -458,7 +475,7 @@ def _answer(asked: DataFrame, code: Code) -> DataFrame:
         every, counts = np.concatenate(keys), np.concatenate([unpressed(c, np.int64) for c in t["counts"].to_pylist()])
         facts = []
         if kind < 0:
-            key, index, total = grouped(every, None)[0], None, None
+            key = np.unique(every)
             at = np.searchsorted(key, every)
             total = np.zeros(len(key), np.int64)
             np.add.at(total, at, counts)

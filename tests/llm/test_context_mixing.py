@@ -128,3 +128,25 @@ def test_lanes_begin_at_pieces_and_by_decisions():
 def test_pressed_arrays_come_back():
     for a in (np.arange(1000, dtype=np.uint64) ** 3, np.zeros(0, np.int64), np.array([-5, 127], np.int8)):
         assert (X.unpressed(X.pressed(a), a.dtype) == a).all()
+
+
+def test_counted_keys_are_distinct_and_sorted():
+    rng = np.random.default_rng(3)
+    for n, some in ((0, 0.5), (1, 0.0), (5000, 0.0), (5000, 0.6), (5000, 1.0)):
+        keys = rng.integers(0, 1 << 63, 400, dtype=np.uint64)[rng.integers(0, 400, n)] * np.uint64(2)
+        learn = rng.random(n) < some
+        key, total = X.counted(keys, learn)
+        assert key.tolist() == sorted(set(keys.tolist())) and total.tolist() == [int((learn & (keys == k)).sum()) for k in key]
+
+
+def test_lanes_of_any_length_go_in_step():
+    """Events are fetched ahead by decision: a lane's cost is its own, alone or beside others."""
+    rng = np.random.default_rng(4)
+    size = np.array([1, 40, 0, 16, 17, 100])
+    events = rng.integers(-60, 60, (int(size.sum()), 4)).astype(np.int8)
+    events[rng.random(len(events)) < 0.3, 1] = 0
+    events[rng.random(len(events)) < 0.3, 2] = 0
+    words, lane = events.view(np.uint32).ravel(), np.concatenate(([0], np.cumsum(size)))
+    got = X.mixed(words, lane)
+    alone = [X.mixed(words[a:b].copy(), np.array([0, b - a]))[0] for a, b in zip(lane[:-1], lane[1:])]
+    assert got.tolist() == alone and got[2] == 0 and (got[size > 0] < 0).all()
