@@ -268,3 +268,19 @@ def test_tasks_import_nothing_of_the_library(spark):
     for f in sent:
         code = f"import sys, pickle; sys.path = [p for p in sys.path if p]; pickle.loads(bytes.fromhex('{cloudpickle.dumps(f).hex()}')); assert 'basketry' not in sys.modules"
         subprocess.run([sys.executable, "-I", "-c", code], check=True, cwd="/")
+
+
+def test_noted_nodes_give_the_same_forest(spark, monkeypatch):
+    """The selection forest notes its rows' nodes and is, tree by tree, the plain one."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+    from basketry.operators import models as MD
+    rows = spark.createDataFrame([(float(i % 7 < 3 or i % 11 == 0), 1.0 + i % 2, Vectors.dense(i % 7, i % 11, (i * 37) % 101)) for i in range(600)], ["label", "weight", "features"]).repartition(3).cache()
+    forest = MD.random_forest_model(8, 6)
+    assert MD.noting_nodes(forest.copy()).fit(rows).toDebugString.split("\n")[1:] == forest.fit(rows).toDebugString.split("\n")[1:]
+    noted, plain = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, data: noted.append((self.getCacheNodeIds(), self.getCheckpointInterval())) or plain(self, data))
+    MD.select_features(rows, ["a", "b", "c"], MD.TrainConfig(select_trees=3, select_depth=3))
+    assert noted == [(True, -1)]
+    lr = MD.logistic_model(600)
+    assert MD.noting_nodes(lr) is lr
