@@ -194,7 +194,7 @@ def _run_contexts(sym: np.ndarray, edge: np.ndarray, prev: np.ndarray, keys: dic
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct keys, index of every position)."""
     index, key = pd.factorize(keys)
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     rank = np.empty(len(by), np.int32)
     rank[by] = np.arange(len(by), dtype=np.int32)
     return key[by], rank[index]
@@ -275,15 +275,15 @@ def mixed(events: np.ndarray, lane: np.ndarray) -> np.ndarray:
     alive = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")
     weights = np.tile(np.array([FIRST, FIRST, FIRST, 0], np.float32) / np.float32(STEPS), (len(size) * GATES, 1)).view(np.complex128).ravel()  # four floats moved as one
     slot, total, rate = np.arange(len(size)) * GATES, np.zeros(len(size)), np.float32(RATE / STEPS)
-    step = np.empty((len(size), 4), np.float32)
+    paid = np.ones((AHEAD, len(size)), np.float32)
     for t, a in enumerate(alive):
         if t % AHEAD == 0:  # the next events of all lanes, by decision
             at = begin[:a, None] + np.arange(t, t + AHEAD)
-            words = np.ascontiguousarray(events.take(np.minimum(at, len(events) - 1, out=at)).T)
+            words = np.ascontiguousarray(events.take(at, mode="clip").T)
             seen = ((words & _SECOND) != 0).view(np.int8) | ((words & _THIRD) != 0).view(np.int8) << 1
         cell = slot[:a] + seen[t % AHEAD, :a]
         row = words[t % AHEAD, :a].view(np.int8).reshape(a, 4).astype(np.float32)
-        weight = weights.take(cell).view(np.float32).reshape(a, 4)
+        weight = weights.take(cell, mode="wrap").view(np.float32).reshape(a, 4)
         part = row * weight
         odds = part[:, 0] + part[:, 1]
         odds += part[:, 2]
@@ -294,10 +294,12 @@ def mixed(events: np.ndarray, lane: np.ndarray) -> np.ndarray:
         inverse = wrong + np.float32(1)  # 1 / probability of what came
         wrong /= inverse
         wrong *= rate
-        total[:a] -= np.log(inverse, out=inverse)
-        by = step[:a]
-        by[:, 0] = by[:, 1] = by[:, 2] = by[:, 3] = wrong
-        row *= by
+        paid[t % AHEAD, :a] = inverse
+        if t % AHEAD == AHEAD - 1 or t == len(alive) - 1:  # the cost of what was fetched together
+            b = alive[t - t % AHEAD]
+            total[:b] -= np.log(paid[:, :b]).sum(axis=0, dtype=np.float64)
+            paid[:, :b] = 1
+        row *= wrong.repeat(4).reshape(a, 4)
         weight += row
         weights[cell] = weight.view(np.complex128).ravel()
     out = np.zeros(len(size))
@@ -344,7 +346,7 @@ def lanes(at: np.ndarray, edge: np.ndarray) -> np.ndarray:
 def looked_up(keys: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys, where each position's path begins in their answers)."""
     index, key = pd.factorize(keys)
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     key = key[by]
     length = code.size[((key >> np.uint64(9)) & np.uint64(511)).astype(np.int64), (key & np.uint64(511)).astype(np.int64)]
     start = np.empty(len(key), np.int32)
