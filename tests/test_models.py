@@ -129,6 +129,11 @@ def test_one_boosted_fit_scores_every_smaller_number_of_rounds(spark, small):
     assert MD.fold_metrics(shared, "precision") == MD.fold_metrics(alone, "precision")
 
 
+def test_a_boosted_fit_carries_few_trees(spark):
+    from basketry.operators import models as MD
+    assert MD.gbt_model(400).getCheckpointInterval() <= 10
+
+
 def test_finished_fits_are_found_again(spark, small):
     """A run that broke off goes on where it was; another store object finds all."""
     from basketry.operators import models as MD
