@@ -129,6 +129,24 @@ def test_one_boosted_fit_scores_every_smaller_number_of_rounds(spark, small):
     assert MD.fold_metrics(shared, "precision") == MD.fold_metrics(alone, "precision")
 
 
+def test_forests_side_by_side_note_their_nodes_where_there_is_room(spark, small, monkeypatch):
+    """With and without notes the scores are the same."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from basketry.operators import models as MD
+    from basketry.operators.fits import FitStore
+    cores = spark.sparkContext.defaultParallelism
+    fits = [MD.Fit(MD.random_forest_model(trees, 5), [(f"{trees}", None)]) for trees in (3, 6)]
+    noted, plain = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, data: noted.append((self.getNumTrees(), self.getCacheNodeIds())) or plain(self, data))
+    found = []
+    for room in (0, 4 * 900 * 2 * 4 // cores + 1, MD.NOTED_BYTES):  # none, 4 trees for the two in flight, all
+        monkeypatch.setattr(MD, "NOTED_BYTES", room)
+        oof = MD.out_of_fold(small, fits, 3, FitStore(spark, "noted", room, id(small)), "g", at_once=2)
+        found.append({(r.point, r.ROW_ID): r.p for r in oof.collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 1800
+    assert [sorted(set(noted[k:k + 6])) for k in (0, 6, 12)] == [[(3, False), (6, False)], [(3, True), (6, False)], [(3, True), (6, True)]]
+
+
 def test_a_boosted_fit_carries_few_trees(spark):
     from basketry.operators import models as MD
     assert MD.gbt_model(400).getCheckpointInterval() <= 10
