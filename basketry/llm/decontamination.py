@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from basketry.llm.common import mix, text_of, text_slices, word_bounds, word_hashes
+from basketry.llm.common import lean, mix, text_of, text_slices, word_bounds, word_hashes
 
 #: Families of masks, the most selective first. All but the last two ignore
 #: positions; those serve items of two tokens and of one, which leave no room.
@@ -316,7 +316,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     base = docs.select(*[c.alias(k) for k, c in cols.items()], text_of(docs, text_col).alias("__text"))
     extra = [StructField(n, LongType()) for n in ("item_id", "item_tokens", "matches", "span_tokens", "byte_start", "byte_end")]
     shape = StructType([*base.drop("__text").schema.fields, *extra])
-    parts = [base.mapInArrow(_search(b, min_tokens, share, cover, list(cols)), shape) for b in item_blocks(benchmark, item_col, item_text, block_items)]
+    parts = [base.mapInArrow(lean(_search(b, min_tokens, share, cover, list(cols))), shape) for b in item_blocks(benchmark, item_col, item_text, block_items)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -331,5 +331,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     the rows for each block of items, without a shuffle."""
     out = docs
     for block in item_blocks(benchmark, item_col, item_text, block_items):
-        out = out.mapInArrow(_without(block, min_tokens, share, cover, text_col), docs.schema)
+        out = out.mapInArrow(lean(_without(block, min_tokens, share, cover, text_col)), docs.schema)
     return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from basketry.llm.common import materialize, mix, shingle_hashes, text_of, text_slices, word_bounds, word_hashes
+from basketry.llm.common import lean, materialize, mix, shingle_hashes, text_of, text_slices, word_bounds, word_hashes
 from basketry.llm.components import connected_components
 
 REGISTERS = 256
@@ -158,7 +158,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, sets: DataFrame, percent: int)
     """The pairs (u, v) that are linked, by estimate and then by full sets."""
     est = (pairs.join(rows.select(F.col("rid").alias("u"), F.col("regs").alias("ru"), F.col("n").alias("nu")), "u")
            .join(rows.select(F.col("rid").alias("v"), F.col("regs").alias("rv"), F.col("n").alias("nv")), "v")
-           .mapInArrow(lambda bs: estimate(bs, percent), "u long, v long"))
+           .mapInArrow(lean(lambda bs: estimate(bs, percent)), "u long, v long"))
     full = (est.join(sets.select(F.col("cid").alias("u"), F.col("items").alias("iu")), "u")
             .join(sets.select(F.col("cid").alias("v"), F.col("items").alias("iv")), "v"))
     both = F.size(F.array_intersect("iu", "iv"))
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     base = docs.select(*[c.alias(x) for x, c in cols.items()], text_of(docs, text_col).alias("__text"))
     shape = StructType([*base.drop("__text").schema.fields, StructField("n", LongType()), StructField("digest", BinaryType()),
                         StructField("regs", BinaryType()), StructField("bands", ArrayType(LongType()))])
-    rows = materialize(base.mapInArrow(_sketches(k, list(cols), banding(percent)), shape), "sketches")
+    rows = materialize(base.mapInArrow(lean(_sketches(k, list(cols), banding(percent))), shape), "sketches")
     known = rows.filter("n > 0")
     classes = materialize(known.groupBy("digest").agg(F.min("rid").alias("cid")), "classes")
     reps = known.select(F.col("rid").alias("cid"), "n", "bands").join(classes.select("cid"), "cid", "left_semi")
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = rows.select(F.col("rid").alias("cid"), "th", F.col("doc_id").alias("_id")).join(cand, "cid", "left_semi")
     texts = docs.select(F.xxhash64(text_of(docs, text_col)).alias("th"), F.col(id_col).alias("_id"), text_of(docs, text_col).alias("__text"))
     found = texts.join(named, texts["th"].eqNullSafe(named["th"]) & texts["_id"].eqNullSafe(named["_id"])).select("cid", "__text")
-    sets = materialize(found.mapInArrow(_sets(k), "cid long, items array<bigint>").dropDuplicates(["cid"]), "sets")
+    sets = materialize(found.mapInArrow(lean(_sets(k)), "cid long, items array<bigint>").dropDuplicates(["cid"]), "sets")
 
     # aggregates joined back are tables of their own, so that the joins can
     # split a band or component that holds a third of all rows

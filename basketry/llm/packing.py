@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from basketry.llm.common import materialize, text_of
+from basketry.llm.common import lean, materialize, text_of
 from basketry.llm.token_counts import FEW_MISSES, counter, counts_by_digest
 
 SIZES = (512, 1024, 2048, 4096)
@@ -158,7 +158,7 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, sizes: tu
     counts = counts_by_digest(found.select("digest"), base.select("digest", "text"), tokenizer_path, cache_path)
     long = materialize(counts.filter(F.col("n_tokens") > top).select("digest"), "long")
     parted = base.select("digest", "text").join(F.broadcast(long) if long.count() <= FEW_MISSES else long, "digest", "left_semi").dropDuplicates(["digest"])
-    cuts = materialize(parted.mapInArrow(_long_cuts(tokenizer_path, top), "digest string, cuts array<bigint>"), "cuts")
+    cuts = materialize(parted.mapInArrow(lean(_long_cuts(tokenizer_path, top)), "digest string, cuts array<bigint>"), "cuts")
     rows = materialize(found.join(counts, "digest").join(cuts, "digest", "left").withColumnRenamed("n_tokens", "total").drop("digest"), "lengths")
     begin = F.when(F.col("piece") == 0, F.lit(0).cast("long")).otherwise(F.try_element_at("cuts", F.col("piece")))
     end = F.coalesce(F.try_element_at("cuts", F.col("piece") + 1), F.col("n_bytes"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from basketry.llm.common import shingle_hashes, text_of, text_slices, word_bounds, word_hashes
+from basketry.llm.common import lean, shingle_hashes, text_of, text_slices, word_bounds, word_hashes
 
 FEATURES = ("words", "word_len", "upper", "digits", "bangs", "pipes", "symbols", "stops", "other", "newlines", "long_words",
             "word_repeats", "bigram_repeats", "trigram_repeats", "echoes", "line_repeats", "upper_words", "symbol_words")
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), text_of(docs, text_col).alias("__text"))
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("__text").alias("__text"))
     shape = StructType([*rows.select("id", "y").schema, *[StructField(f, DoubleType()) for f in FEATURES]])
-    got = rows.mapInArrow(_features, shape).orderBy("id").toPandas()
+    got = rows.mapInArrow(lean(_features), shape).orderBy("id").toPandas()
     return train(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy())
 
 
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str
             s = model.score(batch_features(b, "__text"))
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in names], pa.array(s)], [*names, "score"])
 
-    return base.mapInArrow(run, StructType([*base.drop("__text").schema.fields, StructField("score", DoubleType())]))
+    return base.mapInArrow(lean(run), StructType([*base.drop("__text").schema.fields, StructField("score", DoubleType())]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, fold: int = 1, max_labelled: int = 20_000) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import map_texts, materialize, span_digest
+from basketry.llm.common import lean, map_texts, materialize, span_digest
 
 KINDS = ("assign", "access", "hex")
 ALL_KINDS = KINDS + ("live", "example")
@@ -136,4 +136,4 @@ def redacted(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()
             new = {text_col: pa.array(texts, b.column(text_col).type)} | ({chars_col: pa.array(chars, b.column(chars_col).type)} if chars is not None else {})
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names)
 
-    return base.mapInArrow(run, shape)
+    return base.mapInArrow(lean(run), shape)

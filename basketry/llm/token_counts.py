@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import materialize
+from basketry.llm.common import lean, materialize
 
 CACHE = "digest string, n_tokens long, version string"
 _LOADED: dict = {}
@@ -184,6 +184,6 @@ def counts_by_digest(digests: DataFrame, texts: DataFrame, tokenizer_path: str,
             texts = texts.join(F.broadcast(misses), "digest", "left_semi").dropDuplicates(["digest"])
         else:
             texts = texts.dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
-        texts.mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").partitionBy("version").parquet(cache_path)
+        texts.mapInArrow(lean(_encode(tokenizer_path, version)), CACHE).write.mode("append").partitionBy("version").parquet(cache_path)
     # one row per digest, as a table: a join to it can then split a hot digest
     return materialize(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")

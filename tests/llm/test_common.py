@@ -47,3 +47,13 @@ def test_long_texts_anchor_in_pieces(monkeypatch):
     whole = owners()
     monkeypatch.setattr(S, "STRIDE", 700)
     assert owners() == whole and len(whole) == len(text) - 99
+
+
+def test_lean_tasks_give_back_after_their_last_batch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(C, "give_back", lambda: calls.append(len(seen)))
+    seen = []
+    for b in C.lean(lambda batches: (2 * b for b in batches))(iter([1, 2, 3])):
+        assert calls == []
+        seen.append(b)
+    assert seen == [2, 4, 6] and calls == [3]

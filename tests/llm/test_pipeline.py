@@ -1,9 +1,10 @@
+import contextlib
 import re
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from basketry.llm.common import materialize
+from basketry.llm.common import materialize, small_batches
 from test_minhash import brute
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +60,27 @@ def test_run_and_odd_rows(spark, odd, empty):
         for name, stage in C.STAGES:
             docs = materialize(stage(spark, docs, SF), f"odd-{name}")
         assert (docs.count() > 0) == (frame is odd)
+
+
+def test_stages_bound_batches_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for name, stage in C.STAGES:
+            spark.conf.set(key, "64MB")
+            with contextlib.suppress(AttributeError):  # stops at the missing table
+                stage(spark, None, SF)
+            wide = spark.range(6000).repartition(1).select(F.expr("repeat('x', 2000)").alias("t")) if name == "quality" else None
+            assert int(spark.conf.get(key).rstrip("b")) == 4 << 20, name
+            if wide is not None:
+                def size(batches):
+                    import pyarrow as pa
+                    for b in batches:
+                        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+                got = wide.mapInArrow(size, "n long, size long").collect()
+                assert sum(r.n for r in got) == 6000 and max(r.size for r in got) < 5 << 20
+        spark.conf.set(key, "1MB")
+        small_batches(spark)
+        assert spark.conf.get(key) == "1MB"
+    finally:
+        spark.conf.set(key, before)
