@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basketry.functions import constants as K
@@ -407,3 +408,35 @@ def test_approximate_quantiles_keep_their_bound(spark, many_values):
             lo, hi = np.searchsorted(v, r[f"q{i}"], "left") / len(v), np.searchsorted(v, r[f"q{i}"], "right") / len(v)
             assert lo - r.rank_error - 1 / len(v) <= p <= hi + r.rank_error + 1 / len(v)
     assert FE.qcut(many_values, "x", 2, ["low", "high"], "half", approx=True).where("half is not null").count() > 0
+
+
+def test_positions_of_small_groups_need_no_ranges(spark, monkeypatch):
+    from basketry.operators import ranking as R
+    rows = [("hot" if i % 3 else f"g{i % 50}", i * 7919 % 1000, i) for i in range(2000)] + [(None, 5, 1), (None, 4, 2)]
+    df = spark.createDataFrame(rows, "c string, d int, k int").repartition(5)
+    want = sorted(map(tuple, df.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy("d", "k"))).collect()), key=str)
+    written = []
+    whole = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda d, name: (written.append(name), whole(d, name))[1])
+    assert sorted(map(tuple, R.row_number_in_group(df, ["c"], ["d", "k"], "rn").collect()), key=str) == want and written == []
+    monkeypatch.setattr(R, "LARGE_GROUP", 100)
+    assert sorted(map(tuple, R.row_number_in_group(df, ["c"], ["d", "k"], "rn").collect()), key=str) == want and written == ["ranges"]
+
+
+def test_quantile_scan_neither_multiplies_rows_nor_runs_lambdas(spark, monkeypatch):
+    from basketry.operators import quantiles as QU
+    rng = np.random.default_rng(3)
+    xs = {"a": rng.normal(size=30_000), "b": np.repeat([-1.0, 0.0, 2.5], 5000), "c": np.array([3.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in xs.items() for v in vs] + [("a", None)], "g string, x double")
+    plans = []
+    bounded = QU.bounded_rows
+
+    def seen(d, *size):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return bounded(d, *size)
+    monkeypatch.setattr(QU, "bounded_rows", seen)
+    probs = [i / 72 for i in range(73)]
+    got = {r.g: list(r)[1:] for r in QU.quantiles(df, "x", probs, ["g"]).collect()}
+    for g, vs in xs.items():
+        assert got[g] == pytest.approx(list(np.quantile(vs, probs)), rel=1e-12)
+    assert len(plans) == 2 and "Generate" not in plans[1] and "lambda" not in plans[1].lower()
