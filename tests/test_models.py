@@ -147,6 +147,57 @@ def test_forests_side_by_side_note_their_nodes_where_there_is_room(spark, small,
     assert [sorted(set(noted[k:k + 6])) for k in (0, 6, 12)] == [[(3, False), (6, False)], [(3, True), (6, False)], [(3, True), (6, True)]]
 
 
+@pytest.mark.parametrize("levels, depth", [(7, 3), (60, 4)])
+def test_boosting_by_groups_gives_the_librarys_trees(spark, levels, depth):
+    """Repeated rows, few values and more values than bins, a fold left out (its
+    rows may fall otherwise where splits are equally good); the stored form is the
+    library's own."""
+    from pyspark.ml.functions import array_to_vector
+    from basketry.operators import boosting as B, models as MD
+    cols = [(F.abs(F.xxhash64("id", F.lit(k))) % levels / 3).alias(c) for k, c in enumerate("abc")]
+    rows = spark.range(1500).select("id", *cols, (F.col("id") % 3).cast("int").alias("fold"))
+    y = (F.col("a") * F.col("b") + F.abs(F.xxhash64("id", F.lit(9))) % 7 / 2 > F.col("c")).cast("double")
+    rows = rows.select(F.col("id").alias("ROW_ID"), y.alias("label"), array_to_vector(F.array("a", "b", "c")).alias("features"), "fold")
+    rows = rows.unionByName(rows.where("ROW_ID % 5 = 0").withColumn("ROW_ID", F.col("ROW_ID") + 9000)).coalesce(1).cache()
+    est = MD.gbt_model(12, depth, 0.3)
+    assert B.boosted(est) and not B.boosted(est.copy().setSubsamplingRate(0.5)) and not B.boosted(est.copy().setMinInstancesPerNode(2))
+    groups = B.grouped(rows, "label")
+    for but, part in ((None, rows), (1, rows.where("fold <> 1"))):
+        want, got = est.fit(part), groups.fit(est, but)
+        a, b = ({r.ROW_ID: (r.p, r.prediction) for r in MD.probability(m.transform(rows)).collect()} for m in (want, got))
+        other = [k for k, (p, pred) in a.items() if b[k] != (pytest.approx(p, abs=1e-9), pred)]
+        assert len(a) == 1800 and len(other) <= (0 if but is None else 6) and all(k % 3 == but for k in other)
+        assert got.getNumTrees == 12 and got.treeWeights == want.treeWeights and got.numFeatures == 3
+        assert list(got.featureImportances.toArray()) == pytest.approx(list(want.featureImportances.toArray()), abs=1e-9 if but is None else 0.01)
+        assert {p.name: v for p, v in got.extractParamMap().items()} == {p.name: v for p, v in want.extractParamMap().items()}
+
+
+def test_boosted_fits_run_no_library_fit_where_groups_are_few(spark, small, monkeypatch):
+    """A level of a round is no Spark job; beyond the bound the fit is the library's."""
+    from pyspark.ml.classification import GBTClassifier
+    from basketry.operators import boosting as B, models as MD
+    from basketry.operators.fits import FitStore
+    fitted, plain = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: fitted.append(1) or plain(self, data))
+    scores = []
+    for room in (B.GROUP_BYTES, 100):
+        monkeypatch.setattr(B, "GROUP_BYTES", room)
+        oof = MD.out_of_fold(small, [MD.Fit(MD.gbt_model(4, 3), [("x", None)])], 3, FitStore(spark, "groups", room, id(small)), "g")
+        scores.append({r.ROW_ID: r.p for r in oof.collect()})
+        MD.fit_alone(MD.gbt_model(2, 2), small)
+        assert len(fitted) == (0 if room > 100 else 4)
+    assert scores[0] == {k: pytest.approx(p, abs=1e-9) for k, p in scores[1].items()}
+
+
+def test_boosting_tasks_import_nothing_of_the_library():
+    import subprocess
+    import sys
+    from pyspark import cloudpickle
+    from basketry.operators import boosting as B
+    code = f"import sys, pickle; sys.path = [p for p in sys.path if p]; pickle.loads(bytes.fromhex('{cloudpickle.dumps(B._nodes(None, None, 2, 2, 0.1, 32)).hex()}')); assert 'basketry' not in sys.modules"
+    subprocess.run([sys.executable, "-I", "-c", code], check=True, cwd="/")
+
+
 def test_a_boosted_fit_carries_few_trees(spark):
     from basketry.operators import models as MD
     assert MD.gbt_model(400).getCheckpointInterval() <= 10
