@@ -301,6 +301,22 @@ def test_fits_moved_together_are_the_fits_alone(spark):
     assert list(far[1]) == [900.0, 900.0]  # an empty cluster stays
 
 
+def test_starts_are_the_librarys_without_its_fits(spark, monkeypatch):
+    """Vectors are made once for all draws; fewer different rows than k included."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    from basketry.operators import segments as SG
+    cloud = _cloud(spark, 900)[1]
+    for df in (cloud, cloud.where("ROW_ID < 3").unionAll(cloud.where("ROW_ID < 3"))):
+        vec = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).cache()
+        asked = [KMeans(k=k, seed=s, maxIter=0, solver="block", featuresCol="features", predictionCol="Cluster") for k in (2, 5) for s in (42, 43)]
+        want = [[list(c) for c in e.fit(vec).clusterCenters()] for e in asked]
+        with monkeypatch.context() as m:
+            m.setattr(KMeans, "fit", lambda *a: pytest.fail("a fit was run"))
+            assert [c.tolist() for c in SG._starts(vec, asked)] == want
+            SG.kmeans_fits(vec, [2], restarts=2, features=["a", "b"])
+
+
 @pytest.mark.parametrize("block, block_rows", [(10_000, 10_000), (7, 90)])
 def test_silhouette_of_any_blocks_is_the_plain_one(spark, block, block_rows):
     """Equal rows, rows far from the origin and a cluster of one included."""
