@@ -34,7 +34,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import STRIDE, _BYTE, materialize, mix, powers, text_of, text_slices
@@ -324,8 +324,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     texts = spark.table(name)
 
     found = texts.select("tid", "text").mapInArrow(_anchor_rows(length, gram), "h long, tid long, at long")
-    other = found.select(F.col("h").alias("h2"), F.col("tid").alias("t2"), F.col("at").alias("a2"))
-    again = materialize(found.join(other, (F.col("h") == F.col("h2")) & ((F.col("tid") != F.col("t2")) | (F.col("at") != F.col("a2"))), "left_semi"), "anchors")
+    # a text has one run from a window on, so rows of one anchor are its places; found and shuffled once
+    again = materialize(found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1").drop("n"), "anchors")
     # as a table of its own, so that the join below can split a hot anchor
     hot = materialize(again.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("h", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot")
     salted = again.join(hot, "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("tid", "at"), F.col("parts")).cast("int"), F.lit(-1)))

@@ -77,3 +77,14 @@ def test_no_table_stays_in_the_catalogue(spark, docs):
     before = {t.name for t in spark.catalog.listTables()}
     S.remove_repeats(docs).count()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_windows_are_hashed_and_shuffled_once(spark, monkeypatch):
+    """The rows of anchors that occur again come from one pass over the texts."""
+    from basketry.llm import suffix_dedup as S
+    plans, write = {}, S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and write(df, name))
+    text = "0123456789abcdefghijklmnopqrstuvwxyz" * 3
+    docs = spark.createDataFrame([(1, text), (2, "x" + text), (3, "other")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed > 0 for r in S.remove_repeats(docs).collect()} == {1: False, 2: True, 3: False}
+    assert plans["anchors"].count("MapInArrow") == 1 and "Join" not in plans["anchors"]
